@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import NOT_SPACE, blocks, constants, shingles, text_bytes, words
 from .components import connected_components
-from .tables import row_key, settle, spread
+from .tables import fresh, row_key, settle, spread
 
 MISS = 1e-4
 TREES = 20
@@ -252,11 +252,11 @@ def exact_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def confirmed_links(groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges (a, b, cut) of a spanning forest of the true links in each group; groups: (group, node, text)."""
+    """Edges (a, b, cut) of a spanning forest of the true links in each group; groups: (group, text)."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, sets in _sets(batch.column(2), size):
+            for a, sets in _sets(batch.column(1), size):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["group", "node", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,12 +273,31 @@ def confirmed_links(groups: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.bool_())], names=["a", "b", "cut"])
 
     kind = groups.schema["group"].dataType.simpleString()
-    sets = groups.select("group", "node", "text").mapInArrow(to_sets, f"group {kind}, node binary, items binary")
+    sets = groups.select("group", "text").mapInArrow(to_sets, f"group {kind}, node binary, items binary")
     sets = sets.withColumn("group", F.xxhash64("group"))
     units = _in_units(sets, "group", GROUP_ROWS, ["node", "items"]).select("u0", "u1", "u2", "cut", "node", "items")
     return units.mapInArrow(run, "a binary, b binary, cut boolean")
 
 
+def _decided(df: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
+    """(doc_id, row, n_shingles, node, root, component_id) of each row; node and root are null for an empty set."""
+    marked = settle(signatures(df, doc_id, text, size, percent))
+    some = marked.where("node is not null")
+    classes = some.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"), F.min("row").alias("row"))
+    classes = settle(classes)
+    chained = connected_components(candidate_links(classes, percent))
+    members = classes.select("node", "row").join(chained, "node").select("row", F.col("root").alias("group"))
+    texts = df.select(row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"))
+    links = settle(confirmed_links(texts.join(members, "row").select("group", "text"), size, percent))
+    whole = links.where("not cut").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if not links.where("cut").isEmpty():
+        whole = whole.union(connected_components(links.where("cut")))
+    classes = classes.select("node", "least_id").join(whole.distinct(), "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    ids = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    ids = classes.join(ids, "root").select("node", "root", "component_id")
+    return marked.select("doc_id", "row", "n_shingles", "node").join(ids, "node", "left")
+
+
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of the table.
 
@@ -291,21 +310,23 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     null doc_id never is a component's id unless all of it are null (then kept is
     true); an empty table gives an empty one.
     """
-    marked = settle(signatures(df, doc_id, text, size, percent))
-    some = marked.where("node is not null")
-    classes = some.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"), F.min("row").alias("row"))
-    classes = settle(classes)
-    chained = connected_components(candidate_links(classes, percent))
-    members = classes.select("node", "row").join(chained, "node").select("row", F.col("root").alias("group"), "node")
-    texts = df.select(row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"))
-    links = settle(confirmed_links(texts.join(members, "row").select("group", "node", "text"), size, percent))
-    whole = links.where("not cut").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    if not links.where("cut").isEmpty():
-        rest = connected_components(links.where("cut"))
-        whole = whole.union(rest)
-    classes = classes.select("node", "least_id").join(whole.distinct(), "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    ids = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = classes.join(ids, "root").select("node", "component_id")
-    out = marked.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
+    out = _decided(df, doc_id, text, size, percent)
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The table with one row of each component, that of the smallest doc_id; of repeated rows one stays.
+
+    Rows whose text has no words stay, as they are linked with nothing.
+    """
+    own = fresh(df, ["row", "copies"])
+    found = settle(_decided(df, doc_id, text, size, percent).select("doc_id", "row", "node", "root"))
+    copies = found.groupBy("root", "row").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "copies")).alias("first")
+    kept = copies.where("root is not null").groupBy("root").agg(first).select("first.row", "first.copies")
+    kept = kept.union(copies.where("root is null").select("row", F.lit(1).cast("long")))  # all rows of such texts stay
+    keyed = df.withColumn(own["row"], row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    out = spread(keyed, own["row"]).join(kept.toDF(own["row"], own["copies"]), own["row"])
+    single, repeated = out.where(f"{own['copies']} = 1"), out.where(f"{own['copies']} > 1").dropDuplicates([own["row"]])
+    return single.select(df.columns).union(repeated.select(df.columns))
