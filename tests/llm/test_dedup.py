@@ -57,8 +57,11 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert sorted([(r.doc_id, r.component_id) for r in got], key=key) == sorted([(d, c) for (d, _), (_, c) in zip(rows, want)], key=key)
 
 
-@pytest.mark.parametrize("length", [400, 150])
-def test_remove_repeats(spark, length):
+@pytest.mark.parametrize("length,hot,batch", [(400, 4096, 1 << 18), (150, 4096, 300), (150, 1, 300), (150, 5, 100)])
+def test_remove_repeats(spark, monkeypatch, length, hot, batch):
+    monkeypatch.setattr(suffix_dedup, "HOT_SPANS", hot)
+    monkeypatch.setattr(suffix_dedup, "BATCH_SUFFIXES", batch)
+    monkeypatch.setattr(suffix_dedup, "SHARD_SUFFIXES", 10 * batch)
     rows = corpus(7)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, row string")
     got = suffix_dedup.remove_repeats(df, length=length).collect()
