@@ -15,6 +15,14 @@ from ..operators.ranking import core_key, diversify, dominance_quota, fuse_ranks
 from ..operators.scoring import score_candidates
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Keep a small table of questions or candidates: what is planned next starts from its rows.
+
+    The expressions of the steps nest, and would be planned again at every use.  Lost parts are computed again.
+    """
+    return df.persist()
+
+
 def valid_requests(queries: DataFrame, *, least_chars: int = 12, default: int = 20) -> DataFrame:
     """Questions long enough, with their number of results held in 5..40 (FLT-16)."""
     n = F.coalesce(F.col("max_results"), F.lit(default)) if "max_results" in queries.columns else F.lit(default)
@@ -37,19 +45,20 @@ def search(queries: DataFrame, docs: DataFrame, cfg: Config = Config(), *, check
 
     queries: (query_id, text); docs: (doc_id, text, …).  Only the few retrieved candidates are joined with their texts.
     """
-    asked = coach(intent_profile(valid_requests(queries)))
+    asked = held(coach(intent_profile(valid_requests(queries))))
     found = retrieve(asked.select("query_id", "text"), docs, cfg, vectors=vectors, query_vectors=query_vectors)
     texts = docs.select("doc_id", F.col("text").alias("body"), (court if court is not None else F.lit("UNKNOWN")).alias("court"))
     rows = found.join(texts, "doc_id").join(asked.select("query_id", F.col("text").alias("query"), "anchors", "issues", "procedures", "statutes", "max_results"), "query_id")
     rows = rerank_head(rows.withColumnRenamed("position", "rank"), F.col("query"), F.col("body"), 22)
     rows = rows.withColumn("title", F.left(F.col("body"), F.lit(80))).withColumn("snippet", F.left(F.col("body"), F.lit(500))).withColumn("detail_checked", F.length("body") > 0)
     if checklist is not None:
-        rows = G.signals(rows, checklist, text="body")
-    scored = score_candidates(rows)
+        rows = G.signals(held(rows), checklist, text="body")
+    scored = held(score_candidates(held(rows)))
     scored = keep_or_all(scored, F.col("score") >= cfg.min_relevance)
     scored = rank_within(scored, ["query_id"], [F.desc("score"), F.asc("new_rank"), F.asc("doc_id")], "score_rank")
     scored = scored.withColumn("keys", F.array(core_key(F.col("snippet")))).withColumn("fingerprint", F.left(F.lower("snippet"), F.lit(280))).withColumn("court_day", F.concat_ws(":", "court", F.col("doc_id").cast("string")))
     kept = diversify(scored, rank="score_rank", max_per_fingerprint=cfg.max_per_fingerprint, max_per_court_day=cfg.max_per_court_day)
+    kept = held(kept)
     if checklist is not None:
         kept = G.split_tiers(G.calibrate(G.gate(kept, checklist)))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score_rank"))

@@ -27,7 +27,8 @@ def window_counts(events: DataFrame, *, key: str, ts: str = "ts", window: str =
     """Requests for each key and window, and how many are over the limit; for streams with a watermark `late`."""
     rows = events.withWatermark(ts, late) if late else events
     n = F.count("*")
-    return rows.groupBy(key, F.window(F.col(ts), window)["start"].alias("window_start")).agg(n.alias("n"), F.greatest(n - limit, F.lit(0)).alias("over"))
+    counts = rows.groupBy(key, F.window(F.col(ts), window).alias("w")).agg(n.alias("n"))
+    return counts.select(key, F.col("w.start").alias("window_start"), "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("over"))
 
 
 def blocked_runs(events: DataFrame, *, key: str, blocked: Column, ts: str = "ts", order: str = "event_id", threshold: int = 3) -> DataFrame:
