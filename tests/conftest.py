@@ -1,9 +1,16 @@
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
 
+# the Python workers find the package wherever the tests are started
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(Path(__file__).parents[1]), os.environ.get("PYTHONPATH")]))
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (
