@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -30,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PIECES_KEPT = 600_000  # size at which a worker's memo starts afresh
+from .tables import map_batches
+
+PIECES_KEPT = 250_000  # size at which a worker's memo starts afresh
 PIECE_BYTES_KEPT = 64
-PAIRS_KEPT = 2_000_000
+PAIRS_KEPT = 500_000
 OUT_BYTES = 8 << 20
 
 
@@ -44,14 +47,22 @@ class ByteBPE:
         self.tokens = {i: token for token, i in self.ranks.items()}
         self.split = regex.compile(pattern)
         self.size = {i: len(token) for token, i in self.ranks.items()}
-        self.automaton = ahocorasick.Automaton()
-        for token, i in self.ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), i)
-        self.automaton.make_automaton()
-        self.shorter = {i: next((self.ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ranks), -1) for t, i in self.ranks.items()}
         self.together: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, bytes] = {}  # ids as packed 32-bit integers: nothing for the garbage collector to walk
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        made = ahocorasick.Automaton()
+        for token, i in self.ranks.items():
+            made.add_word(token.decode("latin-1"), i)
+        made.make_automaton()
+        return made
+
+    @cached_property
+    def shorter(self) -> dict[int, int]:
+        """For each token the longest one that is a proper prefix of it, or -1."""
+        return {i: next((self.ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ranks), -1) for t, i in self.ranks.items()}
+
     def merged(self, text: bytes) -> list[int]:
         """Plain merging, lowest rank first; only for the few bytes of two tokens."""
         parts = [text[i : i + 1] for i in range(len(text))]
@@ -140,9 +151,13 @@ def _slices(batches: Iterator[pa.RecordBatch], at: int, width: int) -> Iterator[
             yield batch.slice(a, b - a)
 
 
-def encode_documents(df: DataFrame, rank_file: bytes, pattern: str, *, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """Add the token ids of a text column as an array of integers."""
-    kept = [c for c in df.columns if c != ids]
+def encode_documents(df: DataFrame, rank_file: bytes, pattern: str, *, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
+    """Add the token ids of a text column as an array of integers.
+
+    With `decoded`, also add the bytes that these ids decode to, in the same pass, so one worker has the vocabulary and not two.
+    """
+    outs = [ids, *([decoded] if decoded else [])]
+    kept = [c for c in df.columns if c not in outs]
     shared = df.sparkSession.sparkContext.broadcast(rank_file)  # a vocabulary: its size does not grow with the data
     position = kept.index(text)
 
@@ -153,10 +168,11 @@ def encode_documents(df: DataFrame, rank_file: bytes, pattern: str, *, text: str
             offsets = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(x) for x in found], out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*kept, ids])
+            back = [pa.array([bpe.decode(x) for x in found], pa.binary())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, *back], names=[*kept, *outs])
 
-    schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
-    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded, T.BinaryType())] if decoded else [])])
+    return map_batches(df.select(*[F.col(f"`{c}`") for c in kept]), run, schema)
 
 
 def decode_documents(df: DataFrame, rank_file: bytes, pattern: str, *, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -175,4 +191,4 @@ def decode_documents(df: DataFrame, rank_file: bytes, pattern: str, *, ids: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*kept, out])
 
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, T.StructField(out, T.BinaryType())])
-    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return map_batches(df.select(*[F.col(f"`{c}`") for c in kept]), run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import ALNUM, blocks, text_bytes, words
-from .tables import fresh, row_key, spread
+from .tables import fresh, map_batches, row_key, spread
 
 WINDOW = 10
 PART_BYTES = 64 << 20
@@ -125,7 +125,7 @@ def _with_part(df: DataFrame, text: str, tests: TestSuffixes, n_words: str, matc
                     found[a + t].append({"item_id": tests.ids[item], "word": word, "words": n, "item_word": place})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(found, _ARROW_MATCH)], names=[*names, n_words, matches])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(matches, _MATCH)]))
+    return map_batches(df, run, T.StructType([*df.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(matches, _MATCH)]))
 
 
 def _parts(benchmark: DataFrame, item_id: str, text: str, window: int) -> Iterator[TestSuffixes]:

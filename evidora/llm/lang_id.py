@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import LOWER, blocks, text_bytes
-from .tables import settle
+from .tables import map_batches, settle
 from .url_filter import host_of
 
 SAMPLE = 400
@@ -73,7 +73,7 @@ def fit_text_models(df: DataFrame, *, lang: str = "lang", text: str = "text", ro
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([counts.tobytes()], pa.binary())], names=["k", "counts"])
 
     total = np.zeros((len(names), BUCKETS))
-    for row in found.select("lang", "text").mapInArrow(run, "k long, counts binary").toLocalIterator():
+    for row in map_batches(found.select("lang", "text"), run, "k long, counts binary").toLocalIterator():
         total += np.frombuffer(row["counts"], np.int64).reshape(total.shape)
     return names, np.log((total + 0.5) / (total.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
 
@@ -97,7 +97,7 @@ def text_evidence(df: DataFrame, names: list[str], models: np.ndarray, *, html:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(nats, pa.list_(pa.float64()))], names=[*columns, out])
 
     fields = [f for f in df.schema.fields if f.name != html]
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+    return map_batches(df, run, T.StructType([*fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
 def declared_of(html: Column) -> Column:

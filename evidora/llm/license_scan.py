@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bytetext import ALNUM, blocks, constants, splitmix, text_bytes, words
+from .tables import map_batches
 
 PERCENT = 80
 
@@ -147,7 +148,7 @@ def scan_licenses(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, *
                 found += scan_block(made, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], names=[*names, licenses])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(licenses, _TYPE)]))
+    return map_batches(df, run, T.StructType([*df.schema.fields, T.StructField(licenses, _TYPE)]))
 
 
 _ARROW = pa.list_(pa.struct([("license", pa.string()), ("score", pa.float64()), ("first", pa.int64()), ("end", pa.int64())]))

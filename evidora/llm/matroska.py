@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bytetext import blocks, text_bytes
+from .tables import map_batches
 
 FRAME = 576
 RATE = 8000
@@ -273,7 +274,7 @@ def store_texts(df: DataFrame, *, text: str = "text", media: str = "media", laci
                 files = [write(padded(data[offsets[i] : offsets[i + 1]].tobytes()), lacing) for i in range(a, b)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(files, pa.binary())], names=[*names, media])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(media, T.BinaryType())]))
+    return map_batches(df, run, T.StructType([*df.schema.fields, T.StructField(media, T.BinaryType())]))
 
 
 _PACKET = [("track", "long"), ("timestamp_ns", "long"), ("offset", "long"), ("size", "long"), ("cluster", "long"), ("in_lace", "long")]
@@ -319,4 +320,4 @@ def read_media(df: DataFrame, *, media: str = "media", packets: str = "packets",
                 )
 
     types = [_structs(_PACKET), _structs(_CUE), T.BinaryType(), T.StringType(), T.StringType()]
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in zip(outs, types))]))
+    return map_batches(df, run, T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in zip(outs, types))]))

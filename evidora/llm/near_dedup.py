@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import NOT_SPACE, blocks, constants, shingles, text_bytes, words
 from .components import connected_components
-from .tables import fresh, row_key, settle, spread
+from .tables import fresh, map_batches, row_key, settle, spread
 
 MISS = 1e-4
 TREES = 20
@@ -105,7 +105,7 @@ def signatures(df: DataFrame, doc_id: str, text: str, size: int, percent: int) -
 
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, row long, n_shingles long, node binary, prefixes array<long>, sketch binary")
+    return map_batches(rows, run, f"doc_id {kind}, row long, n_shingles long, node binary, prefixes array<long>, sketch binary")
 
 
 def _by_unit(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,7 @@ def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
 
     rows = classes.select("node", "sketch", F.explode("prefixes").alias("prefix"))
     units = _in_units(rows, "prefix", REGION_ROWS, ["sketch", "node"]).select("u0", "u1", "u2", "sketch", "node")
-    return units.mapInArrow(run, "a binary, b binary").distinct()
+    return map_batches(units, run, "a binary, b binary").distinct()
 
 
 def exact_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -273,10 +273,10 @@ def confirmed_links(groups: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.bool_())], names=["a", "b", "cut"])
 
     kind = groups.schema["group"].dataType.simpleString()
-    sets = groups.select("group", "text").mapInArrow(to_sets, f"group {kind}, node binary, items binary")
+    sets = map_batches(groups.select("group", "text"), to_sets, f"group {kind}, node binary, items binary")
     sets = sets.withColumn("group", F.xxhash64("group"))
     units = _in_units(sets, "group", GROUP_ROWS, ["node", "items"]).select("u0", "u1", "u2", "cut", "node", "items")
-    return units.mapInArrow(run, "a binary, b binary, cut boolean")
+    return map_batches(units, run, "a binary, b binary, cut boolean")
 
 
 def _decided(df: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:

@@ -35,8 +35,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    both = byte_bpe.decode_documents(encoded, ranks, public_tokenizers.PATTERN)
+    both = byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, decoded="decoded")
     return both.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
@@ -129,5 +128,37 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT doc_id, n, i, a || ' ' || lead(a, 1) OVER p || ' ' || lead(a, 2) OVER p AS g FROM u WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+sh AS (SELECT DISTINCT doc_id, g FROM g WHERE g IS NOT NULL UNION SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 2),
+c AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN c AS cx ON cx.doc_id = x JOIN c AS cy ON cy.doc_id = y WHERE 100 * k >= 85 * (cx.n + cy.n - k)),
+both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+r AS (SELECT doc_id AS doc, doc_id AS reached FROM w UNION SELECT r.doc, b.y FROM r JOIN both b ON b.x = r.reached),
+m AS (SELECT doc, min(reached) AS component_id FROM r GROUP BY doc)
+SELECT doc AS doc_id, coalesce(c.n, 0) AS n_shingles, component_id, doc = component_id AS kept FROM m LEFT JOIN c ON c.doc_id = m.doc
+""".replace("both AS", "sym AS").replace("JOIN both b", "JOIN sym b")
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+bu AS (SELECT item_id, least(10, len(w)) AS n, unnest(w) AS a, generate_subscripts(w, 1) AS i, len(w) AS total FROM b),
+bg AS (SELECT item_id, n, i, total, string_agg(a, ' ') OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND (n - 1) FOLLOWING) AS g FROM bu),
+items AS (SELECT DISTINCT item_id, n, g FROM bg WHERE i + n - 1 <= total),
+du AS (SELECT doc_id, n, unnest(w) AS a, generate_subscripts(w, 1) AS i, len(w) AS total FROM d, (SELECT DISTINCT n FROM items)),
+dg AS (SELECT doc_id, n, i, total, string_agg(a, ' ') OVER (PARTITION BY doc_id, n ORDER BY i ROWS BETWEEN CURRENT ROW AND (n - 1) FOLLOWING) AS g FROM du),
+hits AS (SELECT doc_id, i, n, item_id FROM dg JOIN items USING (n, g) WHERE i + n - 1 <= total),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the whole result; the other queries are compared with brute force in the tests."""
+    return {"op6_near_dedup": OP6_SQL, "op8_decontaminate": OP8_SQL}

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import ALNUM, blocks, text_bytes, words
+from .tables import map_batches
 
 SAMPLE = 8000
 WORDS = 256
@@ -206,4 +207,4 @@ def score(df: DataFrame, chain: Chain, *, text: str = "text", prefix: str = "p_"
                     yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(np.round(c, 6)) for c in p.T), pa.array(bad)], names=[*names, *outs])
 
     extra = [T.StructField(n, T.DoubleType()) for n in outs[:-1]] + [T.StructField(n, T.BooleanType()) for n in outs[-1:]]
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *extra]))
+    return map_batches(df, run, T.StructType([*df.schema.fields, *extra]))

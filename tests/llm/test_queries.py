@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from evidora.llm import matroska, queries, toxicity
+from evidora.llm import byte_bpe, matroska, queries, toxicity
 from evidora.llm.byte_bpe import ByteBPE
 
 from . import brute
@@ -45,6 +45,13 @@ def test_op2(spark, docs, reference_encoding):
         assert got[d] == (d, len(ids), brute.sha(",".join(map(str, ids))), brute.sha((text or "").encode()))
 
 
+def test_decoding_by_itself(spark, docs):
+    ranks = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
+    df = spark.createDataFrame([*docs[:40], (None, None)], "doc_id long, decoded string").withColumnRenamed("decoded", "text")
+    both = byte_bpe.decode_documents(byte_bpe.encode_documents(df, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    assert all(r.decoded == (r.text or "").encode() for r in both.collect())
+
+
 def test_bpe_on_odd_texts(reference_encoding):
     import random
 
