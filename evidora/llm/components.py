@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     print_of = None
     while True:
         both = now.union(now.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # kept as a table, so that both sides of the join are plain exchanges and a hub's edges can be split
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select("a", "b", "m")
