@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import blocks, constants, text_bytes
-from .tables import fresh, row_key, settle, spread
+from .tables import fresh, map_batches, row_key, settle, spread
 
-LEAST, MASK_BITS, MOST, RUN = 48, 6, 512, 160
+LEAST, MASK_BITS, MOST, RUN = 16, 5, 256, 80
 _GEAR = constants(256, 61) ^ np.uint64(0x5555)
 
 
@@ -63,27 +63,27 @@ def text_chunks(data: np.ndarray, least: int = LEAST, most: int = MOST, bits: in
 
 
 def chunks(rows: DataFrame, least: int, most: int, bits: int) -> DataFrame:
-    """(id, row, digest, first, size) of every chunk of (id, row, text)."""
+    """(id, row, digest, check, place) of every chunk of (id, row, text); a place has the first byte in its upper half and the size in the lower."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             for a, b in blocks(offsets):
-                owner, digest, first, size = [], [], [], []
+                owner, digest, places = [], [], []
                 for i in range(a, b):
                     text = data[offsets[i] : offsets[i + 1]]
                     raw = memoryview(text.tobytes())
-                    ends = text_chunks(text, least, most, bits)
-                    begins = [0, *ends[:-1]] if ends else []
-                    owner += [i] * len(ends)
-                    digest += [xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(begins, ends)]
-                    first += begins
-                    size += [y - x for x, y in zip(begins, ends)]
-                take = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(digest, pa.binary()), pa.array(first, pa.int64()), pa.array(size, pa.int64())], names=["id", "row", "digest", "first", "size"])
+                    ends = np.array(text_chunks(text, least, most, bits), np.int64)
+                    begins = np.append(0, ends[:-1]) if len(ends) else ends
+                    owner.append(np.full(len(ends), i))
+                    digest += [xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(begins.tolist(), ends.tolist())]
+                    places.append(begins << 32 | (ends - begins))
+                take = pa.array(np.concatenate(owner))
+                pairs = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.concatenate(places))], names=["id", "row", "digest", "check", "place"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "row", "text").mapInArrow(run, f"id {kind}, row long, digest binary, first long, size long")
+    return map_batches(rows.select("id", "row", "text"), run, f"id {kind}, row long, digest long, check long, place long")
 
 
 def dedup_chunks(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, most: int = MOST, bits: int = MASK_BITS, run: int = RUN) -> DataFrame:
@@ -94,11 +94,16 @@ def dedup_chunks(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
     base = df.withColumn(own["row"], row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
     rows = base.select(F.col(f"`{doc_id}`").alias("id"), F.col(own["row"]).alias("row"), F.col(f"`{text}`").alias("text"))
     found = chunks(rows, least, most, bits)
-    # only digests that occur twice matter; their first place is the least (id, row, place)
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "first")
-    repeated = settle(found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("home")).where("n > 1"))
-    again = found.join(repeated, "digest").where((F.col("home.row") != F.col("row")) | (F.col("home.first") != F.col("first"))).select("row", "first", "size")
-    by_row = again.distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", (F.col("first") + F.col("size")).alias("end")))).alias(own["gone"]))
+    # half a digest that occurs once is a chunk that occurs once; only the others are looked at whole
+    # (kept as tables, so that joins have plain exchanges on both sides and hot chunks can be split)
+    often = settle(found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    some = settle(found.join(often, "digest"))
+    home = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "place")).alias("home")
+    repeated = settle(some.groupBy("digest", "check").agg(F.count("*").alias("n"), home).where("n > 1").select("digest", "check", "home"))
+    again = some.join(repeated, ["digest", "check"]).where((F.col("home.row") != F.col("row")) | (F.col("home.place") != F.col("place")))
+    first = F.shiftright("place", 32)
+    again = again.select("row", first.alias("first"), (first + F.col("place").bitwiseAND(F.lit((1 << 32) - 1))).alias("end")).distinct()
+    by_row = again.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias(own["gone"]))
     single = spread(base, own["row"]).join(by_row.withColumnRenamed("row", own["row"]), own["row"], "left")
     names = df.columns
     joined = single.select(*[F.col(f"`{c}`") for c in names], own["gone"])
@@ -127,4 +132,4 @@ def dedup_chunks(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array(left, pa.binary())], names=[*names, *outs])
 
     pairs = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
-    return joined.mapInArrow(cut, T.StructType([*df.schema.fields, T.StructField(outs[0], T.LongType()), T.StructField(outs[1], pairs), T.StructField(outs[2], T.BinaryType())]))
+    return map_batches(joined, cut, T.StructType([*df.schema.fields, T.StructField(outs[0], T.LongType()), T.StructField(outs[1], pairs), T.StructField(outs[2], T.BinaryType())]))
