@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -60,6 +61,12 @@ def give_back() -> None:
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are no longer used: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
