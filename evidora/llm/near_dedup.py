@@ -230,9 +230,10 @@ def exact_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
             return
         both = np.bincount(np.concatenate(parts), minlength=n)
         near = np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both))
-        old = np.unique(labels[near])
-        if len(old) > 1:
-            labels[np.isin(labels, old)] = old[0]
+        if len(near):  # without what only i has, i may not be near itself
+            old = np.unique(np.append(labels[near], labels[i]))
+            if len(old) > 1:
+                labels[np.isin(labels, old)] = old[0]
 
     pivot = np.zeros(n, dtype=bool)
     covered = np.zeros(n, dtype=bool)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from evidora.llm import near_dedup, suffix_dedup
@@ -57,6 +59,27 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert sorted([(r.doc_id, r.component_id) for r in got], key=key) == sorted([(d, c) for (d, _), (_, c) in zip(rows, want)], key=key)
 
 
+@pytest.mark.parametrize("percent,sizes", [(85, (82, 90, 100)), (80, (74, 85, 100)), (85, (62, 72, 84, 98))])
+def test_exact_labels_of_chained_extensions(percent, sizes):
+    for order in itertools.permutations(sizes):
+        sets = [np.arange(n, dtype=np.uint64) for n in order]
+        assert near_dedup.exact_labels(sets, percent).tolist() == [0] * len(sets)
+
+
+def test_exact_labels_against_all_pairs():
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        base = [r.integers(0, 1 << 40, 120).astype(np.uint64) for _ in range(2)]
+        sets = [np.unique(np.append(base[k][: r.integers(60, 121)], r.integers(0, 1 << 40, r.integers(0, 25)).astype(np.uint64))) for k in r.integers(0, 2, 12)]
+        want = list(range(len(sets)))
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+        assert near_dedup.exact_labels(sets, 85).tolist() == want
+
+
 @pytest.mark.parametrize("length,hot,batch", [(400, 4096, 1 << 18), (150, 4096, 300), (150, 1, 300), (150, 5, 100)])
 def test_remove_repeats(spark, monkeypatch, length, hot, batch):
     monkeypatch.setattr(suffix_dedup, "HOT_SPANS", hot)
