@@ -5,9 +5,10 @@ segments first (digit runs become ``{n}`` and long hexadecimal ones ``{x}``), so
 whatever follows works on counts.  From the root of a host's tree down, one depth after
 another:
 
-* a place with many children that have few addresses each is variable, and all
-  its children become one wildcard ``*``;
-* else sibling branches whose labelled shares of bad pages do not differ
+* a place with many children that have few addresses each is variable, and
+  those children become one wildcard ``*``; a child with more addresses does not
+  by this rule;
+* other sibling branches whose labelled shares of bad pages do not differ
   significantly from what the other siblings have are merged into ``*``; a branch
   that does differ keeps its name.
 
@@ -77,13 +78,13 @@ def template_tree(leaves: DataFrame) -> DataFrame:
     for depth in range(1, deepest + 1):
         cut = now.withColumn("above", F.slice("template", 1, depth - 1)).withColumn("own", F.try_element_at("template", F.lit(depth)))
         nodes = settle(_sums(cut.where("own is not null"), "host", "above", "own"))
-        places = nodes.groupBy("host", "above").agg(F.count("*").alias("children"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+        places = nodes.groupBy("host", "above").agg(F.count("*").alias("children"), F.count_if(F.col("n") < FEW_EACH).alias("small"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         both = nodes.join(places, ["host", "above"])
         rest_labelled, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         pooled = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1.0)
         error = F.sqrt(pooled * (1 - pooled) * (1.0 / (F.col("labelled") + 1.0) + 1.0 / (rest_labelled + 1.0)))
         apart = F.abs((F.col("bad") + pooled) / (F.col("labelled") + 1.0) - (rest_bad + pooled) / (rest_labelled + 1.0))
-        variable = (F.col("children") >= MANY_CHILDREN) & (F.col("all_n") < FEW_EACH * F.col("children"))
+        variable = (F.col("small") >= MANY_CHILDREN) & (F.col("n") < FEW_EACH)
         alike = (F.col("children") > 1) & (apart <= Z * error)
         names = both.select("host", "above", "own", F.when(variable | alike, F.lit("*")).otherwise(F.col("own")).alias("name"))
         now = cut.join(names, ["host", "above", "own"], "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -248,6 +249,16 @@ def test_filter_urls(spark):
     assert url_filter.filter_urls(df.limit(0), spark.createDataFrame([], "page_id long, bad boolean"), rules).count() == 0
 
 
+@pytest.mark.parametrize("heavy", [500, 1500, 5000])
+def test_heavy_branch_among_many_small_ones(spark, heavy):
+    names = ["".join(p) for p in itertools.product("ghijklmnop", repeat=3)]
+    paths = [f"u/{name}" for name in names] + ["u/spam"] * heavy
+    df = spark.createDataFrame([(i, f"http://h.com/{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    labels = df.select("page_id", F.col("url").endswith("/spam").alias("bad"))
+    got = url_filter.filter_urls(df, labels, []).groupBy("template", "verdict").count().collect()
+    assert sorted(map(tuple, got)) == [("/u/*", "allow", len(names)), ("/u/spam", "block", heavy)]
+
+
 def url_filter_segments(path):
     leaves, _ = brute_tree([("", path, None)])
     return next(iter(leaves))[1]
