@@ -35,3 +35,11 @@ def test_entry(spark):
     assert rows and all(0 <= r.score <= 0.94 for r in rows)
     assert {r.tier for r in rows} <= {"exact_strict", "exact_provisional", "near_miss", "reject"}
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_retention_deals_to_all_items(spark, tmp_path):
+    n = 100
+    spark.createDataFrame([(i, f"singular{i:03d}") for i in range(n)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, f"the singular{i % n:03d} word") for i in range(2 * n)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = QUERIES["eval_retention"](spark, str(tmp_path)).first()
+    assert (row.hooks, row.kept, row.passed) == (n, n, True)
