@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .tables import fresh, settle
 
-DEPTH = 6  # segments below are one tail, `**`
+DEPTH = 2**31 - 1  # paths are read to their end
 MANY_CHILDREN = 12
 FEW_EACH = 4.0
 Z = 1.96
@@ -61,21 +61,27 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
 
 
 def segments_of(path: Column) -> Column:
-    """Generalised segments, at most DEPTH and a tail."""
+    """Generalised segments."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"(?i)(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{8,}", "{x}"), r"\d+", "{n}"))
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"(?i)(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{8,}", "{x}"), r"\d+", "{n}"))
 
 
 def _sums(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
 
 
+def _places(now: DataFrame, depth: int) -> DataFrame:
+    """Places with paths that go on below `depth`, and their leaves."""
+    return now.where(F.size("template") > depth).groupBy("host", F.slice("template", 1, depth).alias("above")).agg(F.count("*").alias("leaves"))
+
+
 def template_tree(leaves: DataFrame) -> DataFrame:
     """(host, segments, template) for leaves (host, segments, n, labelled, bad)."""
     now = leaves.withColumn("template", F.col("segments"))
-    deepest = now.agg(F.max(F.size("template"))).first()[0] or 0
-    for depth in range(1, deepest + 1):
+    depth = 0
+    # a place with one leaf keeps its names all the way down, so the tree ends where no place has more
+    while _places(now, depth).where("leaves > 1").limit(1).count():
+        depth += 1
         cut = now.withColumn("above", F.slice("template", 1, depth - 1)).withColumn("own", F.try_element_at("template", F.lit(depth)))
         nodes = settle(_sums(cut.where("own is not null"), "host", "above", "own"))
         places = nodes.groupBy("host", "above").agg(F.count("*").alias("children"), F.count_if(F.col("n") < FEW_EACH).alias("small"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
@@ -88,7 +94,7 @@ def template_tree(leaves: DataFrame) -> DataFrame:
         alike = (F.col("children") > 1) & (apart <= Z * error)
         names = both.select("host", "above", "own", F.when(variable | alike, F.lit("*")).otherwise(F.col("own")).alias("name"))
         now = cut.join(names, ["host", "above", "own"], "left")
-        tail = F.slice("template", depth + 1, DEPTH + 1)
+        tail = F.slice("template", F.lit(depth + 1), F.size("template"))
         now = now.withColumn("template", F.when(F.col("own").isNull(), F.col("template")).otherwise(F.concat("above", F.array("name"), tail))).drop("above", "own", "name")
         now = settle(now.select("host", "segments", "template", "n", "labelled", "bad"))
     return now

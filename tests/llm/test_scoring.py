@@ -259,6 +259,16 @@ def test_heavy_branch_among_many_small_ones(spark, heavy):
     assert sorted(map(tuple, got)) == [("/u/*", "allow", len(names)), ("/u/spam", "block", heavy)]
 
 
+def test_deep_paths_differ_below_the_sixth_segment(spark):
+    paths = [f"a/b/c/d/e/f/{kind}/{i}" for kind in ("ads", "docs") for i in range(60)] + ["z/" * 40]
+    df = spark.createDataFrame([(i, f"http://h.com/{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    labels = df.where("page_id < 120").select("page_id", F.col("url").contains("/ads/").alias("bad"))
+    got = url_filter.filter_urls(df, labels, []).orderBy("page_id").collect()
+    assert {g.verdict for g in got[:60]} == {"block"} and {g.verdict for g in got[60:]} == {"allow"}
+    assert {g.template.split("/")[7] for g in got[:60]} == {"ads"} and {g.template.split("/")[7] for g in got[60:120]} == {"docs"}
+    assert got[120].template.count("/") == 40
+
+
 def url_filter_segments(path):
     leaves, _ = brute_tree([("", path, None)])
     return next(iter(leaves))[1]
