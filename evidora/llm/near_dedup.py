@@ -1,17 +1,17 @@
-"""MinHash near-duplicate detection with an LSH forest.
+"""MinHash near-duplicate detection with banded LSH of fixed depth.
 
 A text's set is its distinct word shingles.  Texts with the same set form one
 class, known by the set's 128-bit digest, and only classes are compared.
 
-The forest has several trees.  In each, classes are sorted by a signature of
-min-hashes; those that share the first `depth` values lie next to each other
-and are a *region*.  The depth and the number of trees come from the
-threshold: two classes at the threshold fall into no common region with a
-probability below `MISS`.  In a region, classes next to one another in the
-sorted order are compared by their full signatures (their longest common
-prefix decides what is near); regions with many members are read more deeply,
-as blocks, and every pair of blocks is still read, so no candidate is dropped.
-What comes out are groups of classes chained by candidate links.
+There are `TREES` bands of `depth` min-hashes.  Classes that share all values of
+a band, known by one hash of them, are a *region*.  No sorted order of
+signatures or common prefix is kept, and no region is read more deeply than
+another.  The depth comes from the threshold: two classes at the threshold fall
+into no common region with a probability below `MISS`.  In a region, all pairs
+are compared by their full signatures; a region of many members is cut into
+blocks, and every pair of blocks is read, so no candidate is dropped and the
+time grows with the square of the region's size.  What comes out are groups of
+classes chained by candidate links.
 
 The groups are then confirmed on full sets: a task gets the sets of a group (of
 a pair of blocks, where the group is large), finds its links exactly, and
@@ -85,7 +85,7 @@ def signatures(df: DataFrame, doc_id: str, text: str, size: int, percent: int) -
         for batch in batches:
             for a, sets in _sets(batch.column(2), size):
                 values = minhashes(sets, trees * depth)
-                # a tree's order is that of its values; a region is known by the hash of the first `depth`
+                # a region is known by the hash of a tree's `depth` values
                 packed = values.reshape(len(sets), trees, depth).astype(np.uint64)
                 keys = (packed * constants(depth, 41)).sum(axis=2, dtype=np.uint64) ^ constants(trees, 43)
                 sketch = (values >> np.uint32(7)).astype(np.uint8)
