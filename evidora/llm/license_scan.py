@@ -1,7 +1,8 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-A text's units are its lines and its paragraphs (runs of lines between empty
-ones).  A unit and a template are normalised to lower-case words and compared by
+A text's units are its lines, its paragraphs (runs of lines between empty ones)
+and itself.  In lines and paragraphs, spans of as many words as a template has are
+units too, the best first and none over another match.  A unit and a template are normalised to lower-case words and compared by
 ``2 |A & B| / (|A| + |B|)`` over their distinct word bigrams.  As that can't
 reach a threshold t unless the smaller set has t / (2 - t) of the larger one's
 size, templates are sorted by size and only those within the bounds are compared.
@@ -71,12 +72,13 @@ class Templates:
         for name, text in texts:
             hashes, _, _, _ = words(*text_bytes(pa.array([text])), ALNUM)
             if len(hashes):
-                made.append((len(bigrams(hashes)), name, bigrams(hashes)))
+                made.append((len(bigrams(hashes)), name, bigrams(hashes), len(hashes)))
         made.sort(key=lambda t: (t[0], t[1]))
         self.percent = percent
         self.sizes = [t[0] for t in made]
         self.names = [t[1] for t in made]
         self.sets = [t[2] for t in made]
+        self.lengths = [t[3] for t in made]
         self.vocabulary = np.unique(np.concatenate(self.sets)) if made else np.zeros(0, np.uint64)
 
     def best(self, unit: np.ndarray) -> tuple[str, int, int, int] | None:
@@ -94,7 +96,7 @@ class Templates:
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-    """(text, first byte, end) of all lines, and of the paragraphs of more than one."""
+    """(text, first byte, end) of all lines, of the paragraphs of more than one, and of the texts of more than one paragraph."""
     out: list[tuple[int, int, int]] = []
     breaks = np.flatnonzero(data == 10)
     for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
@@ -102,27 +104,51 @@ def units(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         lines = [(x, y) for x, y in zip([a, *(k + 1 for k in own)], [*own, b])]
         out += [(i, x, y) for x, y in lines if y > x]
         run: list[tuple[int, int]] = []
+        runs = 0
         for line in [*lines, (b, b)]:
             if line[1] > line[0] and data[line[0] : line[1]].tobytes().strip():
                 run.append(line)
             else:
+                runs += bool(run)
                 if len(run) > 1:
                     out.append((i, run[0][0], run[-1][1]))
                 run = []
+        if runs > 1:
+            out.append((i, a, b))
     return out
 
 
+def spans_within(templates: Templates, hashes: np.ndarray, pairs: np.ndarray, hits: np.ndarray) -> list[tuple[tuple[str, int, int, int], int, int]]:
+    """(match, first word, end) of matching spans as long as a template, the best first; `hits` are places of templates' bigrams."""
+    found = {}
+    for size, n, items in zip(templates.sizes, templates.lengths, templates.sets):
+        least = max(1, -(-size * templates.percent // (200 - templates.percent)))
+        if n < 2 or n >= len(hashes) or len(hits) < least:
+            continue
+        own = hits[np.isin(pairs[hits], items)]
+        # a span can start at its first hit, or end with the words, and loses none by it
+        starts = np.unique(np.minimum(own, len(hashes) - n))
+        many = np.searchsorted(own, starts + n - 1) - np.searchsorted(own, starts) >= least
+        for start in starts[many].tolist():
+            best = templates.best(bigrams(hashes[start : start + n]))
+            if best:
+                found[start, start + n] = best
+    return [(m, a, b) for (a, b), m in sorted(found.items(), key=lambda x: (-x[1][1] / x[1][2], x[0][0] - x[0][1], x[0]))]
+
+
 def scan_block(templates: Templates, data: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
     found: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
-    hashes, starts, _, counts = words(data, offsets, ALNUM)
+    hashes, starts, ends, _ = words(data, offsets, ALNUM)
     if not len(hashes) or not len(templates.vocabulary):
         return found
     c = constants(2, 71)
     pairs = splitmix(hashes[:-1] * c[0] + hashes[1:] * c[1])
     at = np.searchsorted(templates.vocabulary, pairs)
     at[at == len(templates.vocabulary)] = 0
-    seen = starts[:-1][templates.vocabulary[at] == pairs] if len(pairs) else starts[:0]
-    for text, first, end in units(data, offsets):
+    hits = np.flatnonzero(templates.vocabulary[at] == pairs) if len(pairs) else np.zeros(0, np.int64)
+    seen = starts[hits]
+    whole, open_units = units(data, offsets), []
+    for text, first, end in whole:
         # a unit that holds no bigram of any template has a coefficient of 0
         k = np.searchsorted(seen, first)
         a, b = np.searchsorted(starts, [first, end])
@@ -131,6 +157,15 @@ def scan_block(templates: Templates, data: np.ndarray, offsets: np.ndarray) -> l
             if best:
                 base = int(offsets[text])
                 found[text].append({"license": best[0], "score": round(2 * best[1] / best[2], 6), "first": first - base, "end": end - base})
+            else:
+                open_units.append((text, a, b))
+    for text, a, b in open_units:
+        base = int(offsets[text])
+        own = hits[np.searchsorted(hits, a) : np.searchsorted(hits, b - 1)] - a
+        for best, x, y in spans_within(templates, hashes[a:b], pairs[a : b - 1], own) if len(own) else ():
+            first, end = int(starts[a + x]) - base, int(ends[a + y - 1]) - base
+            if all(m["end"] <= first or m["first"] >= end for m in found[text]):
+                found[text].append({"license": best[0], "score": round(2 * best[1] / best[2], 6), "first": first, "end": end})
     return found
 
 

@@ -144,6 +144,14 @@ def test_chunks_survive_an_insertion():
     assert len(pieces[0] - pieces[1]) < 6
 
 
+def test_licenses_within_lines(spark):
+    texts = ["Copyright 2020 Foo Project. Released under the MIT License. See the file.", "# Foo is fast. Licensed under the\n# Apache License, Version 2.0. Foo is small.", "Permission to use,\n\ncopy, modify, and/or distribute"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = [*license_scan.TEMPLATES, ("whole", "Permission to use, copy, modify, and/or distribute")]
+    got = [(m.license, t[m.first : m.end]) for r, t in zip(license_scan.scan_licenses(df, own).orderBy("doc_id").collect(), texts) for m in r.licenses]
+    assert got == [("MIT", "Released under the MIT License"), ("Apache-2.0", "Licensed under the\n# Apache License, Version 2.0"), ("whole", texts[2])]
+
+
 # --- addresses
 
 
