@@ -83,7 +83,7 @@ def chunks(rows: DataFrame, least: int, most: int, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.concatenate(places))], names=["id", "row", "digest", "check", "place"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return map_batches(rows.select("id", "row", "text"), run, f"id {kind}, row long, digest long, check long, place long")
+    return map_batches(rows.select("id", "row", "text"), run, f"id {kind}, row binary, digest long, check long, place long")
 
 
 def dedup_chunks(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, most: int = MOST, bits: int = MASK_BITS, run: int = RUN) -> DataFrame:

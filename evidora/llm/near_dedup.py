@@ -105,7 +105,7 @@ def signatures(df: DataFrame, doc_id: str, text: str, size: int, percent: int) -
 
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_batches(rows, run, f"doc_id {kind}, row long, n_shingles long, node binary, prefixes array<long>, sketch binary")
+    return map_batches(rows, run, f"doc_id {kind}, row binary, n_shingles long, node binary, prefixes array<long>, sketch binary")
 
 
 def _by_unit(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:

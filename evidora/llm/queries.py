@@ -17,6 +17,9 @@ def toxicity_categories() -> dict[str, Column]:
     return {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
 
 
+#: Bytes of the shortest repeated string that op7 reports beside those that it removes: passages of fifty words are longer.
+PASSAGE = 200
+
 URL_RULES = [
     ("com/en/", "block"),
     ("example.com/en/7", "allow"),
@@ -67,7 +70,8 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    """Strings of 400 bytes go; `n_passage` tells how many bytes are in repeated strings of PASSAGE bytes, which stay."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400, passages={"passages": PASSAGE})
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return found.select(
         "doc_id",
@@ -75,6 +79,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n_bytes - F.octet_length("kept_bytes")).alias("n_removed"),
         F.size("removed_spans").cast("long").alias("n_spans"),
         F.sha2("kept_bytes", 256).alias("kept_sha256"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"]).alias("n_passage"),
     )
 
 

@@ -19,16 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set, as in tests."""
+    """The session's checkpoint folder.  Only a local session, whose executors are in this process, gets one of its own if none is set."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a table as Parquet into the shared folder and read it again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _free_shuffles(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -67,10 +71,27 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _free_shuffles(spark: SparkSession) -> None:
+    """From now on, the session removes the shuffle files of a query when it ends: what is settled or stored never needs them again."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    _free_shuffles(df.sparkSession)
+    return df.select("*").checkpoint()  # a new plan, so that the setting holds for it
+
+
+def forget(*settled: DataFrame) -> None:
+    """Delete the checkpoints of tables that nothing reads any more."""
+    for df in settled:
+        rdd = df._jdf.queryExecution().toRdd()
+        while rdd.dependencies().size() and not rdd.isCheckpointed():
+            rdd = rdd.dependencies().head().rdd()
+        if rdd.getCheckpointFile().isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
@@ -80,8 +101,9 @@ def spread(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
 
 
 def row_key(id_column: Column, text: Column) -> Column:
-    """A key of a row by its id and text: repeated rows share it, and null ids have one too."""
-    return F.xxhash64(id_column.cast("string"), F.coalesce(text, F.lit("")), id_column.isNull())
+    """A key of a row by its id and text, of 128 bits: repeated rows share it, and null ids have one too."""
+    own = F.coalesce(F.concat(F.lit("="), id_column.cast("string")), F.lit(""))
+    return F.unhex(F.md5(F.concat(F.md5(F.coalesce(text, F.lit("")).cast("binary")), own).cast("binary")))
 
 
 def fresh(df: DataFrame, names: Iterable[str]) -> dict[str, str]:

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidora.llm import near_dedup, suffix_dedup
 
@@ -80,35 +81,53 @@ def test_exact_labels_against_all_pairs():
         assert near_dedup.exact_labels(sets, 85).tolist() == want
 
 
-@pytest.mark.parametrize("length,hot,batch", [(400, 4096, 1 << 18), (150, 4096, 300), (150, 1, 300), (150, 5, 100)])
-def test_remove_repeats(spark, monkeypatch, length, hot, batch):
-    monkeypatch.setattr(suffix_dedup, "HOT_SPANS", hot)
-    monkeypatch.setattr(suffix_dedup, "BATCH_SUFFIXES", batch)
-    monkeypatch.setattr(suffix_dedup, "SHARD_SUFFIXES", 10 * batch)
+def _odd_key(x):
+    return tuple((v is not None, v or 0) for v in x)
+
+
+@pytest.mark.parametrize("length,hot", [(400, 2048), (150, 2), (40, 2048)])
+def test_remove_repeats(spark, monkeypatch, length, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_ENTRIES", hot)
     rows = corpus(7)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, row string")
-    got = suffix_dedup.remove_repeats(df, length=length).collect()
+    got = suffix_dedup.remove_repeats(df, length=length, passages={"long_ones": 300}).collect()
     want = brute.repeats([t for _, t in rows], length)
-    key = lambda x: tuple((v is not None, v or 0) for v in x)
     mine = [(r.doc_id, len((r.text or "").encode()), sum(s.end - s.first for s in r.removed_spans), len(r.removed_spans), bytes(r.kept_bytes)) for r in got]
-    assert sorted(mine, key=key) == sorted([(d, *w) for (d, _), w in zip(rows, want)], key=key)
+    assert sorted(mine, key=_odd_key) == sorted([(d, *w) for (d, _), w in zip(rows, want)], key=_odd_key)
+    told = brute.repeats([t for _, t in rows], 300)
+    assert sorted([(r.doc_id, sum(s.end - s.first for s in r.long_ones)) for r in got], key=_odd_key) == sorted([(d, w[1]) for (d, _), w in zip(rows, told)], key=_odd_key)
+
+
+def test_one_very_long_text(spark):
+    r = random.Random(3)
+    passage = rand_text(r, 100)
+    text = " ".join([rand_text(r, 200_000), passage, rand_text(r, 200_000), passage, "z" * 1_000_000])
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string"), length=400).first()
+    assert len(text) > 2_000_000 and [s.end - s.first for s in got.removed_spans][-1] >= 1_000_000
+    assert passage[5:-5] not in got.kept_bytes.decode("utf8", "ignore")
+
+
+def test_batches_against_kept_levels(spark, tmp_path):
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(11))][:80]
+    length, hits = 150, {}
+    for low in range(0, len(rows), 20):
+        batch = spark.createDataFrame(rows[low : low + 20], "doc_id long, text string")
+        # each batch goes to an index opened anew
+        index = suffix_dedup.RepeatIndex(spark, str(tmp_path / "index"), length)
+        for h in index.add(batch).collect():
+            hits.setdefault(bytes(h.row), []).append({"first": h.first, "last": h.last})
+        assert len(index.levels) <= 3 and sum(n for _, n in index.levels) > 0
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r.doc_id: bytes(r.k) for r in df.select("doc_id", suffix_dedup.row_key(F.col("doc_id"), F.col("text")).alias("k")).collect()}
+    got = {}
+    for i, text in rows:
+        ranges = suffix_dedup.merged_ranges(sorted(hits.get(keys[i], []), key=lambda x: (x["first"], x["last"])), length)
+        got[i] = (sum(b - a for a, b in ranges), len(ranges))
+    want = brute.repeats([t for _, t in rows], length)
+    assert got == {i: (w[1], w[2]) for (i, _), w in zip(rows, want)}
 
 
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(df).count() == 0
     assert suffix_dedup.remove_repeats(df).count() == 0
-
-
-def test_suffix_levels_stay_few():
-    import numpy as np
-
-    r = np.random.default_rng(3)
-    family, seen, hits = suffix_dedup.SuffixLevels(), [], set()
-    for batch in range(40):
-        keys = np.unique(r.integers(0, 4000, 30).astype(np.uint64))
-        numbers = np.arange(len(seen), len(seen) + len(keys))
-        hits |= set(family.add(keys, keys, numbers).tolist())
-        seen += keys.tolist()
-    assert {seen[h] for h in hits} == {k for k in set(seen) if seen.count(k) > 1}
-    assert len(family.levels) <= 8
