@@ -11,10 +11,13 @@ shape of the text.  All texts are then scored whole, in blocks, with a model of
 fixed size.
 
 Defined results: a null or empty text has no words and gets the score of its
-shape; rows of the labels with a null id or a null label are left out, and of
-several labels for an id the highest counts; without any labelled row, or with
-one class only, a category has its smoothed share as probability; repeated rows
-get equal scores; an empty table gives an empty one.
+shape; very long texts are read whole, in blocks, and count as one document; rows
+of the labels with a null id or a null label are left out, of several labels for an
+id the highest counts, and of several texts for an id the one with the least digest;
+without any labelled row, or with one class only, a category has its smoothed
+share as probability; words of equal chi-square are taken by their hash, and rows of
+equal score stay on one side of a threshold; repeated rows get equal scores; a
+column named as an output is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import ALNUM, blocks, text_bytes, words
-from .tables import map_batches
+from .tables import map_batches, settle
 
 SAMPLE = 8000
 WORDS = 256
@@ -115,23 +118,40 @@ class Chain:
         return out
 
 
-def best_words(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The WORDS words with the highest chi-square for any category."""
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    if not len(flat):
-        return flat
-    vocabulary, item, times = np.unique(flat, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    n, score = len(sets), np.zeros(len(vocabulary))
-    for y in labels.T:
-        both = np.bincount(item, weights=y[owner], minlength=len(vocabulary))
-        total = y.sum()
-        a, b, c, d = both, times - both, total - both, n - times - total + both
-        with np.errstate(divide="ignore", invalid="ignore"):
-            score = np.maximum(score, np.nan_to_num(n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))))
-    score[times < 3] = 0
-    order = np.lexsort((vocabulary, -score))[:WORDS]
-    return np.sort(vocabulary[order[score[order] > 0]])
+def word_counts(sample: DataFrame, categories: list[str]) -> DataFrame:
+    """(word, n, then a count for each category): in how many of the sample's texts a word is, and in how many of those that have the category."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            labels = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1).astype(np.int64)
+            for a, b in blocks(offsets):
+                hashes, _, _, counts = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
+                owner = np.repeat(np.arange(a, b), counts)
+                order = np.lexsort((owner, hashes))
+                hashes, owner = hashes[order], owner[order]
+                first = np.ones(len(hashes), bool)
+                first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+                word, at = np.unique(hashes[first], return_inverse=True)
+                sums = [np.bincount(at, minlength=len(word))] + [np.bincount(at, weights=y[owner[first]], minlength=len(word)).astype(np.int64) for y in labels.T]
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), *map(pa.array, sums)], names=["word", "n", *categories])
+
+    counted = map_batches(sample.select("text", *categories), run, ", ".join(f"`{c}` long" for c in ["word", "n", *categories]))
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"`{c}`").alias(c) for c in categories])
+
+
+def best_words(sample: DataFrame, categories: list[str]) -> np.ndarray:
+    """The WORDS words with the highest chi-square for any category; equal ones in the order of their hash."""
+    rows, *totals = sample.agg(F.count("*"), *[F.sum(f"`{c}`") for c in categories]).first()
+    if not rows:
+        return np.zeros(0, np.uint64)
+    scores = []
+    for c, total in zip(categories, totals):
+        a, b = F.col(f"`{c}`").cast("double"), F.col("n") - F.col(f"`{c}`")
+        d = rows - F.col("n") - total + a
+        scores.append(F.coalesce(F.try_divide(rows * (a * d - b * (total - a)) ** 2, F.col("n") * F.lit(float(rows - total)) * total * (rows - F.col("n"))), F.lit(0.0)))
+    found = word_counts(sample, categories).where("n >= 3").select("word", F.greatest(F.lit(0.0), *scores).alias("score")).where("score > 0")
+    return np.sort(np.array([r["word"] for r in found.orderBy(F.desc("score"), "word").limit(WORDS).collect()], np.int64).view(np.uint64))
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -147,16 +167,9 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][k] + after) / 2)
 
 
-def fit_chain(texts: pa.Array, labels: np.ndarray, categories: list[str]) -> Chain:
+def fit_chain(x: np.ndarray, labels: np.ndarray, categories: list[str], vocabulary: np.ndarray) -> Chain:
     """Fit the models in turn, each on out-of-fold predictions of those before it."""
-    data, offsets = text_bytes(texts)
-    sets = []
-    for a, b in blocks(offsets):
-        hashes, _, _, counts = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM)
-        sets += [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])] if b > a else []
-    chain = Chain(categories, best_words(sets, labels))
-    parts = [chain.features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in blocks(offsets)]
-    x = np.vstack(parts) if parts else np.zeros((0, len(chain.vocabulary) + _SHAPE))
+    chain = Chain(categories, vocabulary)
     fold = np.arange(len(x)) % FOLDS  # rows come in the order of a hash
     for k in range(len(categories)):
         y = labels[:, k].astype(float)
@@ -169,16 +182,45 @@ def fit_chain(texts: pa.Array, labels: np.ndarray, categories: list[str]) -> Cha
     return chain
 
 
+def sample_features(sample: DataFrame, empty: Chain) -> DataFrame:
+    """(order, id, words, shape, then the labels): the features of the sample's texts as rows of fixed size."""
+    names = [c for c in sample.columns if c != "text"]
+    position = sample.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(position))
+            rest = [batch.column(k) for k in range(batch.num_columns) if k != position]
+            for a, b in blocks(offsets):
+                x = empty.features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                bits = np.packbits(x[:, :-_SHAPE].astype(bool), axis=1)
+                shape = np.ascontiguousarray(x[:, -_SHAPE:])
+                made = [pa.array([r.tobytes() for r in bits], pa.binary()), pa.array([r.tobytes() for r in shape], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in rest), *made], names=[*names, "words", "shape"])
+
+    fields = [f for f in sample.schema.fields if f.name != "text"]
+    return map_batches(sample, run, T.StructType([*fields, T.StructField("words", T.BinaryType()), T.StructField("shape", T.BinaryType())]))
+
+
 def train(df: DataFrame, labels: DataFrame, categories: dict[str, Column], *, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", sample: int = SAMPLE) -> Chain:
-    """Fit a chain; categories are boolean columns over the labels, in the chain's order."""
+    """Fit a chain; categories are boolean columns over the labels, in the chain's order.
+
+    What reaches the driver are WORDS words and, for each of at most `sample` documents,
+    a row of a few hundred bytes; the texts stay with the executors.
+    """
     names = list(categories)
     marked = labels.select(F.col(f"`{label_id}`").alias("id"), *[c.cast("int").alias(n) for n, c in categories.items()]).dropna()
     some = marked.groupBy("id").agg(*[F.max(n).alias(n) for n in names]).withColumn("order", F.xxhash64("id")).orderBy("order", "id").limit(sample)
     texts = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    found = texts.join(F.broadcast(some), "id").toArrow()  # at most `sample` labelled rows
-    found = found.sort_by([("order", "ascending"), ("id", "ascending"), ("text", "ascending")])
-    y = np.stack([found[n].to_numpy() for n in names], axis=1) if found.num_rows else np.zeros((0, len(names)))
-    return fit_chain(found["text"].combine_chunks(), y, names)
+    found = texts.join(F.broadcast(some), "id")  # at most `sample` rows of numbers
+    one = settle(found.groupBy("order", "id", *names).agg(F.min_by("text", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("text")))
+    vocabulary = best_words(one, names)
+    rows = sample_features(one, Chain(names, vocabulary)).toArrow().sort_by([("order", "ascending"), ("id", "ascending")])
+    y = np.stack([rows[n].to_numpy() for n in names], axis=1) if rows.num_rows else np.zeros((0, len(names)))
+    bits = np.frombuffer(b"".join(rows["words"].to_pylist()), np.uint8).reshape(rows.num_rows, -(-len(vocabulary) // 8))
+    shape = np.frombuffer(b"".join(rows["shape"].to_pylist()), np.float64).reshape(rows.num_rows, _SHAPE)
+    x = np.hstack([np.unpackbits(bits, axis=1, count=len(vocabulary)).astype(float), shape])
+    return fit_chain(x, y, names, vocabulary)
 
 
 def score(df: DataFrame, chain: Chain, *, text: str = "text", prefix: str = "p_", rejected: str = "rejected", reject: str | None = None, drop: bool = False) -> DataFrame:
