@@ -8,24 +8,26 @@ aggregation: pages whose text alone is clear vote for what declarations mean and
 for the languages of suffixes and hosts; a host's prior is smoothed towards its
 suffix's and that towards all pages', and a page's own vote is taken out of it.
 
-Defined results: a null or empty page has no text evidence; a page without a
+Defined results: a null or empty page has no text evidence; a very long one is
+read whole, by itself; a page without a
 declaration, or one that no clear page has, gets no evidence from it; a null
 address has an empty host and suffix; repeated rows count as often as they come;
 on equal posteriors the first language by name wins; without any labelled
-document the result has null languages; an empty table gives an empty one.
+document the result has null languages; the result has its own columns only, so
+there are no clashing names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .bytetext import LOWER, blocks, text_bytes
 from .tables import map_batches, settle
@@ -55,26 +57,33 @@ def trigrams(data: np.ndarray) -> np.ndarray:
 
 
 def fit_text_models(df: DataFrame, *, lang: str = "lang", text: str = "text", row_id: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities of the buckets) from at most `sample` labelled documents a language."""
+    """(languages, log-probabilities of the buckets) from at most `sample` labelled documents a language.
+
+    Buckets are counted by grouped aggregation; the driver gets at most BUCKETS rows for each language.
+    """
     rows = df.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("lang is not null")
-    ids = rows.select("lang", "id").distinct()
-    names = [r[0] for r in ids.select("lang").distinct().orderBy("lang").collect()]  # a row for each language
-    picked = [ids.where(F.col("lang") == n).orderBy(F.xxhash64("id"), "id").limit(sample) for n in names]
-    if not names:
-        return [], np.zeros((0, BUCKETS))
-    found = rows.join(F.broadcast(reduce(DataFrame.union, picked)), ["lang", "id"])
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    picked = rows.select("lang", "id").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).drop("k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(names), BUCKETS), np.int64)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for i, name in enumerate(batch.column(0).to_pylist()):
-                counts[names.index(name)] += np.bincount(trigrams(data[offsets[i] : offsets[i + 1]]), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([counts.tobytes()], pa.binary())], names=["k", "counts"])
-
-    total = np.zeros((len(names), BUCKETS))
-    for row in map_batches(found.select("lang", "text"), run, "k long, counts binary").toLocalIterator():
-        total += np.frombuffer(row["counts"], np.int64).reshape(total.shape)
+            langs = batch.column(0).to_pylist()
+            for a, b in blocks(offsets):
+                for name in sorted(set(langs[a:b])):
+                    counts = np.zeros(BUCKETS, np.int64)
+                    for i in range(a, b):
+                        if langs[i] == name:
+                            counts += np.bincount(trigrams(data[offsets[i] : offsets[i + 1]]), minlength=BUCKETS)
+                    some = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * (len(some) + 1)), pa.array(np.append(some, -1)), pa.array(np.append(counts[some], 0))], names=["lang", "bucket", "n"])
+
+    counted = map_batches(rows.join(picked, ["lang", "id"]).select("lang", "text"), run, "lang string, bucket long, n long")
+    counts = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(set(counts["lang"].to_pylist()))
+    total = np.zeros((len(names), BUCKETS + 1))
+    total[[names.index(x) for x in counts["lang"].to_pylist()], counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    total = total[:, :BUCKETS]  # the last one only tells that there is the language
     return names, np.log((total + 0.5) / (total.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
 
 
@@ -134,7 +143,8 @@ def identify(pages: DataFrame, documents: DataFrame, *, page_id: str = "page_id"
     top = [(v + 1) / (all_votes + n) for v in everywhere]
     suffixes = seen.groupBy("suffix").agg(*votes).select("suffix", array(lambda k: F.col(f"v{k}")).alias("suffix_votes"))
     hosts = seen.groupBy("host", "suffix").agg(*votes).select("host", "suffix", array(lambda k: F.col(f"v{k}")).alias("host_votes"))
-    hosts = hosts.join(suffixes, "suffix").select("host", "host_votes", "suffix_votes")
+    # a table, so that the pages of a hot host can be split in the join
+    hosts = settle(hosts.join(suffixes, "suffix").select("host", "host_votes", "suffix_votes"))
     said = seen.where("clear is not null and declared <> ''").groupBy("declared").agg(*votes).select("declared", array(lambda k: F.log((F.col(f"v{k}") + 0.1) / (F.lit(float(everywhere[k])) + 1.0))).alias("said"))
     out = seen.join(hosts, "host", "left").join(said, "declared", "left")
 
