@@ -15,7 +15,7 @@ and a training text is read once for each part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,37 +27,42 @@ from .bytetext import ALNUM, blocks, text_bytes, words
 from .tables import fresh, map_batches, row_key, spread
 
 WINDOW = 10
-PART_BYTES = 64 << 20
+PART_WORDS = 1 << 20
 
 
 class TestSuffixes:
-    """The windows of test items as rows of word numbers."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        data, offsets = text_bytes(pa.array([text for _, text in items], pa.string()))
-        hashes, _, _, counts = words(data, offsets, ALNUM)
-        self.window = window
-        self.vocabulary = np.unique(hashes)
-        numbers = np.searchsorted(self.vocabulary, hashes).astype(np.uint32) + 1
-        self.ids = [str(i) for i, _ in items]
-        rows, owner, place, size = [], [], [], []
-        at = 0
-        for i, n in enumerate(counts.tolist()):
-            own = numbers[at : at + n]
-            for k in range(max(1, n - window + 1) if n else 0):
-                row = np.zeros(window, np.uint32)
-                row[: min(n, window)] = own[k : k + window]
-                rows.append(row)
-                owner.append(i)
-                place.append(k)
-                size.append(min(n, window))
-            at += n
-        self.rows = np.array(rows, np.uint32).reshape(-1, window)
-        self.owner, self.place, self.size = np.array(owner, np.int64), np.array(place, np.int64), np.array(size, np.int64)
-        self.shortest = int(self.size.min()) if len(self.size) else window
-        self.low = as_keys(self.rows)
-        top = np.where(np.arange(window) < self.size[:, None], self.rows, np.uint32(0xFFFFFFFF))
-        self.high = as_keys(top.astype(np.uint32))
+    """The windows of test items in the order of their words.
+
+    Only words, as numbers into a vocabulary, are sent to the tasks (12 bytes a word at
+    most); a task makes the windows of them, about 100 bytes each.
+    """
+
+    def __init__(self, items: list[tuple[str, np.ndarray, int]], window: int):
+        """`items`: (id, hashes of words, number of the first word in its item)."""
+        self.window, self.ids = window, [i for i, _, _ in items]
+        self.base = np.array([base for _, _, base in items], np.int64)
+        self.counts = np.array([len(h) for _, h, _ in items], np.int64)
+        hashes = np.concatenate([h for _, h, _ in items]) if items else np.zeros(0, np.uint64)
+        self.vocabulary, numbers = np.unique(hashes, return_inverse=True)
+        self.numbers = numbers.astype(np.uint32) + np.uint32(1)
+        self.shortest = int(np.minimum(self.counts[self.counts > 0], window).min()) if self.counts.any() else window
+
+    @cached_property
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(low key, high key, item, word of the item, size) of every window."""
+        many = np.where(self.counts > 0, np.maximum(1, self.counts - self.window + 1), 0)
+        owner = np.repeat(np.arange(len(self.counts)), many)
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        size = np.minimum(self.counts[owner], self.window)
+        at = (np.cumsum(self.counts) - self.counts)[owner] + place
+        column = np.arange(self.window)
+        inside = column < size[:, None]
+        rows = self.numbers[np.minimum(at[:, None] + column, max(0, len(self.numbers) - 1))] if len(self.numbers) else np.zeros((0, self.window), np.uint32)
+        low, high = (as_keys(np.where(inside, rows, np.uint32(pad))) for pad in (0, 0xFFFFFFFF))
+        return low, high, owner, place + self.base[owner], size
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "windows"}
 
 
 def as_keys(rows: np.ndarray) -> np.ndarray:
@@ -82,18 +87,19 @@ def suffix_array(numbers: np.ndarray, counts: np.ndarray, window: int, shortest:
 def matches_in_block(tests: TestSuffixes, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int, int]]]:
     """Words of each text, and (text, test item, first word, words, word of the item) of every longest match, in order."""
     hashes, _, _, counts = words(data, offsets, ALNUM)
-    if not len(hashes) or not len(tests.rows):
+    low, high, owner, item_word, window_size = tests.windows
+    if not len(hashes) or not len(low):
         return counts, []
     found = np.searchsorted(tests.vocabulary, hashes)
     found[found == len(tests.vocabulary)] = 0
     numbers = np.where(tests.vocabulary[found] == hashes, found + 1, 0).astype(np.uint32)
     keys, places = suffix_array(numbers, counts, tests.window, tests.shortest)
-    first, last = np.searchsorted(keys, tests.low, "left"), np.searchsorted(keys, tests.high, "right")
+    first, last = np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
     some = np.flatnonzero(last > first)
     hits = np.concatenate([np.stack([places[first[k] : last[k]], np.full(last[k] - first[k], k)], axis=1) for k in some.tolist()]) if len(some) else np.zeros((0, 2), np.int64)
     word, test = hits[:, 0], hits[:, 1]
     text = np.searchsorted(np.cumsum(counts), word, side="right")
-    item, place, size = tests.owner[test], tests.place[test], tests.size[test]
+    item, place, size = owner[test], item_word[test], window_size[test]
     # windows on one diagonal of (word, place of the item) join into a longer match
     order = np.lexsort((word, word - place, item, text))
     word, text, item, place, size = (x[order] for x in (word, text, item, place, size))
@@ -111,7 +117,7 @@ _ARROW_MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("word", pa.int64()
 
 def _with_part(df: DataFrame, text: str, tests: TestSuffixes, n_words: str, matches: str) -> DataFrame:
     position, names = df.columns.index(text), df.columns
-    shared = df.sparkSession.sparkContext.broadcast(tests)  # at most PART_BYTES of items
+    shared = df.sparkSession.sparkContext.broadcast(tests)  # 12 bytes for each of about PART_WORDS words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = shared.value
@@ -129,14 +135,18 @@ def _with_part(df: DataFrame, text: str, tests: TestSuffixes, n_words: str, matc
 
 
 def _parts(benchmark: DataFrame, item_id: str, text: str, window: int) -> Iterator[TestSuffixes]:
-    """The test items, in parts of about PART_BYTES each; only one part is held at a time."""
+    """The test items, in parts of at most PART_WORDS words; longer items are cut into pieces that share window - 1 words.  Only one part is held at a time."""
     held, size = [], 0
     for row in benchmark.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{text}`")).toLocalIterator():
-        held.append((row[0], row[1] or ""))
-        size += len(held[-1][1])
-        if size > PART_BYTES:
-            yield TestSuffixes(held, window)
-            held, size = [], 0
+        hashes, _, _, _ = words(*text_bytes(pa.array([row[1] or ""])), ALNUM)
+        step = max(1, PART_WORDS - window + 1)
+        for base in range(0, max(1, len(hashes) - window + 1), step):
+            piece = hashes[base : base + step + window - 1]
+            if held and size + len(piece) > PART_WORDS:
+                yield TestSuffixes(held, window)
+                held, size = [], 0
+            held.append((str(row[0]), piece, base))
+            size += len(piece)
     yield TestSuffixes(held, window)
 
 
@@ -147,9 +157,10 @@ def benchmark_matches(df: DataFrame, benchmark: DataFrame, *, text: str = "text"
     `word` of the text are those of the item from `item_word` on.  It covers one or
     more windows of `window` item words; an item of fewer words is one window.
 
-    Defined results: a null text has no words and no match; an item without words
+    Defined results: a null text has no words and no match; very long texts are read
+    whole, each by itself; an item without words
     matches nothing; items that share an id count as one; repeated items and rows
-    give repeated matches; an empty table gives an empty one, and with an empty
+    give repeated matches, so there are no ties; an empty table gives an empty one, and with an empty
     benchmark nothing matches; a column named as an output is replaced.
     """
     df = df.drop(n_words, matches)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pickle
 import random
 
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ def test_matches(spark, monkeypatch):
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     by_id = lambda x: (x[0] is not None, x[0] or 0, *x[1:])
-    for part in (1 << 26, 200):
-        monkeypatch.setattr(decontaminate, "PART_BYTES", part)
+    for part in (1 << 20, 30):
+        monkeypatch.setattr(decontaminate, "PART_WORDS", part)
         out = decontaminate.benchmark_matches(df, bench)
         got = out.select("doc_id", "n_words", decontaminate.words_hit("matches").alias("hit"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("ids")).collect()
         assert sorted([(g.doc_id, g.n_words, g.hit, g.ids) for g in got], key=by_id) == sorted([(d, *w) for (d, _), w in zip(docs, want)], key=by_id)
@@ -39,3 +40,16 @@ def test_empty(spark):
     assert decontaminate.benchmark_matches(docs, bench).count() == 0
     one = decontaminate.benchmark_matches(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), bench).first()
     assert (one.n_words, one.matches) == (2, [])
+
+
+def test_what_is_sent_stays_small(spark, monkeypatch):
+    r = random.Random(1)
+    text = rand_text(r, 200_000)
+    bench = spark.createDataFrame([(1, text), (2, rand_text(r, 60))], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 50_000)
+    parts = list(decontaminate._parts(bench, "item_id", "text", 10))
+    assert len(parts) == 5 and all(len(pickle.dumps(p)) <= 50_000 * 12 + 10_000 for p in parts)
+    assert sum(len(p.windows[0]) for p in parts) == 200_000 - 9 + 51
+    assert all(len(pickle.dumps(p)) <= 50_000 * 12 + 10_000 for p in parts)  # also after windows are made
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert decontaminate.benchmark_matches(docs, bench).select(decontaminate.words_hit("matches")).first()[0] == 200_000
