@@ -5,19 +5,22 @@ frames of `FRAME` samples, several of them laced into a block, blocks in
 clusters, and cues that point at the clusters.  The file has no date and no
 random identifier, so equal payloads make equal files.
 
-The parser walks variable-length EBML elements (ids, sizes, unknown sizes),
-clusters with simple blocks and block groups, all four kinds of lacing, and
-cues.  A packet is known by track, timestamp, byte range, cluster and place in
-its lace.
-
-Defined results: a null or empty text makes one frame of padding; bytes that are
-no Matroska file, or that end early, give the packets before the damage and an
-`error`; a null file has no packets and an error; repeated rows and texts give
-equal files; other columns are kept, and a column named as an output is replaced.
+The parser walks variable-length EBML elements (ids, sizes, unknown sizes) with a
+stack of its own, clusters with simple blocks and block groups, all four kinds of
+lacing, cues, and tracks whose headers are stripped or whose packets are zlib-packed.
+A packet is known by track, timestamp, byte range, cluster and place in its lace.
+
+Defined results: a null or empty text makes one frame of padding; very long texts
+and files are handled whole, each by itself; bytes that are no Matroska file, that
+end early, that have numbers beyond 64 bits, or packets that can't be unpacked give
+the packets before the damage and an `error`; a null file has no packets and
+an error; repeated rows and texts give equal files, so there are no ties; an empty
+table gives an empty one; other columns are kept, and a column named as an output is replaced.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +47,14 @@ TRACKS, TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC = 0x1654AE6B, 0xAE, 0x
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
 CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-_MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS, EBML}
-_TOP = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, EBML}  # what ends a cluster of unknown size
+ENCODINGS, ENCODING, ENCODING_TYPE, COMPRESSION, ALGORITHM, SETTINGS = 0x6D80, 0x6240, 0x5033, 0x5034, 0x4254, 0x4255
+ZLIB, STRIPPED = 0, 3
+_MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS, EBML, ENCODINGS, ENCODING, COMPRESSION}
+_SHARED = {AUDIO, CUE_POSITIONS, ENCODINGS, ENCODING, COMPRESSION}  # their values are kept with those of what they are in
+#: What ends an element of unknown size.
+_ENDS = {CLUSTER: {SEGMENT, INFO, TRACKS, CLUSTER, CUES, EBML}, SEGMENT: {SEGMENT, EBML}}
+_LONG = 1 << 63
+MOST_UNPACKED = 64 << 20
 
 LACINGS = {"none": 0, "xiph": 1, "fixed": 2, "ebml": 3}
 
@@ -173,59 +182,67 @@ class Parsed:
         self.cues: list[tuple[int, int, int]] = []
         self.tracks: dict[int, dict[int, int | bytes]] = {}
         self.scale, self.error, self.clusters = SCALE_NS, None, 0
-        self._cluster_time, self._segment = 0, 0
+        self._cluster_time = 0
         try:
             if raw is None:
                 raise ValueError("no file")
             code, _ = read_id(raw, 0)
             if code != EBML:
                 raise ValueError("no EBML header")
-            self._walk(raw, 0, len(raw), {})
+            self._walk(raw)
         except ValueError as e:
             self.error = str(e)
 
-    def _walk(self, raw: bytes, at: int, end: int, into: dict[int, int | bytes], inner: bool = False) -> int:
-        while at < end:
-            code, body = read_id(raw, at)
-            if inner and code in _TOP:
-                return at
+    def _walk(self, raw: bytes) -> None:
+        """Elements in order; the open ones are on a stack of (id, end, known size, cut, values)."""
+        at, stack = 0, [(0, len(raw), True, False, {})]
+        while stack:
+            inside, end, known, cut, values = stack[-1]
+            code, body = read_id(raw, at) if at < end else (0, at)
+            if at >= end or (not known and code in _ENDS.get(inside, ())):
+                stack.pop()
+                self._close(inside, values)
+                if cut:
+                    raise ValueError("element ends early")
+                at = max(at, end) if known else at
+                continue
             size, body, _ = read_size(raw, body)
             stop = end if size is None else body + size
-            if stop > end:
-                stop, cut = end, True
-            else:
-                cut = False
+            cut, stop = stop > end, min(stop, end)
             if code in _MASTERS:
-                mine: dict[int, int | bytes] = into if code in (AUDIO, CUE_POSITIONS) else {}
                 if code == CLUSTER:
                     self.clusters += 1
                     self._cluster_time = 0
-                if code == SEGMENT:
-                    self._segment = body
-                at = self._walk(raw, body, stop, mine, code == CLUSTER and size is None)
-                if code == TRACK and TRACK_NUMBER in mine:
-                    self.tracks[int(mine[TRACK_NUMBER])] = mine
-                elif code == CUE_POINT:
-                    self.cues.append(tuple(int(mine.get(k, 0)) for k in (CUE_TIME, CUE_TRACK, CUE_CLUSTER)))
-                if size is not None:
-                    at = stop
-            else:
-                if cut:
-                    raise ValueError("element ends early")
-                if code in (SIMPLE_BLOCK, BLOCK):
-                    self._block(raw, body, stop)
-                elif code == CODEC:
-                    into[code] = raw[body:stop]
-                elif stop - body <= 8:
-                    into[code] = int.from_bytes(raw[body:stop], "big")
-                    if code == CLUSTER_TIME:
-                        self._cluster_time = into[code]
-                    elif code == TIMESTAMP_SCALE:
-                        self.scale = into[code]
-                at = stop
+                elif code == COMPRESSION:
+                    values.setdefault(ALGORITHM, ZLIB)
+                stack.append((code, stop, size is not None, cut, values if code in _SHARED else {}))
+                at = body
+                continue
             if cut:
                 raise ValueError("element ends early")
-        return at
+            self._value(raw, code, body, stop, values)
+            at = stop
+
+    def _close(self, code: int, values: dict[int, int | bytes]) -> None:
+        if code == TRACK and TRACK_NUMBER in values:
+            self.tracks[int(values[TRACK_NUMBER])] = values
+        elif code == CUE_POINT:
+            cue = tuple(int(values.get(k, 0)) for k in (CUE_TIME, CUE_TRACK, CUE_CLUSTER))
+            if max(cue) >= _LONG:
+                raise ValueError("cue out of range")
+            self.cues.append(cue)
+
+    def _value(self, raw: bytes, code: int, at: int, end: int, values: dict[int, int | bytes]) -> None:
+        if code in (SIMPLE_BLOCK, BLOCK):
+            self._block(raw, at, end)
+        elif code in (CODEC, SETTINGS):
+            values[code] = raw[at:end]
+        elif end - at <= 8:
+            values[code] = int.from_bytes(raw[at:end], "big")
+            if code == CLUSTER_TIME:
+                self._cluster_time = values[code]
+            elif code == TIMESTAMP_SCALE:
+                self.scale = values[code]
 
     def _block(self, raw: bytes, at: int, end: int) -> None:
         track, at, _ = read_size(raw, at)
@@ -234,9 +251,12 @@ class Parsed:
         time = int.from_bytes(raw[at : at + 2], "big", signed=True) + self._cluster_time
         place, *sizes = unlace(raw, at + 3, end, raw[at + 2] >> 1 & 3)
         step = int(self.tracks.get(track, {}).get(DEFAULT_DURATION, 0))
+        times = [time * self.scale + k * step for k in range(len(sizes))]
+        if min(times) < -_LONG or max(times) >= _LONG:
+            raise ValueError("timestamp out of range")
         for k, size in enumerate(sizes):
             self.track.append(track or 0)
-            self.time.append(time * self.scale + k * step)
+            self.time.append(times[k])
             self.offset.append(place)
             self.size.append(size)
             self.cluster.append(self.clusters - 1)
@@ -244,7 +264,27 @@ class Parsed:
             place += size
 
     def payload(self, raw: bytes) -> bytes:
-        return b"".join([raw[a : a + n] for a, n in zip(self.offset, self.size)])
+        """The packets' bytes, unpacked as their tracks say; up to the first that can't be, with an error."""
+        out = []
+        for track, at, n in zip(self.track, self.offset, self.size):
+            about, packet = self.tracks.get(track, {}), raw[at : at + n]
+            try:
+                if about.get(ENCODING_TYPE, 0):
+                    raise ValueError("encrypted track")
+                if about.get(ALGORITHM) == STRIPPED:
+                    packet = bytes(about.get(SETTINGS, b"")) + packet
+                elif about.get(ALGORITHM) == ZLIB:
+                    unpack = zlib.decompressobj()
+                    packet = unpack.decompress(packet, MOST_UNPACKED)
+                    if not unpack.eof:
+                        raise ValueError("packet ends early or is too large")
+                elif ALGORITHM in about:
+                    raise ValueError("unknown compression")
+            except (ValueError, zlib.error) as e:
+                self.error = self.error or str(e)
+                break
+            out.append(packet)
+        return b"".join(out)
 
 
 def padded(text: bytes) -> bytes:
