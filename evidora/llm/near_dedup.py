@@ -1,32 +1,39 @@
-"""MinHash near-duplicate detection with banded LSH of fixed depth.
+"""MinHash near-duplicate detection with an LSH forest.
 
 A text's set is its distinct word shingles.  Texts with the same set form one
 class, known by the set's 128-bit digest, and only classes are compared.
 
-There are `TREES` bands of `depth` min-hashes.  Classes that share all values of
-a band, known by one hash of them, are a *region*.  No sorted order of
-signatures or common prefix is kept, and no region is read more deeply than
-another.  The depth comes from the threshold: two classes at the threshold fall
-into no common region with a probability below `MISS`.  In a region, all pairs
-are compared by their full signatures; a region of many members is cut into
-blocks, and every pair of blocks is read, so no candidate is dropped and the
-time grows with the square of the region's size.  What comes out are groups of
-classes chained by candidate links.
-
-The groups are then confirmed on full sets: a task gets the sets of a group (of
-a pair of blocks, where the group is large), finds its links exactly, and
-returns a spanning forest of them, never all pairs.
+The forest.  Each of `TREES` trees has a signature for every class: a row of
+min-hashes.  Sorted by it, classes that agree in many leading values are
+next to one another, and the longest common prefix with a neighbour tells how near
+they are.  A *region* of a tree is a run of classes with a common prefix of at least
+`least` values: two classes at the threshold have no common region in any tree with a
+probability below `MISS`.
+
+Candidates.  A region of up to `REGION_ROWS` classes is read as it is; in a larger one
+the depth grows, a value at a time, until its parts are small enough or the
+signatures end (those are then read in blocks).  In such a part, neighbours in the
+sorted order are compared first, then all pairs that these links have not joined already,
+by their sketches.  The rest, which are pairs of a large region in different parts, is exact
+too: where all its classes are joined by now nothing is left; else the classes outside
+its largest component are compared with all others, in blocks.
+
+Confirmation.  Groups of classes that candidate links chain are decided on full sets.
+A group of more than `GROUP_ROWS` sets is read in blocks that share `PIVOTS` of its sets, which joins
+near copies of one text; sets outside the group's largest component are then compared
+with all others, in blocks.  So every pair of a group is decided, and a task returns a spanning
+forest of the links, never all pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import log, sqrt
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import NOT_SPACE, blocks, constants, shingles, text_bytes, words
@@ -35,15 +42,17 @@ from .tables import fresh, map_batches, row_key, settle, spread
 
 MISS = 1e-4
 TREES = 20
+DEEPER = 4
 REGION_ROWS = 2048
 GROUP_ROWS = 1024
+PIVOTS = 64
 
 
-def forest_shape(percent: int) -> tuple[int, int]:
-    """(trees, depth): the deepest trees that miss a pair at the threshold with a probability below MISS."""
+def forest_shape(percent: int) -> tuple[int, int, int]:
+    """(trees, least, deepest): `least` is the most values at which a pair at the threshold is missed with a probability below MISS."""
     s = percent / 100
-    depth = max(d for d in range(1, 17) if d == 1 or (1 - s**d) ** TREES <= MISS)
-    return TREES, depth
+    least = max(d for d in range(1, 17) if d == 1 or (1 - s**d) ** TREES <= MISS)
+    return TREES, least, least + DEEPER
 
 
 def minhashes(sets: list[np.ndarray], n: int) -> np.ndarray:
@@ -78,34 +87,35 @@ def _digest(one: np.ndarray) -> bytes:
 
 
 def signatures(df: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
-    """(doc_id, row, n_shingles, node, prefixes, sketch): node is the set's digest, null for an empty set."""
-    trees, depth = forest_shape(percent)
+    """(doc_id, row, n_shingles, node, trees, sketch): node is the set's digest, null for an empty set.
+
+    A tree's signature has 16 bits of each of its min-hashes, in big-endian order, so that it sorts as bytes; the sketch has other 8 bits of the leading ones.
+    """
+    trees, least, deepest = forest_shape(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, sets in _sets(batch.column(2), size):
-                values = minhashes(sets, trees * depth)
-                # a region is known by the hash of a tree's `depth` values
-                packed = values.reshape(len(sets), trees, depth).astype(np.uint64)
-                keys = (packed * constants(depth, 41)).sum(axis=2, dtype=np.uint64) ^ constants(trees, 43)
-                sketch = (values >> np.uint32(7)).astype(np.uint8)
-                good = np.array([len(s) > 0 for s in sets])
                 n = len(sets)
+                values = minhashes(sets, trees * deepest).reshape(n, trees, deepest)
+                signs = (values >> np.uint32(16)).astype(">u2")
+                sketch = values[:, :, :least].astype(np.uint8).reshape(n, trees * least)
+                flat = pa.array([signs[i, k].tobytes() for i in range(n) for k in range(trees)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, n),
                         batch.column(1).slice(a, n),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * trees), pa.array(keys.astype(np.int64).ravel())),
-                        pa.array([sketch[i].tobytes() if good[i] else None for i in range(n)], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * trees), flat),
+                        pa.array([sketch[i].tobytes() if len(sets[i]) else None for i in range(n)], pa.binary()),
                     ],
-                    names=["doc_id", "row", "n_shingles", "node", "prefixes", "sketch"],
+                    names=["doc_id", "row", "n_shingles", "node", "trees", "sketch"],
                 )
 
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_batches(rows, run, f"doc_id {kind}, row binary, n_shingles long, node binary, prefixes array<long>, sketch binary")
+    return map_batches(rows, run, f"doc_id {kind}, row binary, n_shingles long, node binary, trees array<binary>, sketch binary")
 
 
 def _by_unit(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
@@ -136,46 +146,78 @@ def _runs(batch: pa.RecordBatch, n_keys: int) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]))
 
 
-def _in_units(df: DataFrame, group: str, rows: int, keep: list[str]) -> DataFrame:
-    """Rows by unit (u0, u1, u2): a group of up to `rows` rows is one; a larger one is cut into blocks, and each pair of blocks is a unit."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n")).where("n > 1")
-    cut = df.join(sizes, group).withColumn("parts", F.ceil(F.col("n") / rows).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
-    cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.select(F.col(group).alias("u0"), F.least("own", "other").alias("u1"), F.greatest("own", "other").alias("u2"), (F.col("parts") > 1).alias("cut"), *keep)
-    return spread(cut, "u0", "u1", "u2").sortWithinPartitions("u0", "u1", "u2", *keep)
+def _sorted_units(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows (u0, u1, u2, ...) with whole units in one partition, one after another."""
+    return spread(rows, "u0", "u1", "u2").sortWithinPartitions("u0", "u1", "u2", *order)
+
 
+def _rest(rows: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """Units for what is left of the groups (group, node, ...): classes outside a group's largest component, with all others of the group.
 
-def _stars(nodes: list[bytes], labels: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """An edge from each node to the first of its label."""
+    `labels` has the components so far as (node, root).  A group that is one component is left out.
+    """
+    marked = settle(rows.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+    counts = marked.groupBy("group", "label").agg(F.count("*").alias("n"))
+    big = counts.groupBy("group").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max(F.struct("n", "label")).alias("big")).where("kinds > 1")
+    big = settle(big.select("group", F.ceil(F.col("big.n") / most).cast("int").alias("p"), F.ceil((F.col("total") - F.col("big.n")) / most).cast("int").alias("q"), F.col("big.label").alias("largest")))
+    cut = marked.join(big, "group")
+    inside, h = F.col("label") == F.col("largest"), F.xxhash64("node")
+    own = F.when(inside, F.pmod(h, F.col("p").cast("long"))).otherwise(F.col("p") + F.pmod(h, F.col("q").cast("long"))).cast("int")
+    last = F.col("p") + F.col("q") - 1
+    cut = cut.withColumn("own", own).withColumn("other", F.explode(F.when(inside, F.sequence("p", last)).otherwise(F.sequence(F.lit(0), last))))
+    kept = [c for c in marked.columns if c != "group"]
+    return cut.select(F.col("group").alias("u0"), F.least("own", "other").alias("u1"), F.greatest("own", "other").alias("u2"), *kept)
+
+
+def _numbered(labels: list[bytes]) -> np.ndarray:
+    """Each label as the first place where it occurs."""
+    first: dict[bytes, int] = {}
+    return np.array([first.setdefault(x, i) for i, x in enumerate(labels)], np.int64)
+
+
+def _stars(nodes: list[bytes], labels: np.ndarray, before: np.ndarray | None = None) -> tuple[list[bytes], list[bytes]]:
+    """An edge from each node to the first of its label; with labels from before, one for each of those."""
     heads: dict[int, bytes] = {}
     a, b = [], []
-    for node, label in zip(nodes, labels.tolist()):
+    for i, (node, label) in enumerate(zip(nodes, labels.tolist())):
         head = heads.setdefault(label, node)
-        if head != node:
+        if head != node and (before is None or before[i] == i):
             a.append(node)
             b.append(head)
     return a, b
 
 
-def _labels(n: int, links: Iterator[tuple[int, np.ndarray]]) -> np.ndarray:
-    labels = np.arange(n)
-    for i, near in links:
-        old = np.unique(labels[near])
-        if len(old) > 1 or (len(old) and old[0] != labels[i]):
-            labels[np.isin(labels, np.append(old, labels[i]))] = min(int(old[0]), int(labels[i]))
+def _join(labels: np.ndarray, i: int, near: np.ndarray) -> None:
+    """Give i, those near it, and all that are joined with them one label."""
+    old = np.unique(np.append(labels[near], labels[i]))
+    if len(old) > 1:
+        labels[np.isin(labels, old)] = old[0]
+
+
+def sketch_labels(sketch: np.ndarray, needed: int, labels: np.ndarray) -> np.ndarray:
+    """Labels of the components under near sketches of rows in signature order, starting from given ones.
+
+    Neighbours in the order come first; then a row is compared with those that have another label.
+    """
+    labels = labels.copy()
+    for i in np.flatnonzero((sketch[1:] == sketch[:-1]).sum(axis=1) >= needed).tolist():
+        _join(labels, i, np.array([i + 1]))
+    for i in range(len(sketch) - 1):
+        rest = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+        if len(rest):
+            _join(labels, i, rest[(sketch[rest] == sketch[i]).sum(axis=1) >= needed])
     return labels
 
 
-def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that chain the classes of each region whose sketches are near."""
-    trees, depth = forest_shape(percent)
-    s, m = percent / 100, trees * depth
+def _near_links(units: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that chain the classes of each unit whose sketches are near; units: (u0, u1, u2, label, sketch, node), sorted."""
+    trees, least, _ = forest_shape(percent)
+    s, m = percent / 100, trees * least
     needed = int(m * (s - 5 * sqrt(s * (1 - s) / m)))  # five standard deviations below the threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_unit(batches, 3):
-            nodes = batch.column("node").to_pylist()
+            nodes, label = batch.column("node").to_pylist(), batch.column("label").to_pylist()
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, m)
             a, b = [], []
             for first, last in _runs(batch, 3):
@@ -187,30 +229,56 @@ def candidate_links(classes: DataFrame, percent: int) -> DataFrame:
                         a.append(nodes[first])
                         b.append(nodes[first + 1])
                     continue
-
-                def near() -> Iterator[tuple[int, np.ndarray]]:
-                    for i in range(len(own) - 1):  # noqa: B023
-                        rest = np.flatnonzero((own[i + 1 :] == own[i]).sum(axis=1) >= needed) + i + 1  # noqa: B023
-                        if len(rest):
-                            yield i, rest
-
-                x, y = _stars(nodes[first:last], _labels(last - first, near()))
+                before = _numbered(label[first:last])
+                x, y = _stars(nodes[first:last], sketch_labels(own, needed, before), before)
                 a += x
                 b += y
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    rows = classes.select("node", "sketch", F.explode("prefixes").alias("prefix"))
-    units = _in_units(rows, "prefix", REGION_ROWS, ["sketch", "node"]).select("u0", "u1", "u2", "sketch", "node")
-    return map_batches(units, run, "a binary, b binary").distinct()
-
-
-def exact_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    return map_batches(units.select("u0", "u1", "u2", "label", "sketch", "node"), run, "a binary, b binary")
+
+
+def _prefix(depth: int) -> Column:
+    """The region of a tree at a depth."""
+    return F.xxhash64("tree", F.substring("sign", 1, 2 * depth), F.lit(depth))
+
+
+def candidate_groups(classes: DataFrame, percent: int) -> DataFrame:
+    """(node, root): classes chained by candidate links, for those that have any."""
+    _, least, deepest = forest_shape(percent)
+    rows = classes.select("node", "sketch", F.posexplode("trees").alias("tree", "sign")).withColumn("group", _prefix(least))
+    sizes = settle(rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"))
+    crowded = sizes.where(F.col("n") > REGION_ROWS).select("group")
+    zero = F.lit(0)
+    unit = [F.lit(0).alias("u1"), F.lit(0).alias("u2"), "sign", F.col("node").alias("label"), "sketch", "node"]
+    units = rows.join(sizes.where(F.col("n") <= REGION_ROWS).select("group"), "group").select(F.col("group").alias("u0"), *unit)
+    if crowded.isEmpty():
+        return connected_components(_near_links(_sorted_units(units, "sign", "node"), percent).distinct())
+    large = settle(rows.join(crowded, "group").select("node", "sketch", "tree", "sign", "group"))
+    now = large
+    for depth in range(least + 1, deepest + 1):
+        now = now.withColumn("u0", _prefix(depth))
+        parts = settle(now.groupBy("u0").agg(F.count("*").alias("n")))
+        now = now.join(parts, "u0")
+        fits = F.col("n") <= REGION_ROWS
+        units = units.union(now.where(fits).select("u0", *unit))
+        now = settle(now.where(~fits).drop("u0" if depth < deepest else "n", "n" if depth < deepest else "tree"))
+    blocks_of = now.join(parts, "u0").withColumn("u1", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / REGION_ROWS)).cast("int"))
+    units = units.union(blocks_of.select("u0", "u1", zero.alias("u2"), "sign", F.col("node").alias("label"), "sketch", "node"))
+    links = settle(_near_links(_sorted_units(units, "sign", "node"), percent).distinct())
+    joined = connected_components(links)
+    more = settle(_near_links(_sorted_units(_rest(large.select("group", "node", "sketch", "sign"), joined, REGION_ROWS), "sign", "node"), percent).distinct())
+    return joined if more.isEmpty() else connected_components(links.union(more))
+
+
+def exact_labels(sets: list[np.ndarray], percent: int, before: np.ndarray | None = None) -> np.ndarray:
     """Labels of the components under 100 * |A & B| >= percent * |A | B|; the smallest index of each.
 
     Every pair is decided.  A row of intersection sizes comes from an inverted
     index.  Rows are made for pivots first; then a pair can only be missing
     between two members of different components, neither of them a pivot, so
-    rows are made for the members of all components but the largest.
+    rows are made for the members of all components but the largest.  With labels
+    from `before`, what has one label is joined already and there are no pivots.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -222,7 +290,7 @@ def exact_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
     order = np.argsort(item, kind="stable")
     lists, ends = owner[order], np.append(0, np.cumsum(np.bincount(item, minlength=len(times))))
     mine = np.split(item, np.cumsum(np.bincount(owner, minlength=n))[:-1]) if n else []
-    labels = np.arange(n)
+    labels = np.arange(n) if before is None else before.copy()
 
     def row(i: int) -> None:
         parts = [lists[ends[k] : ends[k + 1]] for k in mine[i].tolist()]
@@ -231,12 +299,10 @@ def exact_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
         both = np.bincount(np.concatenate(parts), minlength=n)
         near = np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both))
         if len(near):  # without what only i has, i may not be near itself
-            old = np.unique(np.append(labels[near], labels[i]))
-            if len(old) > 1:
-                labels[np.isin(labels, old)] = old[0]
+            _join(labels, i, near)
 
     pivot = np.zeros(n, dtype=bool)
-    covered = np.zeros(n, dtype=bool)
+    covered = np.full(n, before is not None)
     for i in range(n):
         if not covered[i]:
             pivot[i] = True
@@ -252,51 +318,73 @@ def exact_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return labels
 
 
-def confirmed_links(groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges (a, b, cut) of a spanning forest of the true links in each group; groups: (group, text)."""
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, sets in _sets(batch.column(1), size):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["group", "node", "items"])
+def _exact_links(units: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b, cut) of a spanning forest of the true links in each unit; units: (u0, u1, u2, cut, label, node, items), sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_unit(batches, 3):
-            nodes, cut = batch.column("node").to_pylist(), batch.column("cut").to_pylist()
+            nodes, cut, label = (batch.column(k).to_pylist() for k in ("node", "cut", "label"))
             items = batch.column("items").to_pylist()
             a, b, c = [], [], []
             for first, last in _runs(batch, 3):
-                labels = exact_labels([np.frombuffer(x, dtype=np.uint64) for x in items[first:last]], percent)
-                x, y = _stars(nodes[first:last], labels)
+                before = _numbered(label[first:last])
+                alone = bool((before == np.arange(last - first)).all())
+                labels = exact_labels([np.frombuffer(x, dtype=np.uint64) for x in items[first:last]], percent, None if alone else before)
+                x, y = _stars(nodes[first:last], labels, before)
                 a += x
                 b += y
                 c += [cut[first]] * len(x)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.bool_())], names=["a", "b", "cut"])
 
+    return map_batches(units.select("u0", "u1", "u2", "cut", "label", "node", "items"), run, "a binary, b binary, cut boolean")
+
+
+def confirmed_groups(groups: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, root) under the true links in each group, for classes that have any; groups: (group, text)."""
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, sets in _sets(batch.column(1), size):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["group", "node", "items"])
+
     kind = groups.schema["group"].dataType.simpleString()
     sets = map_batches(groups.select("group", "text"), to_sets, f"group {kind}, node binary, items binary")
-    sets = sets.withColumn("group", F.xxhash64("group"))
-    units = _in_units(sets, "group", GROUP_ROWS, ["node", "items"]).select("u0", "u1", "u2", "cut", "node", "items")
-    return map_batches(units, run, "a binary, b binary, cut boolean")
+    sets = settle(sets.withColumn("group", F.xxhash64("group")))
+    sizes = settle(sets.groupBy("group").agg(F.count("*").alias("n")))
+    sized = sets.join(sizes, "group").withColumn("parts", F.ceil(F.col("n") / GROUP_ROWS).cast("int"))
+    pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")) < PIVOTS)
+    own = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
+    part = F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))
+    units = sized.withColumn("part", part).select(F.col("group").alias("u0"), F.col("part").alias("u1"), F.lit(0).alias("u2"), (F.col("parts") > 1).alias("cut"), F.col("node").alias("label"), "node", "items")
+    links = settle(_exact_links(_sorted_units(units, "node", "items"), percent))
+    whole = links.where("not cut").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    large = sizes.where(F.col("n") > GROUP_ROWS).select("group")
+    if large.isEmpty():
+        return whole.distinct()
+    cut = links.where("cut").select("a", "b")
+    joined = connected_components(cut)
+    left = _rest(sets.join(large, "group"), joined, GROUP_ROWS).withColumn("cut", F.lit(True))
+    more = settle(_exact_links(_sorted_units(left, "node", "items"), percent).select("a", "b"))
+    return whole.union(joined if more.isEmpty() else connected_components(cut.union(more))).distinct()
 
 
 def _decided(df: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """(doc_id, row, n_shingles, node, root, component_id) of each row; node and root are null for an empty set."""
     marked = settle(signatures(df, doc_id, text, size, percent))
     some = marked.where("node is not null")
-    classes = some.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"), F.min("row").alias("row"))
+    classes = some.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("trees").alias("trees"), F.first("sketch").alias("sketch"), F.min("row").alias("row"))
     classes = settle(classes)
-    chained = connected_components(candidate_links(classes, percent))
+    marked = marked.select("doc_id", "row", "n_shingles", "node")
+    chained = candidate_groups(classes, percent)
     members = classes.select("node", "row").join(chained, "node").select("row", F.col("root").alias("group"))
     texts = df.select(row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"))
-    links = settle(confirmed_links(texts.join(members, "row").select("group", "text"), size, percent))
-    whole = links.where("not cut").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    if not links.where("cut").isEmpty():
-        whole = whole.union(connected_components(links.where("cut")))
-    classes = classes.select("node", "least_id").join(whole.distinct(), "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    ids = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    ids = classes.join(ids, "root").select("node", "root", "component_id")
-    return marked.select("doc_id", "row", "n_shingles", "node").join(ids, "node", "left")
+    linked = confirmed_groups(texts.join(members, "row").select("group", "text"), size, percent)
+    classes = classes.select("node", "least_id").join(linked, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    # tables on both sides of the joins, so that a large component can be split
+    classes = settle(classes)
+    ids = settle(classes.groupBy("root").agg(F.min("least_id").alias("component_id")))
+    ids = settle(classes.join(ids, "root").select("node", "root", "component_id"))
+    return marked.join(ids, "node", "left")
 
 
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
