@@ -23,12 +23,17 @@ _POWER_BITS = 16
 
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, elementwise over uint64."""
-    x = np.asarray(x, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        x = x + np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+        x = np.asarray(x, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        if not x.ndim:
+            return splitmix(x[None] - np.uint64(0x9E3779B97F4A7C15))[0]
+        shifted = x >> np.uint64(30)
+        x ^= shifted
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= np.right_shift(x, np.uint64(27), out=shifted)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= np.right_shift(x, np.uint64(31), out=shifted)
+    return x
 
 
 def constants(n: int, seed: int) -> np.ndarray:
@@ -162,13 +167,16 @@ def rolling(data: np.ndarray, size: int, seed: int) -> np.ndarray:
                 out = have
             else:  # what there is so far, then `width` more bytes
                 n = len(data) - (done + width) + 1
-                out = out[:n] * np.uint64(pow(base, width, 1 << 64)) + have[done : done + n]
+                out = out[:n] * np.uint64(pow(base, width, 1 << 64))
+                out += have[done : done + n]
             done += width
         rest >>= 1
         if not rest:
             return splitmix(out[: len(data) - size + 1])
         n = len(data) - 2 * width + 1
-        have = have[:n] * np.uint64(pow(base, width, 1 << 64)) + have[width : width + n]
+        ahead = have[width : width + n]
+        have = have[:n] * np.uint64(pow(base, width, 1 << 64))
+        have += ahead
         width *= 2
 
 
