@@ -1,14 +1,16 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the bytes of a text; a chunk ends where its low bits are
-zero, after at least `least` and at most `most` bytes.  The hash at a byte
+zero, after at least `least` and at most `most` bytes, and never so that fewer than
+`least` bytes would be left behind it.  The hash at a byte
 depends on the bytes just before it only, so after an insertion the cuts fall
 into step again.  Chunks are known by a 128-bit digest; the first occurrence (by
-doc_id, then place) stays, later ones go if the run of repeated chunks they are
-in has at least `run` bytes.
+doc_id, then place) stays and every later one goes.
 
-Defined results: a null or empty text has no chunks; rows without doc_id come
-after all others; repeated rows, of the same id and text, are one document and
+Defined results: a null or empty text has no chunks, one of fewer than `least` bytes
+is one chunk; very long texts are cut whole, each by itself; rows without doc_id come
+after all others; of equal chunks under one doc_id in different texts the one whose row key is
+least counts as first; repeated rows, of the same id and text, are one document and
 all get what it gets; a cut may part a character, so what stays is given as bytes; an empty table gives an
 empty one; other columns are kept, and a column named as an output is replaced.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import types as T
 from .bytetext import blocks, constants, text_bytes
 from .tables import fresh, map_batches, row_key, settle, spread
 
-LEAST, MASK_BITS, MOST, RUN = 16, 5, 256, 80
+LEAST, MASK_BITS, MOST = 64, 5, 256
 _GEAR = constants(256, 61) ^ np.uint64(0x5555)
 
 
@@ -49,6 +51,7 @@ def chunk_ends(cuts: np.ndarray, size: int, least: int = LEAST, most: int = MOST
         while k < len(allowed) and allowed[k] < at + least:
             k += 1
         end = min(allowed[k] if k < len(allowed) else size, at + most, size)
+        end = size if size - end < least else end
         ends.append(end)
         at = end
     return ends
@@ -86,7 +89,7 @@ def chunks(rows: DataFrame, least: int, most: int, bits: int) -> DataFrame:
     return map_batches(rows.select("id", "row", "text"), run, f"id {kind}, row binary, digest long, check long, place long")
 
 
-def dedup_chunks(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, most: int = MOST, bits: int = MASK_BITS, run: int = RUN) -> DataFrame:
+def dedup_chunks(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, most: int = MOST, bits: int = MASK_BITS) -> DataFrame:
     """Add n_chunks, removed_spans (array of (first, end) in bytes) and kept_bytes to each row."""
     outs = ["n_chunks", "removed_spans", "kept_bytes"]
     df = df.drop(*outs)
@@ -123,7 +126,6 @@ def dedup_chunks(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", l
                         merged[-1][1] = max(merged[-1][1], x["end"])
                     else:
                         merged.append([x["first"], x["end"]])
-                merged = [m for m in merged if m[1] - m[0] >= run or m == [0, len(raw)]]
                 edges = [0, *(e for m in merged for e in m), len(raw)]
                 whole = raw.tobytes()
                 counts.append(len(ends))

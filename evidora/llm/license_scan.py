@@ -1,22 +1,26 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-A text's units are its lines, its paragraphs (runs of lines between empty ones)
-and itself.  In lines and paragraphs, spans of as many words as a template has are
-units too, the best first and none over another match.  A unit and a template are normalised to lower-case words and compared by
+Templates are notices and the whole texts of licences (`licenses/`).  A text's units
+are its lines, its paragraphs (runs of lines between empty ones) and itself.  Spans of
+as many words as a template has are units too: in lines and paragraphs the best first
+and none over another match, and in the whole text also around smaller ones.  A
+unit and a template are normalised to lower-case words and compared by
 ``2 |A & B| / (|A| + |B|)`` over their distinct word bigrams.  As that can't
 reach a threshold t unless the smaller set has t / (2 - t) of the larger one's
 size, templates are sorted by size and only those within the bounds are compared.
 
-Defined results: a null or empty text has no unit and no match; a unit of one
-word has that word as its only item; on equal scores the longer template wins,
-then the first by name; repeated rows get equal results; an empty table gives
-an empty one; other columns are kept, and a column named as an output is replaced.
+Defined results: a null or empty text has no unit and no match; very long texts are
+read whole, each by itself; a unit of one word has that word as its only item; on
+equal scores the longer template wins, then the first by name; repeated rows get
+equal results; an empty table gives an empty one; other columns are kept, and a
+column named as an output is replaced.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +32,8 @@ from .tables import map_batches
 
 PERCENT = 80
 
-#: (licence, text) of well-known notices and short licence texts (fixed values).
-TEMPLATES = [
+#: (licence, text) of well-known notices and first sentences (fixed values).
+NOTICES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -57,6 +61,15 @@ TEMPLATES = [
 ]
 
 
+def whole_licenses() -> list[tuple[str, str]]:
+    """(licence, text) of the licence texts that come with the package."""
+    files = sorted(resources.files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name)
+    return [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in files if f.name.endswith(".txt")]
+
+
+TEMPLATES = [*NOTICES, *whole_licenses()]
+
+
 def bigrams(hashes: np.ndarray) -> np.ndarray:
     if len(hashes) == 1:
         return hashes
@@ -80,6 +93,9 @@ class Templates:
         self.sets = [t[2] for t in made]
         self.lengths = [t[3] for t in made]
         self.vocabulary = np.unique(np.concatenate(self.sets)) if made else np.zeros(0, np.uint64)
+        #: which template has which bigram, and how many bigrams of it a match has at least
+        self.member = np.array([np.isin(self.vocabulary, s) for s in self.sets]).T.reshape(len(self.vocabulary), len(made))
+        self.least = np.array([max(1, -(-n * percent // (200 - percent))) for n in self.sizes], np.int64)
 
     def best(self, unit: np.ndarray) -> tuple[str, int, int, int] | None:
         """(licence, intersection, sum of sizes, template) with the highest Dice coefficient of at least the threshold."""
@@ -118,21 +134,23 @@ def units(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def spans_within(templates: Templates, hashes: np.ndarray, pairs: np.ndarray, hits: np.ndarray) -> list[tuple[tuple[str, int, int, int], int, int]]:
-    """(match, first word, end) of matching spans as long as a template, the best first; `hits` are places of templates' bigrams."""
+def spans_within(templates: Templates, hashes: np.ndarray, hits: np.ndarray, which: np.ndarray) -> list[tuple[tuple[str, int, int, int], int, int]]:
+    """(match, first word, end) of matching spans as long as a template, the best first; `hits` are places of the bigrams numbered `which`."""
     found = {}
-    for size, n, items in zip(templates.sizes, templates.lengths, templates.sets):
-        least = max(1, -(-size * templates.percent // (200 - templates.percent)))
-        if n < 2 or n >= len(hashes) or len(hits) < least:
+    member = templates.member[which]
+    for k in np.flatnonzero(member.sum(axis=0) >= templates.least).tolist():
+        n = templates.lengths[k]
+        if n < 2 or n >= len(hashes):
             continue
-        own = hits[np.isin(pairs[hits], items)]
+        own = hits[member[:, k]]
         # a span can start at its first hit, or end with the words, and loses none by it
         starts = np.unique(np.minimum(own, len(hashes) - n))
-        many = np.searchsorted(own, starts + n - 1) - np.searchsorted(own, starts) >= least
+        many = np.searchsorted(own, starts + n - 1) - np.searchsorted(own, starts) >= templates.least[k]
         for start in starts[many].tolist():
-            best = templates.best(bigrams(hashes[start : start + n]))
-            if best:
-                found[start, start + n] = best
+            if (start, start + n) not in found:
+                best = templates.best(bigrams(hashes[start : start + n]))
+                if best:
+                    found[start, start + n] = best
     return [(m, a, b) for (a, b), m in sorted(found.items(), key=lambda x: (-x[1][1] / x[1][2], x[0][0] - x[0][1], x[0]))]
 
 
@@ -143,10 +161,10 @@ def scan_block(templates: Templates, data: np.ndarray, offsets: np.ndarray) -> l
         return found
     c = constants(2, 71)
     pairs = splitmix(hashes[:-1] * c[0] + hashes[1:] * c[1])
-    at = np.searchsorted(templates.vocabulary, pairs)
-    at[at == len(templates.vocabulary)] = 0
-    hits = np.flatnonzero(templates.vocabulary[at] == pairs) if len(pairs) else np.zeros(0, np.int64)
-    seen = starts[hits]
+    which = np.searchsorted(templates.vocabulary, pairs)
+    which[which == len(templates.vocabulary)] = 0
+    hits = np.flatnonzero(templates.vocabulary[which] == pairs) if len(pairs) else np.zeros(0, np.int64)
+    which, seen = which[hits], starts[hits]
     whole, open_units = units(data, offsets), []
     for text, first, end in whole:
         # a unit that holds no bigram of any template has a coefficient of 0
@@ -154,17 +172,17 @@ def scan_block(templates: Templates, data: np.ndarray, offsets: np.ndarray) -> l
         a, b = np.searchsorted(starts, [first, end])
         if b - a == 1 or (k < len(seen) and seen[k] < end):
             best = templates.best(bigrams(hashes[a:b])) if b > a else None
+            base = int(offsets[text])
             if best:
-                base = int(offsets[text])
                 found[text].append({"license": best[0], "score": round(2 * best[1] / best[2], 6), "first": first - base, "end": end - base})
             else:
-                open_units.append((text, a, b))
-    for text, a, b in open_units:
+                open_units.append((text, a, b, first == base and end == offsets[text + 1]))
+    for text, a, b, around in open_units:
         base = int(offsets[text])
-        own = hits[np.searchsorted(hits, a) : np.searchsorted(hits, b - 1)] - a
-        for best, x, y in spans_within(templates, hashes[a:b], pairs[a : b - 1], own) if len(own) else ():
-            first, end = int(starts[a + x]) - base, int(ends[a + y - 1]) - base
-            if all(m["end"] <= first or m["first"] >= end for m in found[text]):
+        x, y = np.searchsorted(hits, [a, b - 1])
+        for best, first_word, end_word in spans_within(templates, hashes[a:b], hits[x:y] - a, which[x:y]) if y > x else ():
+            first, end = int(starts[a + first_word]) - base, int(ends[a + end_word - 1]) - base
+            if all(m["end"] <= first or m["first"] >= end or (around and first <= m["first"] and m["end"] <= end and m["end"] - m["first"] < end - first) for m in found[text]):
                 found[text].append({"license": best[0], "score": round(2 * best[1] / best[2], 6), "first": first, "end": end})
     return found
 

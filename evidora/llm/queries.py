@@ -51,10 +51,15 @@ def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def url_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, bad) of all pages, by a chain fitted on the labelled documents and by seed words."""
+    chain = toxicity.train(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), toxicity_categories())
+    return url_filter.page_labels(table(spark, sf_dir, "pages"), chain)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages are labelled by the row of `labels` with their number: toxic or of low quality is bad."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
-    judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+    """Pages are labelled by their own text and host."""
+    judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_labels(spark, sf_dir), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "bad_share")
 
 

@@ -16,26 +16,37 @@ A template's share of bad labelled pages is smoothed towards its host's, and
 that towards all hosts'; templates above `reject` are blocked.  An explicit rule
 that fits goes before the method's verdict.
 
+Labels can be made of the pages themselves (`page_labels`): a page is bad if a
+classifier chain finds its visible text toxic or of low quality, or if its host's
+name has a seed word.
+
 Defined results: a null address, or one without ``://``, has an empty host and an
-empty path and is judged as their template; repeated rows count as often as they
-come; of several labels for an id the highest counts, and null ones are left
-out; an empty table gives an empty one; other columns are kept.
+empty path and is judged as their template; very long addresses are read to their
+end; repeated rows count as often as they come; of several labels for an id the highest
+counts, and null ones are left out; a share equal to `reject` is allowed, and of rules
+that fit the longest wins, of equally long ones the last by name; an empty table gives an
+empty one; other columns are kept, and a column named as an output is replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import fresh, settle
+from .toxicity import Chain, score
 
-DEPTH = 2**31 - 1  # paths are read to their end
 MANY_CHILDREN = 12
 FEW_EACH = 4.0
 Z = 1.96
 STRENGTH = 10.0
 REJECT = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words in the names of hosts that are known to be bad.
+SEEDS = ["ads", "bets", "casino", "pills", "porn", "viagra"]
+UNSEEN = r"(?is)<!--.*?-->|<(script|style|nav|footer|noscript)\b.*?</\1\s*>|<[^>]*>|&[#\w]+;"
 ADDRESS = r"://([^/?#]*)([^?#]*)"
 
 
@@ -85,6 +96,7 @@ def template_tree(leaves: DataFrame) -> DataFrame:
         cut = now.withColumn("above", F.slice("template", 1, depth - 1)).withColumn("own", F.try_element_at("template", F.lit(depth)))
         nodes = settle(_sums(cut.where("own is not null"), "host", "above", "own"))
         places = nodes.groupBy("host", "above").agg(F.count("*").alias("children"), F.count_if(F.col("n") < FEW_EACH).alias("small"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+        places = settle(places)  # tables on both sides, so that the children of one place can be split
         both = nodes.join(places, ["host", "above"])
         rest_labelled, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         pooled = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1.0)
@@ -106,10 +118,19 @@ def judge_templates(tree: DataFrame, reject: float) -> DataFrame:
     top = total.select(((F.coalesce("total_bad", F.lit(0)) + 1.0) / (F.coalesce("total_labelled", F.lit(0)) + 2.0)).alias("top")).first()[0]
     hosts = _sums(tree, "host").select("host", ((F.col("bad") + STRENGTH * F.lit(top)) / (F.col("labelled") + STRENGTH)).alias("host_share"))
     share = (F.col("bad") + STRENGTH * F.col("host_share")) / (F.col("labelled") + STRENGTH)
-    judged = _sums(tree, "host", "template").join(hosts, "host").withColumn("share", share)
+    judged = settle(_sums(tree, "host", "template")).join(settle(hosts), "host").withColumn("share", share)
     return judged.select("host", "template", "labelled", "share", (F.col("share") > reject).alias("blocked"))
 
 
+def page_labels(pages: DataFrame, chain: Chain, seeds: list[str] = SEEDS, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(page_id, bad) of every page: by its visible text, where any category of the chain reaches its threshold, or by a seed word in its host's name."""
+    visible = F.regexp_replace(F.coalesce(F.col(f"`{html}`"), F.lit("")), UNSEEN, " ")
+    texts = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.split(host_of(F.col(f"`{url}`")), r"[.\-]").alias("names"), visible.alias("text"))
+    scored = score(texts, chain, rejected="toxic_text")
+    bad = reduce(lambda a, b: a | b, [F.col(f"p_{c}") >= t for c, t in zip(chain.categories, chain.thresholds)])
+    return scored.select("page_id", (bad | F.arrays_overlap("names", F.array(*map(F.lit, seeds)))).alias("bad"))
+
+
 def filter_urls(df: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], *, url: str = "url", page_id: str = "page_id", label_id: str = "page_id", bad: str = "bad", reject: float = REJECT) -> DataFrame:
     """Add host, path, rule, verdict, template and bad_share to each row; `labels` has (label_id, bad boolean)."""
     df = df.drop("host", "path", "rule", "verdict", "template", "bad_share")
@@ -124,6 +145,6 @@ def filter_urls(df: DataFrame, labels: DataFrame, rules: list[tuple[str, str]],
     found = tree.select("host", "segments", "template").join(judged, ["host", "template"])
     # the template in words only where the leaves are joined: a leaf is known by its host and segments
     found = found.select("host", F.col("segments").alias(own["segments"]), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.round("share", 6).alias("bad_share"), F.col("blocked").alias(own["blocked"]))
-    out = pages.join(found, ["host", own["segments"]], "left").withColumn(own["found"], fitting_rule(F.col("host"), F.col("path"), rules))
+    out = pages.join(settle(found), ["host", own["segments"]], "left").withColumn(own["found"], fitting_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col(f"{own['found']}.verdict"), F.when(F.col(own["blocked"]), F.lit("block")).otherwise(F.lit("allow")))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], "host", "path", F.col(f"{own['found']}.rule").alias("rule"), verdict.alias("verdict"), "template", "bad_share")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evidora.llm import chunk_dedup, lang_id, license_scan, toxicity, url_filter
+from evidora.llm import chunk_dedup, lang_id, license_scan, queries, toxicity, url_filter
 from evidora.llm.bytetext import text_bytes
 
 from .test_dedup import rand_text
@@ -89,6 +89,27 @@ def test_licenses(spark):
         lines = [x for x in (row.text or "").split("\n") if any(dice(x, t) >= 0.8 for _, t in license_scan.TEMPLATES)]
         assert len([m for m in row.licenses if b"\n" not in raw[m.first : m.end]]) == len(lines)
     assert license_scan.scan_licenses(df).where("doc_id = 65").first().licenses[0].license == "MIT"
+    assert license_scan.scan_licenses(df.limit(0)).count() == 0
+    twice = license_scan.scan_licenses(df.union(df)).groupBy("doc_id").agg(F.count_distinct(F.to_json(F.struct("licenses"))).alias("n"))
+    assert twice.where("n > 1").count() == 0
+
+
+def test_whole_licenses(spark):
+    r = random.Random(2)
+    whole = dict(license_scan.whole_licenses())
+    assert {"MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "BSD-3-Clause"} <= whole.keys() and len(whole["GPL-3.0"].split()) > 5000
+    texts = []
+    for name, text in whole.items():
+        words = text.split(" ")
+        for _ in range(len(words) // 50):
+            words[r.randrange(len(words))] = "other"
+        texts += [(name, " ".join(words)), (name, rand_text(r, 300) + "\n\n" + " ".join(words) + "\n\n" + rand_text(r, 100_000))]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    for row in license_scan.scan_licenses(df).collect():
+        name = texts[row.doc_id][0]
+        longest = max(row.licenses, key=lambda m: m.end - m.first)
+        unit = row.text.encode()[longest.first : longest.end].decode()
+        assert longest.license == name and math.isclose(longest.score, dice(unit, whole[name]), abs_tol=1e-6)
 
 
 # --- chunks
@@ -101,7 +122,8 @@ def brute_chunks(raw):
     for i, byte in enumerate(raw):
         h = ((h << 1) + codes[byte]) & (2**64 - 1)
         size = i + 1 - first
-        if (size >= chunk_dedup.LEAST and h & mask == 0) or size == chunk_dedup.MOST or i + 1 == len(raw):
+        enough = len(raw) - (i + 1) >= chunk_dedup.LEAST and ((size >= chunk_dedup.LEAST and h & mask == 0) or size == chunk_dedup.MOST)
+        if enough or i + 1 == len(raw):
             out.append((first, i + 1))
             first = i + 1
     return out
@@ -111,8 +133,8 @@ def test_chunks(spark):
     r = random.Random(8)
     shared = rand_text(r, 120)
     rows = [(i, rand_text(r, r.randint(1, 200)) + (shared if i % 3 == 0 else "") + rand_text(r, 20)) for i in range(30)]
-    rows += [(40, None), (41, ""), (42, rows[5][1]), (42, rows[5][1]), (None, rows[6][1]), (43, "x" * 3000)]
-    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, row string")
+    rows += [(50, "short"), (51, "short"), (52, rand_text(r, 100_000) + shared), (40, None), (41, ""), (42, rows[5][1]), (42, rows[5][1]), (None, rows[6][1]), (43, "x" * 3000)]
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, row string, removed_spans string")
     got = chunk_dedup.dedup_chunks(df).collect()
     home = {}
     order = sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0))
@@ -130,11 +152,11 @@ def test_chunks(spark):
                     runs[-1][1] = b
                 else:
                     runs.append([a, b])
-        runs = [x for x in runs if x[1] - x[0] >= chunk_dedup.RUN or x == [0, len(raw)]]
         want.append((d, len(brute_chunks(raw)), [tuple(x) for x in runs]))
     key = lambda x: tuple((v is not None, v or 0) for v in x[:2]) + (x[2],)
     assert sorted([(g.doc_id, g.n_chunks, [(s.first, s.end) for s in g.removed_spans]) for g in got], key=key) == sorted(want, key=key)
     assert any(g.removed_spans for g in got if g.doc_id in (3, 6, 9))
+    assert chunk_dedup.dedup_chunks(df.limit(0)).count() == 0
 
 
 def test_chunks_survive_an_insertion():
@@ -178,8 +200,6 @@ def brute_tree(rows):
             if s:
                 s = re.sub(r"(?i)(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{8,}", "{x}", s)
                 parts.append(re.sub(r"\d+", "{n}", s))
-        if len(parts) > url_filter.DEPTH:
-            parts = [*parts[: url_filter.DEPTH], "**"]
         n = leaves.setdefault((host, tuple(parts)), [0, 0, 0])
         n[0] += 1
         n[1] += bad is not None
@@ -195,8 +215,9 @@ def brute_tree(rows):
         new = {}
         for place, children in nodes.items():
             total = [sum(c[j] for c in children.values()) for j in range(3)]
-            variable = len(children) >= url_filter.MANY_CHILDREN and total[0] < url_filter.FEW_EACH * len(children)
+            small = sum(c[0] < url_filter.FEW_EACH for c in children.values())
             for own, c in children.items():
+                variable = small >= url_filter.MANY_CHILDREN and c[0] < url_filter.FEW_EACH
                 pooled = (total[2] + 0.5) / (total[1] + 1)
                 rest = [total[j] - c[j] for j in range(3)]
                 error = math.sqrt(pooled * (1 - pooled) * (1 / (c[1] + 1) + 1 / (rest[1] + 1)))
@@ -277,6 +298,30 @@ def test_deep_paths_differ_below_the_sixth_segment(spark):
     assert got[120].template.count("/") == 40
 
 
+def test_op4_on_the_given_pages(spark):
+    """The whole query against brute force: its labels, its tree and its rules."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    marks = {r.page_id: r.bad for r in queries.url_labels(spark, SF).collect()}
+    assert len(marks) == 250
+    rows = [(r.page_id, r.url) for r in pages.select("page_id", "url").collect()]
+    parsed = []
+    for i, url in rows:
+        m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+        parsed.append((m[1].lower() if m else "", m[2] if m else "", marks[i]))
+    _, tree = brute_tree(parsed)
+    got = {r.page_id: r for r in queries.op4_url_filter(spark, SF).collect()}
+    by_tree = 0
+    for (i, _), (host, path, _) in zip(rows, parsed):
+        rule, verdict = brute_rule(host, path, queries.URL_RULES)
+        template, share = tree[host, tuple(url_filter_segments(path))]
+        r = got[i]
+        by_tree += rule is None and share > url_filter.REJECT
+        assert (r.host, r.path, r.rule, r.template) == (host, path, rule, template) and math.isclose(r.bad_share, share, abs_tol=1e-6)
+        assert r.verdict == (verdict or ("block" if share > url_filter.REJECT else "allow"))
+    paths = {(h, tuple(url_filter_segments(p))) for h, p, _ in parsed}
+    assert by_tree > 0 and len({(r.host, r.template) for r in got.values()}) < len(paths) / 2
+
+
 def url_filter_segments(path):
     leaves, _ = brute_tree([("", path, None)])
     return next(iter(leaves))[1]
