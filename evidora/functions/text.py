@@ -20,6 +20,7 @@ class Tokenizer:
     least: int = 1
     stop: tuple[str, ...] = field(default=())
     digits_pass: bool = False  # a token with a digit may be shorter
+    most: int = 0  # most distinct tokens; 0 for all
 
     def all(self, text: Column) -> Column:
         """Tokens in order, with repeats; none for a null text."""
@@ -35,20 +36,32 @@ class Tokenizer:
 
     def distinct(self, text: Column) -> Column:
         """Tokens in the order of their first occurrence."""
-        return F.array_distinct(self.all(text))
+        found = F.array_distinct(self.all(text))
+        return F.slice(found, 1, self.most) if self.most else found
 
 
 # Stop words of the scorers and the context, title and diversity tokenisers (fixed values).
 SCORING_STOP = ("the", "and", "for", "with", "this", "that", "into", "under", "where", "when", "from", "between", "about", "case", "precedent")
 CORE_STOP = ("the", "and", "for", "with", "that", "this", "from", "into", "under", "where", "when", "case", "appeal", "application", "filed", "state", "order", "court", "high", "supreme", "condonation", "delay")
 
+CONTEXT_STOP = ("a", "an", "and", "or", "the", "to", "of", "in", "for", "with", "on", "at", "by", "from", "under", "into", "after", "before", "where", "when", "whether", "please", "kindly", "find", "show", "give", "cases", "case", "precedent", "precedents", "judgment", "judgments")
+KEYWORD_STOP = ("a", "an", "and", "or", "the", "to", "of", "in", "for", "with", "on", "at", "by", "from", "under", "into", "after", "before", "where", "when", "whether", "please", "find", "show", "give", "cases", "case", "precedent", "precedents", "judgment", "judgments")
+CONNECTOR_STOP = ("there", "their", "about", "between", "through", "based", "also", "anything", "found")
+TITLE_STOP = ("the", "and", "for", "with", "from", "this", "that", "case", "versus", "judgment", "order", "court", "india", "state", "application", "appeal")
+
 SCORING = Tokenizer(least=3, stop=SCORING_STOP)  # TOK-01
 RERANK = Tokenizer(least=3)  # TOK-02
 EMBEDDING = Tokenizer(least=2)  # TOK-03
 SIGNATURE = Tokenizer(least=2)  # TOK-07
 CORE = Tokenizer(least=5, stop=CORE_STOP)  # TOK-08
 REWRITE = Tokenizer(kept="a-z0-9()/\\-", least=2, digits_pass=True)  # TOK-06
+CONTEXT = Tokenizer(least=3, stop=CONTEXT_STOP)  # TOK-04
+KEYWORDS = Tokenizer(least=3, stop=KEYWORD_STOP + CONNECTOR_STOP)  # TOK-05
+TITLE = Tokenizer(least=3, stop=TITLE_STOP, most=10)  # TOK-09
 COACH = Tokenizer(kept="a-z0-9()", least=2)  # TOK-11
+GROUNDING = Tokenizer(kept="a-z0-9()/\\-", least=2)  # TOK-11
+ADVISORY = Tokenizer(least=2)  # TOK-11
+EVALUATION = Tokenizer(kept="a-z0-9()/\\-")  # TOK-11
 
 
 def let(value: Column, use) -> Column:

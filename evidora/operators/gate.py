@@ -1,8 +1,8 @@
-"""The proposition gate: signals, tiers, confidence (GAT-*, JOIN-05, JOIN-06, FLT-09..11, FLT-17, ORD-07, AGG-11).
+"""The proposition gate: signals, tiers, confidence (GAT-01, GAT-03..07, JOIN-05, JOIN-06, FLT-09..11, FLT-17, ORD-07, AGG-11).
 
 A checklist is data: axes, hook groups, relations between groups, an outcome,
 and steps.  Its terms become part of the plan, so one plan judges all candidates of a
-checklist; for a batch of queries the plans are united.
+checklist.  Checklists that are built from questions are columns of the rows instead: see checklists.py.
 """
 
 from __future__ import annotations
@@ -71,6 +71,16 @@ def has_term(text: Column, term: str) -> Column:
     return text.rlike(rf"(^|[^a-z0-9_]){re.escape(term)}([^a-z0-9_]|$)")
 
 
+def has_any(text: Column, terms: tuple[str, ...]) -> Column:
+    """Any of the terms is there: the words in one pass over the text, phrases as plain text."""
+    words = [re.escape(t) for t in terms if t and " " not in t]
+    out = text.rlike(rf"(^|[^a-z0-9_])(?:{'|'.join(words)})([^a-z0-9_]|$)") if words else F.lit(False)
+    for t in terms:
+        if " " in t:
+            out = out | F.contains(text, F.lit(t))
+    return out
+
+
 def contradicts(text: Column, term: str) -> Column:
     """The term is there and not negated (FLT-11)."""
     found = has_term(text, term)
@@ -91,12 +101,22 @@ def positions(text: Column, term: str) -> Column:
     return walked["out"]
 
 
+def starts(text: Column, terms: tuple[str, ...], most: int = POSITIONS) -> Column:
+    """Starts of the terms, of one after another, `most` in all."""
+    found = [F.when(F.contains(text, F.lit(t)), positions(text, t)).otherwise(F.array().cast("array<int>")) for t in terms]
+    return F.slice(F.concat(*found), 1, most) if found else F.array().cast("array<int>")
+
+
+def near_starts(left: Column, right: Column, window: int) -> Column:
+    """Some place of either list is within `window` characters of one of the other."""
+    return F.exists(left, lambda x: F.exists(right, lambda y: F.abs(x - y) <= window))
+
+
 def near(text: Column, left: tuple[str, ...], right: tuple[str, ...], window: int, most: int = POSITIONS) -> Column:
     """Some term of either list stands within `window` characters of one of the other (JOIN-06)."""
     if not left or not right:
         return F.lit(False)
-    at = lambda terms: F.slice(F.concat(*[positions(text, t) for t in terms]), 1, most)
-    return let(at(right), lambda b: F.exists(at(left), lambda x: F.exists(b, lambda y: F.abs(x - y) <= window)))
+    return let(starts(text, right, most), lambda b: near_starts(starts(text, left, most), b, window))
 
 
 def _all(parts: list[Column]) -> Column:
@@ -125,13 +145,17 @@ def signals(df: DataFrame, checklist: Checklist, *, text: str = "text", evidence
     t, e = F.col("_t"), F.col("_e")
     groups = {g.group_id: g for g in checklist.groups}
     required = [g for g in checklist.groups if g.required]
-    hooks = [sum((has_term(t, x).cast("int") for x in g.terms), F.lit(0)) >= g.min_match for g in required]
-    relations = [near(e, groups[a].terms, groups[b].terms, RELATION_WINDOW) for a, b in checklist.relations if a in groups and b in groups]
-    steps = [(s, near(t, s.left, s.right, CHAIN_WINDOW) if s.right else _any([has_term(t, x) for x in s.left])) for s in checklist.steps]
-    df = df.withColumns({f"_h{i}": x for i, x in enumerate(hooks)} | {f"_r{i}": x for i, x in enumerate(relations)} | {f"_s{i}": x for i, (_, x) in enumerate(steps)} | {f"_a{i}": _any([has_term(t, x) for x in terms]) for i, (_, terms, _) in enumerate(checklist.axes)})
+    hooks = [has_any(t, g.terms) if g.min_match <= 1 else sum((has_term(t, x).cast("int") for x in g.terms), F.lit(0)) >= g.min_match for g in required]
+    pairs = [(a, b) for a, b in checklist.relations if a in groups and b in groups]
+    # the places of a group are found once, for all its relations
+    related = {g: f"_p{i}" for i, g in enumerate(sorted({g for pair in pairs for g in pair}))}
+    df = df.withColumns({name: starts(e, groups[g].terms) for g, name in related.items()})
+    relations = [near_starts(F.col(related[a]), F.col(related[b]), RELATION_WINDOW) for a, b in pairs]
+    steps = [(s, near(t, s.left, s.right, CHAIN_WINDOW) if s.right else has_any(t, s.left)) for s in checklist.steps]
+    df = df.withColumns({f"_h{i}": x for i, x in enumerate(hooks)} | {f"_r{i}": x for i, x in enumerate(relations)} | {f"_s{i}": x for i, (_, x) in enumerate(steps)} | {f"_a{i}": has_any(t, terms) for i, (_, terms, _) in enumerate(checklist.axes)})
     h = [F.col(f"_h{i}") for i in range(len(hooks))]
     satisfied = _all([F.col(f"_r{i}") for i in range(len(relations))])
-    outcome = _any([has_term(e, x) for x in checklist.outcome])
+    outcome = has_any(e, checklist.outcome)
     against = _any([contradicts(e, x) for x in checklist.outcome_contradictions])
     outcome_ok = (outcome & ~against) if checklist.outcome_required else F.lit(True)
     df = df.withColumn("relation_satisfied", satisfied).withColumn("outcome_satisfied", outcome_ok).withColumn("contradiction", against | _any([contradicts(e, x) for x in checklist.contradictions]))
@@ -157,68 +181,119 @@ def signals(df: DataFrame, checklist: Checklist, *, text: str = "text", evidence
             "missing": F.filter(F.array(*[F.when(~x, F.lit(f"hook group:{g.group_id}")) for g, x in zip(required, h)], F.when(F.lit(interacts) & ~F.col("relation_satisfied"), F.lit("required hook interaction")), *[F.when(~F.col(f"_a{i}") & F.lit(r), F.lit(label)) for i, (label, _, r) in enumerate(checklist.axes)]), lambda m: m.isNotNull()),
         }
     )
-    return out.drop("_t", "_e", *[c for c in out.columns if re.fullmatch(r"_[hrsa]\d+", c)])
+    return out.drop("_t", "_e", *[c for c in out.columns if re.fullmatch(r"_[hrsap]\d+", c)])
 
 
-def threshold(n: int) -> float:
+def threshold(n: Column) -> Column:
     """Share of the required parts that a near miss has to have (GAT-04)."""
-    return {0: 1.0, 1: 1.0, 2: 0.5, 3: 2 / 3}.get(n, 0.75)
+    return F.when(n <= 1, 1.0).when(n == 2, 0.5).when(n == 3, 2 / 3).otherwise(0.75)
+
 
+def _sizes(checklist: Checklist | None, column: str) -> dict[str, Column]:
+    """What the gate has to know of a checklist, of a constant one or of the row's own."""
+    if checklist is not None:
+        n = {"hooks": sum(g.required for g in checklist.groups), "axes": sum(a[2] for a in checklist.axes), "must": sum(s.mandatory for s in checklist.steps), "side": sum(not s.mandatory for s in checklist.steps)}
+        flags = {"relations": bool(checklist.relations), "interacts": checklist.interaction_required, "outcome": checklist.outcome_required}
+        return {k: F.lit(v) for k, v in (n | flags).items()}
+    c = F.col(column)
+    count = lambda xs, test: F.size(F.filter(xs, test))
+    return {
+        "hooks": count(c["groups"], lambda g: g["required"]), "axes": count(c["axes"], lambda a: a["required"]), "must": count(c["steps"], lambda s: s["mandatory"]), "side": count(c["steps"], lambda s: ~s["mandatory"]),
+        "relations": F.size(c["relations"]) > 0, "interacts": c["interaction_required"], "outcome": c["outcome_required"],
+    }
 
-def gate(df: DataFrame, checklist: Checklist, *, strength: str = "context_strength", checked: str = "detail_checked") -> DataFrame:
-    """Add `tier`: exact_strict, exact_provisional, near_miss or reject, by an ordered decision list (GAT-03)."""
-    n_core = sum(g.required for g in checklist.groups) + bool(checklist.relations or checklist.interaction_required) + checklist.outcome_required + sum(s.mandatory for s in checklist.steps)
-    n_all = n_core + sum(a[2] for a in checklist.axes) + sum(not s.mandatory for s in checklist.steps)
-    least, core_least = threshold(n_all), max(0.65, threshold(n_core))
+
+def gate(df: DataFrame, checklist: Checklist | None = None, *, column: str = "checklist", strength: str = "context_strength", checked: str = "detail_checked") -> DataFrame:
+    """Add `tier`: exact_strict, exact_provisional, near_miss or reject, by an ordered decision list (GAT-03).
+
+    Without a constant checklist, each row's own is in `column`.
+    """
+    k = _sizes(checklist, column)
+    related = k["relations"] | k["interacts"]
+    n_core = k["hooks"] + related.cast("int") + k["outcome"].cast("int") + k["must"]
+    least, core_least = threshold(n_core + k["axes"] + k["side"]), F.greatest(F.lit(0.65), threshold(n_core))
     c = F.col
     context = F.coalesce(c(strength), F.lit(0)) if strength in df.columns else F.lit(0)
     verified = F.coalesce(c(checked), F.lit(False)) if checked in df.columns else F.lit(False)
     fine = ~c("contradiction")
-    hooks = [g for g in checklist.groups if g.required]
-    doctrinal = bool(hooks) or bool(checklist.relations) or checklist.interaction_required or checklist.outcome_required
+    doctrinal = (k["hooks"] > 0) | related | k["outcome"]
     complete = (c("core_coverage") >= 1) & (c("hook_coverage") >= 1) & c("relation_satisfied") & c("outcome_satisfied")
     strict = verified & fine & complete & (c("step_coverage") >= 1) & c("chain_satisfied") & (c("peripheral_coverage") >= 0.6)
     provisional = fine & complete & (c("step_coverage") >= F.when(verified, 1.0).otherwise(0.75))
-    single = fine & F.lit(len(hooks) == 1 and not checklist.outcome_required and not checklist.interaction_required and not checklist.relations) & (c("hook_coverage") >= 1) & (c("required_coverage") >= 0.5) & (c("core_coverage") >= 0.5) & (context >= 2)
+    single = fine & (k["hooks"] == 1) & ~k["outcome"] & ~related & (c("hook_coverage") >= 1) & (c("required_coverage") >= 0.5) & (c("core_coverage") >= 0.5) & (context >= 2)
     relaxed = fine & (c("core_coverage") >= 0.35) & (c("hook_coverage") >= 0.5) & (c("required_coverage") >= 0.35) & (c("step_coverage") >= 0.25) & (verified | (context >= 1)) & (c("outcome_satisfied") | (c("core_coverage") >= 0.6))
     close = (c("core_coverage") >= core_least) & (c("required_coverage") >= least)
-    supported = (context >= 2) & (c("required_coverage") >= max(0.4, least - 0.2)) & (c("core_coverage") >= max(0.35, core_least - 0.25)) & (c("hook_coverage") >= 0.5) & (c("outcome_satisfied") | (c("core_coverage") >= 0.65))
-    near_miss = F.lit(doctrinal) & fine & (close | supported)
-    return df.withColumn("tier", F.when(strict, "exact_strict").when(provisional | single | relaxed, "exact_provisional").when(near_miss, "near_miss").otherwise("reject"))
+    supported = (context >= 2) & (c("required_coverage") >= F.greatest(F.lit(0.4), least - 0.2)) & (c("core_coverage") >= F.greatest(F.lit(0.35), core_least - 0.25)) & (c("hook_coverage") >= 0.5) & (c("outcome_satisfied") | (c("core_coverage") >= 0.65))
+    near_miss = doctrinal & fine & (close | supported)
+    return df.withColumn("doctrinal", doctrinal).withColumn("tier", F.when(strict, "exact_strict").when(provisional | single | relaxed, "exact_provisional").when(near_miss, "near_miss").otherwise("reject"))
 
 
 #: Most confidence of a tier (fixed values).
 TIER_CAPS = {"exact_strict": 0.95, "exact_provisional": 0.70, "near_miss": 0.45, "reject": 0.5}
 
 
-def calibrate(df: DataFrame, *, score: str = "score", checked: str = "detail_checked") -> DataFrame:
-    """Add `confidence`: base and structure blended, adjusted, and capped by tier (GAT-06)."""
+def calibrate(df: DataFrame, *, score: str = "score", checked: str = "detail_checked", sentences: str = "evidence_quality") -> DataFrame:
+    """Add `confidence`: base and structure blended, adjusted, and capped by tier (GAT-06).
+
+    `sentences`, if there, is a struct of what the detail text's sentences show (html.evidence_quality).
+    """
     c = F.col
+    yes = lambda name: c(name) if name in df.columns else F.lit(True)
+    shows = lambda name: F.coalesce(c(f"{sentences}.{name}"), F.lit(False)) if sentences in df.columns else F.lit(False)
     verified = F.coalesce(c(checked), F.lit(False)) if checked in df.columns else F.lit(False)
-    structure = c("core_coverage") * 0.34 + c("step_coverage") * 0.22 + F.when(c("chain_satisfied"), 0.1).otherwise(0.0) + c("hook_coverage") * 0.12 + F.when(c("relation_satisfied"), 0.08).otherwise(0.0) + F.when(c("outcome_satisfied"), 0.08).otherwise(0.0) + c("peripheral_coverage") * 0.06
-    value = clamp(c(score) * 0.45 + structure * 0.55)
-    value = value - F.when(verified, 0.0).otherwise(0.06) - F.when(c("chain_satisfied"), 0.0).otherwise(0.12) - F.when(c("relation_satisfied"), 0.0).otherwise(0.03) - F.when(c("outcome_satisfied"), 0.0).otherwise(0.04)
-    value = clamp(value - F.when(c("polarity_mismatch"), 0.16).otherwise(0.0) - F.when(c("contradiction"), 0.25).otherwise(0.0))
+    plus = lambda condition, w: F.when(condition, w).otherwise(0.0)
+    structure = c("core_coverage") * 0.34 + c("step_coverage") * 0.22 + plus(c("chain_satisfied"), 0.1) + c("hook_coverage") * 0.12 + plus(c("relation_satisfied"), 0.08) + plus(c("outcome_satisfied"), 0.08) + c("peripheral_coverage") * 0.06
+    value = clamp(c(score) * 0.45 + structure * 0.55) - plus(~verified, 0.06)
+    value = value + plus(shows("role"), 0.02) + plus(shows("chain"), 0.02) + plus(shows("relation"), 0.03) + plus(shows("polarity"), 0.03) + plus(shows("hook_intersection"), 0.03)
+    value = value - plus(~yes("role_satisfied"), 0.12) - plus(~yes("proceeding_satisfied"), 0.08) - plus(~c("chain_satisfied"), 0.12)
+    value = value - plus(~shows("relation") & ~c("relation_satisfied"), 0.03) - plus(~shows("polarity") & ~c("outcome_satisfied"), 0.04)
+    value = clamp(value - plus(c("polarity_mismatch"), 0.16) - plus(c("contradiction"), 0.25))
     cap = F.lit(0.5)
     for tier, most in TIER_CAPS.items():
         cap = F.when(c("tier") == tier, most).otherwise(cap)
+    if sentences in df.columns:  # only what its sentences bear out in all ways is sure
+        sure = (c("tier") == "exact_strict") & verified & shows("role") & shows("chain") & shows("relation") & shows("polarity") & shows("hook_intersection")
+        cap = F.when(sure, cap).otherwise(F.least(cap, F.lit(TIER_CAPS["exact_provisional"])))
     cap = F.when(verified, cap).otherwise(F.least(cap, F.lit(0.55)))
     return df.withColumn("confidence", F.round(F.least(value, cap), 3)).withColumn("saturated", value > cap)
 
 
-def split_tiers(df: DataFrame, *, group: str = "query_id", key: str = "doc_id", needed: int = 3) -> DataFrame:
-    """Rows with `shown` tier: exact ones as they are, near misses, and rejects that back-fill groups with few results (GAT-07, ORD-07).
+def split_tiers(df: DataFrame, *, group: str = "query_id", key: str = "doc_id", checked: str = "detail_checked", unverified: int = 8, related: int = 4, promoted: int = 3) -> DataFrame:
+    """Rows with their `shown` tier, after three passes that back-fill groups with few results (GAT-07, ORD-07).
 
-    Back-filled rows are the best rejects without contradiction, as many as `needed` lacks.
+    exact ones and near misses are shown as they are.  Of the rejects without contradiction,
+    1. where nothing is exact or near, up to `unverified` whose detail was not checked are shown as `unverified`;
+    2. where fewer than `related` are near by now, the best others as `related`, as many as lack;
+    3. where fewer than `promoted` are exact, the best as `promoted`, as many as lack; this goes before the other two.
+    Each pass has its own order of strength; ties go by key.
     """
+    c = F.col
     w = Window.partitionBy(group)
-    have = F.count_if(F.col("tier") != "reject").over(w)
-    eligible = (F.col("tier") == "reject") & ~F.col("contradiction") & ((F.col("required_coverage") >= 0.25) | (F.col("core_coverage") >= 0.25))
-    strength = F.round(F.col("required_coverage") + 0.35 * F.col("confidence"), 6)
-    rows = df.withColumn("_have", have).withColumn("_fill", eligible).withColumn("_strength", strength)
-    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(group, "_fill").orderBy(F.desc("_strength"), F.asc(key))))
-    shown = F.when(F.col("tier") != "reject", F.col("tier")).when(F.col("_fill") & (F.col("_place") <= needed - F.col("_have")), F.lit("backfill"))
-    return rows.withColumn("shown", shown).drop("_have", "_fill", "_strength", "_place")
+    verified = F.coalesce(c(checked), F.lit(False)) if checked in df.columns else F.lit(False)
+    exact, close = c("tier").isin("exact_strict", "exact_provisional"), c("tier") == "near_miss"
+    reject = (c("tier") == "reject") & ~c("contradiction")
+    some = lambda need, core, hook: (c("required_coverage") >= need) | (c("core_coverage") >= core) | (c("hook_coverage") >= hook)
+    fits = ~c("polarity_mismatch")
+    loosely = fits | ((c("required_coverage") >= 0.3) & (c("core_coverage") >= 0.3) & (c("hook_coverage") >= 0.4))
+    doctrinal = c("doctrinal") if "doctrinal" in df.columns else F.lit(True)
+    strength = lambda a, b, h, o, minus, conf: F.round(c("required_coverage") * a + c("core_coverage") * b + c("hook_coverage") * h + F.when(c("outcome_satisfied"), o).otherwise(0.0) - F.when(c("polarity_mismatch"), minus).otherwise(0.0) + c("confidence") * conf, 6)
+    rows = df.withColumns({"_exact": F.count_if(exact).over(w), "_near": F.count_if(close).over(w)})
+    place = lambda able, order: F.when(able, F.row_number().over(Window.partitionBy(group, able).orderBy(F.desc(order), F.asc(key))))
+    passes = {
+        "_1": (reject & ~verified & fits & doctrinal & some(0.25, 0.2, 2.0), strength(0.45, 0.35, 0.1, 0.1, 0.0, 0.4)),
+        "_2": (reject & loosely & some(0.25, 0.25, 0.4), strength(0.4, 0.35, 0.15, 0.12, 0.08, 0.35)),
+        "_3": (reject & fits & some(0.3, 0.3, 0.5), strength(0.4, 0.35, 0.15, 0.1, 0.0, 0.35)),
+    }
+    rows = rows.withColumns({f"{n}s": order for n, (_, order) in passes.items()} | {f"{n}a": F.coalesce(able, F.lit(False)) for n, (able, _) in passes.items()})
+    rows = rows.withColumn("_3p", place(c("_3a"), "_3s")).withColumn("_1p", place(c("_1a"), "_1s"))
+    third = F.coalesce(c("_3p") <= promoted - c("_exact"), F.lit(False))
+    first = F.coalesce((c("_exact") == 0) & (c("_near") == 0) & (c("_1p") <= unverified), F.lit(False))
+    rows = rows.withColumns({"_third": third, "_first": first})
+    rows = rows.withColumn("_2a", c("_2a") & ~c("_first")).withColumn("_2p", place(c("_2a"), "_2s")).withColumn("_near", c("_near") + F.count_if(c("_first")).over(w))
+    second = F.coalesce(c("_2p") <= related - c("_near"), F.lit(False))
+    shown = F.when(c("tier") != "reject", c("tier")).when(c("_third"), F.lit("promoted")).when(c("_first"), F.lit("unverified")).when(second, F.lit("related"))
+    out = rows.withColumn("shown", shown)
+    return out.select(*df.columns, "shown")
 
 
 def gate_summary(df: DataFrame, *, group: str = "query_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
 
+# Entities, and marks of pages that hold content back (fixed values).
 ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&#39;", "'"), ("&quot;", '"')]
 BREAK_ENTITIES = [*ENTITIES, ("&lt;", "<"), ("&gt;", ">")]
 BLOCK_END = r"(?i)</(?:p|div|blockquote|pre|li|h[1-6]|tr|td)>|<br\s*/?>"
@@ -18,6 +19,7 @@ CUES = {
     "role": "appellant|respondent|petitioner|accused|state of|government|prosecution|filed appeal|preferred appeal",
     "chain": "condonation of delay|delay condonation|application for condonation|not condoned|barred by limitation",
 }
+# Marks of a challenge page (fixed values).
 CHALLENGE = ["attention required", "just a moment", "cf-chl", "cloudflare", "cdn-cgi/challenge-platform", "__cf_chl", "cf-turnstile", "cf_clearance", "checking your browser", "verify you are human"]
 
 

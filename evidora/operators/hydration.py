@@ -71,10 +71,11 @@ def needs_fragment(snippet: Column, source: Column) -> Column:
 
 def hydration_report(df: DataFrame, *, most: int = 8) -> DataFrame:
     """Coverage of detail texts, errors of each code, and a few of them (AGG-20)."""
+    total = df.agg(F.round(F.avg((F.col("detail_text").isNotNull()).cast("int")), 3).alias("coverage"))
     bad = df.where("error_code is not null")
     codes = bad.groupBy("error_code").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("doc_id")), 1, most).alias("samples"))
-    total = df.agg(F.round(F.avg((F.col("detail_text").isNotNull()).cast("int")), 3).alias("coverage"))
-    return codes.crossJoin(F.broadcast(total))
+    # one row of totals, and the codes where there are any
+    return total.join(codes, F.lit(True), "left").select("error_code", F.coalesce("n", F.lit(0)).alias("n"), "samples", "coverage")
 
 
 def promoted(df: DataFrame, *, group: str = "query_id", fetched: str = "fetched", least: int = 20) -> DataFrame:

@@ -1,14 +1,20 @@
-"""Ingestion: normalise, de-duplicate, segment, pack chunks, embed (PAR-01..08, EMB-01, SET-02, SRC-11, SRC-21)."""
+"""Ingestion: normalise, de-duplicate, segment, pack chunks, embed (PAR-01..08, EMB-01, EMB-02, SET-02, SRC-11, SRC-21)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.hashing import fnv1a
-from ..functions.text import EMBEDDING, clamp, ordered_distinct, squeeze
+from ..functions.text import EMBEDDING, clamp, let, ordered_distinct, squeeze
 
+# Patterns and words of the normaliser (fixed values).
 SECTION = r"(?i)\bsection\s*\d+[a-z]?(?:\([0-9a-z]+\))*"
 CITATION = r"(?i)\b\d{4}\s+\w+\s+\d+\b|\bAIR\s+\d{4}\b"
 MARKERS = r"(?i)\b(?:Para|Paragraph|Section|Held|Issue|Facts)\b"
@@ -115,6 +121,13 @@ def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
 
 
+def first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The same by a grouped aggregation, for rows that are small: the order's columns have to be comparable."""
+    others = [c for c in df.columns if c not in keys and c not in order]
+    best = F.min(F.struct(*order, *others)).alias("_row")
+    return df.groupBy(*keys).agg(best).select(*keys, "_row.*").select(df.columns)
+
+
 def segments(text: Column) -> Column:
     """Sentences, and parts that begin with a marker word (PAR-07)."""
     marked = F.regexp_replace(squeeze(text), MARKERS, "\n$0")
@@ -131,66 +144,144 @@ def pack_chunks(parts: Column, least: int = 450, most: int = 1400) -> Column:
     least = max(220, least)
     most = max(least + 120, most)
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"))
+    put = lambda out, now: F.struct(out.alias("out"), now.alias("now"))
 
     def step(acc: Column, part: Column) -> Column:
-        joined = F.trim(F.concat(acc["now"], F.lit(" "), part))
-        tied = part.rlike(SECTION) | part.rlike(CITATION)
-        put = lambda out, now: F.struct(out.alias("out"), now.alias("now"))
-        pushed = lambda value: F.when(squeeze(value) != "", F.array_append(acc["out"], squeeze(value))).otherwise(acc["out"])
-        return (
-            F.when(acc["now"] == "", put(acc["out"], part))
-            .when(F.length(joined) <= most, put(acc["out"], joined))
-            .when(tied & (F.length(acc["now"]) < least), put(pushed(F.left(joined, F.lit(most))), F.trim(F.substring(joined, most + 1, 1 << 30))))
-            .otherwise(put(pushed(acc["now"]), part))
-        )
+        # parts have single blanks only, so what is joined needs no squeezing, and only cuts need trimming
+        def placed(joined: Column) -> Column:
+            cut = put(F.array_append(acc["out"], F.trim(F.left(joined, F.lit(most)))), F.trim(F.substring(joined, most + 1, 1 << 30)))
+            full = part["tied"] & (F.length(acc["now"]) < least)
+            return F.when(F.length(joined) <= most, put(acc["out"], joined)).when(full, cut).otherwise(put(F.array_append(acc["out"], acc["now"]), part["p"]))
 
-    return F.aggregate(parts, zero, step, lambda acc: F.when(squeeze(acc["now"]) != "", F.array_append(acc["out"], squeeze(acc["now"]))).otherwise(acc["out"]))
+        return F.when(acc["now"] == "", put(acc["out"], part["p"])).otherwise(let(F.concat(acc["now"], F.lit(" "), part["p"]), placed))
+
+    marked = F.transform(parts, lambda p: F.struct(p.alias("p"), (p.rlike(SECTION) | p.rlike(CITATION)).alias("tied")))
+    return F.aggregate(marked, zero, step, lambda acc: F.when(acc["now"] != "", F.array_append(acc["out"], acc["now"])).otherwise(acc["out"]))
 
 
 def chunk_documents(docs: DataFrame, least: int = 450, most: int = 1400, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each chunk: the document's columns, chunk_id, chunk_ix and the chunk's text; a text without any gives itself."""
-    packed = pack_chunks(segments(F.col(text)), least, most)
-    made = docs.withColumn("_chunks", F.when(F.size(packed) > 0, packed).otherwise(F.array(F.coalesce(F.col(text), F.lit("")))))
+    packed = let(pack_chunks(segments(F.col(text)), least, most), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(F.coalesce(F.col(text), F.lit("")))))
+    made = docs.withColumn("_chunks", packed)
     others = [c for c in docs.columns if c != text]
     rows = made.select(*others, F.posexplode("_chunks").alias("chunk_ix", text))
     return rows.withColumn("chunk_id", F.concat(F.col(doc_id).cast("string"), F.lit("#c"), F.lpad((F.col("chunk_ix") + 1).cast("string"), 4, "0")))
 
 
+def _token_hashes(tokens: list[str]) -> np.ndarray:
+    """The FNV-1a hash of each token of ASCII letters and digits."""
+    h = np.full(len(tokens), 2166136261, np.uint64)
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    table = np.zeros((len(tokens), int(sizes.max(initial=0))), np.uint8)
+    table[np.repeat(np.arange(len(tokens)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.frombuffer("".join(tokens).encode("ascii"), np.uint8)
+    for k in range(table.shape[1]):
+        some = sizes > k
+        h[some] = ((h[some] ^ table[some, k]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    return h
+
+
+def _embedded(tokens: pa.Array, dim: int, independent_sign: bool) -> np.ndarray:
+    """The unit vectors of rows of tokens, as a matrix."""
+    n = len(tokens)
+    row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    coded = tokens.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    h = _token_hashes(words)
+    sign = np.where(((h >> np.uint64(16)) if independent_sign else h) % np.uint64(2) == 0, 1.0, -1.0)
+    weight = sign * np.minimum(3.2, 1 + np.array([len(w) for w in words], float) / 12.0)
+    bucket = (h % np.uint64(dim)).astype(np.int64)
+    raw = np.bincount(row * dim + bucket[code], weights=weight[code], minlength=n * dim).astype(float).reshape(n, dim)
+    norm = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+    return np.round(np.divide(raw, norm, out=raw.copy(), where=norm > 0), 7)
+
+
+EMBED_ROWS = 4096
+
+
 def hash_embedding(df: DataFrame, *, row_id: str, text: str = "text", dim: int = 192, independent_sign: bool = False) -> DataFrame:
-    """(row_id, bucket, value): the sparse unit vector of hashed tokens (EMB-01).
+    """(row_id, bucket, value): the sparse unit vector of each row's hashed tokens (EMB-01).
 
     A token adds its weight to bucket hash % dim with the sign of the hash's parity;
     dim being even, the sign follows the bucket (D4).  `independent_sign` takes the sign from another bit.
+    A row's tokens are together, so nothing is shuffled: Spark cuts tokens, an Arrow function hashes a batch's distinct ones and adds up.
+    Buckets that a row's tokens touch are told, also where their weights cancel out.
     """
-    tokens = df.select(F.col(row_id), F.explode(EMBEDDING.all(F.col(text))).alias("token"))
-    counts = tokens.groupBy(row_id, "token").count()
-    h = fnv1a(F.col("token"))
-    sign_bit = F.shiftright(F.col("h"), 16) if independent_sign else F.col("h")
-    sign = F.when(sign_bit % 2 == 0, 1.0).otherwise(-1.0)
-    weight = F.least(F.lit(3.2), 1 + F.length("token") / 12.0)
-    buckets = counts.withColumn("h", h).groupBy(row_id, (F.col("h") % dim).alias("bucket")).agg(F.sum(sign * weight * F.col("count")).alias("raw"))
-    norms = buckets.groupBy(row_id).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return buckets.join(norms, row_id).select(row_id, "bucket", F.round(F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(F.col("raw")), 7).alias("value"))
+    kind = df.schema[row_id].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, EMBED_ROWS):
+                part = batch.slice(at, EMBED_ROWS)
+                made = _embedded(part.column(1), dim, independent_sign)
+                touched = _embedded_touch(part.column(1), dim)
+                row, bucket = np.nonzero(touched)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(bucket), pa.array(made[row, bucket])], names=[row_id, "bucket", "value"])
+
+    return df.select(row_id, EMBEDDING.all(F.col(text)).alias("tokens")).mapInArrow(run, T.StructType([T.StructField(row_id, kind), T.StructField("bucket", T.LongType()), T.StructField("value", T.DoubleType())]))
 
 
-def dense_embedding(text: Column, dim: int = 192) -> Column:
-    """The same vector as a dense array, one expression for each row and no shuffle."""
-    tokens = F.transform(EMBEDDING.all(text), lambda t: F.struct(fnv1a(t).alias("h"), F.least(F.lit(3.2), 1 + F.length(t) / 12.0).alias("w")))
-    zero = F.array_repeat(F.lit(0.0), dim)
+def _embedded_touch(tokens: pa.Array, dim: int) -> np.ndarray:
+    n = len(tokens)
+    row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    coded = tokens.flatten().dictionary_encode()
+    bucket = (_token_hashes(coded.dictionary.to_pylist()) % np.uint64(dim)).astype(np.int64)
+    out = np.zeros((n, dim), bool)
+    out[row, bucket[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]] = True
+    return out
 
-    def add(acc: Column, t: Column) -> Column:
-        at = (t["h"] % dim).cast("int")
-        value = F.get(acc, at) + F.when(t["h"] % 2 == 0, t["w"]).otherwise(-t["w"])
-        return F.concat(F.slice(acc, F.lit(1), at), F.array(value), F.slice(acc, at + 2, F.lit(dim)))
 
-    raw = F.aggregate(tokens, zero, add)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(raw, lambda x: F.round(x / norm, 7))).otherwise(raw)
+def embed(df: DataFrame, *, text: str = "text", out: str = "vector", dim: int = 192) -> DataFrame:
+    """Add the dense hashed unit vector of a text (EMB-01); a null text has the zero vector."""
+    names = df.columns
+    position = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, EMBED_ROWS):
+                part = batch.slice(at, EMBED_ROWS)
+                made = _embedded(part.column(position), dim, False)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * dim), pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:position], vectors], names=[*names, out])
+
+    rows = df.withColumn("_tokens", EMBEDDING.all(F.col(text)))
+    return rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
+
+def answered_vector(answer: Column) -> Column:
+    """The unit vector of a model's JSON answer, in any of its usual shapes; null if it has none (EMB-02)."""
+    one = F.from_json(answer, "struct<embedding: array<double>>")["embedding"]
+    many = F.get(F.from_json(answer, "struct<embeddings: array<array<double>>>")["embeddings"], F.lit(0))
+    data = F.get(F.from_json(answer, "struct<data: array<array<double>>>")["data"], F.lit(0))
+    whole = lambda v: F.when((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull()), v)
+
+    def unit(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return let(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: F.round(x / n, 7))).otherwise(v))
+
+    return let(F.coalesce(whole(one), whole(many), whole(data)), unit)
+
+
+def embed_with_model(df: DataFrame, *, text: str = "text", out: str = "vector", passage: bool = True, dim: int = 192) -> DataFrame:
+    """Add the vector of a registered embedding model, or the hashed one where there is no model or no usable answer (EMB-02).
+
+    The model is the hook `embedding` of planning.register_model: it gets the request as JSON and gives its answer as JSON.  It is asked in
+    the plain form first, then in the batch form.
+    """
+    from .planning import model
+
+    made = embed(df, text=text, out=out, dim=dim)
+    plain = F.to_json(F.struct(F.col(text).alias("inputText")))
+    batch = F.to_json(F.struct(F.array(text).alias("texts"), F.lit("search_document" if passage else "search_query").alias("input_type"), F.lit("END").alias("truncate")))
+    first, second = model("embedding", plain), model("embedding", batch)
+    return made if first is None else made.withColumn(out, F.coalesce(answered_vector(first), answered_vector(second), F.col(out)))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Old rows whose key is not among the new ones, and the new ones (SRC-11)."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """Old rows whose key is not among the new ones, and the new ones, one for each key (SRC-11)."""
+    others = [F.col(f"`{c}`") for c in new.columns if c != key]
+    one = new.groupBy(key).agg(F.max(F.struct(*others)).alias("_row")).select(key, "_row.*").select(new.columns)
+    return old.join(one.select(key), key, "left_anti").unionByName(one, allowMissingColumns=True)
 
 
 def bounded(k: Column, low: int, high: int) -> Column:

@@ -112,3 +112,20 @@ def early_stop(phases: DataFrame, *, group: str = "query_id", order: str = "phas
 def run_status(stop_reason: Column, n_results: Column) -> Column:
     """completed, partial, blocked or no_match (FBK-05)."""
     return F.when(stop_reason == "blocked", "blocked").when(n_results <= 0, "no_match").when(stop_reason.isin("budget_exhausted", "timeout"), "partial").otherwise("completed")
+
+
+def lane_stats(rows: DataFrame, *, group: str = "query_id") -> DataFrame:
+    """What strict variants retrieved, what of it was accepted and rejected, and what is related (AGG-21): rows with strict_hits, tier and shown."""
+    retrieved, accepted = F.count_if(F.col("strict_hits") > 0), F.count_if(F.col("tier").isin("exact_strict", "exact_provisional"))
+    return rows.groupBy(group).agg(
+        F.greatest(retrieved, accepted).alias("strict_retrieved"),
+        accepted.alias("strict_accepted"),
+        F.greatest(F.lit(0), retrieved - accepted).alias("strict_rejected"),
+        F.count_if(F.col("shown").isin("near_miss", "unverified", "related")).alias("related_accepted"),
+    )
+
+
+def running_counts(rows: DataFrame, value: str, *, group: str = "query_id", order: str = "rank") -> DataFrame:
+    """Add `running`, how often a row's value has come so far in its group (AGG-22)."""
+    w = Window.partitionBy(group, value).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("running", F.count("*").over(w))

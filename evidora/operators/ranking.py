@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.text import CORE, RERANK, Tokenizer, clamp, overlap_ratio
@@ -37,11 +44,100 @@ def token_overlap(queries: DataFrame, docs: DataFrame, *, tokenizer: Tokenizer =
     return hits.select("query_id", "doc_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("score"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+INDEX_TOKENS = 1 << 20
+#: The order of each list that overlap_lists can keep: (column, direction), the first of equal rows last.
+BEST = {"score": [("score", "descending"), ("doc_id", "ascending")], "shared": [("shared", "descending"), ("doc_id", "descending")]}
 
 
-QUERY_BLOCK = 512
+def _question_blocks(queries: DataFrame, tokenizer: Tokenizer) -> Iterator[tuple[list, np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, sizes, token starts, tokens, questions) of blocks of at most INDEX_TOKENS tokens: an inverted index of stated questions.
+
+    A block is what is held on the driver and sent to the tasks at once: a few MB.
+    """
+    held: list[tuple] = []
+    n = 0
+
+    def index() -> tuple:
+        ids = [q for q, _ in held]
+        sizes = np.array([len(t) for _, t in held], np.int64)
+        tokens = pa.array([t for _, ts in held for t in ts], pa.string())
+        coded = tokens.dictionary_encode() if len(tokens) else pa.array([], pa.string()).dictionary_encode()
+        code, owner = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(held)), sizes)
+        order = np.lexsort((owner, code))
+        begins = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+        return ids, sizes, begins, coded.dictionary, owner[order]
+
+    for row in queries.select("query_id", tokenizer.distinct(F.col("text")).alias("tokens")).toLocalIterator():
+        if held and n + len(row["tokens"]) > INDEX_TOKENS:
+            yield index()
+            held, n = [], 0
+        held.append((row["query_id"], row["tokens"]))
+        n += len(row["tokens"])
+    if held:
+        yield index()
+
+
+def overlap_lists(queries: DataFrame, docs: DataFrame, lists: dict[str, int], *, tokenizer: Tokenizer = RERANK) -> DataFrame:
+    """(list, query_id, doc_id, shared, score, rank): for each list, the k documents that come first in its order (BEST) for each question.
+
+    The questions are stated ones; blocks of them go to the tasks as an inverted index of bounded size.
+    All tokens of a document are in one row, so counting needs no shuffle: tokens are cut by Spark, and a
+    task counts its batch's by the index and keeps k rows a question and list.  Only those are dealt by question.
+    """
+    kind = queries.schema["query_id"].dataType
+    own = docs.select("doc_id", tokenizer.distinct(F.col("text")).alias("tokens"))
+    schema = T.StructType([T.StructField("list", T.StringType()), T.StructField("query_id", kind), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("shared", T.LongType()), T.StructField("score", T.DoubleType())])
+    id_type = to_arrow_type(kind)
+    out = None
+    for ids, sizes, begins, vocabulary, owner in _question_blocks(queries, tokenizer):
+        shared_index = docs.sparkSession.sparkContext.broadcast((ids, sizes, begins, vocabulary, owner))
+
+        def run(batches: Iterator[pa.RecordBatch], shared_index=shared_index) -> Iterator[pa.RecordBatch]:
+            ids, sizes, begins, vocabulary, owner = shared_index.value
+            names = pa.array(ids, id_type)
+            best: dict[str, pa.Table | None] = dict.fromkeys(lists)
+            for batch in batches:
+                tokens = batch.column(1)
+                row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+                found = pc.index_in(tokens.flatten(), value_set=vocabulary)
+                known = found.is_valid().to_numpy(zero_copy_only=False)
+                code, row = found.drop_null().to_numpy().astype(np.int64), row[known]
+                many = begins[code + 1] - begins[code]
+                at = np.repeat(begins[code] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                pairs, n = np.unique(np.repeat(row, many) * len(ids) + owner[at], return_counts=True)
+                doc, query = pairs // len(ids), pairs % len(ids)
+                score = np.floor(n / sizes[query] * 1e6 + 0.5) / 1e6
+                table = pa.table({"query": query, "doc_id": batch.column(0).take(pa.array(doc)), "shared": n.astype(np.int64), "score": score})
+                for name, k in lists.items():
+                    both = table if best[name] is None else pa.concat_tables([best[name], table])
+                    both = both.sort_by([("query", "ascending"), *BEST[name]])
+                    q = both["query"].to_numpy()
+                    place = np.arange(len(q)) - np.searchsorted(q, q)
+                    best[name] = both.filter(pa.array(place < k))
+            for name, table in best.items():
+                if table is not None and table.num_rows:
+                    yield from table.select(["doc_id", "shared", "score"]).add_column(0, "query_id", names.take(table["query"].combine_chunks())).add_column(0, "list", pa.array([name] * table.num_rows)).to_batches()
+
+        kept = own.mapInArrow(run, schema)
+        out = kept if out is None else out.union(kept)
+    if out is None:
+        out = own.sparkSession.createDataFrame([], schema)
+    ranked = []
+    for name, k in lists.items():
+        order = [(F.desc if way == "descending" else F.asc)(column) for column, way in BEST[name]]
+        ranked.append(top_within(out.where(F.col("list") == name), ["list", "query_id"], order, k))
+    rows = ranked[0]
+    for more in ranked[1:]:
+        rows = rows.union(more)
+    return rows
+
+
+def overlap_top(queries: DataFrame, docs: DataFrame, k: int, *, tokenizer: Tokenizer = RERANK) -> DataFrame:
+    """(query_id, doc_id, shared, score, rank): the k documents that share most of each question's tokens (WIN-01, ORD-04)."""
+    return overlap_lists(queries, docs, {"score": k}, tokenizer=tokenizer).drop("list")
+
+
+QUERY_BLOCK = 4096
 
 
 def vector_top_k(queries: DataFrame, store: DataFrame, k: int, *, where: Column | None = None, cap: int = 80) -> DataFrame:
@@ -49,25 +145,55 @@ def vector_top_k(queries: DataFrame, store: DataFrame, k: int, *, where: Column
 
     queries: (query_id, vector); store: (id, vector, ...).  k is held in 1..cap.
     A payload filter reaches the scan.  The stated queries go to the tasks in blocks
-    of QUERY_BLOCK, each one row of bounded size; every task keeps k rows a query before
-    anything is shuffled.
+    of QUERY_BLOCK vectors; a task multiplies its batch with the block and keeps k rows a query before
+    anything is shuffled.  Vectors of another length than the query's score as if the shorter one ended with zeros.
     """
     k = max(1, min(cap, k))
     rows = (store if where is None else store.where(where)).select("id", F.col("vector").cast("array<double>").alias("v"))
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    marked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    if blocks > 1:
-        marked = marked.withColumn("block", F.ntile(blocks).over(Window.orderBy("query_id")))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", store.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v"))
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
     out = None
-    for b in range(1, blocks + 1):
-        own = marked if blocks == 1 else marked.where(F.col("block") == b)
-        held = own.agg(F.collect_list(F.struct("query_id", "vector")).alias("held"))
-        pairs = rows.crossJoin(F.broadcast(held)).select("id", "v", F.explode("held").alias("q"))
-        scored = pairs.select("q.query_id", "id", F.round(dot(F.col("v"), F.col("q.vector")), 6).alias("score"))
-        best = top_within(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
-        out = best if out is None else out.union(best)
-    return out
+
+    def dense(column: pa.Array, width: int) -> np.ndarray:
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = pc.fill_null(column.flatten(), 0.0).to_numpy(zero_copy_only=False)
+        made = np.zeros((len(sizes), max(width, int(sizes.max(initial=0)))))
+        made[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+        return made
+
+    def kept(block: list[tuple]) -> DataFrame:
+        width = max((len(v or ()) for _, v in block), default=0)
+        shared = store.sparkSession.sparkContext.broadcast(([q for q, _ in block], dense(pa.array([v for _, v in block], pa.list_(pa.float64())), width)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, asked = shared.value
+            best = None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    product = asked @ dense(part.column(1), asked.shape[1])[:, : asked.shape[1]].T
+                    score = np.sign(product) * np.floor(np.abs(product) * 1e6 + 0.5) / 1e6
+                    # all that reach a query's k-th best score of this part, so that ties are decided by id
+                    least = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
+                    query, row = np.nonzero(score >= least[:, None])
+                    table = pa.table({"query": query, "id": part.column(0).take(pa.array(row)), "score": score[query, row]})
+                    table = (table if best is None else pa.concat_tables([best, table])).sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
+                    q = table["query"].to_numpy()
+                    best = table.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
+            if best is not None and best.num_rows:
+                yield from best.select(["id", "score"]).add_column(0, "query_id", pa.array(ids, id_type).take(best["query"].combine_chunks())).to_batches()
+
+        return rows.mapInArrow(run, schema)
+
+    block: list[tuple] = []
+    for row in asked.toLocalIterator():
+        block.append((row["query_id"], row["v"]))
+        if len(block) == QUERY_BLOCK:
+            out, block = (kept(block) if out is None else out.union(kept(block))), []
+    if block or out is None:
+        out = kept(block) if out is None else out.union(kept(block))
+    return top_within(out, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
 def payload_filter(court: str | None = None, date_from: str | None = None, date_to: str | None = None) -> Column:
@@ -140,16 +266,17 @@ def core_key(text: Column) -> Column:
     return F.when(F.length(key) >= 30, F.concat(F.lit("core:"), key))
 
 
-def diversify(df: DataFrame, *, group: str = "query_id", rank: str = "rank", keys: str = "keys", fingerprint: str = "fingerprint", court_day: str = "court_day", max_per_fingerprint: int = 1, max_per_court_day: int = 2, pool: int = 60) -> DataFrame:
+def diversify(df: DataFrame, *, group: str = "query_id", rank: str = "rank", keys: str = "keys", fingerprint: str = "fingerprint", court_day: str = "court_day", max_per_fingerprint: int = 1, max_per_court_day: int = 2, pool: int | None = None) -> DataFrame:
     """Greedy diversification in rank order (WIN-04): the rows kept, with all their columns.
 
     A row goes if one of its identity keys was seen among kept rows, or its
-    fingerprint or its court and day is full.  The decision on a row depends on those before it, so each
-    group's ranked pool of at most `pool` rows is folded in order; that pool is the candidates' limit before this step (ORD-04), so
-    no group is larger.
+    fingerprint or its court and day (if known) is full.  The decision on a row depends on those before it, so a
+    group's ranked rows are folded in order, within one row: groups are lists of candidates, whose number the
+    retrieval limits (ORD-04).  `pool` looks at the first rows of each group only.
     """
     w = Window.partitionBy(group).orderBy(rank)
-    pooled = df.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= pool)
+    pooled = df.withColumn("_place", F.row_number().over(w))
+    pooled = pooled if pool is None else pooled.where(F.col("_place") <= pool)
     row = F.struct("_place", F.col(keys).alias("k"), F.col(fingerprint).alias("f"), F.col(court_day).alias("c"))
     lists = pooled.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     none = F.array().cast("array<string>")
@@ -158,7 +285,7 @@ def diversify(df: DataFrame, *, group: str = "query_id", rank: str = "rank", key
     def step(acc: Column, x: Column) -> Column:
         held = F.filter(x["k"], lambda v: v.isNotNull())
         full = lambda have, v, most: F.size(F.filter(have, lambda y: y == v)) >= most
-        skip = F.arrays_overlap(acc["seen"], held) | full(acc["prints"], x["f"], max_per_fingerprint) | full(acc["days"], x["c"], max_per_court_day)
+        skip = F.arrays_overlap(acc["seen"], held) | full(acc["prints"], x["f"], max_per_fingerprint) | F.coalesce(full(acc["days"], x["c"], max_per_court_day), F.lit(False))
         new = F.struct(F.array_union(acc["seen"], held).alias("seen"), F.array_append(acc["prints"], x["f"]).alias("prints"), F.array_append(acc["days"], x["c"]).alias("days"), F.array_append(acc["kept"], x["_place"]).alias("kept"))
         return F.when(F.coalesce(skip, F.lit(False)), acc).otherwise(new)
 

@@ -9,18 +9,34 @@ from pyspark.sql.window import Window
 from ..config import Config
 from ..operators import gate as G
 from ..operators.candidates import keep_or_all
+from ..operators.checklists import build_checklists, in_mode, signals_of
 from ..operators.intent import coach, intent_profile
 from ..operators.metrics import insights
-from ..operators.ranking import core_key, diversify, dominance_quota, fuse_ranks, rank_within, rerank_head, token_overlap, top_within, vector_top_k
+from ..operators.ranking import core_key, diversify, dominance_quota, fuse_ranks, overlap_top, rank_within, rerank_head, vector_top_k
 from ..operators.scoring import score_candidates
 
 
-def held(df: DataFrame) -> DataFrame:
-    """Keep a small table of questions or candidates: what is planned next starts from its rows.
+class Held:
+    """Small tables of questions and candidates that a plan keeps: what is planned next starts from their rows.
 
-    The expressions of the steps nest, and would be planned again at every use.  Lost parts are computed again.
+    The expressions of the steps nest, and would be planned again at every use.  Lost parts are computed again.  What a
+    search kept is released when the next one begins, or by `release`.
     """
-    return df.persist()
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        for df in self.tables:
+            df.unpersist()
+        self.tables.clear()
+
+
+_HELD = Held()
 
 
 def valid_requests(queries: DataFrame, *, least_chars: int = 12, default: int = 20) -> DataFrame:
@@ -31,7 +47,7 @@ def valid_requests(queries: DataFrame, *, least_chars: int = 12, default: int =
 
 def retrieve(queries: DataFrame, docs: DataFrame, cfg: Config = Config(), *, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, mode: str = "context") -> DataFrame:
     """(query_id, doc_id, fusion_score, position, …): the lexical list, fused with the vector list if there is one."""
-    lexical = top_within(token_overlap(queries, docs), ["query_id"], [F.desc("score"), F.asc("doc_id")], cfg.lexical_top_k)
+    lexical = overlap_top(queries, docs, cfg.lexical_top_k)
     if vectors is not None and query_vectors is not None:
         semantic = vector_top_k(query_vectors, vectors, cfg.semantic_top_k, cap=cfg.vector_top_k_cap).withColumnRenamed("id", "doc_id")
     else:
@@ -40,30 +56,53 @@ def retrieve(queries: DataFrame, docs: DataFrame, cfg: Config = Config(), *, vec
     return dominance_quota(fused, cfg.lexical_top_k, cap=cfg.dominance_cap)
 
 
-def search(queries: DataFrame, docs: DataFrame, cfg: Config = Config(), *, checklist: G.Checklist | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, court: Column | None = None) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, cfg: Config = Config(), *, checklist: G.Checklist | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, court: Column | None = None, day: Column | None = None, lexicons: dict | None = None, hooks: bool = True, graph: bool = True) -> DataFrame:
     """Ranked, scored, gated and diversified rows of each question.
 
-    queries: (query_id, text); docs: (doc_id, text, …).  Only the few retrieved candidates are joined with their texts.
+    queries: (query_id, text); docs: (doc_id, text, …); vectors: (id, vector) of the documents and query_vectors: (query_id,
+    vector), if there are any; lexicons: other ones for intent_profile.  Only the few retrieved candidates are joined with their texts.  Each question is gated by the checklist
+    built from it, in the mode that `hooks` and `graph` tell (GAT-08); a constant one takes its place if given.
     """
-    asked = held(coach(intent_profile(valid_requests(queries))))
+    _HELD.release()
+    held = _HELD.keep
+    asked = build_checklists(coach(intent_profile(valid_requests(queries), **(lexicons or {}))))
+    asked = held(asked.withColumn("checklist", in_mode(F.col("checklist"), hooks=hooks, graph=graph)))
     found = retrieve(asked.select("query_id", "text"), docs, cfg, vectors=vectors, query_vectors=query_vectors)
-    texts = docs.select("doc_id", F.col("text").alias("body"), (court if court is not None else F.lit("UNKNOWN")).alias("court"))
-    rows = found.join(texts, "doc_id").join(asked.select("query_id", F.col("text").alias("query"), "anchors", "issues", "procedures", "statutes", "max_results"), "query_id")
+    texts = docs.select("doc_id", F.col("text").alias("body"), (court if court is not None else F.lit("UNKNOWN")).alias("court"), (day if day is not None else F.lit(None).cast("date")).alias("day"))
+    rows = found.join(texts, "doc_id").join(asked.select("query_id", F.col("text").alias("query"), "anchors", "issues", "procedures", "statutes", "max_results", "checklist"), "query_id")
     rows = rerank_head(rows.withColumnRenamed("position", "rank"), F.col("query"), F.col("body"), 22)
     rows = rows.withColumn("title", F.left(F.col("body"), F.lit(80))).withColumn("snippet", F.left(F.col("body"), F.lit(500))).withColumn("detail_checked", F.length("body") > 0)
-    if checklist is not None:
-        rows = G.signals(held(rows), checklist, text="body")
+    rows = G.signals(held(rows), checklist, text="body") if checklist is not None else signals_of(held(rows), text="body")
     scored = held(score_candidates(held(rows)))
     scored = keep_or_all(scored, F.col("score") >= cfg.min_relevance)
     scored = rank_within(scored, ["query_id"], [F.desc("score"), F.asc("new_rank"), F.asc("doc_id")], "score_rank")
-    scored = scored.withColumn("keys", F.array(core_key(F.col("snippet")))).withColumn("fingerprint", F.left(F.lower("snippet"), F.lit(280))).withColumn("court_day", F.concat_ws(":", "court", F.col("doc_id").cast("string")))
-    kept = diversify(scored, rank="score_rank", max_per_fingerprint=cfg.max_per_fingerprint, max_per_court_day=cfg.max_per_court_day)
-    kept = held(kept)
-    if checklist is not None:
-        kept = G.split_tiers(G.calibrate(G.gate(kept, checklist)))
+    # rows without a known court or day are no repeats of one another
+    court_day = F.when((F.col("court") != "UNKNOWN") & F.col("day").isNotNull(), F.concat_ws(":", "court", "day"))
+    scored = scored.withColumn("keys", F.array(core_key(F.col("snippet")))).withColumn("fingerprint", F.left(F.lower("snippet"), F.lit(280))).withColumn("court_day", court_day)
+    kept = held(diversify(scored, rank="score_rank", max_per_fingerprint=cfg.max_per_fingerprint, max_per_court_day=cfg.max_per_court_day))
+    kept = G.split_tiers(G.calibrate(G.gate(kept, checklist)))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score_rank"))
     return kept.withColumn("place", place).where(F.col("place") <= F.col("max_results"))
 
 
+RESPONSE = ("exact_strict", "exact_provisional", "promoted"), ("near_miss", "unverified", "related")
+
+
+def respond(questions: DataFrame, results: DataFrame, *, page: int = 1, page_size: int = 20, least: int = 3) -> DataFrame:
+    """(query_id, status, mode, n_exact, n_exploratory, n_pages, cases): one response for each question, paged (SRC-20, FBK-04, FBK-05).
+
+    Exact rows come first, then exploratory ones, each in the order of their place; a question without any result has the status `no_match`.
+    """
+    exact, near = F.col("shown").isin(*RESPONSE[0]), F.col("shown").isin(*RESPONSE[1])
+    rows = results.where(exact | near).withColumn("_near", ~exact)
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("query_id").orderBy("_near", "place", "doc_id")))
+    case = F.when((F.col("_at") > (page - 1) * page_size) & (F.col("_at") <= page * page_size), F.struct("_at", "doc_id", "shown", "confidence", "score", "title"))
+    made = rows.groupBy("query_id").agg(F.count_if(~F.col("_near")).alias("n_exact"), F.count_if("_near").alias("n_exploratory"), F.array_sort(F.collect_list(case)).alias("cases"))
+    n = F.coalesce("n_exact", F.lit(0)) + F.coalesce("n_exploratory", F.lit(0))
+    out = questions.select("query_id").distinct().join(made, "query_id", "left")
+    mode = F.when(F.coalesce("n_exact", F.lit(0)) >= least, "exact").when(F.coalesce("n_exact", F.lit(0)) > 0, "mixed").otherwise("exploratory")
+    return out.select("query_id", F.when(n > 0, "completed").otherwise("no_match").alias("status"), mode.alias("mode"), F.coalesce("n_exact", F.lit(0)).alias("n_exact"), F.coalesce("n_exploratory", F.lit(0)).alias("n_exploratory"), F.ceil(n / page_size).alias("n_pages"), F.coalesce("cases", F.array().cast(made.schema["cases"].dataType)).alias("cases"))
+
+
 def search_insights(results: DataFrame) -> DataFrame:
     return insights(results)

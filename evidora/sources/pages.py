@@ -1,12 +1,15 @@
-"""Stored search pages as a data source, with the retry rules of a live one (SRC-01, SRC-03..07, SRC-09, UDF-02)."""
+"""Stored search pages as a data source, with the retry rules of a live one (SRC-01, SRC-03..05, SRC-08, SRC-09, SET-06, UDF-02)."""
 
 from __future__ import annotations
 
+import json
+import random
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from ..operators.html import challenged, search_rows
 
@@ -24,28 +27,64 @@ def retry_delay(status: int, attempt: int, retry_after: str | None = None, *, ne
 
 
 class PageReader(DataSourceReader):
-    """Asks a fetcher for page after page of each phrase; one partition a phrase."""
+    """Asks a fetcher for page after page of each phrase; one partition a phrase.
 
-    def __init__(self, phrases: list[str], max_pages: int, fetch: Callable[[str, int], tuple[int, str]], most_retries: int):
-        self.phrases, self.max_pages, self.fetch, self.most_retries = phrases, min(10, max_pages), fetch, most_retries
+    A refused or failed request is tried again after its delay, `retries` times at most; an error that stays is a row with status 0 and
+    the error's name.  Reading stops when a phrase has used up its time.  A filter on the phrase is answered by asking only for those.
+    """
+
+    def __init__(self, phrases: list[str], max_pages: int, fetch: Callable[[str, int], tuple], retries: int, budget_ms: int, rate: float):
+        self.phrases, self.max_pages, self.fetch, self.retries, self.budget_ms, self.rate = phrases, max(1, min(10, max_pages)), fetch, retries, budget_ms, rate
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("phrase",):
+                self.phrases = [p for p in self.phrases if p == f.value]
+            elif isinstance(f, In) and f.attribute == ("phrase",):
+                self.phrases = [p for p in self.phrases if p in f.value]
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.phrases]
 
+    def _asked(self, phrase: str, page: int, ends: float) -> tuple[int, str]:
+        status, html = 0, ""
+        for attempt in range(1, self.retries + 2):
+            try:
+                status, html, *after = self.fetch(phrase, page)
+                delay = retry_delay(status, attempt, after[0] if after else None)
+            except (OSError, ValueError) as e:  # what a request can fail with
+                status, html = 0, type(e).__name__
+                delay = retry_delay(0, attempt, network_error=True)
+            if delay is None or attempt > self.retries:
+                break
+            wait = (delay + random.uniform(0, 40)) / 1000
+            if time.monotonic() + wait > ends:
+                break
+            time.sleep(wait)
+        return status, html
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        ends, slot = time.monotonic() + self.budget_ms / 1000, 0.0
         for page in range(self.max_pages):
-            status, html = 0, ""
-            for attempt in range(1, self.most_retries + 2):
-                status, html = self.fetch(partition.value, page)
-                if retry_delay(status, attempt) is None:
-                    break
+            now = time.monotonic()
+            if page and now > ends:
+                return
+            if self.rate and now < slot:
+                time.sleep(slot - now)
+            slot = time.monotonic() + (1 / self.rate if self.rate else 0)
+            status, html = self._asked(partition.value, page, ends)
             yield partition.value, page, status, html
             if status != 200 or NO_MATCH in html.lower():
-                break
+                return
+
 
+def page_source(fetch: Callable[[str, int], tuple], name: str = "search_pages") -> type[DataSource]:
+    """A data source class over a fetcher (phrase, page) -> (status, html[, retry-after]); register it with the session.
 
-def page_source(fetch: Callable[[str, int], tuple[int, str]], name: str = "search_pages") -> type[DataSource]:
-    """A data source class over a fetcher (phrase, page) -> (status, html); register it with the session."""
+    Options: phrases (a JSON list, or phrases parted by vertical bars), maxPages, retries, budgetMs, and requestsPerSecond for each task.
+    """
 
     class Pages(DataSource):
         @classmethod
@@ -56,27 +95,54 @@ def page_source(fetch: Callable[[str, int], tuple[int, str]], name: str = "searc
             return "phrase string, page int, status int, html string"
 
         def reader(self, schema) -> DataSourceReader:
-            phrases = [p for p in self.options.get("phrases", "").split("|") if p]
-            return PageReader(phrases, int(self.options.get("maxPages", "3")), fetch, int(self.options.get("retries", "2")))
+            own = self.options
+            phrases = own.get("phrases", "")
+            listed = json.loads(phrases) if phrases.startswith("[") else phrases.split("|")
+            return PageReader([p for p in listed if p], int(own.get("maxPages", "3")), fetch, int(own.get("retries", "2")), int(own.get("budgetMs", "20000")), float(own.get("requestsPerSecond", "0")))
 
     return Pages
 
 
 def crawl(pages: DataFrame, base: str, *, most: int = 20) -> DataFrame:
-    """(phrase, url, title, ordinal) of stored pages in order, an address once a phrase (SRC-04, FLT-03)."""
+    """(phrase, url, title, place) of stored pages in order, an address once a phrase (SRC-04, FLT-03)."""
     good = pages.where((F.col("status") == 200) & ~challenged(F.col("html")))
-    rows = search_rows(good.withColumn("page_key", F.concat_ws("|", "phrase", F.lpad(F.col("page").cast("string"), 4, "0"))), base, page_id="page_key")
-    rows = rows.withColumn("phrase", F.substring_index("page_key", "|", 1))
+    # the page before the phrase, so that the phrase may have any character
+    rows = search_rows(good.withColumn("page_key", F.concat(F.lpad(F.col("page").cast("string"), 4, "0"), F.col("phrase"))), base, page_id="page_key")
+    rows = rows.withColumn("phrase", F.substring("page_key", 5, 1 << 30)).withColumn("page_key", F.left("page_key", F.lit(4)))
     first = rows.groupBy("phrase", "url").agg(F.min(F.struct("page_key", "ordinal", "title")).alias("f"))
     from ..operators.ranking import top_within
 
     return top_within(first, ["phrase"], [F.asc("f.page_key"), F.asc("f.ordinal"), F.asc("url")], most, "place").select("phrase", "url", F.col("f.title").alias("title"), "place")
 
 
+def browse_links(pages: DataFrame, base: str) -> DataFrame:
+    """(page_id, url): the browse and search links of a page's information block, or of the page without one, each once (SRC-08)."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    block = F.regexp_extract(html, r"(?is)(<div[^>]*class=[\"'][^\"']*info_indian_kanoon[^\"']*[\"'][^>]*>.*?</div>)", 1)
+    found = F.regexp_extract_all(F.when(block != "", block).otherwise(html), F.lit(r"(?i)<a[^>]+href=[\"']([^\"']+)[\"']"), 1)
+    whole = F.transform(found, lambda h: F.when(h.startswith("http"), h).when(h.startswith("/"), F.concat(F.lit(base), h)))
+    kept = F.array_distinct(F.filter(whole, lambda h: h.isNotNull() & (F.contains(h, F.lit("/browse/")) | F.contains(h, F.lit("/search/")))))
+    return pages.select("page_id", F.explode(kept).alias("url"))
+
+
+def expanded(rows: DataFrame, more: DataFrame, *, group: str = "phrase", keys: tuple[str, ...] = ("docId", "documentId", "id", "tid", "url")) -> DataFrame:
+    """A search's rows and those of its expansion by category, the first of each key; rows without any key go (SET-01, SET-06).
+
+    Both have `ordinal`; the search's rows come first.
+    """
+    both = rows.withColumn("_part", F.lit(0)).unionByName(more.withColumn("_part", F.lit(1)), allowMissingColumns=True)
+    named = [F.nullif(F.trim(F.col(k).cast("string")), F.lit("")) for k in keys if k in both.columns]
+    keyed = both.withColumn("_key", F.coalesce(*named)).where("_key is not null")
+    from ..operators.ingest import first_wins
+
+    return first_wins(keyed, [group, "_key"], [F.asc("_part"), F.asc("ordinal")]).drop("_part", "_key")
+
+
 def relaxed(strict: DataFrame, broad: DataFrame, group: str = "phrase") -> DataFrame:
     """Strict rows, and broad ones for the groups that have no strict row (SRC-09)."""
     return strict.unionByName(broad.join(strict.select(group).distinct(), group, "left_anti"))
 
 
 def register(spark: SparkSession, fetch: Callable[[str, int], tuple[int, str]], name: str = "search_pages") -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader answers filters on the phrase
     spark.dataSource.register(page_source(fetch, name))

@@ -1,52 +1,111 @@
-"""Tables kept on storage: vectors, caches, fixtures, reports, back-fills (SRC-02, SRC-08, SRC-10..18, SRC-21, SRC-22)."""
+"""Tables kept on storage: vectors, caches, fixtures, reports, back-fills (SRC-02, SRC-10..14, SRC-16, SRC-17, SRC-21, SRC-22)."""
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ingest import chunk_documents, dense_embedding, first_wins, normalise_documents, upsert
+from ..operators.ingest import chunk_documents, embed, first_wins, normalise_documents
 from ..operators.ranking import vector_top_k
 
 FIXTURE = "id string, query string, expected struct<polarity: string, requiredHooks: array<string>>"
 
 
 class VectorStore:
-    """Vectors with payload as versions of a Parquet table; a new version is written whole, then named as current."""
+    """Vectors with payload as a log of batches; a row's latest batch holds it (SRC-11, SRC-12).
+
+    An upsert writes the batch only.  Reading takes the latest row of each id; when there are more than `COMPACT` batches they are written
+    into one.  A batch becomes visible by a marker file whose creation fails if another writer made that number first; then the next number
+    is tried.
+    """
+
+    COMPACT = 16
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
+        jvm = spark._jvm
+        self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self._files = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _log(self) -> list[tuple[int, str]]:
+        """(number, folder) of the batches since the last whole one."""
+        if not self._files.exists(self._at("_log")):
+            return []
+        names = sorted(s.getPath().getName() for s in self._files.listStatus(self._at("_log")))
+        entries = [(int(n.split(".")[0]), n.split(".")[1], n.endswith(".whole")) for n in names]
+        last = max((i for i, e in enumerate(entries) if e[2]), default=0)
+        return [(n, folder) for n, folder, _ in entries[last:]]
+
+    def _commit(self, folder: str, number: int, whole: bool) -> int:
+        while True:
+            # a number is taken by creating its file, which only one writer can
+            if self._files.createNewFile(self._at(f"_numbers/{number:09d}")):
+                self._files.create(self._at(f"_log/{number:09d}.{folder}.{'whole' if whole else 'batch'}")).close()
+                return number
+            number += 1
 
     def current(self) -> str | None:
-        fs, jvm = self._fs()
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")):
-            return None
-        return self.spark.read.text(f"{self.path}/_current").orderBy(F.desc("value")).first()[0].split(" ")[1]
+        log = self._log()
+        return log[-1][1] if log else None
 
     def read(self) -> DataFrame | None:
-        version = self.current()
-        return self.spark.read.parquet(f"{self.path}/{version}") if version else None
+        log = self._log()
+        if not log:
+            return None
+        parts = [self.spark.read.parquet(f"{self.path}/{folder}").withColumn("_number", F.lit(n)) for n, folder in log]
+        if len(parts) == 1:
+            return parts[0].drop("_number")
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return first_wins(rows, ["id"], [F.desc("_number")]).drop("_number")
 
     def upsert(self, records: DataFrame) -> None:
-        """Rows replace those of the same id (SRC-11)."""
-        old, version = self.read(), uuid.uuid4().hex
-        rows = records if old is None else upsert(old, records)
-        rows.write.parquet(f"{self.path}/{version}")
-        n = 0 if old is None else self.spark.read.text(f"{self.path}/_current").count()
-        self.spark.createDataFrame([(f"{n:09d} {version}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_current")
+        """Rows replace those of the same id; of several new ones the greatest is taken."""
+        folder = uuid.uuid4().hex
+        others = [F.col(f"`{c}`") for c in records.columns if c != "id"]
+        one = records.groupBy("id").agg(F.max(F.struct(*others)).alias("_row")).select("id", "_row.*").select(records.columns)
+        one.write.parquet(f"{self.path}/{folder}")
+        log = self._log()
+        self._commit(folder, log[-1][0] + 1 if log else 0, not log)
+        if len(log) + 1 > self.COMPACT:
+            self.compact()
+
+    def compact(self) -> None:
+        """Write all batches into one."""
+        log, folder = self._log(), uuid.uuid4().hex
+        self.read().write.parquet(f"{self.path}/{folder}")
+        if self._log() == log:  # else a batch came meanwhile, and the next upsert compacts
+            self._commit(folder, log[-1][0] + 1, True)
 
     def query(self, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
         """The nearest stored vectors of each query (SRC-12)."""
         return vector_top_k(queries, self.read().withColumnRenamed("values", "vector"), k, where=where)
 
 
+def lock_grants(requests: DataFrame, *, key: str = "key", owner: str = "owner", ts: str = "ts", order: str = "event_id", hold_seconds: int = 30) -> DataFrame:
+    """Which requests for a lock are granted, as a model over a request table (SRC-14).
+
+    Requests have an action: `acquire` is granted where nobody holds the key or its time is over, `release` where its owner holds it.  A key's
+    requests are folded in order, so a key is one row while it is judged.
+    """
+    row = F.struct(F.col(ts).cast("timestamp").cast("double").alias("at"), F.col(order).alias("no"), F.col(owner).alias("owner"), F.col("action").alias("action"))
+    lists = requests.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    zero = F.struct(F.lit(None).cast("string").alias("holder"), F.lit(0.0).alias("until"), F.array().cast("array<boolean>").alias("out"))
+
+    def step(s: Column, r: Column) -> Column:
+        free = s["holder"].isNull() | (s["until"] <= r["at"])
+        mine = ~free & (s["holder"] == r["owner"].cast("string"))
+        take = (r["action"] == "acquire") & free
+        drop = (r["action"] == "release") & mine
+        holder = F.when(take, r["owner"].cast("string")).when(drop | free, F.lit(None).cast("string")).otherwise(s["holder"])
+        return F.struct(holder.alias("holder"), F.when(take, r["at"] + float(hold_seconds)).otherwise(s["until"]).alias("until"), F.array_append(s["out"], take | F.coalesce(drop, F.lit(False))).alias("out"))
+
+    judged = lists.select(key, F.explode(F.arrays_zip("_rows", F.aggregate("_rows", zero, step, lambda s: s["out"]).alias("granted"))).alias("z"))
+    return judged.select(key, F.col("z._rows.no").alias(order), F.col("z._rows.owner").alias(owner), F.col("z._rows.action").alias("action"), F.col("z.granted").alias("granted"))
+
+
 def live_entries(cache: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
     """Entries of a key-value table that have not expired, the latest of each key (SRC-13)."""
     fresh = cache.where(F.col("written_at").cast("timestamp").cast("double") + ttl_seconds >= now.cast("timestamp").cast("double"))
@@ -64,8 +123,10 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def lookup_documents(candidates: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Candidates with their document's columns, where there is one (SRC-02, JOIN-08)."""
-    return candidates.join(documents.dropDuplicates([key]), key, "left")
+    """Candidates with their document's columns, where there is one: the first of its row digest if several are (SRC-02, JOIN-08)."""
+    others = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in documents.columns if c != key]
+    one = first_wins(documents, [key], [F.asc(F.md5(F.concat_ws("\\x00", *others)))]) if others else documents.distinct()
+    return candidates.join(one, key, "left")
 
 
 def index_job(spark: SparkSession, raw: DataFrame, store: VectorStore, *, dim: int = 192, least: int = 450, most: int = 1400) -> dict[str, int]:
@@ -73,10 +134,12 @@ def index_job(spark: SparkSession, raw: DataFrame, store: VectorStore, *, dim: i
     docs = normalise_documents(raw)
     docs = first_wins(docs, ["doc_id"], [F.col("url"), F.xxhash64("text")])
     chunks = chunk_documents(docs, least, most)
-    rows = chunks.select(F.col("chunk_id").alias("id"), dense_embedding(F.col("text"), dim).alias("values"), "doc_id", "title", "court", "decision_date", "url", "text", "source_version")
+    rows = embed(chunks, out="values", dim=dim).select(F.col("chunk_id").alias("id"), "values", "doc_id", "title", "court", "decision_date", "url", "text", "source_version")
     store.upsert(rows)
-    found = store.read()
-    return {"documents": docs.count(), "chunks": found.count()}
+    # counted from what is stored, so that nothing is computed twice
+    batch = spark.read.parquet(f"{store.path}/{store.current()}") if len(store._log()) == 1 else store.read()
+    found = batch.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks")).first()
+    return {"documents": found["documents"], "chunks": found["chunks"]}
 
 
 def backfill_years(df: DataFrame, path: str, first: int, last: int, *, date: str = "decision_date") -> None:

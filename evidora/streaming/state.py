@@ -6,6 +6,7 @@ streaming form of the same meaning.
 
 from __future__ import annotations
 
+import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,6 +65,11 @@ def first_requests(events: DataFrame, signature: Column, *, ts: str = "ts", orde
     return g.withColumn("skipped", F.col("n") - 1)
 
 
+def unseen_requests(stream: DataFrame, signature: Column, *, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """A stream's requests without repeats of a signature within the watermark, whose state is dropped behind it (STM-08)."""
+    return stream.withColumn("signature", signature).withWatermark(ts, late).dropDuplicatesWithinWatermark(["signature"])
+
+
 def recency_ring(events: DataFrame, *, owner: str, item: str, ts: str = "ts", order: str = "event_id", size: int = 20) -> DataFrame:
     """The latest `size` items of each owner, each at its last use (STM-10, SRC-18)."""
     last = events.groupBy(owner, item).agg(F.max(F.struct(ts, order)).alias("last"))
@@ -105,21 +111,42 @@ def sessions(events: DataFrame, *, key: str, ts: str = "ts", gap: str = "30 minu
 
 
 def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what there is into a memory table, and read that."""
+    """Run a stream over what there is into a memory table, and read that: for results small enough for the driver."""
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
 
 
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what there is; each micro-batch's changed rows are written as Parquet under `path`, and the latest of each key is read back.
+
+    The stream runs in update mode and has its key as its first column, so nothing is held by the driver.
+    """
+    key = stream.columns[0]
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/batch-{number:09d}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{path}/batch-*")
+    latest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "_batch")]), "_batch").alias("_row"))
+    return latest.select(key, "_row.*")
+
+
 def utility_stream(events: DataFrame, *, key: str, value: str) -> DataFrame:
     """Attempts and mean of each key, for streams in complete or update mode (STM-02)."""
     return events.groupBy(key).agg(F.count("*").alias("attempts"), F.round(F.avg(value), 4).alias("mean_value"))
 
 
+#: Signatures that the carried state of a key knows; a repeat of an older one counts as new.
+MOST_SIGNATURES = 4096
+
+
 def carry_state(events: DataFrame, *, key: str, value: str, signature: str) -> DataFrame:
     """The scheduler's carried state of each key as a stateful stream (STM-01): counts, mean and repeated signatures.
 
-    Python keeps, for each key, a count, a sum and the signatures seen; rows come in update mode.
+    Python keeps, for each key, a count, a sum and the digests of the latest `MOST_SIGNATURES` signatures; rows come in update mode.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -129,14 +156,16 @@ def carry_state(events: DataFrame, *, key: str, value: str, signature: str) -> D
         import pandas as pd
 
         n, total, skipped, seen = state.get if state.exists else (0, 0.0, 0, [])
-        known = set(seen)
+        known = dict.fromkeys(seen)
         for batch in batches:
             for v, s in zip(batch[value], batch[signature]):
                 n += 1
                 total += float(v)
-                skipped += s in known
-                known.add(s)
-        state.update((n, total, int(skipped), sorted(known)))
+                digest = hashlib.blake2b(str(s).encode(), digest_size=8).hexdigest()
+                skipped += digest in known
+                known.pop(digest, None)
+                known[digest] = None
+        state.update((n, total, int(skipped), list(known)[-MOST_SIGNATURES:]))
         yield pd.DataFrame({key: [k[0]], "attempts": [n], "mean_value": [round(total / n, 4) if n else 0.0], "skipped": [int(skipped)]})
 
     return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, attempts long, mean_value double, skipped long", "n long, total double, skipped long, seen array<string>", "update", GroupStateTimeout.NoTimeout)

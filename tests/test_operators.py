@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 import random
 import re
+import tempfile
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from evidora.operators import metrics as M
 from evidora.operators import ranking as R
 from evidora.operators import recall as L
 from evidora.sources import pages as pages_source
-from evidora.sources.stores import VectorStore, backfill_years, index_job, live_entries, pick_provider, read_fixtures
+from evidora.sources.stores import VectorStore, lookup_documents, backfill_years, index_job, live_entries, pick_provider, read_fixtures
 from evidora.streaming import state as T
 
 
@@ -106,7 +109,13 @@ def test_chunks_as_a_plain_fold(spark):
 
 def test_dense_and_sparse_embeddings_agree(spark):
     docs = spark.createDataFrame([(1, "appeal dismissed as time barred appeal"), (2, ""), (3, "a b c"), (4, None)], "doc_id long, text string")
-    dense = {r.doc_id: r.v for r in docs.select("doc_id", I.dense_embedding(F.col("text"), 32).alias("v")).collect()}
+    dense = {r.doc_id: r.v for r in I.embed(docs, out="v", dim=32).collect()}
+    for d, text in ((1, "appeal dismissed as time barred appeal"), (3, "a b c")):
+        plain = [0.0] * 32
+        for t in re.findall("[a-z0-9]{2,}", text):
+            plain[plain_fnv(t) % 32] += (1 if plain_fnv(t) % 2 == 0 else -1) * min(3.2, 1 + len(t) / 12)
+        norm = math.sqrt(sum(x * x for x in plain)) or 1.0
+        assert all(math.isclose(x / norm, y, abs_tol=1e-6) for x, y in zip(plain, dense[d]))
     sparse = I.hash_embedding(docs, row_id="doc_id", dim=32).collect()
     for r in sparse:
         assert math.isclose(dense[r.doc_id][r.bucket], r.value, abs_tol=1e-6)
@@ -266,7 +275,7 @@ def test_intent(spark):
     r = Q.coach(Q.intent_profile(df)).first()
     assert "please" not in r.cleaned.lower() and "cases where" not in r.cleaned.lower() and r.court_hint == "SC" and "criminal" in r.domains and "state" in r.actors and "criminal appeal" in r.procedures
     assert (str(r.window.from_date), str(r.window.to_date)) == ("2021-03-01", "2021-03-31")
-    assert "section 378" in r.statutes and r.grade == "STRONG" and r.readiness == "READY_FOR_EXACT"
+    assert "section 378 crpc" in r.statutes and "crpc" in r.statutes and not r.either and r.grade == "STRONG" and r.readiness == "READY_FOR_EXACT"
     variants = Q.synthesise_variants(Q.intent_profile(df)).collect()
     assert any(v.strictness == "strict" for v in variants) and len({v.variant_id for v in variants}) == len(variants)
 
@@ -332,6 +341,34 @@ def test_detail(spark):
     assert q.relation and q.polarity and q.hook_intersection and q.role and not q.chain
 
 
+def test_hydration_report_without_errors(spark):
+    from evidora.operators.hydration import hydration_report
+
+    rows = spark.createDataFrame([(1, None, "x"), (2, None, None)], "doc_id long, error_code string, detail_text string")
+    assert [tuple(r) for r in hydration_report(rows).collect()] == [(None, 0, None, 0.5)]
+
+
+def test_model_embeddings(spark):
+    from evidora.operators import planning
+
+    rows = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three"), (4, "four"), (5, None)], "id long, text string")
+    plain = {r.id: r.vector for r in I.embed_with_model(rows, dim=8).collect()}
+    answers = {"one": '{"embedding": [3, 4]}', "two": '{"embeddings": [[0, 2]]}', "three": '{"data": [[1, 0, 0]]}', "four": "broken"}
+
+    def model(prompt):
+        out = F.lit(None).cast("string")
+        for k, v in answers.items():
+            out = F.when(F.get_json_object(prompt, "$.inputText") == k, v).otherwise(out)
+        return out
+
+    planning.register_model("embedding", model)
+    try:
+        got = {r.id: r.vector for r in I.embed_with_model(rows, dim=8).collect()}
+    finally:
+        planning._HOOKS.pop("embedding")
+    assert got[1] == [0.6, 0.8] and got[2] == [0.0, 1.0] and got[3] == [1.0, 0.0, 0.0] and got[4] == plain[4] and got[5] == [0.0] * 8
+
+
 def test_error_codes(spark):
     for message, code in [("HTTP 403", "http_403"), ("status 429", "http_429"), ("Timed out", "timeout"), ("ECONNRESET", "network"), (None, "unknown")]:
         assert one(spark, P.error_code(F.col("m")), m=message) == code
@@ -343,9 +380,30 @@ def test_error_codes(spark):
 def fetch(phrase, page):
     if phrase == "bad":
         return 500, ""
+    if phrase == "down":
+        raise ConnectionResetError("gone")
+    if phrase == "busy|x":
+        return (429, "", "0") if len(list(BUSY.glob("*"))) < 2 and not (BUSY / f"{len(list(BUSY.glob('*')))}").touch() else (200, "No matching results")
     return (200, f'<a href="/doc/{page + 1}/">Title number {page + 1} of {phrase}</a>') if page < 2 else (200, "No matching results")
 
 
+BUSY = Path(tempfile.mkdtemp(prefix="busy-"))
+
+
+def test_page_source_waits_and_filters(spark):
+    pages_source.register(spark, fetch, "fixture_pages_2")
+    began = time.monotonic()
+    pages = spark.read.format("fixture_pages_2").option("phrases", '["busy|x", "down", "one"]').option("maxPages", "2").load()
+    got = sorted((r.phrase, r.page, r.status, r.html[:20]) for r in pages.collect())
+    assert got[0] == ("busy|x", 0, 200, "No matching results") and got[1] == ("down", 0, 0, "ConnectionResetError") and len(got) == 4
+    assert time.monotonic() - began > 0.3  # two waits of at least 120 and 240 ms
+    reader = pages_source.PageReader(["a", "b", "c"], 3, fetch, 0, 1000, 0.0)
+    left = list(reader.pushFilters([pages_source.In(("phrase",), ("b", "c")), pages_source.EqualTo(("phrase",), "c"), pages_source.EqualTo(("page",), 1)]))
+    assert reader.phrases == ["c"] and len(left) == 1
+    one = pages_source.crawl(spark.createDataFrame([("a|b", 0, 200, '<a href="/doc/1/">Title of one</a>')], "phrase string, page int, status int, html string"), "https://h").first()
+    assert one.phrase == "a|b"
+
+
 def test_page_source(spark):
     pages_source.register(spark, fetch, "fixture_pages")
     pages = spark.read.format("fixture_pages").option("phrases", "one|bad").option("maxPages", "5").load()
@@ -362,6 +420,15 @@ def test_vector_store(spark, tmp_path):
     assert counts["documents"] == 2 and counts["chunks"] > 2
     store.upsert(store.read().where("doc_id = '2'").withColumn("title", F.lit("changed")))
     assert store.read().count() == counts["chunks"] and store.read().where("title = 'changed'").count() == 1
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(VectorStore, "COMPACT", 3)
+        for n in range(5):
+            store.upsert(store.read().where("doc_id = '2'").withColumn("title", F.lit(f"changed {n}")))
+    other = VectorStore(spark, store.path)  # a second writer sees the same
+    assert len(other._log()) <= 4 and other.read().count() == counts["chunks"] and other.read().where("title = 'changed 4'").count() == 1
+    twice = store.read().where("doc_id = '2'")
+    store.upsert(twice.union(twice))
+    assert store.read().count() == counts["chunks"]
     q = store.read().where("doc_id = '2'").select(F.lit(1).alias("query_id"), F.col("values").alias("vector"))
     assert store.query(q, 1).first()["id"] == "2#c0001"
 
@@ -374,6 +441,9 @@ def test_small_sources(spark, tmp_path):
     backfill_years(df, str(tmp_path / "y"), 2019, 2020)
     backfill_years(df.where("id = 3"), str(tmp_path / "y"), 2021, 2021)
     assert spark.read.parquet(str(tmp_path / "y")).count() == 3
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "doc_id long, name string")
+    found = {lookup_documents(spark.createDataFrame([(1,), (3,)], "doc_id long"), docs.repartition(n)).where("doc_id = 1").first().name for n in (1, 2, 3)}
+    assert len(found) == 1
     cache = spark.createDataFrame([("k", "old", 10), ("k", "new", 20), ("j", "gone", 1)], "key string, value string, at long").withColumn("written_at", F.timestamp_seconds("at"))
     assert [tuple(r) for r in live_entries(cache, F.timestamp_seconds(F.lit(25)), 20).collect()] == [("k", "new")]
 
@@ -390,5 +460,9 @@ def test_streams(spark, tmp_path):
     assert {(r.user_id, r.attempts) for r in out.collect()} == {(0, 20), (1, 20), (2, 20)}
     live = T.run_available(T.window_counts(stream, key="user_id", window="30 minutes", limit=5, late="1 minute"), "u2", "append", str(tmp_path / "c2"))
     assert {r.n for r in live.collect()} <= {10} and all(r.over == 5 for r in live.collect())
+    repeats = T.unseen_requests(stream, F.col("user_id").cast("string"), late="1 hour").select("user_id")
+    assert sorted(r.user_id for r in T.run_available(repeats, "u4", "append", str(tmp_path / "c4")).collect()) == [0, 1, 2]
+    told = T.run_to_table(T.utility_stream(stream, key="user_id", value="value"), str(tmp_path / "out"), str(tmp_path / "c5"))
+    assert {(r.user_id, r.attempts) for r in told.collect()} == {(0, 20), (1, 20), (2, 20)}
     carried = T.run_available(T.carry_state(stream.withColumn("sig", (F.col("event_id") % 5).cast("string")), key="user_id", value="value", signature="sig"), "u3", "update", str(tmp_path / "c3"))
     assert {(r.user_id, r.attempts, r.skipped) for r in carried.collect()} == {(0, 20, 15), (1, 20, 15), (2, 20, 15)}
