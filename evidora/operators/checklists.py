@@ -248,10 +248,12 @@ def build_checklists(intents: DataFrame, *, text: str = "cleaned", plan: str | N
     df = df.withColumn("_groups", hook_groups_of(F.col("_hooks"), F.col("_either"), F.col(f"{plan}.hook_groups") if plan and "hook_groups" in intents.schema[plan].dataType.names else None))
     df = df.withColumn("_relations", relations_of(F.col("_groups"), q, F.col("_either")))
     bag = F.concat_ws(" ", q, F.array_join("_outcomes", " "))
+    about_sanction = bag.rlike(r"\bsanction\b")
+    sanction = F.when(about_sanction & bag.rlike(r"\b(?:not required|no sanction required|without sanction)\b"), "not_required").when(about_sanction & bag.rlike(r"\b(?:must|required|mandatory|necessary|prior|previous)\b"), "required")
     mixed = q.rlike(r"\bor\b") & bag.rlike(r"\b(?:failed|dismissed|rejected)\b") & bag.rlike(r"\b(?:proceeded|continued|allowed)\b")
     hands_off = (F.col("polarity") == "refused") & bag.rlike(r"\b(?:refused|declined)\s+to\s+interfere\b") & ~bag.rlike(r"\b(?:condonation|delay|limitation|time[- ]*barred|not\s+condoned)\b")
-    asks = open_ended(F.col(text)) & ~disposition(F.col(text)) & ~F.col("polarity").isin("required", "not_required")
-    df = df.withColumn("_polarity", F.when(mixed | hands_off | asks, "unknown").otherwise(F.col("polarity")))
+    asks = open_ended(F.col(text)) & ~disposition(F.col(text)) & ~F.coalesce(sanction, F.col("polarity")).isin("required", "not_required")
+    df = df.withColumn("_polarity", F.when(mixed | hands_off | asks, "unknown").otherwise(F.coalesce(sanction, F.col("polarity"))))
     defaults = lambda k: F.coalesce(*[F.when(F.col("_polarity") == name, literals(both[k])) for name, both in OUTCOMES.items()], none())
     needed = F.col("_polarity") != "unknown"
     df = df.withColumns({"_needed": needed, "_terms": norm(14, F.col("_outcomes"), defaults(0)), "_contra": norm(16, F.col("_against"), defaults(1))})
