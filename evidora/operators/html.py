@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze
+from ..functions.text import let, squeeze
 
 # Entities, and marks of pages that hold content back (fixed values).
 ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&#39;", "'"), ("&quot;", '"')]
@@ -76,20 +76,45 @@ def title_score(title: Column) -> Column:
     return F.when(low == "", -10).otherwise(score)
 
 
+#: What is said around a search result, and of a case.
+RESULT_WORDS = r"\b(?:cites|cited by|full document|petitioner|respondent|appellant|judgment|appeal)\b"
+CASE_WORDS = r" v(?:s\.?|\.?) |\b(?:petitioner|respondent|appellant|appeal|judgment|tribunal)\b"
+CONTEXT_CHARS = 4200
+
+
 def search_rows(pages: DataFrame, base: str, *, html: str = "html", page_id: str = "page_id") -> DataFrame:
     """(page_id, ordinal, title, url, mode) of the results of search pages (PAR-10).
 
-    Result containers are read first; a page without one is read by its headings,
-    and one without those by all links to documents.  An address counts once a page.
+    A page is read by the first of five modes that gives a result: result containers, result titles, headings, links to documents
+    in the context of a search result (what follows them speaks of a case), and all links to documents.  A page that says
+    that nothing matches has no result.  An address counts once a page.
     """
-    chunk = F.slice(F.split(F.col(html), r"(?i)<div[^>]*class=[\"'][^\"']*\bresult\b[^\"']*[\"'][^>]*>"), 2, 1 << 30)
-    heads = F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<h4[^>]*>.*?</h4>)"), 1)
-    of = lambda source, mode: F.transform(source, lambda c: F.struct(F.filter(links(c), lambda a: doc_number(a["href"]).isNotNull() & ~F.lower(a["text"]).rlike("^(full document|similar judgments?|search)$")).alias("links"), F.lit(mode).alias("mode")))
+    text = F.coalesce(F.col(html), F.lit(""))
+    ours = lambda a: doc_number(a["href"]).isNotNull() & ~F.lower(a["text"]).rlike("^(full document|similar judgments?|search)$")
+    of = lambda source, mode: F.transform(source, lambda c: F.struct(F.filter(links(c), ours).alias("links"), F.lit(mode).alias("mode")))
     some = lambda rows: F.exists(rows, lambda r: F.size(r["links"]) > 0)
-    containers, headings, harvest = of(chunk, "container"), of(heads, "heading"), of(F.array(F.col(html)), "links")
-    rows = pages.withColumn("_rows", F.when(some(containers), containers).when(some(headings), headings).otherwise(harvest))
+    chunk = F.slice(F.split(text, r"(?i)<div[^>]*class=[\"'][^\"']*\bresult\b[^\"']*[\"'][^>]*>"), 2, 1 << 30)
+    titles = F.transform(F.slice(F.split(text, r"(?i)<div[^>]*class=[\"'][^\"']*result_title[^\"']*[\"'][^>]*>"), 2, 1 << 30), lambda c: F.regexp_extract(F.left(c, F.lit(5200)), r"(?is)^(.{0,700}?<a\b[^>]*>.*?</a>)", 1))
+    heads = F.regexp_extract_all(text, F.lit(r"(?is)(<h4[^>]*>.*?</h4>)"), 1)
+
+    def in_context(pieces: Column) -> Column:
+        """Each link to a document with what follows it, as far as that speaks of a case."""
+        n = F.size(pieces)
+        after = lambda i: F.left(F.array_join(F.slice(pieces, i + 2, n), ""), F.lit(CONTEXT_CHARS))
+        speaks = lambda c: F.lower(strip_tags(c)).rlike(RESULT_WORDS) | c.rlike(r"(?i)result[_\s-]?title|result[_\s-]?snippet|class=[\"'][^\"']*result")
+        own = F.transform(F.slice(pieces, 2, 1 << 30), lambda p, i: F.when(speaks(after(i)) & F.lower(strip_tags(after(i))).rlike(CASE_WORDS), F.regexp_extract(p, r"(?is)^(<a\b[^>]*>.*?</a>)", 1)))
+        return F.filter(own, lambda x: x.isNotNull())
+
+    around = let(F.split(text, r"(?i)(?=<a[^>]+href=[\"'][^\"']*/(?:doc|docfragment)/\d)"), in_context)
+    modes = {"container": chunk, "title": titles, "heading": heads, "context": around, "links": F.array(text)}
+    rows = pages.withColumns({f"_{name}": of(source, name) for name, source in modes.items()})
+    picked = F.col("_links")
+    for name in reversed(list(modes)[:-1]):
+        picked = F.when(some(F.col(f"_{name}")), F.col(f"_{name}")).otherwise(picked)
+    empty = F.lower(text).contains("no matching results")
+    rows = rows.withColumn("_rows", F.when(~empty, picked)).drop(*[f"_{name}" for name in modes])
     rows = rows.select(page_id, F.posexplode("_rows").alias("chunk_ix", "_row")).where(F.size("_row.links") > 0)
-    # the best link of a container or heading; every one of a harvest
+    # the best link of a container, title, heading or context; every one of a harvest
     scored = F.transform("_row.links", lambda a: F.struct(title_score(a["text"]).alias("score"), a["text"].alias("title"), canonical_url(a["href"], base).alias("url")))
     best = F.array_max(F.transform(scored, lambda a: a["score"]))
     picked = F.when(F.col("_row.mode") == "links", scored).otherwise(F.slice(F.filter(scored, lambda a: a["score"] == best), 1, 1))

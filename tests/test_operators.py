@@ -331,6 +331,15 @@ def test_search_rows(spark):
     assert out == [(1, "https://h/doc/1/", "State vs Roy on 3 May, 2020", "container"), (1, "https://h/doc/2/", "Appeal of Das", "container"), (2, "https://h/doc/5/", "Five against the world", "heading"), (3, "https://h/doc/6/", "Six and more", "links"), (3, "https://h/doc/7/", "Seven", "links")]
 
 
+def test_search_modes(spark):
+    title = '<div class="result_title x"><span></span><a href="/doc/11/">Roy against Das</a></div><p>text</p>'
+    context = '<p><a href="/doc/12/">Das v. Roy</a> the appellant filed an appeal. Cited by 4</p><div>' + "filler " * 900 + '</div><a href="/doc/13/">About this site</a>'
+    nothing = '<b>No matching results</b><a href="/doc/14/">Fourteen</a>'
+    pages = spark.createDataFrame([(1, title), (2, context), (3, nothing)], "page_id long, html string")
+    out = sorted(tuple(r) for r in P.search_rows(pages, "https://h").select("page_id", "url", "title", "mode").collect())
+    assert out == [(1, "https://h/doc/11/", "Roy against Das", "title"), (2, "https://h/doc/12/", "Das v. Roy", "context")]
+
+
 def test_detail(spark):
     r = one(spark, P.detail_record(F.col("h")), h=DETAIL)
     assert (r.title, r.court, r.author, r.bench, r.citations, r.cites, r.cited_by) == ("State vs Roy", "SC", "A. Judge", "B. Judge", "AIR 2020 SC 1", 1234, 56)
