@@ -204,7 +204,7 @@ def _sizes(checklist: Checklist | None, column: str) -> dict[str, Column]:
 
 
 def gate(df: DataFrame, checklist: Checklist | None = None, *, column: str = "checklist", strength: str = "context_strength", checked: str = "detail_checked") -> DataFrame:
-    """Add `tier`: exact_strict, exact_provisional, near_miss or reject, by an ordered decision list (GAT-03).
+    """Add `branch`, the branch of an ordered decision list that a row takes, and its `tier`: exact_strict, exact_provisional, near_miss or reject (GAT-03).
 
     Without a constant checklist, each row's own is in `column`.
     """
@@ -225,7 +225,9 @@ def gate(df: DataFrame, checklist: Checklist | None = None, *, column: str = "ch
     close = (c("core_coverage") >= core_least) & (c("required_coverage") >= least)
     supported = (context >= 2) & (c("required_coverage") >= F.greatest(F.lit(0.4), least - 0.2)) & (c("core_coverage") >= F.greatest(F.lit(0.35), core_least - 0.25)) & (c("hook_coverage") >= 0.5) & (c("outcome_satisfied") | (c("core_coverage") >= 0.65))
     near_miss = doctrinal & fine & (close | supported)
-    return df.withColumn("doctrinal", doctrinal).withColumn("tier", F.when(strict, "exact_strict").when(provisional | single | relaxed, "exact_provisional").when(near_miss, "near_miss").otherwise("reject"))
+    branch = F.when(strict, "strict").when(provisional, "provisional").when(single, "single_hook").when(relaxed, "relaxed").when(near_miss, "near_miss").otherwise("reject")
+    tier = F.when(c("branch") == "strict", "exact_strict").when(c("branch").isin("provisional", "single_hook", "relaxed"), "exact_provisional").otherwise(c("branch"))
+    return df.withColumn("doctrinal", doctrinal).withColumn("branch", branch).withColumn("tier", tier)
 
 
 #: Most confidence of a tier (fixed values).

@@ -35,6 +35,59 @@ def first_of(df: DataFrame, names: list[str]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
+#: The fields of a raw row by the names that sources give them, the first that is there counts (fixed values).
+RAW_NAMES = {
+    "title": ["title", "caseTitle", "headline"],
+    "headline": ["headline", "snippet"],
+    "docsource": ["docsource"],
+    "court": ["court", "docsource", "courtName"],
+    "courtName": ["courtName", "docsource"],
+    "decisionDate": ["decisionDate", "publishdate", "judgmentDate"],
+    "publishdate": ["publishdate"],
+    "date": ["date", "publishdate"],
+    "author": ["author", "judge"],
+    "bench": ["bench", "coram"],
+    "text": ["text", "content", "body", "doc"],
+    "judgmentText": ["judgmentText", "doc"],
+    "snippet": ["headline", "snippet", "summary"],
+}
+RAW_COUNTS = ("docsize", "numcites", "numcitedby")
+RAW_CITATIONS = {"citations": "citeList", "equivalentCitations": "citedbyList"}
+
+
+def raw_documents(rows: DataFrame, url_base: str = "https://example.org/doc/") -> DataFrame:
+    """A source's rows as raw documents: fields under one name each, without tags and entities, ids and addresses filled in from one another (PAR-01).
+
+    Citations may be texts or structs with value, title and cite.  Counts that are no number, or 0, are null.
+    """
+    from .html import strip_tags
+
+    none = F.array().cast("array<string>")
+    there = {c.lower(): c for c in rows.columns}
+    id_of = lambda *names: first_of(rows, list(names)).cast("string")
+    tid = id_of("tid", "id")
+    link = F.coalesce(first_of(rows, ["url", "docurl", "link"]).cast("string"), F.when(tid.isNotNull(), F.concat(F.lit(url_base), tid, F.lit("/"))))
+
+    def cited(name: str) -> Column:
+        if name.lower() not in there:
+            return none
+        kind = rows.schema[there[name.lower()]].dataType.elementType
+        column = F.col(f"`{there[name.lower()]}`")
+        if isinstance(kind, T.StructType):
+            parts = [k for k in ("value", "title", "cite") if k in kind.names]
+            column = F.flatten(F.transform(column, lambda x: F.filter(F.array(*[x[k].cast("string") for k in parts]), lambda v: v.isNotNull())))
+        return F.coalesce(F.filter(column, lambda v: v.isNotNull()), none)
+
+    made = {k: strip_tags(F.coalesce(first_of(rows, names).cast("string"), F.lit(""))) for k, names in RAW_NAMES.items()}
+    made |= {"tid": tid, "id": F.coalesce(id_of("id"), tid), "docId": F.coalesce(id_of("docId"), tid), "documentId": F.coalesce(id_of("documentId"), tid)}
+    made |= {"url": link, "permalink": F.coalesce(first_of(rows, ["permalink"]).cast("string"), link)}
+    made |= {k: F.nullif(first_of(rows, [k]).cast("string").try_cast("long"), F.lit(0).cast("long")) for k in RAW_COUNTS}
+    made |= {k: cited(name) for k, name in RAW_CITATIONS.items()}
+    made |= {k: _array(rows, [k]) for k in ("statutes", "sections")}
+    text_names = set(RAW_NAMES)
+    return rows.select(*[(F.nullif(v, F.lit("")) if k in text_names else v).alias(k) for k, v in made.items()])
+
+
 def court_level(value: Column) -> Column:
     """SC, HC or UNKNOWN from a court's name (PAR-05)."""
     text = token_text(value)

@@ -134,6 +134,16 @@ def test_normalised_rows(spark):
     assert "section 197" in rows[0].statute_tokens and "crpc" in rows[0].statute_tokens and "non judgment" in rows[1].statute_tokens
 
 
+def test_raw_rows_of_sources(spark):
+    rows = [(7, "<b>State</b> &amp; Roy", "High Court", "2020-01-02", [("AIR 1", None), (None, "SCC 2")], "12", "b. J", "under section 5"), (None, None, None, None, None, "x", None, None)]
+    df = spark.createDataFrame(rows, "tid long, caseTitle string, docsource string, judgmentDate string, citeList array<struct<value: string, cite: string>>, numcites string, coram string, summary string")
+    first, second = I.raw_documents(df).collect()
+    assert (first.title, first.court, first.courtName, first.decisionDate, first.bench, first.snippet) == ("State & Roy", "High Court", "High Court", "2020-01-02", "b. J", "under section 5")
+    assert (first.docId, first.url, first.citations, first.numcites, second.numcites, second.docId, second.citations) == ("7", "https://example.org/doc/7/", ["AIR 1", "SCC 2"], 12, None, None, [])
+    made = I.normalise_documents(I.raw_documents(df)).collect()
+    assert (made[0].doc_id, made[0].court, str(made[0].decision_date), made[0].citations) == ("7", "HC", "2020-01-02", ["AIR 1", "SCC 2"]) and made[1].title == "Untitled case"
+
+
 # --- ranking
 
 
