@@ -28,10 +28,13 @@ def variant_utility(attempts: DataFrame, key: str = "canonical_key", order: str
 
 
 def stepwise_utility(attempts: DataFrame, key: str = "canonical_key", order: str = "ts", rate: str = "utility") -> DataFrame:
-    """The running mean rounded to four places at each attempt, in order: the fold needs a key's attempts together."""
+    """The running mean rounded to four places at each attempt, in order; halves go up, as doubles have them.
+
+    Each mean depends on the rounded one before it, so a key's attempts are folded together, within one row.
+    """
     rows = attempts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "attempt_id", F.col(rate).alias("x")))).alias("rows"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"))
-    walk = F.aggregate("rows", zero, lambda s, r: F.struct((s["n"] + 1).alias("n"), F.round((s["mean"] * s["n"] + r["x"]) / (s["n"] + 1), 4).alias("mean")))
+    walk = F.aggregate("rows", zero, lambda s, r: F.struct((s["n"] + 1).alias("n"), (F.floor((s["mean"] * s["n"] + r["x"]) / (s["n"] + 1) * 1e4 + 0.5) / 1e4).alias("mean")))
     return rows.select(key, walk["n"].alias("attempts"), walk["mean"].alias("mean"))
 
 

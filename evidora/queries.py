@@ -624,7 +624,7 @@ def variant_utility(spark, sf_dir):
 
 @query(f"""
 WITH RECURSIVE {ATTEMPTS}, o AS (SELECT user_id, utility, row_number() OVER (PARTITION BY user_id ORDER BY ts, attempt_id) AS n FROM a),
-w AS (SELECT user_id, n, round(utility, 4) AS mean FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.n, round((w.mean * (o.n - 1) + o.utility) / o.n, 4) FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1)
+w AS (SELECT user_id, n, floor(utility * 1e4 + 0.5) / 1e4 AS mean FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.n, floor((w.mean * (o.n - 1) + o.utility) / o.n * 1e4 + 0.5) / 1e4 FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1)
 SELECT user_id, CAST(max(n) AS INT) AS attempts, arg_max(mean, n) AS mean FROM w GROUP BY user_id
 """)
 def stepwise_utility(spark, sf_dir):
