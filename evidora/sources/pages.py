@@ -115,11 +115,14 @@ def crawl(pages: DataFrame, base: str, *, most: int = 20) -> DataFrame:
     return top_within(first, ["phrase"], [F.asc("f.page_key"), F.asc("f.ordinal"), F.asc("url")], most, "place").select("phrase", "url", F.col("f.title").alias("title"), "place")
 
 
-def browse_links(pages: DataFrame, base: str) -> DataFrame:
-    """(page_id, url): the browse and search links of a page's information block, or of the page without one, each once (SRC-08)."""
+def browse_links(pages: DataFrame, base: str, *, block: str = "info") -> DataFrame:
+    """(page_id, url): the browse and search links of a page's information block, or of the page without one, each once (SRC-08).
+
+    The block is the first division whose class has `block` in its name.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
-    block = F.regexp_extract(html, r"(?is)(<div[^>]*class=[\"'][^\"']*info_indian_kanoon[^\"']*[\"'][^>]*>.*?</div>)", 1)
-    found = F.regexp_extract_all(F.when(block != "", block).otherwise(html), F.lit(r"(?i)<a[^>]+href=[\"']([^\"']+)[\"']"), 1)
+    found_block = F.regexp_extract(html, rf"(?is)(<div[^>]*class=[\"'][^\"']*{block}[^\"']*[\"'][^>]*>.*?</div>)", 1)
+    found = F.regexp_extract_all(F.when(found_block != "", found_block).otherwise(html), F.lit(r"(?i)<a[^>]+href=[\"']([^\"']+)[\"']"), 1)
     whole = F.transform(found, lambda h: F.when(h.startswith("http"), h).when(h.startswith("/"), F.concat(F.lit(base), h)))
     kept = F.array_distinct(F.filter(whole, lambda h: h.isNotNull() & (F.contains(h, F.lit("/browse/")) | F.contains(h, F.lit("/search/")))))
     return pages.select("page_id", F.explode(kept).alias("url"))
