@@ -35,6 +35,8 @@ from .url_filter import host_of
 
 SAMPLE = 400
 BUCKETS = 1 << 15
+PARTS = 32
+MOST_SENT = 100_000
 CLEAR = 0.99
 TEMPER = 0.1  # neighbouring trigrams overlap and are far from independent
 MOST_NATS = 30.0
@@ -62,8 +64,13 @@ def fit_text_models(df: DataFrame, *, lang: str = "lang", text: str = "text", ro
     Buckets are counted by grouped aggregation; the driver gets at most BUCKETS rows for each language.
     """
     rows = df.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").alias("text")).where("lang is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.select("lang", "id").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).drop("k")
+    # the first of each language by hash, in parts of it first, so that no task gets all of a common language
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("id"), "id"))
+    picked = rows.select("lang", "id").distinct().withColumn("part", F.pmod(F.xxhash64("id", F.lit(PARTS)), F.lit(PARTS)))
+    picked = picked.withColumn("k", place("lang", "part")).where(F.col("k") <= sample)
+    picked = settle(picked.withColumn("k", place("lang")).where(F.col("k") <= sample).select("lang", "id"))
+    # `sample` rows for each language; not sent to the tasks if there are very many languages
+    picked = F.broadcast(picked) if picked.count() <= MOST_SENT else picked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
