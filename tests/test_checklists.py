@@ -94,7 +94,7 @@ def test_checklists(spark):
     assert any(s.kind == "chain" for s in made[6].steps)
     assert not made[9].groups and not any(a.required for a in made[9].axes)
     # a plan's hooks come in and are merged with the question's own
-    planned = intents(spark).withColumn("plan", F.lit((["state"], ["trial"], ["section 13 pc act"], [], [], [], [], [], [], [])).cast(K_PLAN))
+    planned = intents(spark).withColumn("plan", F.from_json(F.lit('{"actors": ["state"], "proceeding": ["trial"], "legal_hooks": ["section 13 pc act"]}'), K_PLAN))
     merged = K.build_checklists(planned, plan="plan").where("query_id = 1").first().checklist
     assert any(g.group_id == "sec_pc_act_13" for g in merged.groups)
 
