@@ -96,8 +96,8 @@ _ALNUM[0x30:0x3A] = _ALNUM[0x61:0x7B] = _ALNUM[0x80:] = True
 ALNUM = WordClass(_ALNUM)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: WordClass) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end, number of words of each text) of every word, A-Z lower-cased.
+def words(data: np.ndarray, offsets: np.ndarray, kind: WordClass, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, number of words of each text) of every word, with A-Z lower-cased unless told otherwise.
 
     Equal words have equal 64-bit hashes; words never cross texts.
     """
@@ -105,7 +105,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: WordClass) -> tuple[np.nd
     nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n_texts, np.int64)
     if not len(data):
         return nothing
-    low = LOWER[data]
+    low = LOWER[data] if lower else data
     inside = kind.is_word[low]
     first = inside.copy()
     first[1:] &= ~inside[:-1]

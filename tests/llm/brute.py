@@ -79,3 +79,49 @@ def leaks(docs, items, size):
 
 def sha(x):
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def split_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def runs_of(w, exponent=3, least=24):
+    """Every run of a list of words as (start, length, period), by start and period."""
+    n, out = len(w), []
+    for q in range(1, n // exponent + 1):
+        i = 0
+        while i + q < n:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            first = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            length = i - first + q
+            own = w[first : first + length]
+            if length >= max(least, exponent * q) and not any(own[p:] == own[:-p] for p in range(1, q)):
+                out.append((first, length, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def collapse(w, runs):
+    gone = set()
+    for start, length, period in runs:
+        gone.update(range(start + period, start + length))
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def audits(rows, marked, orders):
+    """{(part, order, step): counts} of (part, set of failed filters, set of marks) rows."""
+    out, total = {}, {}
+    for part in {p for p, _, _ in rows}:
+        for order in orders:
+            left = [r for r in rows if r[0] == part]
+            for step, f in enumerate(order, 1):
+                mine = [r for r in left if f in r[1]]
+                fail = [r for r in rows if r[0] == part and f in r[1]]
+                kept = [r for r in left if f not in r[1]]
+                total[part, f] = total.get((part, f), 0) + len(mine)
+                out[part, "".join(order), step] = (len(kept), len(mine), len(fail) - len(mine), sum(r[1] == {f} for r in fail), *[sum(m in r[2] for r in mine) for m in marked])
+                left = kept
+    return {k: (*v, total[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
