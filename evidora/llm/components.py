@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import forget, settle
+from .tables import forget, store
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -17,17 +17,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     whose hot keys adaptive execution can split.  Nodes may be of any orderable
     type; null nodes and loops are ignored.
     """
-    now = settle(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = store(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     print_of = None
     while True:
         before = now
         both = now.union(now.select(F.col("b"), F.col("a"))).toDF("u", "v")
         # kept as a table, so that both sides of the join are plain exchanges and a hub's edges can be split
-        hubs = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        hubs = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "hubs")
         large = both.join(hubs, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select("a", "b", "m")
-        now = settle(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct())
+        now = store(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         forget(before, hubs)  # the new edges no longer need them
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == print_of:

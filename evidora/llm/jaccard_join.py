@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .bytetext import NOT_SPACE, blocks, shingles, text_bytes, words
 from .components import connected_components
 from .near_dedup import _by_unit, _digest, _numbered, _rest, _runs, _sorted_units
-from .tables import forget, map_batches, row_key, settle
+from .tables import forget, map_batches, row_key, store
 
 COUNTERS = 1 << 20
 SLICE = 1 << 16
@@ -280,46 +280,46 @@ def verified_links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size:
             for a, sets in _sets(batch.column(1), size):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
 
-    chained = settle(classes.join(connected_components(pairs), "node").select("node", "row", "size", F.col("root").alias("group")))
+    chained = store(classes.join(connected_components(pairs), "node").select("node", "row", "size", F.col("root").alias("group")))
     sizes = chained.groupBy("group").agg(F.ceil(F.sum("size") / UNIT_ITEMS).cast("int").alias("parts"))
     placed = chained.join(sizes, "group").select("node", F.xxhash64("group").alias("u0"), F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int").alias("own"))
-    placed = settle(placed)
+    placed = store(placed)
     one, two = placed.select(F.col("node").alias("a"), "u0", F.col("own").alias("p")), placed.select(F.col("node").alias("b"), F.col("own").alias("q"))
     unit = [F.col("u0"), F.least("p", "q").alias("u1"), F.greatest("p", "q").alias("u2")]
-    asked = settle(pairs.join(one, "a").join(two, "b").select(*unit, F.col("a").alias("node"), "b"))
+    asked = store(pairs.join(one, "a").join(two, "b").select(*unit, F.col("a").alias("node"), "b"))
     wanted = asked.select("u0", "u1", "u2", "node").union(asked.select("u0", "u1", "u2", "b")).distinct()
     found = texts.join(chained.select("node", "row"), "row").select("node", "text")
     sets = map_batches(found, to_sets, "node binary, items binary").dropDuplicates(["node"])
     sets = wanted.join(sets, "node").select("u0", "u1", "u2", F.lit(None).cast("binary").alias("b"), "node", "items")
     units = sets.unionByName(asked.withColumn("items", F.lit(None).cast("binary")))
-    links = settle(_verified(_sorted_units(units, "b", "node"), percent))
+    links = store(_verified(_sorted_units(units, "b", "node"), percent))
     forget(chained, placed, asked)
     return links
 
 
 def linked_classes(df: DataFrame, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows (doc_id, row, n_shingles, node), node being null for an empty set, and edges (a, b) that chain all linked classes."""
-    told = settle(count_sets(df, doc_id, text, size))
+    told = store(count_sets(df, doc_id, text, size))
     rows = told.where("slice is null").select("doc_id", "row", "n_shingles", "node")
     counts = gram_counts(told.where("slice is not null").select("slice", "counts"))
-    classes = settle(rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("size")))
+    classes = store(rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("size")))
     heads = prefixes(df, doc_id, text, size, percent, counts).groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("slots").alias("slots"))
-    heads = settle(heads)
-    shared = settle(heads.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
-    live = settle(postings(heads).join(shared, "gram"))
+    heads = store(heads)
+    shared = store(heads.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    live = store(postings(heads).join(shared, "gram"))
     forget(heads, shared)
     parts = F.ceil(F.col("n") / LIST_ROWS).cast("int")
     own = F.array(F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int"))
     everywhere = (parts > 1) & (F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")) < SHARED)
     first = live.withColumn("part", F.explode(F.when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(own)))
     first = first.select(F.col("gram").alias("u0"), F.col("part").alias("u1"), F.lit(0).alias("u2"), F.col("node").alias("label"), "size", "pos", "behind", "node")
-    pairs = settle(_candidates(_sorted_units(first, "size", "node"), percent, rest=False))
+    pairs = store(_candidates(_sorted_units(first, "size", "node"), percent, rest=False))
     texts = df.select(row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"))
     links = verified_links(pairs, texts, classes, size, percent)
     long = live.where(F.col("n") > SMALL)
     if not long.isEmpty():
         left = _rest(long.select(F.col("gram").alias("group"), "node", "size", "pos", "behind"), connected_components(links), LIST_ROWS)
-        more = settle(_candidates(_sorted_units(left, "size", "node"), percent, rest=True).join(pairs, ["a", "b"], "left_anti"))
+        more = store(_candidates(_sorted_units(left, "size", "node"), percent, rest=True).join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             links = links.union(verified_links(more, texts, classes, size, percent))
     forget(live, pairs, classes)
@@ -337,13 +337,13 @@ def jaccard_components(df: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     the n-gram's hash; a null doc_id never is a component's id unless all of it are null; an empty table gives an empty one.  Other columns are not read.
     """
     rows, links = linked_classes(df, doc_id, text, size, percent)
-    links = settle(links)
+    links = store(links)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("class_links"))
     of = connected_components(links)
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    classes = settle(classes.join(of, "node", "left").join(degree, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"), F.coalesce("class_links", F.lit(0)).alias("class_links")))
-    ids = settle(classes.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    ids = settle(classes.join(ids, "root").select("node", "component_id", "class_links"))
+    classes = store(classes.join(of, "node", "left").join(degree, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"), F.coalesce("class_links", F.lit(0)).alias("class_links")))
+    ids = store(classes.groupBy("root").agg(F.min("least_id").alias("component_id")))
+    ids = store(classes.join(ids, "root").select("node", "component_id", "class_links"))
     out = rows.join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("class_links", F.lit(0)).alias("class_links"))

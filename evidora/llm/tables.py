@@ -35,12 +35,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write a table as Parquet into the shared folder and read it again."""
+def store(df: DataFrame, name: str = "kept") -> DataFrame:
+    """Write a table as Parquet into the shared folder and read it again.
+
+    Unlike a checkpoint's, its plan starts anew: sizes that Spark estimated for joins, which multiply, are forgotten, so loops use this one.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _free_shuffles(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 BATCH_BYTES = 4 << 20
@@ -90,14 +95,21 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def forget(*settled: DataFrame) -> None:
-    """Delete the checkpoints of tables that nothing reads any more."""
+    """Delete the files of stored or settled tables that nothing reads any more."""
     for df in settled:
+        if hasattr(df, "stored_at"):
+            _delete(df.sparkSession, df.stored_at)
+            continue
         rdd = df._jdf.queryExecution().toRdd()
         while rdd.dependencies().size() and not rdd.isCheckpointed():
             rdd = rdd.dependencies().head().rdd()
         if rdd.getCheckpointFile().isDefined():
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, rdd.getCheckpointFile().get())
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
