@@ -15,14 +15,16 @@ the postings, joined on the n-gram.  A pair of postings passes only if
   n-grams behind the two positions in that range.
 At the first n-gram that two prefixes share these bounds hold, so no linked pair is lost.
 
-Order of work.  In a list of up to `SMALL` postings all pairs are candidates; in a longer one first only neighbours (by size) are.
-Candidates are verified, and chain classes to components.  Then the rest of the long lists follows: postings outside a list's largest component
-with all others, in blocks; where a list is one component by now, nothing is left.  A large group of near copies so
-takes about as many comparisons as it has members.  Lists of over `LIST_ROWS` postings are cut into parts that share some of them.
+Order of work.  In a list of up to `SMALL` postings all pairs are candidates; in a longer one first only neighbours (by size, then by a hash of the list's own) are,
+and only in the `LISTS` rarest long lists of a class.  Candidates are verified, and chain classes to components.  Then the rest of the long lists follows: postings
+outside a list's largest component with all others, in blocks; where a list is one component by now, nothing is left.  There a finer suffix filter holds
+too: the whole sets' counts in `FINE` ranges of hashes.  A large group of near copies so takes about as many comparisons as it has members, and pairs of it
+that the filters can't part.  Lists of over `LIST_ROWS` postings are cut into parts that share some of them.
 
 Verification.  Every candidate pair is decided once, on full sets, in units of classes that candidates chain.  Pairs whose classes
 a unit has joined already need no decision.  Units of more than `UNIT_ITEMS` n-grams are cut into blocks, and a pair goes to the unit
-of its two blocks.
+of its two blocks.  The texts aren't shuffled for this: a bit table of bounded size tells the tasks which rows are wanted, and these send their sets; a row that the table lets
+through by chance finds no unit.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bytetext import NOT_SPACE, blocks, shingles, text_bytes, words
 from .components import connected_components
@@ -43,10 +47,16 @@ from .tables import forget, map_batches, row_key, store
 COUNTERS = 1 << 20
 SLICE = 1 << 16
 SLOTS = 8
+FINE = 128
 SMALL = 16
+LISTS = 6
 LIST_ROWS = 2048
 SHARED = 32
-UNIT_ITEMS = 1 << 20
+UNIT_ITEMS = 1 << 18
+#: Long lists before a posting's that it tells, and those that a unit compares.
+EARLIER, MOST_EARLIER = 32, 4096
+#: Bits of the table of wanted rows: 12 a row, but no more than these (16 MB).
+MOST_BITS = 1 << 27
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -89,26 +99,55 @@ def count_sets(df: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row binary, n_shingles long, node binary, slice int, counts binary")
 
 
-def gram_counts(slices: DataFrame) -> np.ndarray:
-    """The counters of all tasks, added up in two rounds; the driver gets COUNTERS numbers of 8 bytes."""
+def _merged(slices: DataFrame, n: int, kind: str, merge: np.ufunc) -> np.ndarray:
+    """An array of n numbers from the slices (slice, counts) of all tasks, merged in two rounds, so that the driver gets each slice once."""
+    size = SLICE * np.dtype(kind).itemsize
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                own = np.frombuffer(raw, dtype="<u4" if len(raw) == 4 * SLICE else "<u8")
-                sums[k] = sums[k] + own if k in sums else own.astype(np.uint64)
-        for k, total in sums.items():
+                own = np.frombuffer(raw, dtype=kind if len(raw) == size else "<u4").astype(kind)
+                found[k] = merge(found[k], own) if k in found else own
+        for k, total in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
 
     schema = "slice int, counts binary"
     first = map_batches(slices.withColumn("part", F.pmod(F.hash("counts"), F.lit(32))).repartition("slice", "part").select("slice", "counts"), add, schema)
-    out = np.zeros(COUNTERS, np.uint64)
-    for r in map_batches(first.repartition("slice"), add, schema).collect():
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] += np.frombuffer(bytes(r["counts"]), dtype="<u8")
+    out = np.zeros(n, np.dtype(kind))
+    for r in map_batches(first.repartition("slice"), add, schema).toLocalIterator():
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(bytes(r["counts"]), dtype=kind)
     return out
 
 
+def gram_counts(slices: DataFrame) -> np.ndarray:
+    """The counters of all tasks, added up; the driver gets COUNTERS numbers of 8 bytes."""
+    return _merged(slices, COUNTERS, "<u8", np.add)
+
+
+def _bit_places(rows: pa.Array, bits: int) -> np.ndarray:
+    """Four places in the bit table for each 16-byte key."""
+    a, b = np.frombuffer(b"".join(rows.to_pylist()), dtype="<u8").reshape(-1, 2).T
+    return np.stack([(a + np.uint64(k) * (b | np.uint64(1))) & np.uint64(bits - 1) for k in range(4)]).astype(np.int64)
+
+
+def wanted_rows(rows: DataFrame) -> np.ndarray:
+    """A bit table (as bytes) of the row keys; of the size that their number asks for, up to MOST_BITS."""
+    bits = max(8 * SLICE, min(MOST_BITS, 1 << int(12 * rows.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            if batch.num_rows:
+                at = _bit_places(batch.column(0), bits).ravel()
+                np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for k in range(0, len(table), SLICE):
+            if table[k : k + SLICE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // SLICE], pa.int32()), pa.array([table[k : k + SLICE].tobytes()], pa.binary())], names=["slice", "counts"])
+
+    return _merged(map_batches(rows.select("row"), run, "slice int, counts binary"), bits // 8, "u1", np.bitwise_or)
+
+
 def _ranked(sets: list[np.ndarray], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams of all sets, rare first within each set; their number in each set)."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -118,12 +157,18 @@ def _ranked(sets: list[np.ndarray], ranks: np.ndarray) -> tuple[np.ndarray, np.n
     return flat[np.argsort((owner << np.uint64(32)) | ranks[_counter(flat)], kind="stable")], sizes
 
 
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+def _slot(grams: np.ndarray, n: int = SLOTS) -> np.ndarray:
+    return (grams >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64)
+
+
+def _bytes(table: np.ndarray) -> pa.Array:
+    """Rows of bytes as binaries."""
+    n, width = table.shape
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(np.ascontiguousarray(table).tobytes())]).cast(pa.binary())
 
 
 def prefixes(df: DataFrame, doc_id: str, text: str, size: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(node, size, prefix, slots) of each text that has a set: its rarest n-grams in order, and how many of the set are in each range of hashes.
+    """(node, size, prefix, slots, fine) of each text that has a set: its rarest n-grams in order, and how many of the set are in each range of hashes (fine: a byte each, larger numbers as the largest).
 
     A task tells a class once, as long as it remembers.
     """
@@ -140,8 +185,8 @@ def prefixes(df: DataFrame, doc_id: str, text: str, size: int, percent: int, cou
                 sets, nodes = [sets[i] for i in once], [nodes[i] for i in once]
                 grams, sizes = _ranked(sets, rank)
                 begins, head = np.cumsum(sizes) - sizes, prefix_length(sizes, percent)
-                slots = np.zeros((len(sets), SLOTS), np.int64)
-                np.add.at(slots, (np.repeat(np.arange(len(sets)), sizes), _slot(grams)), 1)
+                fine = np.bincount(np.repeat(np.arange(len(sets)), sizes) * FINE + _slot(grams, FINE), minlength=len(sets) * FINE).reshape(-1, FINE)
+                slots = fine.reshape(len(sets), SLOTS, FINE // SLOTS).sum(axis=2)
                 taken = np.arange(len(grams)) - np.repeat(begins, sizes) < np.repeat(head, sizes)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -149,11 +194,12 @@ def prefixes(df: DataFrame, doc_id: str, text: str, size: int, percent: int, cou
                         pa.array(sizes, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(head)).astype(np.int32)), pa.array(grams[taken].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SLOTS), pa.array(slots.astype(np.int32).ravel())),
+                        _bytes(np.minimum(fine, 255).astype(np.uint8)),
                     ],
-                    names=["node", "size", "prefix", "slots"],
+                    names=["node", "size", "prefix", "slots", "fine"],
                 )
 
-    return map_batches(df.select(F.col(f"`{text}`").alias("text")), run, "node binary, size long, prefix array<long>, slots array<int>")
+    return map_batches(df.select(F.col(f"`{text}`").alias("text")), run, "node binary, size long, prefix array<long>, slots array<int>, fine binary")
 
 
 def postings(heads: DataFrame) -> DataFrame:
@@ -172,9 +218,8 @@ def postings(heads: DataFrame) -> DataFrame:
             before = np.concatenate([np.zeros((1, SLOTS), np.int64), seen])[np.cumsum(lengths) - lengths]
             slots = batch.column("slots").flatten().to_numpy(zero_copy_only=False).reshape(-1, SLOTS)
             behind = np.minimum(slots[owner] - (seen - before[owner]), 65535).astype("<u2")
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SLOTS), len(grams), [None, pa.py_buffer(behind.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams), batch.column("node").take(pa.array(owner)), batch.column("size").take(pa.array(owner)), pa.array(pos.astype(np.int32)), raw],
+                [pa.array(grams), batch.column("node").take(pa.array(owner)), batch.column("size").take(pa.array(owner)), pa.array(pos.astype(np.int32)), _bytes(behind.view(np.uint8).reshape(-1, 2 * SLOTS))],
                 names=["gram", "node", "size", "pos", "behind"],
             )
 
@@ -194,10 +239,39 @@ def passing(i: np.ndarray, j: np.ndarray, size: np.ndarray, pos: np.ndarray, beh
     return ok
 
 
+def fine_passing(i: np.ndarray, j: np.ndarray, size: np.ndarray, fine: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs can overlap enough by their sets' counts in the fine ranges of hashes."""
+    out = np.ones(len(i), bool)
+    for at in range(0, len(i), 1 << 15):
+        a, b = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+        x, y = fine[a], fine[b]
+        full = (x == 255).any(axis=1) | (y == 255).any(axis=1)
+        out[at : at + (1 << 15)] = full | ((100 + percent) * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= percent * (size[a] + size[b]))
+    return out
+
+
+def _earlier_bits(lists: pa.Array, runs: np.ndarray) -> np.ndarray:
+    """For each posting a row of bits: which n-grams that several postings of its unit have told as earlier ones it has told."""
+    n, lengths = len(lists), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(n), lengths)
+    unit = np.repeat(np.arange(len(runs)), runs[:, 1] - runs[:, 0])[row]
+    grams, code = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    kinds, kind, times = np.unique(unit * max(1, len(grams)) + code, return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(times > 1)
+    of = kinds[kept] // max(1, len(grams))
+    place = np.full(len(kinds), -1)
+    place[kept] = np.arange(len(kept)) - np.searchsorted(of, of)
+    at = place[kind]
+    some = (at >= 0) & (at < MOST_EARLIER)
+    bits = np.zeros((n, int(at[some].max(initial=-1)) // 8 + 1), np.uint8)
+    np.bitwise_or.at(bits, (row[some], at[some] >> 3), (1 << (at[some] & 7)).astype(np.uint8))
+    return bits
+
+
 def _candidates(units: DataFrame, percent: int, rest: bool) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of each unit's postings that pass the filters; units: (u0, u1, u2, label, size, pos, behind, node), sorted.
+    """Candidate pairs (a, b), a < b, of each unit's postings that pass the filters; units: (u0, u1, u2, label, size, pos, behind, fine, earlier, node), sorted.
 
-    All pairs of a unit that have different labels, or (not rest) of a unit of up to SMALL postings, and neighbours in longer ones.
+    A pair that shares an earlier list, as far as `earlier` tells, is left to that one.  All pairs of a unit that have different labels, or (not rest) of a unit of up to SMALL postings, and neighbours in longer ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +280,13 @@ def _candidates(units: DataFrame, percent: int, rest: bool) -> DataFrame:
             n, node = batch.num_rows, batch.column("node").to_pylist()
             size, pos = (batch.column(k).to_numpy().astype(np.int64) for k in ("size", "pos"))
             behind = np.frombuffer(b"".join(batch.column("behind").to_pylist()), dtype="<u2").reshape(n, SLOTS)
+            fine = np.frombuffer(b"".join(batch.column("fine").to_pylist()), dtype=np.uint8).reshape(n, FINE) if rest else None
             label = _numbered(batch.column("label").to_pylist())
             runs = np.array(_runs(batch, 3))
-            ends = np.repeat(runs[:, 1], runs[:, 1] - runs[:, 0])
-            reach = ends if rest else np.where(np.repeat(runs[:, 1] - runs[:, 0], runs[:, 1] - runs[:, 0]) <= SMALL, ends, np.minimum(ends, np.arange(n) + 2))
+            long = runs[:, 1] - runs[:, 0]
+            ends = np.repeat(runs[:, 1], long)
+            bits = _earlier_bits(batch.column("earlier"), runs) if rest else None
+            reach = ends if rest else np.where(np.repeat(long, long) <= SMALL, ends, np.minimum(ends, np.arange(n) + 2))
             open_, step = np.arange(n), 0
             while len(open_):
                 step += 1
@@ -217,7 +294,11 @@ def _candidates(units: DataFrame, percent: int, rest: bool) -> DataFrame:
                 pair = open_[label[open_] != label[open_ + step]]
                 # by size, so once a partner is too large for one, so are those after it
                 fits = 100 * size[open_] >= percent * size[open_ + step]
-                pair = pair[passing(pair, pair + step, size, pos, behind, percent)] if len(pair) else pair
+                if len(pair):
+                    pair = pair[passing(pair, pair + step, size, pos, behind, percent)]
+                if rest and len(pair):
+                    pair = pair[~(bits[pair] & bits[pair + step]).any(axis=1)]
+                    pair = pair[fine_passing(pair, pair + step, size, fine, percent)]
                 found = {(min(x, y), max(x, y)) for x, y in ((node[k], node[k + step]) for k in pair.tolist()) if x != y}
                 fresh = [p for p in found if p[0] + p[1] not in told]
                 if len(told) > 1 << 16:
@@ -227,7 +308,7 @@ def _candidates(units: DataFrame, percent: int, rest: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.binary()), pa.array([p[1] for p in fresh], pa.binary())], names=["a", "b"])
                 open_ = open_[fits]
 
-    return map_batches(units.select("u0", "u1", "u2", "label", "size", "pos", "behind", "node"), run, "a binary, b binary").distinct()
+    return map_batches(units.select("u0", "u1", "u2", "label", "size", "pos", "behind", *(["fine", "earlier"] if rest else []), "node"), run, "a binary, b binary").distinct()
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -276,9 +357,15 @@ def verified_links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size:
     """Edges (a, b) that chain all classes which the candidate pairs link truly; texts: (row, text), classes: (node, row, size)."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            for a, sets in _sets(batch.column(1), size):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
+            if not batch.num_rows:
+                continue
+            at = _bit_places(batch.column(0), 8 * len(table))
+            inside = ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+            for _, sets in _sets(batch.column(1).filter(pa.array(inside)), size):
+                sets = [s for s in sets if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
 
     chained = store(classes.join(connected_components(pairs), "node").select("node", "row", "size", F.col("root").alias("group")))
     sizes = chained.groupBy("group").agg(F.ceil(F.sum("size") / UNIT_ITEMS).cast("int").alias("parts"))
@@ -288,8 +375,8 @@ def verified_links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size:
     unit = [F.col("u0"), F.least("p", "q").alias("u1"), F.greatest("p", "q").alias("u2")]
     asked = store(pairs.join(one, "a").join(two, "b").select(*unit, F.col("a").alias("node"), "b"))
     wanted = asked.select("u0", "u1", "u2", "node").union(asked.select("u0", "u1", "u2", "b")).distinct()
-    found = texts.join(chained.select("node", "row"), "row").select("node", "text")
-    sets = map_batches(found, to_sets, "node binary, items binary").dropDuplicates(["node"])
+    shared = texts.sparkSession.sparkContext.broadcast(wanted_rows(chained).tobytes())
+    sets = map_batches(texts.select("row", "text"), to_sets, "node binary, items binary").groupBy("node").agg(F.first("items").alias("items"))
     sets = wanted.join(sets, "node").select("u0", "u1", "u2", F.lit(None).cast("binary").alias("b"), "node", "items")
     units = sets.unionByName(asked.withColumn("items", F.lit(None).cast("binary")))
     links = store(_verified(_sorted_units(units, "b", "node"), percent))
@@ -303,26 +390,30 @@ def linked_classes(df: DataFrame, doc_id: str, text: str, size: int, percent: in
     rows = told.where("slice is null").select("doc_id", "row", "n_shingles", "node")
     counts = gram_counts(told.where("slice is not null").select("slice", "counts"))
     classes = store(rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("n_shingles").alias("size")))
-    heads = prefixes(df, doc_id, text, size, percent, counts).groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("slots").alias("slots"))
+    heads = prefixes(df, doc_id, text, size, percent, counts).groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "slots", "fine")])
     heads = store(heads)
     shared = store(heads.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
     live = store(postings(heads).join(shared, "gram"))
-    forget(heads, shared)
+    forget(shared)
+    long = live.where(F.col("n") > SMALL)
+    rarest = long.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("pos"))).where(F.col("nth") <= LISTS).drop("nth")
+    first = live.where(F.col("n") <= SMALL).unionByName(rarest)
     parts = F.ceil(F.col("n") / LIST_ROWS).cast("int")
     own = F.array(F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int"))
     everywhere = (parts > 1) & (F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")) < SHARED)
-    first = live.withColumn("part", F.explode(F.when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(own)))
-    first = first.select(F.col("gram").alias("u0"), F.col("part").alias("u1"), F.lit(0).alias("u2"), F.col("node").alias("label"), "size", "pos", "behind", "node")
-    pairs = store(_candidates(_sorted_units(first, "size", "node"), percent, rest=False))
+    first = first.withColumn("part", F.explode(F.when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(own)))
+    first = first.select(F.col("gram").alias("u0"), F.col("part").alias("u1"), F.lit(0).alias("u2"), F.col("node").alias("label"), "size", "pos", "behind", "node", F.xxhash64("node", "gram").alias("mixed"))
+    pairs = store(_candidates(_sorted_units(first, "size", "mixed"), percent, rest=False))
     texts = df.select(row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"))
     links = verified_links(pairs, texts, classes, size, percent)
-    long = live.where(F.col("n") > SMALL)
     if not long.isEmpty():
-        left = _rest(long.select(F.col("gram").alias("group"), "node", "size", "pos", "behind"), connected_components(links), LIST_ROWS)
+        before = Window.partitionBy("node").orderBy("pos").rowsBetween(-EARLIER, -1)
+        left = long.select(F.col("gram").alias("group"), "node", "size", "pos", "behind", F.collect_list("gram").over(before).alias("earlier"))
+        left = _rest(left, connected_components(links), LIST_ROWS).join(heads.select("node", "fine"), "node")
         more = store(_candidates(_sorted_units(left, "size", "node"), percent, rest=True).join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             links = links.union(verified_links(more, texts, classes, size, percent))
-    forget(live, pairs, classes)
+    forget(live, pairs, classes, heads)
     return rows, links
 
 
