@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +42,8 @@ def store(df: DataFrame, name: str = "kept") -> DataFrame:
     Unlike a checkpoint's, its plan starts anew: sizes that Spark estimated for joins, which multiply, are forgotten, so loops use this one.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _free_shuffles(df.sparkSession)
-    df.write.parquet(path)
+    with _freed_shuffles(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -52,7 +53,10 @@ BATCH_BYTES = 4 << 20
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with batches of at most BATCH_BYTES: the session is asked for smaller ones if it makes larger ones."""
+    """mapInArrow with batches of at most BATCH_BYTES: the session is asked for smaller ones if it makes larger ones.
+
+    The setting is read when the plan runs, so it stays in the session.
+    """
     conf = df.sparkSession.conf
     if int(conf.get(_BATCH_CONF, "67108864b").removesuffix("b")) > BATCH_BYTES:
         conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
@@ -82,16 +86,23 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _free_shuffles(spark: SparkSession) -> None:
-    """From now on, the session removes the shuffle files of a query when it ends: what is settled or stored never needs them again."""
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+@contextmanager
+def _freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is written meanwhile are removed when it ends: what is settled or stored never needs them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    _free_shuffles(df.sparkSession)
-    return df.select("*").checkpoint()  # a new plan, so that the setting holds for it
+    with _freed_shuffles(df.sparkSession):
+        return df.select("*").checkpoint()  # a new plan, so that the setting holds for it
 
 
 def forget(*settled: DataFrame) -> None:
