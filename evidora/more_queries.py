@@ -17,6 +17,7 @@ from .operators import references as N
 from .operators import scoring as S
 from .operators import variants as V
 from .plans import search as plan
+from .queries import GATE_TEXT, MADE, _made, _starts_sql
 from .registry import query, table
 
 
@@ -113,14 +114,16 @@ _LOW = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9()./:\\-\\s]',
 
 
 @query(f"""
+WITH m AS ({MADE} UNION ALL SELECT conv_id, turn + 1, text FROM conversations)
 SELECT conv_id, turn, regexp_matches(lower(text), '(^|[^a-z0-9_])(?:or|either|alternatively|versus|vs\\.?|instead of)([^a-z0-9_]|$)') AS either_word,
   regexp_matches({_LOW}, '\\b(?:dismissed|refused|rejected|denied|declined|quashed|allowed|granted|restored|not condoned|time barred|barred by limitation)\\b') AS named,
-  regexp_matches({_LOW}, '\\b(?:whether|when|can|could|would|if)\\b') AND regexp_matches({_LOW}, '\\b(?:condon(?:e|ed|ation)|quash(?:ed|ing)?|dismiss(?:ed)?|allow(?:ed)?|grant(?:ed)?|refus(?:e|ed)|reject(?:ed)?|discharge|framing\\s+of\\s+charge)\\b') AS open_ended FROM conversations
+  regexp_matches({_LOW}, '\\b(?:whether|when|can|could|would|if)\\b') AND regexp_matches({_LOW}, '\\b(?:condon(?:e|ed|ation)|quash(?:ed|ing)?|dismiss(?:ed)?|allow(?:ed)?|grant(?:ed)?|refus(?:e|ed)|reject(?:ed)?|discharge|framing\\s+of\\s+charge)\\b') AS open_ended FROM m
 """)
 def question_flags(spark, sf_dir):
-    """FLT-15: what kind of question every turn is."""
+    """FLT-15: what kind of question every turn is, and every question made of parts (turn 0)."""
     t = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", N.disjunctive_words(t).alias("either_word"), K.disposition(t).alias("named"), K.open_ended(t).alias("open_ended"))
+    rows = _made(spark, sf_dir).select("conv_id", F.col("turn").cast("long").alias("turn"), "text").union(table(spark, sf_dir, "conversations").select("conv_id", F.col("turn") + 1, "text"))
+    return rows.select("conv_id", "turn", N.disjunctive_words(t).alias("either_word"), K.disposition(t).alias("named"), K.open_ended(t).alias("open_ended"))
 
 
 # ---------------------------------------------------------------- scores in context
@@ -163,6 +166,15 @@ def context_score(spark, sf_dir):
     return S.score_candidates(candidates_in_context(spark, sf_dir)).select("doc_id", F.round("raw_score", 6).alias("raw_score"), "score")
 
 
+@query(f"""
+WITH {SCORED}, s AS (SELECT *, least(0.92, greatest(0.0, least(1.0, 1 / (1 + exp(-(raw - 0.45) * 3.1))))) AS sq FROM r), f2 AS (SELECT CASE WHEN proven THEN least(0.94, sq + 0.03) ELSE sq END AS score FROM s)
+SELECT CASE WHEN score >= 0.86 THEN 'VERY_HIGH' WHEN score >= 0.71 THEN 'HIGH' WHEN score >= 0.51 THEN 'MEDIUM' ELSE 'LOW' END AS band, count(*) AS n, round(avg(round(score, 3)), 3) AS avg_score FROM f2 GROUP BY 1
+""")
+def score_bands(spark, sf_dir):
+    """SCR-06: candidates in context, by band."""
+    return S.score_candidates(candidates_in_context(spark, sf_dir)).groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("score"), 3).alias("avg_score"))
+
+
 # ---------------------------------------------------------------- reports
 
 
@@ -280,11 +292,45 @@ def lock_model(spark, sf_dir):
 MODES = G.Checklist(axes=(("a", ("the",), True),), groups=(G.Group("g1", ("this",)), G.Group("g2", ("from",))), outcome=("was",), outcome_required=True).with_pairs()
 
 
-@query("""
-SELECT doc_id, round(((regexp_matches(t, '(^|[^a-z0-9_])was([^a-z0-9_]|$)'))::INT) / 1.0, 6) AS core_coverage, round((regexp_matches(t, '(^|[^a-z0-9_])the([^a-z0-9_]|$)'))::INT / 1.0, 6) AS peripheral_coverage, 1.0 AS hook_coverage
-FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9()./:\\-\\s]', ' ', 'g'), '[\\s\\x{00a0}]+', ' ', 'g')) AS t FROM documents)
+def _in(word: str) -> str:
+    return f"regexp_matches(t, '(^|[^a-z0-9_]){word}([^a-z0-9_]|$)')"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, {GATE_TEXT} AS t FROM documents), {_starts_sql('s', {'g1': ['this'], 'g2': ['from']})},
+n AS (SELECT DISTINCT a.doc_id FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.g = 'g1' AND b.g = 'g2' AND abs(a.pos - b.pos) <= 220),
+f AS (SELECT doc_id, {_in('this')}::INT AS h1, {_in('from')}::INT AS h2, {_in('was')}::INT AS oc, {_in('the')}::INT AS a, (doc_id IN (SELECT doc_id FROM n))::INT AS rel FROM t)
+SELECT doc_id, 'hooks' AS mode, round((h1 + h2 + (rel = 1 AND h1 + h2 > 1)::INT + oc) / 4, 6) AS core_coverage, a / 1.0 AS peripheral_coverage, round((h1 + h2) / 2, 6) AS hook_coverage FROM f
+UNION ALL SELECT doc_id, 'plain', oc / 1.0, a / 1.0, 1.0 FROM f
 """)
 def gate_modes(spark, sf_dir):
-    """GAT-08: signals under a checklist in the mode without hooks."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", K.in_mode(K.checklist_column(MODES), hooks=False).alias("checklist"))
-    return K.signals_of(rows).select("doc_id", "core_coverage", "peripheral_coverage", "hook_coverage")
+    """GAT-08: signals under a checklist in the modes with and without hooks."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    modes = [K.signals_of(rows.withColumn("checklist", K.in_mode(K.checklist_column(MODES), hooks=hooks))).select("doc_id", F.lit(name).alias("mode"), "core_coverage", "peripheral_coverage", "hook_coverage") for name, hooks in (("hooks", True), ("plain", False))]
+    return modes[0].union(modes[1])
+
+
+STEPS = G.Checklist(
+    axes=(("place", ("that",), True),),
+    groups=(G.Group("g1", ("this",)), G.Group("g2", ("und",)), G.Group("g3", ("que",))),
+    outcome=("was",),
+    outcome_contradictions=("allowed",),
+    outcome_required=True,
+    steps=tuple(G.Step(f"s{i}", (w,)) for i, w in enumerate(("the", "and", "for", "with"))) + (G.Step("c", ("this",), ("from",), mandatory=False),),
+)
+
+
+@query(f"""
+WITH t AS (SELECT d.doc_id, coalesce(quality, 0) = 1 AS verified, {GATE_TEXT} AS t FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id), {_starts_sql('s', {'l': ['this'], 'r': ['from']})},
+n AS (SELECT DISTINCT a.doc_id FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.g = 'l' AND b.g = 'r' AND abs(a.pos - b.pos) <= 260),
+f AS (SELECT doc_id, verified, {_in('this')}::INT + {_in('und')}::INT + {_in('que')}::INT AS h, ({_in('was')} AND NOT {_in('allowed')})::INT AS oc, {_in('the')}::INT + {_in('and')}::INT + {_in('for')}::INT + {_in('with')}::INT AS s, (doc_id IN (SELECT doc_id FROM n) OR NOT verified)::INT AS c, {_in('that')}::INT AS a, {_in('allowed')} AS con FROM t),
+g AS (SELECT *, round(h / 3, 6) AS hook, round((h + oc + s) / 8, 6) AS core, round((a + c) / 2, 6) AS side, round((h + oc + s + a + c) / 10, 6) AS req, round(s / 4, 6) AS steps FROM f)
+SELECT doc_id, CASE WHEN verified AND NOT con AND core >= 1 AND hook >= 1 AND oc = 1 AND c = 1 AND side >= 0.6 THEN 'exact_strict'
+  WHEN NOT con AND ((core >= 1 AND hook >= 1 AND oc = 1) OR (core >= 0.35 AND hook >= 0.5 AND req >= 0.35 AND steps >= 0.25 AND (oc = 1 OR core >= 0.6))) THEN 'exact_provisional'
+  WHEN NOT con AND core >= 0.75 AND req >= 0.75 THEN 'near_miss' ELSE 'reject' END AS tier, core AS core_coverage, steps AS step_coverage, c = 1 AS chain_satisfied FROM g
+""")
+def gate_steps(spark, sf_dir):
+    """GAT-03, GAT-05: tiers under a checklist with mandatory steps and a chain, in which near misses occur."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    rows = docs.select("doc_id", "text", (F.coalesce("quality", F.lit(0)) == 1).alias("detail_checked"), F.lit(1).alias("context_strength"))
+    return G.gate(G.signals(rows, STEPS), STEPS).select("doc_id", "tier", "core_coverage", "step_coverage", "chain_satisfied")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import let, ordered_distinct
 from .gate import CHAIN_WINDOW, RELATION_WINDOW, Checklist, gate_text
 from .references import any_of, asks_for_either, disjunctive_words, references
+from .terms import counts_against, found, places_of, term_places
 
 GROUP = "struct<group_id: string, terms: array<string>, required: boolean, min_match: int>"
 STEP = "struct<step_id: string, kind: string, left: array<string>, right: array<string>, mandatory: boolean>"
@@ -328,33 +329,18 @@ def quoted(term: Column) -> Column:
     return F.concat(F.lit(r"\Q"), term, F.lit(r"\E"))
 
 
-def has(text: Column, term: Column) -> Column:
-    """A phrase as plain text, a word between word ends, for terms of the row (FLT-10)."""
-    return F.when(F.contains(term, F.lit(" ")), F.contains(text, term)).otherwise(F.regexp_like(text, F.concat(F.lit("(^|[^a-z0-9_])"), quoted(term), F.lit("([^a-z0-9_]|$)"))))
-
-
-def against(text: Column, term: Column) -> Column:
-    """The term is there and not negated (FLT-11)."""
-    negated = F.when(term.isin("condoned", "allowed", "granted"), F.regexp_like(text, F.concat(F.lit(r"(^|[^a-z0-9_])(?:not|no|without)\s+(?:been\s+)?"), term, F.lit("([^a-z0-9_]|$)")))).when(term == "restored", text.rlike(r"(^|[^a-z0-9_])not\s+restored([^a-z0-9_]|$)"))
-    return has(text, term) & ~F.coalesce(negated, F.lit(False))
-
-
-def positions_of(text: Column, terms: Column, most: int) -> Column:
-    """Starts of the terms in a text, of one after another."""
-
-    def own(term: Column) -> Column:
-        pattern = F.when(F.contains(term, F.lit(" ")), quoted(term)).otherwise(F.concat(F.lit("(?<![a-z0-9_])"), quoted(term), F.lit("(?![a-z0-9_])")))
-        pieces = F.split(text, pattern)
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        step = lambda s, p: F.struct((s["at"] + F.length(p) + F.length(term)).alias("at"), F.array_append(s["out"], s["at"] + F.length(p)).alias("out"))
-        return let(pieces, lambda ps: F.aggregate(F.slice(ps, F.lit(1), F.size(ps) - 1), zero, step, lambda s: s["out"]))
-
-    return F.slice(F.flatten(F.transform(terms, own)), 1, most)
+def checklist_terms(df: DataFrame, checklist: str = "checklist") -> list[str]:
+    """All terms of the rows' checklists: as many as the stated questions have."""
+    c = F.col(checklist)
+    lists = F.concat(
+        F.flatten(F.transform(c["axes"], lambda a: a["terms"])), F.flatten(F.transform(c["groups"], lambda g: g["terms"])), F.flatten(F.transform(c["steps"], lambda s: F.concat(s["left"], s["right"]))), c["outcome"], c["outcome_contradictions"], c["contradictions"]
+    )
+    return [r["term"] for r in df.select(F.explode(lists).alias("term")).distinct().collect() if r["term"]]
 
 
-def near_of(text: Column, left: Column, right: Column, window: int, most: int) -> Column:
+def near_of(places: Column, left: Column, right: Column, window: int, most: int) -> Column:
     """Some term of either list stands near one of the other (JOIN-06)."""
-    return let(positions_of(text, right, most), lambda b: F.exists(positions_of(text, left, most), lambda x: F.exists(b, lambda y: F.abs(x - y) <= window)))
+    return let(places_of(places, right, most), lambda b: F.exists(places_of(places, left, most), lambda x: F.exists(b, lambda y: F.abs(x - y) <= window)))
 
 
 def role_fits(text: Column, role: Column, actors: Column) -> Column:
@@ -368,28 +354,37 @@ def role_fits(text: Column, role: Column, actors: Column) -> Column:
     return F.when(F.size(actors) == 0, F.lit(True)).otherwise(fits)
 
 
-def signals_of(df: DataFrame, *, text: str = "text", evidence: str | None = None, checked: str = "detail_checked", checklist: str = "checklist") -> DataFrame:
-    """Add the signals of each candidate under its question's own checklist: what gate.signals adds for a constant one (GAT-01, GAT-02, GAT-05)."""
+def signals_of(df: DataFrame, *, text: str = "text", evidence: str | None = None, checked: str = "detail_checked", checklist: str = "checklist", terms: list[str] | None = None) -> DataFrame:
+    """Add the signals of each candidate under its question's own checklist: what gate.signals adds for a constant one (GAT-01, GAT-02, GAT-05).
+
+    The terms of all checklists are found in one pass over each text; they are those of the rows, or `terms` if these are known already.
+    """
     c = F.col(checklist)
-    df = df.withColumn("_t", gate_text(F.col(text)))
-    df = df.withColumn("_e", F.when(F.length(F.coalesce(F.col(evidence), F.lit(""))) > 0, gate_text(F.col(evidence))).otherwise(F.col("_t")) if evidence else F.col("_t"))
+    terms = checklist_terms(df, checklist) if terms is None else terms
+    df = df.withColumn("_x_t", gate_text(F.col(text)))
+    df = df.withColumn("_t", term_places(F.col("_x_t"), terms))
+    if evidence:
+        own = F.when(F.length(F.coalesce(F.col(evidence), F.lit(""))) > 0, gate_text(F.col(evidence)))
+        df = df.withColumn("_e", F.coalesce(F.when(own.isNotNull(), term_places(own, terms)), F.col("_t")))
+    else:
+        df = df.withColumn("_e", F.col("_t"))
     t, e = F.col("_t"), F.col("_e")
     verified = F.coalesce(F.col(checked), F.lit(False)) if checked in df.columns else F.lit(False)
     words = lambda group: F.flatten(F.transform(F.filter(c["groups"], lambda g: g["group_id"] == group), lambda g: g["terms"]))
-    any_has = lambda where, terms: F.exists(terms, lambda x: has(where, x))
+    any_has = lambda where, terms: F.exists(terms, lambda x: found(where, x))
 
     def step_ok(s: Column) -> Column:
         chain = near_of(t, s["left"], s["right"], CHAIN_WINDOW, 30)
-        return F.when(s["kind"] == "chain", ~verified | chain).when(s["kind"] == "role", ~verified | role_fits(t, c["role"], c["role_actors"])).otherwise(any_has(t, s["left"]))
+        return F.when(s["kind"] == "chain", ~verified | chain).when(s["kind"] == "role", ~verified | role_fits(F.col("_x_t"), c["role"], c["role_actors"])).otherwise(any_has(t, s["left"]))
 
     flags = {
-        "_h": F.transform(F.filter(c["groups"], lambda g: g["required"]), lambda g: F.size(F.filter(g["terms"], lambda x: has(t, x))) >= g["min_match"]),
+        "_h": F.transform(F.filter(c["groups"], lambda g: g["required"]), lambda g: F.size(F.filter(g["terms"], lambda x: found(t, x))) >= g["min_match"]),
         "_r": F.transform(c["relations"], lambda r: near_of(e, words(r["left"]), words(r["right"]), RELATION_WINDOW, 30)),
         "_a": F.transform(F.filter(c["axes"], lambda a: a["required"]), lambda a: F.struct(a["label"].alias("label"), any_has(t, a["terms"]).alias("ok"))),
         "_s": F.transform(c["steps"], lambda s: F.struct(s["kind"].alias("kind"), s["step_id"].alias("step_id"), s["mandatory"].alias("mandatory"), step_ok(s).alias("ok"))),
         "_o": any_has(e, c["outcome"]),
-        "_x": F.exists(c["outcome_contradictions"], lambda x: against(e, x)),
-        "_y": F.exists(c["contradictions"], lambda x: against(e, x)),
+        "_x": F.exists(c["outcome_contradictions"], lambda x: counts_against(e, x)),
+        "_y": F.exists(c["contradictions"], lambda x: counts_against(e, x)),
     }
     df = df.withColumns(flags)
     outcome_ok = ~c["outcome_required"] | (F.col("_o") & ~F.col("_x"))
@@ -425,7 +420,7 @@ def signals_of(df: DataFrame, *, text: str = "text", evidence: str | None = None
             "missing": missing,
         }
     )
-    return out.drop("_t", "_e", "_core", "_side", *flags)
+    return out.drop("_t", "_e", "_x_t", "_core", "_side", *flags)
 
 
 def sparse(intents: DataFrame, *, text: str = "cleaned") -> Column:

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import clamp, let, squeeze
+from .terms import POSITIONS, counts_against, found, places_of, term_places
 
 RELATION_WINDOW, CHAIN_WINDOW = 220, 260
-POSITIONS = 30
 
 
 @dataclass(frozen=True)
@@ -62,63 +62,11 @@ def gate_text(text: Column) -> Column:
     return squeeze(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9()./:\-\s]", " "))
 
 
-def has_term(text: Column, term: str) -> Column:
-    """A phrase as plain text, a word between word ends (FLT-10)."""
-    if not term:
-        return F.lit(False)
-    if " " in term:
-        return F.contains(text, F.lit(term))
-    return text.rlike(rf"(^|[^a-z0-9_]){re.escape(term)}([^a-z0-9_]|$)")
-
-
-def has_any(text: Column, terms: tuple[str, ...]) -> Column:
-    """Any of the terms is there: the words in one pass over the text, phrases as plain text."""
-    words = [re.escape(t) for t in terms if t and " " not in t]
-    out = text.rlike(rf"(^|[^a-z0-9_])(?:{'|'.join(words)})([^a-z0-9_]|$)") if words else F.lit(False)
-    for t in terms:
-        if " " in t:
-            out = out | F.contains(text, F.lit(t))
-    return out
-
-
-def contradicts(text: Column, term: str) -> Column:
-    """The term is there and not negated (FLT-11)."""
-    found = has_term(text, term)
-    if term in {"condoned", "allowed", "granted"}:
-        return found & ~text.rlike(rf"(^|[^a-z0-9_])(?:not|no|without)\s+(?:been\s+)?{term}([^a-z0-9_]|$)")
-    if term == "restored":
-        return found & ~text.rlike(r"(^|[^a-z0-9_])not\s+restored([^a-z0-9_]|$)")
-    return found
-
-
-def positions(text: Column, term: str) -> Column:
-    """Starts of a term in a text, from the lengths of what lies between its occurrences."""
-    pattern = re.escape(term) if " " in term else rf"(?<![a-z0-9_]){re.escape(term)}(?![a-z0-9_])"
-    pieces = F.split(text, pattern)
-    size = len(term)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    walked = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), zero, lambda s, p: F.struct((s["at"] + F.length(p) + size).alias("at"), F.array_append(s["out"], s["at"] + F.length(p)).alias("out")))
-    return walked["out"]
-
-
-def starts(text: Column, terms: tuple[str, ...], most: int = POSITIONS) -> Column:
-    """Starts of the terms, of one after another, `most` in all."""
-    found = [F.when(F.contains(text, F.lit(t)), positions(text, t)).otherwise(F.array().cast("array<int>")) for t in terms]
-    return F.slice(F.concat(*found), 1, most) if found else F.array().cast("array<int>")
-
-
 def near_starts(left: Column, right: Column, window: int) -> Column:
     """Some place of either list is within `window` characters of one of the other."""
     return F.exists(left, lambda x: F.exists(right, lambda y: F.abs(x - y) <= window))
 
 
-def near(text: Column, left: tuple[str, ...], right: tuple[str, ...], window: int, most: int = POSITIONS) -> Column:
-    """Some term of either list stands within `window` characters of one of the other (JOIN-06)."""
-    if not left or not right:
-        return F.lit(False)
-    return let(starts(text, right, most), lambda b: near_starts(starts(text, left, most), b, window))
-
-
 def _all(parts: list[Column]) -> Column:
     out = F.lit(True)
     for p in parts:
@@ -139,26 +87,34 @@ def _share(parts: list[Column], empty: float) -> Column:
 
 def signals(df: DataFrame, checklist: Checklist, *, text: str = "text", evidence: str | None = None, checked: str = "detail_checked") -> DataFrame:
     """Add the proposition's signals to each candidate (GAT-01, GAT-02, GAT-05)."""
-    main = gate_text(F.col(text))
-    df = df.withColumn("_t", main)
-    df = df.withColumn("_e", F.when(F.length(F.coalesce(F.col(evidence), F.lit(""))) > 0, gate_text(F.col(evidence))).otherwise(F.col("_t")) if evidence else F.col("_t"))
+    # one pass over a text gives the places of all terms; what follows reads these
+    terms = [t for _, ts, _ in checklist.axes for t in ts] + [t for g in checklist.groups for t in g.terms] + [t for s in checklist.steps for t in (*s.left, *s.right)] + [*checklist.outcome, *checklist.outcome_contradictions, *checklist.contradictions]
+    df = df.withColumn("_t", term_places(gate_text(F.col(text)), terms))
+    if evidence:
+        own = F.when(F.length(F.coalesce(F.col(evidence), F.lit(""))) > 0, gate_text(F.col(evidence)))
+        df = df.withColumn("_e", F.coalesce(F.when(own.isNotNull(), term_places(own, terms)), F.col("_t")))
+    else:
+        df = df.withColumn("_e", F.col("_t"))
     t, e = F.col("_t"), F.col("_e")
+    some = lambda where, words: _any([found(where, x) for x in words if x])
+    at = lambda where, words: places_of(where, F.array(*[F.lit(x) for x in words]))
     groups = {g.group_id: g for g in checklist.groups}
     required = [g for g in checklist.groups if g.required]
-    hooks = [has_any(t, g.terms) if g.min_match <= 1 else sum((has_term(t, x).cast("int") for x in g.terms), F.lit(0)) >= g.min_match for g in required]
+    hooks = [some(t, g.terms) if g.min_match <= 1 else sum((found(t, x).cast("int") for x in g.terms), F.lit(0)) >= g.min_match for g in required]
     pairs = [(a, b) for a, b in checklist.relations if a in groups and b in groups]
-    # the places of a group are found once, for all its relations
+    # the places of a group are put together once, for all its relations
     related = {g: f"_p{i}" for i, g in enumerate(sorted({g for pair in pairs for g in pair}))}
-    df = df.withColumns({name: starts(e, groups[g].terms) for g, name in related.items()})
+    df = df.withColumns({name: at(e, groups[g].terms) for g, name in related.items()})
     relations = [near_starts(F.col(related[a]), F.col(related[b]), RELATION_WINDOW) for a, b in pairs]
-    steps = [(s, near(t, s.left, s.right, CHAIN_WINDOW) if s.right else has_any(t, s.left)) for s in checklist.steps]
-    df = df.withColumns({f"_h{i}": x for i, x in enumerate(hooks)} | {f"_r{i}": x for i, x in enumerate(relations)} | {f"_s{i}": x for i, (_, x) in enumerate(steps)} | {f"_a{i}": has_any(t, terms) for i, (_, terms, _) in enumerate(checklist.axes)})
+    chain = lambda s: let(at(t, s.right), lambda right: near_starts(at(t, s.left), right, CHAIN_WINDOW)) if s.left else F.lit(False)
+    steps = [(s, chain(s) if s.right else some(t, s.left)) for s in checklist.steps]
+    df = df.withColumns({f"_h{i}": x for i, x in enumerate(hooks)} | {f"_r{i}": x for i, x in enumerate(relations)} | {f"_s{i}": x for i, (_, x) in enumerate(steps)} | {f"_a{i}": some(t, words) for i, (_, words, _) in enumerate(checklist.axes)})
     h = [F.col(f"_h{i}") for i in range(len(hooks))]
     satisfied = _all([F.col(f"_r{i}") for i in range(len(relations))])
-    outcome = has_any(e, checklist.outcome)
-    against = _any([contradicts(e, x) for x in checklist.outcome_contradictions])
+    outcome = some(e, checklist.outcome)
+    against = _any([counts_against(e, x) for x in checklist.outcome_contradictions if x])
     outcome_ok = (outcome & ~against) if checklist.outcome_required else F.lit(True)
-    df = df.withColumn("relation_satisfied", satisfied).withColumn("outcome_satisfied", outcome_ok).withColumn("contradiction", against | _any([contradicts(e, x) for x in checklist.contradictions]))
+    df = df.withColumn("relation_satisfied", satisfied).withColumn("outcome_satisfied", outcome_ok).withColumn("contradiction", against | _any([counts_against(e, x) for x in checklist.contradictions if x]))
     # chain steps count only for candidates whose detail text was checked
     verified = F.coalesce(F.col(checked), F.lit(False)) if checked in df.columns else F.lit(False)
     step_ok = [(s, F.col(f"_s{i}") | ~verified if s.right else F.col(f"_s{i}")) for i, (s, _) in enumerate(steps)]

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..config import Config
 from ..operators import gate as G
 from ..operators.candidates import keep_or_all
-from ..operators.checklists import build_checklists, in_mode, signals_of
+from ..operators.checklists import build_checklists, checklist_terms, in_mode, signals_of
 from ..operators.intent import coach, intent_profile
 from ..operators.metrics import insights
 from ..operators.ranking import core_key, diversify, dominance_quota, fuse_ranks, overlap_top, rank_within, rerank_head, vector_top_k
@@ -72,7 +72,7 @@ def search(queries: DataFrame, docs: DataFrame, cfg: Config = Config(), *, check
     rows = found.join(texts, "doc_id").join(asked.select("query_id", F.col("text").alias("query"), "anchors", "issues", "procedures", "statutes", "max_results", "checklist"), "query_id")
     rows = rerank_head(rows.withColumnRenamed("position", "rank"), F.col("query"), F.col("body"), 22)
     rows = rows.withColumn("title", F.left(F.col("body"), F.lit(80))).withColumn("snippet", F.left(F.col("body"), F.lit(500))).withColumn("detail_checked", F.length("body") > 0)
-    rows = G.signals(held(rows), checklist, text="body") if checklist is not None else signals_of(held(rows), text="body")
+    rows = G.signals(held(rows), checklist, text="body") if checklist is not None else signals_of(held(rows), text="body", terms=checklist_terms(asked))
     scored = held(score_candidates(held(rows)))
     scored = keep_or_all(scored, F.col("score") >= cfg.min_relevance)
     scored = rank_within(scored, ["query_id"], [F.desc("score"), F.asc("new_rank"), F.asc("doc_id")], "score_rank")

@@ -14,12 +14,19 @@ from ..operators.ranking import vector_top_k
 FIXTURE = "id string, query string, expected struct<polarity: string, requiredHooks: array<string>>"
 
 
+class StaleVersion(RuntimeError):
+    """Another commit came after the version that was read."""
+
+
 class VectorStore:
     """Vectors with payload as a log of batches; a row's latest batch holds it (SRC-11, SRC-12).
 
     An upsert writes the batch only.  Reading takes the latest row of each id; when there are more than `COMPACT` batches they are written
-    into one.  A batch becomes visible by a marker file whose creation fails if another writer made that number first; then the next number
-    is tried.
+    into one.  A batch becomes visible by a file of its number, whose creation fails if another writer made that number first; then the next number
+    is tried, or the commit is refused if it named the version it had read.
+
+    A compacted batch names the batches that it stands for, and hides those only: what other writers committed while it was written stays, and
+    is newer than it.  So no commit is lost, however writers meet.
     """
 
     COMPACT = 16
@@ -30,29 +37,47 @@ class VectorStore:
         self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         self._files = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._files.listStatus(self._at(folder))) if self._files.exists(self._at(folder)) else []
+
     def _log(self) -> list[tuple[int, str]]:
-        """(number, folder) of the batches since the last whole one."""
-        if not self._files.exists(self._at("_log")):
-            return []
-        names = sorted(s.getPath().getName() for s in self._files.listStatus(self._at("_log")))
-        entries = [(int(n.split(".")[0]), n.split(".")[1], n.endswith(".whole")) for n in names]
-        last = max((i for i, e in enumerate(entries) if e[2]), default=0)
-        return [(n, folder) for n, folder, _ in entries[last:]]
-
-    def _commit(self, folder: str, number: int, whole: bool) -> int:
-        while True:
-            # a number is taken by creating its file, which only one writer can
-            if self._files.createNewFile(self._at(f"_numbers/{number:09d}")):
-                self._files.create(self._at(f"_log/{number:09d}.{folder}.{'whole' if whole else 'batch'}")).close()
-                return number
+        """(number, folder) of the batches that hold rows, oldest first; a compacted one has the number of the last batch that it stands for."""
+        entries = [(int(n.split(".")[0]), n.split(".")[1]) for n in self._names("_log")]
+        numbers, hidden, stands = {folder: n for n, folder in entries}, set(), {}
+        for number, folder in entries:
+            covers = self._names(f"_covers/{folder}")
+            hidden.update(covers)
+            # those it stands for were in the log before, so their own places are known by now
+            stands[folder] = max((stands[c] for c in covers if c in stands), default=number)
+        return sorted((stands[folder], folder) for folder in numbers if folder not in hidden)
+
+    def version(self) -> int:
+        """The number of the last commit that can be read, -1 before the first.
+
+        A writer that died between taking a number and publishing it leaves a gap; commits that name a version are refused there until one that names
+        none goes past it.
+        """
+        done = self._names("_log")
+        return int(done[-1].split(".")[0]) if done else -1
+
+    def _commit(self, folder: str, read_version: int | None = None) -> int:
+        number = (self.version() if read_version is None else read_version) + 1
+        # a number is taken by creating its file, which only one writer can
+        while not self._files.createNewFile(self._at(f"_numbers/{number:09d}")):
+            if read_version is not None:
+                raise StaleVersion(f"version {read_version} was read, and {self.version()} is the last one")
             number += 1
+        self._files.create(self._at(f"_log/{number:09d}.{folder}")).close()
+        return number
 
     def current(self) -> str | None:
         log = self._log()
         return log[-1][1] if log else None
 
     def read(self) -> DataFrame | None:
-        log = self._log()
+        return self._rows(self._log())
+
+    def _rows(self, log: list[tuple[int, str]]) -> DataFrame | None:
         if not log:
             return None
         parts = [self.spark.read.parquet(f"{self.path}/{folder}").withColumn("_number", F.lit(n)) for n, folder in log]
@@ -61,23 +86,34 @@ class VectorStore:
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         return first_wins(rows, ["id"], [F.desc("_number")]).drop("_number")
 
-    def upsert(self, records: DataFrame) -> None:
-        """Rows replace those of the same id; of several new ones the greatest is taken."""
+    def upsert(self, records: DataFrame, *, order: Column | None = None, read_version: int | None = None) -> int:
+        """Rows replace those of the same id; the version committed.
+
+        Of several new rows of one id the last by `order` is taken, without one the greatest.  With `read_version`, the commit is refused
+        (StaleVersion) if any other came after that version; the rows written for it are removed.
+        """
         folder = uuid.uuid4().hex
-        others = [F.col(f"`{c}`") for c in records.columns if c != "id"]
-        one = records.groupBy("id").agg(F.max(F.struct(*others)).alias("_row")).select("id", "_row.*").select(records.columns)
-        one.write.parquet(f"{self.path}/{folder}")
-        log = self._log()
-        self._commit(folder, log[-1][0] + 1 if log else 0, not log)
-        if len(log) + 1 > self.COMPACT:
+        others = F.struct(*[F.col(f"`{c}`") for c in records.columns if c != "id"])
+        row = F.max(others) if order is None else F.max_by(others, F.struct(order.alias("by"), others.alias("row")))
+        records.groupBy("id").agg(row.alias("_row")).select("id", "_row.*").select(records.columns).write.parquet(f"{self.path}/{folder}")
+        try:
+            number = self._commit(folder, read_version)
+        except StaleVersion:
+            self._files.delete(self._at(folder), True)
+            raise
+        if len(self._log()) > self.COMPACT:
             self.compact()
+        return number
 
     def compact(self) -> None:
-        """Write all batches into one."""
+        """Write all batches there are into one that stands for them."""
         log, folder = self._log(), uuid.uuid4().hex
-        self.read().write.parquet(f"{self.path}/{folder}")
-        if self._log() == log:  # else a batch came meanwhile, and the next upsert compacts
-            self._commit(folder, log[-1][0] + 1, True)
+        if len(log) < 2:
+            return
+        self._rows(log).write.parquet(f"{self.path}/{folder}")
+        for _, covered in log:
+            self._files.createNewFile(self._at(f"_covers/{folder}/{covered}"))
+        self._commit(folder)
 
     def query(self, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
         """The nearest stored vectors of each query (SRC-12)."""

@@ -16,7 +16,7 @@ from evidora.operators import intent as Q
 from evidora.operators import ranking as R
 from evidora.operators import references as N
 from evidora.operators import variants as V
-from evidora.queries import CHECK, QUERIES
+from evidora.queries import CHECK, PIECES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 QUESTIONS = [
@@ -234,12 +234,16 @@ def test_planned_variants_keep_their_guards(spark):
 
 def test_registered_variants_and_intents(spark):
     rows = QUERIES["query_variants"](spark, SF).collect()
-    n = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").count()
+    n = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").count() + spark.read.parquet(f"{SF}/part.parquet").count()
     assert rows and len({(r.query_id, r.phase, r.phrase.lower()) for r in rows}) == len(rows) and all(r.merged >= 1 for r in rows)
     made = QUERIES["question_intents"](spark, SF).collect()
     assert len(made) == n
     text = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    for k in range(n):  # those made of parts
+        text[k, -1] = " ".join(xs[k // step % m] for m, step, xs in PIECES if xs[k // step % m])
     for r in made:
+        if r.turn == -1:
+            assert bool(r.statutes) == ("section" in text[r.conv_id, -1]) and r.court_hint == {0: "SC", 1: "HC"}.get(r.conv_id // 5 % 4, "ANY")
         cleaned = text[r.conv_id, r.turn]
         for p in Q.NOISE:
             cleaned = re.sub(rf"(?i)\b(?:{p})\b", " ", cleaned)

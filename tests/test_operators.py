@@ -24,7 +24,8 @@ from evidora.operators import metrics as M
 from evidora.operators import ranking as R
 from evidora.operators import recall as L
 from evidora.sources import pages as pages_source
-from evidora.sources.stores import VectorStore, lookup_documents, backfill_years, index_job, live_entries, pick_provider, read_fixtures
+from evidora.operators.terms import counts_against, places_of, term_places
+from evidora.sources.stores import StaleVersion, VectorStore, lookup_documents, backfill_years, index_job, live_entries, pick_provider, read_fixtures
 from evidora.streaming import state as T
 
 
@@ -245,12 +246,18 @@ def plain_positions(text, term):
 
 def test_positions_and_nearness(spark):
     r = random.Random(2)
-    texts = [" ".join(r.choice(["this", "from", "thisfrom", "x", "pc act", "pc"]) for _ in range(r.randint(0, 200))) for _ in range(30)]
+    texts = [" ".join(r.choice(["this", "from", "thisfrom", "x", "pc act", "pc", "not allowed", "allowed", "no been allowed", "disallowed"]) for _ in range(r.randint(0, 200))) for _ in range(40)] + ["", None, "this", "pc pc act act"]
+    terms = ["this", "pc act", "from", "allowed", "pc pc", "pc", "absent", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = df.select("t", G.positions(F.col("t"), "this").alias("a"), G.positions(F.col("t"), "pc act").alias("b"), G.near(F.col("t"), ("this",), ("pc act",), 20).alias("n")).collect()
-    for g in got:
-        a, b = plain_positions(g.t, "this"), plain_positions(g.t, "pc act")
-        assert (g.a, g.b) == (a, b) and g.n == any(abs(x - y) <= 20 for x in a[:30] for y in b[:30])
+    at = F.col("at")
+    rows = df.withColumn("at", term_places(F.col("t"), terms)).select("t", "at", places_of(at, F.array(F.lit("this"), F.lit("pc act"))).alias("both"), counts_against(at, "allowed").alias("against"), G.near_starts(places_of(at, F.array(F.lit("this"))), places_of(at, F.array(F.lit("pc act"))), 20).alias("near"))
+    for g in rows.collect():
+        t = g.t or ""
+        want = {x: plain_positions(t, x)[:30] for x in terms if x}
+        assert {k: v for k, v in g["at"].items() if k[0] != "!"} == {k: v for k, v in want.items() if v}
+        a, b = want["this"], want["pc act"]
+        assert g.both == (a + b)[:30] and g.near == any(abs(x - y) <= 20 for x in a for y in b)
+        assert g.against == (bool(want["allowed"]) and not re.search(r"(^|[^a-z0-9_])(?:not|no|without)\s+(?:been\s+)?allowed([^a-z0-9_]|$)", t))
 
 
 # --- metrics, questions, recall
@@ -452,6 +459,80 @@ def test_vector_store(spark, tmp_path):
     assert store.query(q, 1).first()["id"] == "2#c0001"
 
 
+def _vectors(spark, *rows):
+    return spark.createDataFrame(list(rows), "id string, n int")
+
+
+def _stored(store):
+    return {r.id: r.n for r in store.read().collect()}
+
+
+def test_no_commit_is_lost_to_a_compaction(spark, tmp_path, monkeypatch):
+    """A batch that comes while others are compacted stays, and is newer than the compacted one."""
+    store, other = VectorStore(spark, str(tmp_path / "v")), VectorStore(spark, str(tmp_path / "v"))
+    store.upsert(_vectors(spark, ("a", 1)))
+    store.upsert(_vectors(spark, ("b", 1)))
+    commit = store._commit
+
+    def late(folder, read_version=None):
+        other.upsert(_vectors(spark, ("c", 1), ("a", 2)))
+        return commit(folder, read_version)
+
+    monkeypatch.setattr(store, "_commit", late)
+    store.compact()
+    assert _stored(other) == {"a": 2, "b": 1, "c": 1}
+    monkeypatch.undo()
+    store.compact()
+    assert len(store._log()) == 1 and _stored(store) == {"a": 2, "b": 1, "c": 1}
+    store.upsert(_vectors(spark, ("b", 5)))
+    assert _stored(store) == {"a": 2, "b": 5, "c": 1}
+
+
+def test_two_compactions_at_once(spark, tmp_path, monkeypatch):
+    store, other = VectorStore(spark, str(tmp_path / "v")), VectorStore(spark, str(tmp_path / "v"))
+    for n in range(3):
+        store.upsert(_vectors(spark, ("a", n), (f"x{n}", n)))
+    commit = store._commit
+
+    def late(folder, read_version=None):
+        other.compact()
+        other.upsert(_vectors(spark, ("a", 9)))
+        return commit(folder, read_version)
+
+    monkeypatch.setattr(store, "_commit", late)
+    store.compact()
+    assert _stored(store) == {"a": 9, "x0": 0, "x1": 1, "x2": 2}
+
+
+def test_first_writers_meet(spark, tmp_path, monkeypatch):
+    """Two writers that both find an empty store keep both their rows; a commit that names an old version is refused."""
+    store, other = VectorStore(spark, str(tmp_path / "v")), VectorStore(spark, str(tmp_path / "v"))
+    commit = store._commit
+
+    def late(folder, read_version=None):
+        other.upsert(_vectors(spark, ("b", 1)))
+        return commit(folder, read_version)
+
+    monkeypatch.setattr(store, "_commit", late)
+    store.upsert(_vectors(spark, ("a", 1)))
+    assert _stored(store) == {"a": 1, "b": 1}
+    seen = store.version()
+    with pytest.raises(StaleVersion):
+        store.upsert(_vectors(spark, ("b", 2)), read_version=seen)
+    assert _stored(store) == {"a": 1, "b": 1} and store.version() == seen + 1 and len([p for p in (tmp_path / "v").iterdir() if not p.name.startswith("_")]) == 3
+    monkeypatch.undo()
+    assert store.upsert(_vectors(spark, ("b", 3)), read_version=store.version()) == seen + 2 and _stored(store)["b"] == 3
+
+
+def test_which_of_several_new_rows_is_taken(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path / "v"))
+    store.upsert(_vectors(spark, ("a", 5), ("a", 1), ("b", 2)))
+    assert _stored(store) == {"a": 5, "b": 2}
+    rows = spark.createDataFrame([("a", 7, 1), ("a", 3, 2)], "id string, n int, at int")
+    store.upsert(rows, order=F.col("at"))
+    assert _stored(store) == {"a": 3, "b": 2}
+
+
 def test_small_sources(spark, tmp_path):
     assert pick_provider("api", {"web"}) == ("web", "api is not configured") and pick_provider("auto", {"api"}) == ("api", None)
     (tmp_path / "f.json").write_text('[{"id": "q1", "query": "x", "expected": {"polarity": "refused", "requiredHooks": ["a"]}}]')
