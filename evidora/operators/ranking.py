@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.text import CORE, RERANK, Tokenizer, clamp, overlap_ratio
+from ..sources.scratch import Scratch
 
 #: (lexical, semantic) weights by query mode (fixed values).
 MODE_WEIGHTS = {"precision": (1.35, 0.75), "context": (1.2, 0.9), "expansion": (1.05, 1.0)}
@@ -29,22 +30,9 @@ def top_within(df: DataFrame, group: list[str], order: list[Column], k: int, ran
     return rank_within(df, group, order, rank).where(F.col(rank) <= k)
 
 
-def token_overlap(queries: DataFrame, docs: DataFrame, *, tokenizer: Tokenizer = RERANK) -> DataFrame:
-    """(query_id, doc_id, shared, score) of all pairs that share a token.
-
-    An equi-join on tokens: queries (query_id, text) and docs (doc_id, text).  The
-    score is the share of the query's distinct tokens.  Tokens of a few queries are
-    fewer than those of the documents, so Spark can broadcast that side if its size
-    allows; else both are shuffled by token, and hot tokens are split.
-    """
-    q = queries.select("query_id", tokenizer.distinct(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens"))
-    q = q.select("query_id", "n", F.explode("tokens").alias("token"))
-    d = docs.select("doc_id", F.explode(tokenizer.distinct(F.col("text"))).alias("token"))
-    hits = d.join(q, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    return hits.select("query_id", "doc_id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("score"))
-
-
 INDEX_TOKENS = 1 << 20
+#: (document, question) entries that a task counts at once: a document's own number at least.
+ENTRIES = 1 << 21
 #: The order of each list that overlap_lists can keep: (column, direction), the first of equal rows last.
 BEST = {"score": [("score", "descending"), ("doc_id", "ascending")], "shared": [("shared", "descending"), ("doc_id", "descending")]}
 
@@ -103,17 +91,26 @@ def overlap_lists(queries: DataFrame, docs: DataFrame, lists: dict[str, int], *,
                 known = found.is_valid().to_numpy(zero_copy_only=False)
                 code, row = found.drop_null().to_numpy().astype(np.int64), row[known]
                 many = begins[code + 1] - begins[code]
-                at = np.repeat(begins[code] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                pairs, n = np.unique(np.repeat(row, many) * len(ids) + owner[at], return_counts=True)
-                doc, query = pairs // len(ids), pairs % len(ids)
-                score = np.floor(n / sizes[query] * 1e6 + 0.5) / 1e6
-                table = pa.table({"query": query, "doc_id": batch.column(0).take(pa.array(doc)), "shared": n.astype(np.int64), "score": score})
-                for name, k in lists.items():
-                    both = table if best[name] is None else pa.concat_tables([best[name], table])
-                    both = both.sort_by([("query", "ascending"), *BEST[name]])
-                    q = both["query"].to_numpy()
-                    place = np.arange(len(q)) - np.searchsorted(q, q)
-                    best[name] = both.filter(pa.array(place < k))
+                # slices of whole documents with about ENTRIES (document, question) entries each
+                per_row = np.cumsum(np.bincount(row, weights=many, minlength=batch.num_rows).astype(np.int64))
+                edges = np.unique(np.searchsorted(per_row, np.arange(0, per_row[-1] if len(per_row) else 0, ENTRIES), side="left")) if len(per_row) else []
+                edges = np.unique([0, *edges, batch.num_rows])
+                token_at = np.searchsorted(row, edges)
+                for a, b in zip(token_at[:-1].tolist(), token_at[1:].tolist()):
+                    if a == b:
+                        continue
+                    codes, rows, n_each = code[a:b], row[a:b], many[a:b]
+                    at = np.repeat(begins[codes] - (np.cumsum(n_each) - n_each), n_each) + np.arange(n_each.sum())
+                    pairs, n = np.unique(np.repeat(rows, n_each) * len(ids) + owner[at], return_counts=True)
+                    doc, query = pairs // len(ids), pairs % len(ids)
+                    score = np.floor(n / sizes[query] * 1e6 + 0.5) / 1e6
+                    table = pa.table({"query": query, "doc_id": batch.column(0).take(pa.array(doc)), "shared": n.astype(np.int64), "score": score})
+                    for name, k in lists.items():
+                        both = table if best[name] is None else pa.concat_tables([best[name], table])
+                        both = both.sort_by([("query", "ascending"), *BEST[name]])
+                        q = both["query"].to_numpy()
+                        place = np.arange(len(q)) - np.searchsorted(q, q)
+                        best[name] = both.filter(pa.array(place < k))
             for name, table in best.items():
                 if table is not None and table.num_rows:
                     yield from table.select(["doc_id", "shared", "score"]).add_column(0, "query_id", names.take(table["query"].combine_chunks())).add_column(0, "list", pa.array([name] * table.num_rows)).to_batches()
@@ -138,6 +135,8 @@ def overlap_top(queries: DataFrame, docs: DataFrame, k: int, *, tokenizer: Token
 
 
 QUERY_BLOCK = 4096
+#: Products that a task holds at once: 16 MB.
+PRODUCTS = 1 << 21
 
 
 def vector_top_k(queries: DataFrame, store: DataFrame, k: int, *, where: Column | None = None, cap: int = 80) -> DataFrame:
@@ -170,14 +169,18 @@ def vector_top_k(queries: DataFrame, store: DataFrame, k: int, *, where: Column
             ids, asked = shared.value
             best = None
             for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
+                step = max(1, PRODUCTS // max(1, len(asked)))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
                     product = asked @ dense(part.column(1), asked.shape[1])[:, : asked.shape[1]].T
-                    score = np.sign(product) * np.floor(np.abs(product) * 1e6 + 0.5) / 1e6
-                    # all that reach a query's k-th best score of this part, so that ties are decided by id
-                    least = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
-                    query, row = np.nonzero(score >= least[:, None])
-                    table = pa.table({"query": query, "id": part.column(0).take(pa.array(row)), "score": score[query, row]})
+                    # all that come near a query's k-th best product of this part are rounded, so that ties are decided by id
+                    if product.shape[1] > k:
+                        least = np.partition(product, product.shape[1] - k, axis=1)[:, product.shape[1] - k]
+                        query, row = np.nonzero(product >= least[:, None] - 1.1e-6)
+                    else:
+                        query, row = np.nonzero(np.ones(product.shape, bool))
+                    value = product[query, row]
+                    table = pa.table({"query": query, "id": part.column(0).take(pa.array(row)), "score": np.sign(value) * np.floor(np.abs(value) * 1e6 + 0.5) / 1e6})
                     table = (table if best is None else pa.concat_tables([best, table])).sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
                     q = table["query"].to_numpy()
                     best = table.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
@@ -266,17 +269,99 @@ def core_key(text: Column) -> Column:
     return F.when(F.length(key) >= 30, F.concat(F.lit("core:"), key))
 
 
-def diversify(df: DataFrame, *, group: str = "query_id", rank: str = "rank", keys: str = "keys", fingerprint: str = "fingerprint", court_day: str = "court_day", max_per_fingerprint: int = 1, max_per_court_day: int = 2, pool: int | None = None) -> DataFrame:
+# Marks of a judgment's title and detail text by which repeats are known (fixed values).
+DAY_OF_JUDGMENT = r"(?i)(?:^|[^a-z0-9_])on\s+(\d{1,2}\s+[a-z]{3,9},?\s+\d{4})(?:[^a-z0-9_]|$)"
+CITATION_LINE = r"(?im)^Equivalent citations:\s*(.+)$"
+CITATION_AGAIN = r"(?i)^(?:equivalent citations:\s*)+"
+BODY_OF_DETAIL = r"(?is)Body:\s*(.+)"
+DOCUMENT_NUMBER = r"(?i)/(?:doc|docfragment)/(\d+)/?"
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-case words without the day of judgment, `vs` as v."""
+    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(^|[^a-z0-9_])on\s+\d{1,2}\s+[a-z]{3,9},?\s+\d{4}(?=[^a-z0-9_]|$)", "$1 ")
+    low = F.regexp_replace(low, r"(^|[^a-z0-9_])vs\.?(?=[^a-z0-9_]|$)", "$1 v ")
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\s]", " "), r"\s+", " "))
+
+
+def judgment_day(title: Column) -> Column:
+    """The day that a title names, or `unknown`."""
+    found = F.lower(F.regexp_extract(F.coalesce(title, F.lit("")), DAY_OF_JUDGMENT, 1))
+    return F.when(found != "", found).otherwise("unknown")
+
+
+def identity_keys(title: Column, snippet: Column, court: Column, *, detail: Column | None = None, urls: tuple[Column, ...] = (), semantic: Column | None = None) -> Column:
+    """Keys of which two rows share one if they are the same judgment: by citation, meaning, document number, content and core words (WIN-04).
+
+    A key is left out where too little is known for it; equal keys come once.
+    """
+    detail = F.lit(None).cast("string") if detail is None else detail
+    day = judgment_day(title)
+    cited = F.regexp_replace(F.trim(F.regexp_extract(F.coalesce(detail, F.lit("")), CITATION_LINE, 1)), CITATION_AGAIN, "")
+    cited = F.replace(plain_words(cited), F.lit(" "), F.lit(""))
+    body = F.regexp_extract(F.coalesce(detail, F.lit("")), BODY_OF_DETAIL, 1)
+    body = F.left(plain_words(F.left(F.when(body != "", body).otherwise(F.coalesce(detail, F.lit(""))), F.lit(1000))), F.lit(280))
+    seed = F.when(F.length(body) >= 80, body).otherwise(F.left(plain_words(snippet), F.lit(220)))
+    core = CORE.all(plain_words(F.concat_ws(" ", snippet, detail)))
+    core = F.array_join(F.slice(F.array_distinct(F.slice(core, 1, 28)), 1, 14), " ")
+    numbers = [F.nullif(F.regexp_extract(F.coalesce(u, F.lit("")), DOCUMENT_NUMBER, 1), F.lit("")) for u in urls]
+    keys = [
+        F.when(F.length(cited) >= 8, F.concat(F.lit("eq:"), F.left(cited, F.lit(180)))),
+        *([F.concat(F.lit("sem:"), semantic)] if semantic is not None else []),
+        *[F.concat(F.lit("doc:"), n) for n in numbers],
+        F.when(F.length(seed) >= 60, F.concat_ws(":", F.lit("content"), court, day, seed)),
+        F.when(F.length(core) >= 30, F.concat_ws(":", F.lit("core"), court, day, core)),
+    ]
+    return F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull()))
+
+
+def repeat_print(title: Column, snippet: Column) -> Column:
+    """The fingerprint of a row's title and snippet."""
+    return F.left(F.concat_ws(" ", plain_words(title), F.left(plain_words(snippet), F.lit(220))), F.lit(280))
+
+
+def _claims(keys: Column, fingerprint: Column, court_day: Column, prints: int, days: int) -> Column:
+    """What a row takes up if it is kept: (kind and value, how many rows may have it); unknown values take up nothing."""
+    own = F.transform(F.array_distinct(F.coalesce(keys, F.array().cast("array<string>"))), lambda k: F.struct(F.concat(F.lit("k"), k).alias("claim"), F.lit(1).alias("room")))
+    more = F.array(F.struct(F.concat(F.lit("f"), fingerprint).alias("claim"), F.lit(prints).alias("room")), F.struct(F.concat(F.lit("d"), court_day).alias("claim"), F.lit(days).alias("room")))
+    return F.filter(F.concat(own, more), lambda c: c["claim"].isNotNull())
+
+
+def diversify(df: DataFrame, *, group: str = "query_id", rank: str = "rank", keys: str = "keys", fingerprint: str = "fingerprint", court_day: str = "court_day", max_per_fingerprint: int = 1, max_per_court_day: int = 2, pool: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Greedy diversification in rank order (WIN-04): the rows kept, with all their columns.
 
-    A row goes if one of its identity keys was seen among kept rows, or its
-    fingerprint or its court and day (if known) is full.  The decision on a row depends on those before it, so a
-    group's ranked rows are folded in order, within one row: groups are lists of candidates, whose number the
-    retrieval limits (ORD-04).  `pool` looks at the first rows of each group only.
+    A row goes if one of its identity keys was seen among kept rows before it, or its fingerprint or its court and day (if known) is full of such.
+
+    The choice is made in rounds over what rows claim (a key, a fingerprint, a court and day).  In each round the rows before a row with the same claim are
+    counted: if those kept fill it, the row goes; if those kept and those still open leave room in all its claims, the row is kept, whatever comes of
+    the open ones.  Each round decides at least the first open row of each group, and in practice nearly all; no group has to be in one row or one
+    task.  `pool` looks at the first rows of each group only; such short lists are folded in order instead, within one row.  Ranks are distinct in a group.
     """
     w = Window.partitionBy(group).orderBy(rank)
     pooled = df.withColumn("_place", F.row_number().over(w))
-    pooled = pooled if pool is None else pooled.where(F.col("_place") <= pool)
+    if pool is not None:
+        return _folded(pooled.where(F.col("_place") <= pool), group, keys, fingerprint, court_day, max_per_fingerprint, max_per_court_day)
+    scratch = scratch or Scratch(df.sparkSession, "diversify")
+    pooled = scratch.store(pooled, "pool")
+    claims = _claims(F.col(keys), F.col(fingerprint), F.col(court_day), max_per_fingerprint, max_per_court_day)
+    claimed = scratch.store(pooled.select(group, "_place", F.explode(claims).alias("c")).select(group, "_place", "c.claim", "c.room"), "claims")
+    free = pooled.select(group, "_place").join(claimed.select(group, "_place").distinct(), [group, "_place"], "left_anti")
+    now = claimed.withColumn("kept", F.lit(False))
+    while True:
+        before = Window.partitionBy(group, "claim").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+        n = lambda test: F.coalesce(F.sum(test.cast("int")).over(before), F.lit(0))
+        counted = now.withColumn("had", n(F.col("kept"))).withColumn("open", n(~F.col("kept")))
+        full, fits = F.bool_or(F.col("had") >= F.col("room")), F.bool_and(F.col("had") + F.col("open") < F.col("room"))
+        judged = counted.groupBy(group, "_place").agg(F.bool_or("kept").alias("was"), full.alias("full"), fits.alias("fits"))
+        judged = scratch.store(judged.where("was or not full").select(group, "_place", (F.col("was") | F.col("fits")).alias("kept")), "judged")
+        if judged.where("not kept").isEmpty():
+            break
+        now = claimed.join(judged, [group, "_place"])
+    return pooled.join(judged.select(group, "_place").union(free), [group, "_place"]).drop("_place")
+
+
+def _folded(pooled: DataFrame, group: str, keys: str, fingerprint: str, court_day: str, max_per_fingerprint: int, max_per_court_day: int) -> DataFrame:
+    """The same for short lists, each within one row."""
     row = F.struct("_place", F.col(keys).alias("k"), F.col(fingerprint).alias("f"), F.col(court_day).alias("c"))
     lists = pooled.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     none = F.array().cast("array<string>")

@@ -26,6 +26,7 @@ from .operators import variants as V
 from .operators.terms import places_of, term_places
 from .plans import search as plan
 from .registry import QUERIES, SQL, query, shared_folder, table
+from .sources.postings import OverlapIndex, index_path
 from .streaming import state as T
 
 # ---------------------------------------------------------------- SQL parts
@@ -388,9 +389,18 @@ def court_preference(spark, sf_dir):
     return R.prefer_court(rows)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {OVERLAP},
+kr AS (SELECT doc_id, lang || ':' || source AS day, md5(lower(text)) AS print, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 5 AND NOT list_contains({sql_stop(X.CORE_STOP)}, t))[1:28] AS r FROM documents),
+kd AS (SELECT doc_id, day, print, array_to_string(list_filter(r, lambda t, i: list_position(r, t) = i)[1:14], ' ') AS core FROM kr),
+c AS (SELECT query_id, doc_id, rank, day, print, CASE WHEN length(core) >= 30 THEN core END AS core FROM ranked JOIN kd USING (doc_id) WHERE rank <= 40),
+w AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS rank, CAST([] AS VARCHAR[]) AS cores, CAST([] AS VARCHAR[]) AS prints, CAST([] AS VARCHAR[]) AS days, CAST(NULL AS BIGINT) AS kept FROM c
+  UNION ALL SELECT query_id, rank, CASE WHEN ok AND core IS NOT NULL THEN list_append(cores, core) ELSE cores END, CASE WHEN ok THEN list_append(prints, print) ELSE prints END, CASE WHEN ok THEN list_append(days, day) ELSE days END, CASE WHEN ok THEN doc_id END
+  FROM (SELECT c.*, w.cores, w.prints, w.days, NOT coalesce(list_contains(w.cores, c.core), false) AND NOT list_contains(w.prints, c.print) AND len(list_filter(w.days, lambda d: d = c.day)) < 2 AS ok FROM w JOIN c ON c.query_id = w.query_id AND c.rank = w.rank + 1))
+SELECT c.query_id, c.doc_id, c.rank, c.day AS court_day FROM w JOIN c ON c.query_id = w.query_id AND c.doc_id = w.kept
+""")
 def diversify_greedy(spark, sf_dir):
-    """WIN-04, AGG-22: the candidates of each passage without repeats of content; checked by a plain loop in the tests."""
+    """WIN-04, AGG-22: the candidates of each passage without repeats of content, chosen in rounds; checked by recursion, and by a plain loop in the tests."""
     top = _lexical(spark, sf_dir, 40).select("query_id", "doc_id", "rank")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.array(R.core_key(F.col("text"))).alias("keys"), F.md5(F.lower("text")).alias("fingerprint"))
     rows = top.join(docs, "doc_id").withColumn("court_day", F.concat_ws(":", "lang", "source"))
@@ -1005,12 +1015,13 @@ def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = table(spark, sf_dir, "documents"), _benchmark(spark, sf_dir)
     vectors = I.embed_with_model(docs.select(F.col("doc_id").alias("id"), "text")).select("id", "vector")
     wanted = I.embed_with_model(asked, passage=False).select("query_id", "vector")
-    return plan.search(asked, docs, vectors=vectors, query_vectors=wanted, court=_court(), lexicons=CORPUS_LEXICON)
+    index = OverlapIndex.build(docs.select("doc_id", "text"), index_path(spark, "overlap-index"))
+    return plan.search(asked, docs, vectors=vectors, query_vectors=wanted, index=index, court=_court(), lexicons=CORPUS_LEXICON)
 
 
 @query()
 def search_pipeline(spark, sf_dir):
-    """The flagship plan: every benchmark passage as a question against all documents by words and by vectors, scored, gated by the checklist built from it, and diversified."""
+    """The flagship plan: every benchmark passage as a question against all documents, by its planned variants phase by phase and by vectors, scored, gated by the checklist built from it, and diversified."""
     return _searched(spark, sf_dir).select("query_id", "doc_id", "place", "score", "band", "tier", "shown", "confidence", F.array_join("reasons", "; ").alias("reasons"))
 
 

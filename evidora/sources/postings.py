@@ -70,8 +70,8 @@ class OverlapIndex:
         met = blocks.join(tokens.select("query_id", "token"), "query_id").join(self.postings.select("token", "block", "docs"), ["token", "block"])
         return met.select("query_id", "block", F.explode("docs").alias("doc_id")).groupBy("query_id", "block", "doc_id").agg(F.count("*").alias("shared"))
 
-    def search(self, queries: DataFrame, k: int, *, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-        """(the k best, what was read): rows (query_id, doc_id, shared, score, rank) and (query_id, postings, read, blocks, blocks_read).
+    def search(self, queries: DataFrame, k: int, *, scratch: Scratch | None = None, told: bool = True) -> tuple[DataFrame, DataFrame | None]:
+        """(the k best, what was read, if that is to be told): rows (query_id, doc_id, shared, score, rank) and (query_id, postings, read, blocks, blocks_read).
 
         `queries` has query_id and either text or tokens (distinct ones).  The order is that of overlap_top: score, then doc_id.  A question without tokens, or
         with none that the index knows, has no rows; an empty index or no questions give none. 
@@ -90,25 +90,25 @@ class OverlapIndex:
         first = scratch.store(self._counted(probed, tokens), "first")
         kth = first.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "doc_id"))).where(F.col("at") == k).select("query_id", F.col("shared").alias("least"))
         limits = tokens.select("query_id", "omitted").distinct().join(kth, "query_id", "left").select("query_id", "omitted", F.coalesce("least", F.lit(1)).alias("least"))
-        limits = scratch.store(limits, "limits")
         enough, low = limits.where("least > omitted").select("query_id", "least"), limits.where("least <= omitted").select("query_id", "least")
         again = tokens.drop("omitted").join(low, "query_id").withColumn("omitted", (F.col("least") - 1).cast("int"))
         left = bounds.join(enough, "query_id").union(self._bounds(again).join(low, "query_id")).where("bound >= least").select("query_id", "block")
-        left = scratch.store(left.join(probed, ["query_id", "block"], "left_anti"), "left")
-        counted = first.union(self._counted(left, tokens))
-        counted = scratch.store(counted, "counted")
+        counted = first.union(self._counted(left.join(probed, ["query_id", "block"], "left_anti"), tokens))
+        counted = scratch.store(counted, "counted") if told else counted
         sizes = tokens.select("query_id", "size").distinct()
         scored = counted.join(sizes, "query_id").select("query_id", "doc_id", "shared", F.round(F.col("shared") / F.col("size"), 6).alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
         top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if not told:
+            return top, None
         totals = tokens.groupBy("query_id").agg(F.sum("n_docs").alias("postings"))
         read = counted.groupBy("query_id").agg(F.sum("shared").alias("read"), F.count_distinct("block").alias("blocks_read"))
-        blocks = self.postings.agg(F.count_distinct("block").alias("blocks"))
-        told = totals.join(read, "query_id", "left").withColumn("blocks", F.lit(blocks.first()["blocks"]))
-        return top, told.select("query_id", "postings", F.coalesce("read", F.lit(0)).alias("read"), "blocks", F.coalesce("blocks_read", F.lit(0)).alias("blocks_read"))
+        blocks = self.postings.agg(F.count_distinct("block").alias("blocks")).first()["blocks"]
+        out = totals.join(read, "query_id", "left").withColumn("blocks", F.lit(blocks))
+        return top, out.select("query_id", "postings", F.coalesce("read", F.lit(0)).alias("read"), "blocks", F.coalesce("blocks_read", F.lit(0)).alias("blocks_read"))
 
     def top(self, queries: DataFrame, k: int, *, scratch: Scratch | None = None) -> DataFrame:
-        return self.search(queries, k, scratch=scratch)[0]
+        return self.search(queries, k, scratch=scratch, told=False)[0]
 
 
 def index_path(spark: SparkSession, name: str = "index") -> str:

@@ -20,6 +20,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str = "scratch") -> None:
         self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.others: list[Scratch] = []
+
+    def also(self, other: Scratch) -> None:
+        """Release another one's tables with these."""
+        self.others.append(other)
 
     def store(self, df: DataFrame, name: str = "table") -> DataFrame:
         self.n += 1
@@ -29,3 +34,5 @@ class Scratch:
 
     def release(self) -> None:
         remove_folder(self.spark, self.folder)
+        for other in self.others:
+            other.release()

@@ -277,8 +277,9 @@ def test_overlap_in_blocks(spark, monkeypatch):
     asked = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, "no-such-word-here"), (901, ""), (902, None)]
     df, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
     want = plain_overlap(asked, docs, 7)
-    for size in (1 << 20, 100):
+    for size, entries in ((1 << 20, 1 << 21), (100, 1 << 21), (1 << 20, 50), (1 << 20, 1)):
         monkeypatch.setattr(R, "INDEX_TOKENS", size)
+        monkeypatch.setattr(R, "ENTRIES", entries)
         got = {}
         for r in R.overlap_top(q, df, 7).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.doc_id)

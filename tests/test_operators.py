@@ -167,7 +167,60 @@ def test_diversify_as_a_plain_loop(spark):
     df = spark.createDataFrame([tuple(x.values()) for x in rows], "query_id long, rank int, keys array<string>, fingerprint string, court_day string")
     got = R.diversify(df, max_per_fingerprint=2, max_per_court_day=3).collect()
     for q in range(6):
-        assert sorted(x.rank for x in got if x.query_id == q) == plain_diversify([x for x in rows if x["query_id"] == q], 2, 3)
+        want = plain_diversify([x for x in rows if x["query_id"] == q], 2, 3)
+        assert sorted(x.rank for x in got if x.query_id == q) == want
+        assert sorted(x.rank for x in R.diversify(df.where(F.col("query_id") == q), max_per_fingerprint=2, max_per_court_day=3, pool=25).collect()) == want
+
+
+def test_diversity_of_long_chains_and_large_groups(spark):
+    """Each row conflicts with the next one only; a group of thousands; unknown values claim nothing."""
+    chain = [(1, k + 1, [f"k{k}", f"k{k + 1}"], f"p{k}", None) for k in range(40)]
+    assert sorted(x.rank for x in R.diversify(spark.createDataFrame(chain, "query_id int, rank int, keys array<string>, fingerprint string, court_day string")).collect()) == list(range(1, 41, 2))
+    r = random.Random(6)
+    large = [(q, k + 1, None if k % 7 == 0 else [f"w{r.randrange(900)}", None], None if k % 5 == 0 else f"p{r.randrange(700)}", None if k % 3 == 0 else f"d{r.randrange(300)}") for q, n in ((1, 3000), (2, 5)) for k in range(n)]
+    df = spark.createDataFrame(large, "query_id int, rank int, keys array<string>, fingerprint string, court_day string")
+    got = R.diversify(df, max_per_court_day=2).collect()
+    for q in (1, 2):
+        rows = [{"rank": x[1], "keys": x[2] or [], "fingerprint": x[3] or f"none{x[1]}", "court_day": x[4] or f"none{x[1]}"} for x in large if x[0] == q]
+        assert sorted(x.rank for x in got if x.query_id == q) == plain_diversify(rows, 1, 2)
+    assert R.diversify(df.limit(0)).count() == 0
+
+
+def plain_identity(title, snippet, court, detail, urls):
+    def norm(t):
+        t = re.sub(r"\bon\s+\d{1,2}\s+[a-z]{3,9},?\s+\d{4}\b", " ", (t or "").lower())
+        return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", re.sub(r"\bvs\.?(?![a-z0-9_])", " v ", t))).strip()
+
+    day = re.search(r"\bon\s+(\d{1,2}\s+[a-z]{3,9},?\s+\d{4})\b", title or "", re.I)
+    day, keys = day[1].lower() if day else "unknown", []
+    cited = re.search(r"^Equivalent citations:\s*(.+)$", detail or "", re.I | re.M)
+    if cited:
+        key = norm(re.sub(r"(?i)^(?:equivalent citations:\s*)+", "", cited[1].strip())).replace(" ", "")
+        keys += [f"eq:{key[:180]}"] if len(key) >= 8 else []
+    keys += [f"doc:{m[1]}" for u in urls for m in [re.search(r"/(?:doc|docfragment)/(\d+)/?", u or "", re.I)] if m]
+    body = re.search(r"Body:\s*([\s\S]+)", detail or "", re.I)
+    body = norm((body[1] if body else detail or "")[:1000])[:280]
+    seed = body if len(body) >= 80 else norm(snippet)[:220]
+    keys += [f"content:{court}:{day}:{seed}"] if len(seed) >= 60 else []
+    words = [w for w in norm(f"{snippet} {detail or ''}").split() if len(w) > 4 and w not in X.CORE_STOP][:28]
+    core = " ".join(list(dict.fromkeys(words))[:14])
+    return list(dict.fromkeys(keys + ([f"core:{court}:{day}:{core}"] if len(core) >= 30 else [])))
+
+
+def test_identity_keys(spark):
+    long = "the tribunal refused condonation because sufficient cause was never shown by the appellant department " * 3
+    rows = [
+        ("State Vs. Roy on 12 March, 2019", "short", "SC", "Equivalent citations: Equivalent citations: AIR 2019 SC 1\nBody: " + long, "https://h/doc/12/", None),
+        ("A v B", long, "HC", None, "https://h/docfragment/7", "https://h/doc/8/"),
+        ("A v B on 1 may 2000", "tiny", "UNKNOWN", "x", "https://h/search/7", "https://h/doc/9"),
+        (None, None, "SC", "equivalent citations: ab", None, None),
+        ("t", long, "SC", "first line\nEQUIVALENT CITATIONS:  1999 (3) SCC 55 , 1999 Cri LJ 1\nmore", "https://h/doc/5", "https://h/doc/5/"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, title string, snippet string, court string, detail string, url string, whole string")
+    got = {r.i: r.k for r in df.select("i", R.identity_keys(F.col("title"), F.col("snippet"), F.col("court"), detail=F.col("detail"), urls=(F.col("url"), F.col("whole"))).alias("k")).collect()}
+    for i, (title, snippet, court, detail, *urls) in enumerate(rows):
+        assert got[i] == plain_identity(title, snippet or "", court, detail, urls), i
+    assert len(got[0]) == 4 and got[4][0].startswith("eq:19993scc55") and got[3] == []
 
 
 def test_vector_blocks_agree(spark, monkeypatch):

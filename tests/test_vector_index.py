@@ -72,3 +72,13 @@ def test_centroids():
     assert len(fit_centroids(np.ones((50, 4)), 8)) == 1
     near = fit_centroids(clustered(400, groups=4), 4)
     assert len(near) == 4 and np.linalg.norm(near[:, None] - near[None], axis=2)[np.triu_indices(4, 1)].min() > 1
+
+
+def test_products_in_parts(spark, rows, monkeypatch):
+    from evidora.operators import ranking
+
+    queries = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    want = as_tuples(vector_top_k(queries, rows, 7))
+    for n in (1, 60, 5000):
+        monkeypatch.setattr(ranking, "PRODUCTS", n)
+        assert as_tuples(vector_top_k(queries, rows.repartition(3), 7)) == want
