@@ -14,7 +14,9 @@ from .plans.phases import Phased, search_phases
 from .queries import CASE_LIKE, CLASSIFIED, OVERLAP, STATUTE, TOKENS, _benchmark, _court
 from .registry import query, table
 from .sources.postings import OverlapIndex, index_path
+from .sources.request_cache import RequestCache, request_digest
 from .sources.vector_index import VectorIndex
+from .streaming import state as T
 
 
 def overlap_index(spark: SparkSession, sf_dir: str) -> OverlapIndex:
@@ -220,3 +222,53 @@ def phased_candidates(spark, sf_dir):
     """AGG-04, STM-01: every candidate of a passage once, with what retrieved it."""
     found = _phased(spark, sf_dir).candidates
     return found.select("query_id", "doc_id", F.array_join("variant_ids", ",").alias("variants"), F.array_join("phases", ",").alias("phases"), "best_utility", "strict_hits", "relaxed_hits", "high_priority_hits", "score")
+
+
+# ---------------------------------------------------------------- cached requests
+
+#: What a page's address answers, by the page's number.
+ANSWERS = [None, "http_403", "http_429", "timeout", None, "parse_empty", "network"]
+
+
+@query(f"""
+WITH p AS (SELECT page_id, [{', '.join('NULL' if a is None else repr(a) for a in ANSWERS)}][1 + page_id % {len(ANSWERS)}] AS code, length(html) AS n FROM pages)
+SELECT page_id, run, CASE WHEN code IS NULL THEN n END AS n_chars, code AS error_code, CASE run WHEN 1 THEN false WHEN 2 THEN coalesce(code IN ('http_403', 'http_429', 'parse_empty'), true) ELSE code IS NULL END AS cached
+FROM p, (SELECT unnest([1, 2, 3]) AS run)
+""")
+def request_cache(spark, sf_dir):
+    """SRC-09, STM-07: every page asked for three times through the cache: at once, after ten minutes and after half an hour."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    code = F.get(F.array(*[F.lit(a) for a in ANSWERS]), (F.col("page_id") % len(ANSWERS)).cast("int"))
+
+    def fetch(asked: DataFrame) -> DataFrame:
+        answer = F.when(code.isNull(), F.col("html")).when(code == "parse_empty", F.lit(""))
+        return asked.join(pages, asked["request_id"] == pages["page_id"]).select("request_id", answer.alias("value"), F.when(code != "parse_empty", code).alias("error_code"))
+
+    cache = RequestCache(spark, index_path(spark, "requests"))
+    requests = pages.select(F.col("page_id").alias("request_id"), F.array(request_digest(F.col("url"), F.col("page_id")), request_digest(F.col("page_id"))).alias("keys"))
+    out = None
+    for run, at in enumerate(("2024-01-01 00:00:00", "2024-01-01 00:10:00", "2024-01-01 00:30:00"), 1):
+        got = cache.read_through(requests, fetch, F.lit(at)).select(F.col("request_id").alias("page_id"), F.lit(run).alias("run"), F.length("value").cast("long").alias("n_chars"), "error_code", "cached")
+        out = got if out is None else out.union(got)
+    return out
+
+
+@query("""
+WITH e AS (SELECT user_id, value, event_type || ':' || CAST(floor(value) AS BIGINT) AS signature FROM events)
+SELECT user_id, count(*) AS attempts, round(avg(value), 4) AS mean_value, count(*) - count(DISTINCT signature) AS skipped, count(DISTINCT signature) AS signatures FROM e GROUP BY user_id
+""")
+def carried_state(spark, sf_dir):
+    """STM-01: attempts, means and repeated signatures of each user, as a stream over the events there are."""
+    folder = index_path(spark, "carried")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    stream = stream.withColumn("signature", F.concat_ws(":", "event_type", F.floor("value").cast("string")))
+    return T.carried(T.run_to_table(T.carry_state(stream, key="user_id", value="value", signature="signature"), f"{folder}/out", f"{folder}/log"), key="user_id")
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, event_type, epoch(ts) AS s, lag(epoch(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS last FROM events)
+SELECT event_id, coalesce(s - last <= 86400, false) AS repeat FROM e
+""")
+def repeats_alive(spark, sf_dir):
+    """STM-07, SRC-13: events whose user and type were seen at most a day before."""
+    return T.repeats_alive(table(spark, sf_dir, "events"), key=["user_id", "event_type"], ts="ts", order="event_id", ttl_seconds=86_400).select("event_id", "repeat")

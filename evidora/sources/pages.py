@@ -26,15 +26,51 @@ def retry_delay(status: int, attempt: int, retry_after: str | None = None, *, ne
     return None
 
 
+class Slots:
+    """Time slots of a request rate that several tasks share without talking to one another.
+
+    Time is cut into slots of 1/rate seconds, numbered from the epoch; of `lanes` lanes, lane k has the slots whose number is k modulo
+    lanes, and makes one request at the start of each slot of its own at most.  So all lanes together keep the rate, whenever they start and however many of
+    them run at once, as far as the machines' clocks agree.
+    """
+
+    def __init__(self, rate: float, lane: int, lanes: int) -> None:
+        self.rate, self.lane, self.lanes, self.last = rate, lane, lanes, -1
+
+    def next_start(self, now: float) -> tuple[int, float]:
+        """(number, start) of the next slot of this lane that hasn't begun and wasn't used."""
+        number = max(int(now * self.rate) + 1, self.last + 1)
+        number += (self.lane - number) % self.lanes
+        return number, number / self.rate
+
+    def wait(self, ends: float) -> bool:
+        """Wait for the next own slot; False if it comes after the time (of the monotonic clock) at which all ends."""
+        if not self.rate:
+            return True
+        now = time.time()
+        number, start = self.next_start(now)
+        if time.monotonic() + start - now > ends:
+            return False
+        time.sleep(max(0.0, start - now))
+        self.last = number
+        return True
+
+
+class Lane(InputPartition):
+    def __init__(self, number: int, phrases: list[str]) -> None:
+        self.number, self.phrases = number, phrases
+
+
 class PageReader(DataSourceReader):
-    """Asks a fetcher for page after page of each phrase; one partition a phrase.
+    """Asks a fetcher for page after page of each phrase; one partition a phrase, or with a rate `lanes` partitions of phrases that share it.
 
     A refused or failed request is tried again after its delay, `retries` times at most; an error that stays is a row with status 0 and
     the error's name.  Reading stops when a phrase has used up its time.  A filter on the phrase is answered by asking only for those.
     """
 
-    def __init__(self, phrases: list[str], max_pages: int, fetch: Callable[[str, int], tuple], retries: int, budget_ms: int, rate: float):
+    def __init__(self, phrases: list[str], max_pages: int, fetch: Callable[[str, int], tuple], retries: int, budget_ms: int, rate: float, lanes: int = 4):
         self.phrases, self.max_pages, self.fetch, self.retries, self.budget_ms, self.rate = phrases, max(1, min(10, max_pages)), fetch, retries, budget_ms, rate
+        self.lanes = max(1, min(lanes, len(phrases))) if rate else max(1, len(phrases))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -46,11 +82,13 @@ class PageReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.phrases]
+        return [Lane(k, self.phrases[k :: self.lanes]) for k in range(self.lanes)]
 
-    def _asked(self, phrase: str, page: int, ends: float) -> tuple[int, str]:
+    def _asked(self, phrase: str, page: int, ends: float, slots: Slots) -> tuple[int, str] | None:
         status, html = 0, ""
         for attempt in range(1, self.retries + 2):
+            if not slots.wait(ends):
+                return (status, html) if attempt > 1 else None
             try:
                 status, html, *after = self.fetch(phrase, page)
                 delay = retry_delay(status, attempt, after[0] if after else None)
@@ -66,24 +104,25 @@ class PageReader(DataSourceReader):
         return status, html
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        ends, slot = time.monotonic() + self.budget_ms / 1000, 0.0
-        for page in range(self.max_pages):
-            now = time.monotonic()
-            if page and now > ends:
-                return
-            if self.rate and now < slot:
-                time.sleep(slot - now)
-            slot = time.monotonic() + (1 / self.rate if self.rate else 0)
-            status, html = self._asked(partition.value, page, ends)
-            yield partition.value, page, status, html
-            if status != 200 or NO_MATCH in html.lower():
-                return
+        slots = Slots(self.rate, partition.number, self.lanes)
+        for phrase in partition.phrases:
+            ends = time.monotonic() + self.budget_ms / 1000
+            for page in range(self.max_pages):
+                if page and time.monotonic() > ends:
+                    break
+                asked = self._asked(phrase, page, ends, slots)
+                if asked is None:
+                    break
+                yield phrase, page, *asked
+                if asked[0] != 200 or NO_MATCH in asked[1].lower():
+                    break
 
 
 def page_source(fetch: Callable[[str, int], tuple], name: str = "search_pages") -> type[DataSource]:
     """A data source class over a fetcher (phrase, page) -> (status, html[, retry-after]); register it with the session.
 
-    Options: phrases (a JSON list, or phrases parted by vertical bars), maxPages, retries, budgetMs, and requestsPerSecond for each task.
+    Options: phrases (a JSON list, or phrases parted by vertical bars), maxPages, retries, budgetMs (a phrase), requestsPerSecond of all tasks of a read
+    together, and readers, the number of tasks that share it (4).
     """
 
     class Pages(DataSource):
@@ -98,7 +137,7 @@ def page_source(fetch: Callable[[str, int], tuple], name: str = "search_pages")
             own = self.options
             phrases = own.get("phrases", "")
             listed = json.loads(phrases) if phrases.startswith("[") else phrases.split("|")
-            return PageReader([p for p in listed if p], int(own.get("maxPages", "3")), fetch, int(own.get("retries", "2")), int(own.get("budgetMs", "20000")), float(own.get("requestsPerSecond", "0")))
+            return PageReader([p for p in listed if p], int(own.get("maxPages", "3")), fetch, int(own.get("retries", "2")), int(own.get("budgetMs", "20000")), float(own.get("requestsPerSecond", "0")), int(own.get("readers", "4")))
 
     return Pages
 

@@ -6,7 +6,6 @@ streaming form of the same meaning.
 
 from __future__ import annotations
 
-import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,33 +138,23 @@ def utility_stream(events: DataFrame, *, key: str, value: str) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("attempts"), F.round(F.avg(value), 4).alias("mean_value"))
 
 
-#: Signatures that the carried state of a key knows; a repeat of an older one counts as new.
-MOST_SIGNATURES = 4096
-
-
 def carry_state(events: DataFrame, *, key: str, value: str, signature: str) -> DataFrame:
-    """The scheduler's carried state of each key as a stateful stream (STM-01): counts, mean and repeated signatures.
+    """The scheduler's carried state as a stream in update mode (STM-01): (carry, n, total), `carry` being the key and one of its signatures.
 
-    Python keeps, for each key, a count, a sum and the digests of the latest `MOST_SIGNATURES` signatures; rows come in update mode.
+    Every (key, signature) has a state of its own in the state store, so a key may have any number of signatures and none is ever forgotten; `carried` puts a key's together.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    kind = events.schema[key].dataType.simpleString()
-
-    def step(k, batches, state: GroupState):
-        import pandas as pd
-
-        n, total, skipped, seen = state.get if state.exists else (0, 0.0, 0, [])
-        known = dict.fromkeys(seen)
-        for batch in batches:
-            for v, s in zip(batch[value], batch[signature]):
-                n += 1
-                total += float(v)
-                digest = hashlib.blake2b(str(s).encode(), digest_size=8).hexdigest()
-                skipped += digest in known
-                known.pop(digest, None)
-                known[digest] = None
-        state.update((n, total, int(skipped), list(known)[-MOST_SIGNATURES:]))
-        yield pd.DataFrame({key: [k[0]], "attempts": [n], "mean_value": [round(total / n, 4) if n else 0.0], "skipped": [int(skipped)]})
-
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, attempts long, mean_value double, skipped long", "n long, total double, skipped long, seen array<string>", "update", GroupStateTimeout.NoTimeout)
+    carry = F.struct(F.col(key).alias(key), F.col(signature).cast("string").alias("signature"))
+    return events.groupBy(carry.alias("carry")).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("total"))
+
+
+def carried(rows: DataFrame, *, key: str) -> DataFrame:
+    """(key, attempts, mean_value, skipped, signatures) from the latest row of each (key, signature): a repeat of a signature is skipped."""
+    n = F.sum("n")
+    out = rows.select("carry.*", "n", "total").groupBy(key).agg(n.alias("attempts"), F.round(F.sum("total") / n, 4).alias("mean_value"), (n - F.count("*")).alias("skipped"), F.count("*").alias("signatures"))
+    return out
+
+
+def repeats_alive(events: DataFrame, *, key: list[str], ts: str, order: str, ttl_seconds: int) -> DataFrame:
+    """Add `repeat`: the same key was seen at most so many seconds before; each sighting renews it (STM-07, SRC-13)."""
+    last = F.lag(seconds(F.col(ts))).over(Window.partitionBy(*key).orderBy(ts, order))
+    return events.withColumn("repeat", F.coalesce(seconds(F.col(ts)) - last <= ttl_seconds, F.lit(False)))

@@ -617,5 +617,18 @@ def test_streams(spark, tmp_path):
     assert sorted(r.user_id for r in T.run_available(repeats, "u4", "append", str(tmp_path / "c4")).collect()) == [0, 1, 2]
     told = T.run_to_table(T.utility_stream(stream, key="user_id", value="value"), str(tmp_path / "out"), str(tmp_path / "c5"))
     assert {(r.user_id, r.attempts) for r in told.collect()} == {(0, 20), (1, 20), (2, 20)}
-    carried = T.run_available(T.carry_state(stream.withColumn("sig", (F.col("event_id") % 5).cast("string")), key="user_id", value="value", signature="sig"), "u3", "update", str(tmp_path / "c3"))
+    carried = T.carried(T.run_to_table(T.carry_state(stream.withColumn("sig", (F.col("event_id") % 5).cast("string")), key="user_id", value="value", signature="sig"), str(tmp_path / "o3"), str(tmp_path / "c3")), key="user_id")
     assert {(r.user_id, r.attempts, r.skipped) for r in carried.collect()} == {(0, 20, 15), (1, 20, 15), (2, 20, 15)}
+
+
+def test_carried_state_forgets_nothing_and_goes_on_after_a_restart(spark, tmp_path):
+    """Six thousand signatures of one key, repeated in a second run that starts from the first one's checkpoint."""
+    schema = "user_id long, value double, sig string"
+    make = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    run = lambda: {r.user_id: (r.attempts, r.mean_value, r.skipped, r.signatures) for r in T.carried(T.run_to_table(T.carry_state(spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*")), key="user_id", value="value", signature="sig"), str(tmp_path / "out"), str(tmp_path / "log")), key="user_id").collect()}
+    make("a", [(1, 1.0, f"s{i}") for i in range(6000)] + [(2, 4.0, "x"), (2, 2.0, "x"), (2, 0.0, None)])
+    assert run() == {1: (6000, 1.0, 0, 6000), 2: (3, 2.0, 1, 2)}
+    make("b", [(1, 3.0, f"s{i}") for i in range(6000)] + [(3, 5.0, "y")])
+    assert run() == {1: (12000, 2.0, 6000, 6000), 2: (3, 2.0, 1, 2), 3: (1, 5.0, 0, 1)}
+    assert run()[1] == (12000, 2.0, 6000, 6000)  # nothing new
+
