@@ -52,13 +52,13 @@ def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, bad) of all pages, by a chain fitted on the labelled documents and by seed words."""
+    """(page_id, bad) of all pages, by a chain fitted on the labelled documents and by their links."""
     chain = toxicity.train(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), toxicity_categories())
     return url_filter.page_labels(table(spark, sf_dir, "pages"), chain)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages are labelled by their own text and host."""
+    """Pages are labelled by their own text and links."""
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_labels(spark, sf_dir), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "bad_share")
 

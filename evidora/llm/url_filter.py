@@ -17,8 +17,8 @@ that towards all hosts'; templates above `reject` are blocked.  An explicit rule
 that fits goes before the method's verdict.
 
 Labels can be made of the pages themselves (`page_labels`): a page is bad if a
-classifier chain finds its visible text toxic or of low quality, or if its host's
-name has a seed word.
+classifier chain finds its visible text toxic or of low quality, or if most of what is visible stands in links.
+Nothing is known of hosts beforehand; names of hosts known to be bad can be given as seeds.
 
 Defined results: a null address, or one without ``://``, has an empty host and an
 empty path and is judged as their template; very long addresses are read to their
@@ -41,11 +41,12 @@ from .toxicity import Chain, score
 MANY_CHILDREN = 12
 FEW_EACH = 4.0
 Z = 1.96
-STRENGTH = 10.0
+#: Pages that the shares above a template's and a host's own count for.
+STRENGTH = 3.0
 REJECT = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words in the names of hosts that are known to be bad.
-SEEDS = ["ads", "bets", "casino", "pills", "porn", "viagra"]
+#: Share of the visible characters from which on a page is one of links.
+LINKS = 0.5
 UNSEEN = r"(?is)<!--.*?-->|<(script|style|nav|footer|noscript)\b.*?</\1\s*>|<[^>]*>|&[#\w]+;"
 ADDRESS = r"://([^/?#]*)([^?#]*)"
 
@@ -122,13 +123,22 @@ def judge_templates(tree: DataFrame, reject: float) -> DataFrame:
     return judged.select("host", "template", "labelled", "share", (F.col("share") > reject).alias("blocked"))
 
 
-def page_labels(pages: DataFrame, chain: Chain, seeds: list[str] = SEEDS, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, bad) of every page: by its visible text, where any category of the chain reaches its threshold, or by a seed word in its host's name."""
+def link_share(html: Column) -> Column:
+    """Share of a page's visible characters, without white space, that stand in links; 0 of a page without text."""
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style|noscript)\b.*?</\1\s*>", " ")
+    size = lambda text: F.length(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), r"\s+", ""))
+    return F.coalesce(F.try_divide(size(F.array_join(F.regexp_extract_all(shown, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), 1), "")), size(shown)), F.lit(0.0))
+
+
+def page_labels(pages: DataFrame, chain: Chain, seeds: list[str] = (), *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(page_id, bad) of every page: by its visible text, where any category of the chain reaches its threshold, by its share of links, or by a seed word in its host's name."""
     visible = F.regexp_replace(F.coalesce(F.col(f"`{html}`"), F.lit("")), UNSEEN, " ")
-    texts = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.split(host_of(F.col(f"`{url}`")), r"[.\-]").alias("names"), visible.alias("text"))
+    linked = link_share(F.col(f"`{html}`")) >= LINKS
+    named = F.arrays_overlap(F.split(host_of(F.col(f"`{url}`")), r"[.\-]"), F.array(*map(F.lit, seeds))) if seeds else F.lit(False)
+    texts = pages.select(F.col(f"`{page_id}`").alias("page_id"), (linked | named).alias("shown_bad"), visible.alias("text"))
     scored = score(texts, chain, rejected="toxic_text")
     bad = reduce(lambda a, b: a | b, [F.col(f"p_{c}") >= t for c, t in zip(chain.categories, chain.thresholds)])
-    return scored.select("page_id", (bad | F.arrays_overlap("names", F.array(*map(F.lit, seeds)))).alias("bad"))
+    return scored.select("page_id", (bad | F.col("shown_bad")).alias("bad"))
 
 
 def filter_urls(df: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], *, url: str = "url", page_id: str = "page_id", label_id: str = "page_id", bad: str = "bad", reject: float = REJECT) -> DataFrame:

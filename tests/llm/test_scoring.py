@@ -322,6 +322,21 @@ def test_op4_on_the_given_pages(spark):
     assert by_tree > 0 and len({(r.host, r.template) for r in got.values()}) < len(paths) / 2
 
 
+def test_pages_label_the_paths_where_junk_stands(spark):
+    """No word list: pages of labelled junk and of good text stand under different paths of one host, and one path holds pages of links."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    chain = toxicity.train(docs, labels, queries.toxicity_categories())
+    kind = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), "junk").otherwise("fine")
+    pages = docs.join(labels, "doc_id").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://h.com/"), kind, F.lit("/x/"), F.col("doc_id")).alias("url"), F.concat(F.lit("<p>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</p>")).alias("html"))
+    links = spark.createDataFrame([(10_000 + i, f"http://h.com/list/{i}", "<nav>x</nav>" + "<a href=/y>more of this and that</a>" * 20 + "text") for i in range(15)], "page_id long, url string, html string")
+    pages = pages.union(links)
+    got = url_filter.filter_urls(pages.select("page_id", "url"), url_filter.page_labels(pages, chain), []).groupBy(F.split("template", "/")[1].alias("kind"), "verdict").count().collect()
+    verdicts = {k: {r.verdict for r in got if r.kind == k} for k in ("junk", "fine", "list")}
+    assert verdicts == {"junk": {"block"}, "fine": {"allow"}, "list": {"block"}}
+    shares = spark.createDataFrame([("<a>ab</a>cd",), ("<script>x</script>",), (None,), ("<A href=x>a <b>b</b></A>",)], "h string").select(F.round(url_filter.link_share(F.col("h")), 3).alias("s")).collect()
+    assert [r.s for r in shares] == [0.5, 0.0, 0.0, 1.0]
+
+
 def url_filter_segments(path):
     leaves, _ = brute_tree([("", path, None)])
     return next(iter(leaves))[1]
