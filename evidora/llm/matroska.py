@@ -54,7 +54,6 @@ _SHARED = {AUDIO, CUE_POSITIONS, ENCODINGS, ENCODING, COMPRESSION}  # their valu
 #: What ends an element of unknown size.
 _ENDS = {CLUSTER: {SEGMENT, INFO, TRACKS, CLUSTER, CUES, EBML}, SEGMENT: {SEGMENT, EBML}}
 _LONG = 1 << 63
-MOST_UNPACKED = 64 << 20
 
 LACINGS = {"none": 0, "xiph": 1, "fixed": 2, "ebml": 3}
 
@@ -263,8 +262,8 @@ class Parsed:
             self.in_lace.append(k)
             place += size
 
-    def payload(self, raw: bytes) -> bytes:
-        """The packets' bytes, unpacked as their tracks say; up to the first that can't be, with an error."""
+    def payload(self, raw: bytes, most_unpacked: int | None = None) -> bytes:
+        """The packets' bytes, unpacked as their tracks say; up to the first that can't be, or is larger than `most_unpacked`, with an error."""
         out = []
         for track, at, n in zip(self.track, self.offset, self.size):
             about, packet = self.tracks.get(track, {}), raw[at : at + n]
@@ -275,7 +274,7 @@ class Parsed:
                     packet = bytes(about.get(SETTINGS, b"")) + packet
                 elif about.get(ALGORITHM) == ZLIB:
                     unpack = zlib.decompressobj()
-                    packet = unpack.decompress(packet, MOST_UNPACKED)
+                    packet = unpack.decompress(packet, most_unpacked or 0)
                     if not unpack.eof:
                         raise ValueError("packet ends early or is too large")
                 elif ALGORITHM in about:
@@ -332,8 +331,11 @@ def _lists(fields: list[tuple[str, str]], columns: list[list[list[int]]]) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(flat, names=[n for n, _ in fields]))
 
 
-def read_media(df: DataFrame, *, media: str = "media", packets: str = "packets", cues: str = "cues", payload: str = "payload", feature: str = "feature", error: str = "error") -> DataFrame:
-    """Add the packet table, the cues, the payload read back by byte ranges, features of it, and what was wrong."""
+def read_media(df: DataFrame, *, media: str = "media", packets: str = "packets", cues: str = "cues", payload: str = "payload", feature: str = "feature", error: str = "error", most_unpacked: int | None = None) -> DataFrame:
+    """Add the packet table, the cues, the payload read back by byte ranges, features of it, and what was wrong.
+
+    Packed packets are unpacked whole, whatever their size; for files of unknown origin `most_unpacked` bounds a packet's bytes, and a larger one is an error.
+    """
     outs = [packets, cues, payload, feature, error]
     df = df.drop(*outs)
     names = df.columns
@@ -346,7 +348,7 @@ def read_media(df: DataFrame, *, media: str = "media", packets: str = "packets",
                 part = batch.slice(a, b - a)
                 files = part.column(position).to_pylist()
                 read = [Parsed(f) for f in files]
-                back = [p.payload(f) if f is not None else b"" for p, f in zip(read, files)]
+                back = [p.payload(f, most_unpacked) if f is not None else b"" for p, f in zip(read, files)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.columns,

@@ -101,6 +101,11 @@ def test_packed_tracks():
         raw = media(encoding, packet)
         parsed = M.Parsed(raw)
         assert parsed.payload(raw) == want and parsed.error == error
+    huge = b"\0" * (70 << 20)  # whole, unless the caller bounds it
+    raw = media(M.element(M.COMPRESSION, b""), zlib.compress(huge))
+    whole, bounded = M.Parsed(raw), M.Parsed(raw)
+    assert whole.payload(raw) == huge and whole.error is None
+    assert bounded.payload(raw, 1 << 20) == b"" and bounded.error == "packet ends early or is too large"
 
 
 def test_hostile_files(spark):
