@@ -42,10 +42,10 @@ from pyspark.sql.window import Window
 from .bytetext import NOT_SPACE, blocks, shingles, text_bytes, words
 from .components import connected_components
 from .near_dedup import _by_unit, _digest, _numbered, _rest, _runs, _sorted_units
+from .rowbits import SLICE, merged_slices, row_bits, rows_in
 from .tables import forget, map_batches, row_key, store
 
 COUNTERS = 1 << 20
-SLICE = 1 << 16
 SLOTS = 8
 FINE = 128
 SMALL = 16
@@ -55,8 +55,6 @@ SHARED = 32
 UNIT_ITEMS = 1 << 18
 #: Long lists before a posting's that it tells, and those that a unit compares.
 EARLIER, MOST_EARLIER = 32, 4096
-#: Bits of the table of wanted rows: 12 a row, but no more than these (16 MB).
-MOST_BITS = 1 << 27
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -99,53 +97,9 @@ def count_sets(df: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row binary, n_shingles long, node binary, slice int, counts binary")
 
 
-def _merged(slices: DataFrame, n: int, kind: str, merge: np.ufunc) -> np.ndarray:
-    """An array of n numbers from the slices (slice, counts) of all tasks, merged in two rounds, so that the driver gets each slice once."""
-    size = SLICE * np.dtype(kind).itemsize
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                own = np.frombuffer(raw, dtype=kind if len(raw) == size else "<u4").astype(kind)
-                found[k] = merge(found[k], own) if k in found else own
-        for k, total in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
-
-    schema = "slice int, counts binary"
-    first = map_batches(slices.withColumn("part", F.pmod(F.hash("counts"), F.lit(32))).repartition("slice", "part").select("slice", "counts"), add, schema)
-    out = np.zeros(n, np.dtype(kind))
-    for r in map_batches(first.repartition("slice"), add, schema).collect():
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(bytes(r["counts"]), dtype=kind)
-    return out
-
-
 def gram_counts(slices: DataFrame) -> np.ndarray:
     """The counters of all tasks, added up; the driver gets COUNTERS numbers of 8 bytes."""
-    return _merged(slices, COUNTERS, "<u8", np.add)
-
-
-def _bit_places(rows: pa.Array, bits: int) -> np.ndarray:
-    """Four places in the bit table for each 16-byte key."""
-    a, b = np.frombuffer(b"".join(rows.to_pylist()), dtype="<u8").reshape(-1, 2).T
-    return np.stack([(a + np.uint64(k) * (b | np.uint64(1))) & np.uint64(bits - 1) for k in range(4)]).astype(np.int64)
-
-
-def wanted_rows(rows: DataFrame) -> np.ndarray:
-    """A bit table (as bytes) of the row keys; of the size that their number asks for, up to MOST_BITS."""
-    bits = max(8 * SLICE, min(MOST_BITS, 1 << int(12 * rows.count()).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            if batch.num_rows:
-                at = _bit_places(batch.column(0), bits).ravel()
-                np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        for k in range(0, len(table), SLICE):
-            if table[k : k + SLICE].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // SLICE], pa.int32()), pa.array([table[k : k + SLICE].tobytes()], pa.binary())], names=["slice", "counts"])
-
-    return _merged(map_batches(rows.select("row"), run, "slice int, counts binary"), bits // 8, "u1", np.bitwise_or)
+    return merged_slices(slices, COUNTERS, "<u8", np.add)
 
 
 def _ranked(sets: list[np.ndarray], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,13 +311,8 @@ def verified_links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size:
     """Edges (a, b) that chain all classes which the candidate pairs link truly; texts: (row, text), classes: (node, row, size)."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = _bit_places(batch.column(0), 8 * len(table))
-            inside = ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
-            for _, sets in _sets(batch.column(1).filter(pa.array(inside)), size):
+            for _, sets in _sets(batch.column(1).filter(rows_in(batch.column(0), shared.value)), size):
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
 
@@ -375,7 +324,7 @@ def verified_links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size:
     unit = [F.col("u0"), F.least("p", "q").alias("u1"), F.greatest("p", "q").alias("u2")]
     asked = store(pairs.join(one, "a").join(two, "b").select(*unit, F.col("a").alias("node"), "b"))
     wanted = asked.select("u0", "u1", "u2", "node").union(asked.select("u0", "u1", "u2", "b")).distinct()
-    shared = texts.sparkSession.sparkContext.broadcast(wanted_rows(chained).tobytes())
+    shared = texts.sparkSession.sparkContext.broadcast(row_bits(chained))
     sets = map_batches(texts.select("row", "text"), to_sets, "node binary, items binary").groupBy("node").agg(F.first("items").alias("items"))
     sets = wanted.join(sets, "node").select("u0", "u1", "u2", F.lit(None).cast("binary").alias("b"), "node", "items")
     units = sets.unionByName(asked.withColumn("items", F.lit(None).cast("binary")))
