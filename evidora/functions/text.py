@@ -44,6 +44,7 @@ class Tokenizer:
 SCORING_STOP = ("the", "and", "for", "with", "this", "that", "into", "under", "where", "when", "from", "between", "about", "case", "precedent")
 CORE_STOP = ("the", "and", "for", "with", "that", "this", "from", "into", "under", "where", "when", "case", "appeal", "application", "filed", "state", "order", "court", "high", "supreme", "condonation", "delay")
 
+# Stop words of the context and keyword tokenisers, connectors, and words of titles (fixed values).
 CONTEXT_STOP = ("a", "an", "and", "or", "the", "to", "of", "in", "for", "with", "on", "at", "by", "from", "under", "into", "after", "before", "where", "when", "whether", "please", "kindly", "find", "show", "give", "cases", "case", "precedent", "precedents", "judgment", "judgments")
 KEYWORD_STOP = ("a", "an", "and", "or", "the", "to", "of", "in", "for", "with", "on", "at", "by", "from", "under", "into", "after", "before", "where", "when", "whether", "please", "find", "show", "give", "cases", "case", "precedent", "precedents", "judgment", "judgments")
 CONNECTOR_STOP = ("there", "their", "about", "between", "through", "based", "also", "anything", "found")

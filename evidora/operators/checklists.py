@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let, ordered_distinct
 from .gate import CHAIN_WINDOW, RELATION_WINDOW, Checklist, gate_text
+from .intent import DISPOSITION, OPEN_QUESTION
 from .references import any_of, asks_for_either, disjunctive_words, references
 from .terms import counts_against, found, places_of, term_places
 
@@ -82,6 +83,23 @@ def literals(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else none()
 
 
+# Verbs of an outcome that an open question asks about (fixed values).
+ASKED_ABOUT = r"(?:condon(?:e|ed|ation)|quash(?:ed|ing)?|dismiss(?:ed)?|allow(?:ed)?|grant(?:ed)?|refus(?:e|ed)|reject(?:ed)?|discharge|framing\s+of\s+charge)"
+# Parts that an actor plays, in a question (fixed values).
+ASKS_RESPONDENT, ASKS_PROSECUTION, ASKS_APPEAL = r"\brespondent\b", r"\bprosecution\b", r"\bappeal\b"
+ASKS_APPELLANT = r"\bappellant\b|\b(?:filed|preferred|instituted|brought)\s+(?:an?\s+)?(?:criminal\s+)?appeal\b|\bappeal\s+by\b"
+# The same in a text, around the actor's name (fixed values).
+PLAYS_APPELLANT = [("", ".{0,90}(?:filed|preferred|presented|instituted|moved).{0,90}appeal"), (r"(?:appellant|appellants)\s*[:\-]?\s*(?:the\s+)?", ""), (r"^\s*(?:the\s+)?", r".{0,70}\bvs\b")]
+PLAYS_RESPONDENT = [(r"(?:respondent|respondents)\s*[:\-]?\s*(?:the\s+)?", ""), (r"\bvs\b.{0,90}(?:the\s+)?", "")]
+PLAYS_PROSECUTION = [("", ".{0,70}(?:prosecution|prosecutor|investigation)"), ("(?:prosecution|prosecutor).{0,70}", "")]
+# What is about delay, about sanction, and about both outcomes at once (fixed values).
+ABOUT_DELAY = r"\b(?:condonation|delay|limitation|time[- ]*barred|barred\s+by\s+limitation|not\s+condoned|section\s*5)\b"
+DELAY_TERM = r"\b(?:condonation|delay|time[- ]*barred|barred\s+by\s+limitation|not\s+condoned)\b"
+DELAY_WORD = r"\b(?:condonation|delay|limitation|time[- ]*barred|not\s+condoned)\b"
+SANCTION_NOT, SANCTION_NEEDED = r"\b(?:not required|no sanction required|without sanction)\b", r"\b(?:must|required|mandatory|necessary|prior|previous)\b"
+FAILED, WENT_ON, HANDS_OFF = r"\b(?:failed|dismissed|rejected)\b", r"\b(?:proceeded|continued|allowed)\b", r"\b(?:refused|declined)\s+to\s+interfere\b"
+
+
 def family_of(term: Column) -> Column:
     """The family of statutes that a term names; null if none (QRY-18)."""
     return F.coalesce(*[F.when(term.rlike(p), F.lit(name)) for name, p in FAMILIES])
@@ -109,12 +127,12 @@ def statutory(term: Column) -> Column:
 def open_ended(text: Column) -> Column:
     """The question asks for the outcome itself (FLT-15)."""
     low = gate_text(text)
-    return low.rlike(r"\b(?:whether|when|can|could|would|if)\b") & low.rlike(r"\b(?:condon(?:e|ed|ation)|quash(?:ed|ing)?|dismiss(?:ed)?|allow(?:ed)?|grant(?:ed)?|refus(?:e|ed)|reject(?:ed)?|discharge|framing\s+of\s+charge)\b")
+    return low.rlike(rf"\b{OPEN_QUESTION}\b") & low.rlike(rf"\b{ASKED_ABOUT}\b")
 
 
 def disposition(text: Column) -> Column:
     """The question names an outcome (FLT-15)."""
-    return gate_text(text).rlike(r"\b(?:dismissed|refused|rejected|denied|declined|quashed|allowed|granted|restored|not condoned|time barred|barred by limitation)\b")
+    return gate_text(text).rlike(rf"\b{DISPOSITION}\b")
 
 
 def hook_entry(term: Column, families: Column) -> Column:
@@ -217,8 +235,7 @@ def relations_of(groups: Column, low: Column, either: Column) -> Column:
 
 def role_target(low: Column) -> Column:
     """The part that the question's actor has to play: appellant, respondent, prosecution or none."""
-    appellant = low.rlike(r"\bappellant\b|\b(?:filed|preferred|instituted|brought)\s+(?:an?\s+)?(?:criminal\s+)?appeal\b|\bappeal\s+by\b")
-    return F.when(low.rlike(r"\brespondent\b"), "respondent").when(low.rlike(r"\bprosecution\b") & ~low.rlike(r"\bappeal\b"), "prosecution").when(appellant, "appellant").otherwise("none")
+    return F.when(low.rlike(ASKS_RESPONDENT), "respondent").when(low.rlike(ASKS_PROSECUTION) & ~low.rlike(ASKS_APPEAL), "prosecution").when(low.rlike(ASKS_APPELLANT), "appellant").otherwise("none")
 
 
 def build_checklists(intents: DataFrame, *, text: str = "cleaned", plan: str | None = None, out: str = "checklist") -> DataFrame:
@@ -233,9 +250,8 @@ def build_checklists(intents: DataFrame, *, text: str = "cleaned", plan: str | N
     refs = references(F.col(text))
     df = df.withColumn("_refs", refs)
     df = df.withColumn("_either", disjunctive_words(F.col(text)) | asks_for_either(F.col(text), F.col("_refs")))
-    late = r"\b(?:condonation|delay|limitation|time[- ]*barred|barred\s+by\s+limitation|not\s+condoned|section\s*5)\b"
-    about_delay = F.concat_ws(" ", q, F.array_join("issues", " "), F.array_join("procedures", " "), F.array_join("statutes", " ")).rlike(late)
-    fitting = lambda xs: F.filter(xs, lambda t: about_delay | ~t.rlike(r"\b(?:condonation|delay|time[- ]*barred|barred\s+by\s+limitation|not\s+condoned)\b"))
+    about_delay = F.concat_ws(" ", q, F.array_join("issues", " "), F.array_join("procedures", " "), F.array_join("statutes", " ")).rlike(ABOUT_DELAY)
+    fitting = lambda xs: F.filter(xs, lambda t: about_delay | ~t.rlike(DELAY_TERM))
     norm = lambda most, *parts: F.slice(F.array_distinct(F.filter(F.transform(F.concat(*parts), gate_text), lambda t: F.length(t) >= 2)), 1, most)
     df = df.withColumns(
         {
@@ -250,9 +266,9 @@ def build_checklists(intents: DataFrame, *, text: str = "cleaned", plan: str | N
     df = df.withColumn("_relations", relations_of(F.col("_groups"), q, F.col("_either")))
     bag = F.concat_ws(" ", q, F.array_join("_outcomes", " "))
     about_sanction = bag.rlike(r"\bsanction\b")
-    sanction = F.when(about_sanction & bag.rlike(r"\b(?:not required|no sanction required|without sanction)\b"), "not_required").when(about_sanction & bag.rlike(r"\b(?:must|required|mandatory|necessary|prior|previous)\b"), "required")
-    mixed = q.rlike(r"\bor\b") & bag.rlike(r"\b(?:failed|dismissed|rejected)\b") & bag.rlike(r"\b(?:proceeded|continued|allowed)\b")
-    hands_off = (F.col("polarity") == "refused") & bag.rlike(r"\b(?:refused|declined)\s+to\s+interfere\b") & ~bag.rlike(r"\b(?:condonation|delay|limitation|time[- ]*barred|not\s+condoned)\b")
+    sanction = F.when(about_sanction & bag.rlike(SANCTION_NOT), "not_required").when(about_sanction & bag.rlike(SANCTION_NEEDED), "required")
+    mixed = q.rlike(r"\bor\b") & bag.rlike(FAILED) & bag.rlike(WENT_ON)
+    hands_off = (F.col("polarity") == "refused") & bag.rlike(HANDS_OFF) & ~bag.rlike(DELAY_WORD)
     asks = open_ended(F.col(text)) & ~disposition(F.col(text)) & ~F.coalesce(sanction, F.col("polarity")).isin("required", "not_required")
     df = df.withColumn("_polarity", F.when(mixed | hands_off | asks, "unknown").otherwise(F.coalesce(sanction, F.col("polarity"))))
     defaults = lambda k: F.coalesce(*[F.when(F.col("_polarity") == name, literals(both[k])) for name, both in OUTCOMES.items()], none())
@@ -346,11 +362,8 @@ def near_of(places: Column, left: Column, right: Column, window: int, most: int)
 def role_fits(text: Column, role: Column, actors: Column) -> Column:
     """The text shows an actor in the role (GAT-02)."""
     who = F.concat(F.lit("(?:"), F.array_join(F.transform(actors, quoted), "|"), F.lit(")"))
-    like = lambda *parts: F.regexp_like(text, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]))
-    appellant = like(who, ".{0,90}(?:filed|preferred|presented|instituted|moved).{0,90}appeal") | like(r"(?:appellant|appellants)\s*[:\-]?\s*(?:the\s+)?", who) | like(r"^\s*(?:the\s+)?", who, r".{0,70}\bvs\b")
-    respondent = like(r"(?:respondent|respondents)\s*[:\-]?\s*(?:the\s+)?", who) | like(r"\bvs\b.{0,90}(?:the\s+)?", who)
-    prosecution = like(who, ".{0,70}(?:prosecution|prosecutor|investigation)") | like("(?:prosecution|prosecutor).{0,70}", who)
-    fits = F.when(role == "appellant", appellant).when(role == "respondent", respondent).when(role == "prosecution", prosecution).otherwise(F.lit(True))
+    plays = lambda shapes: any_of([F.regexp_like(text, F.concat(F.lit(before), who, F.lit(after))) for before, after in shapes])
+    fits = F.when(role == "appellant", plays(PLAYS_APPELLANT)).when(role == "respondent", plays(PLAYS_RESPONDENT)).when(role == "prosecution", plays(PLAYS_PROSECUTION)).otherwise(F.lit(True))
     return F.when(F.size(actors) == 0, F.lit(True)).otherwise(fits)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import EMBEDDING, clamp, let, ordered_distinct, squeeze
+from ..functions.text import EMBEDDING, let, ordered_distinct, squeeze
 
 # Patterns and words of the normaliser (fixed values).
 SECTION = r"(?i)\bsection\s*\d+[a-z]?(?:\([0-9a-z]+\))*"
@@ -328,14 +328,3 @@ def embed_with_model(df: DataFrame, *, text: str = "text", out: str = "vector",
     batch = F.to_json(F.struct(F.array(text).alias("texts"), F.lit("search_document" if passage else "search_query").alias("input_type"), F.lit("END").alias("truncate")))
     first, second = model("embedding", plain), model("embedding", batch)
     return made if first is None else made.withColumn(out, F.coalesce(answered_vector(first), answered_vector(second), F.col(out)))
-
-
-def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Old rows whose key is not among the new ones, and the new ones, one for each key (SRC-11)."""
-    others = [F.col(f"`{c}`") for c in new.columns if c != key]
-    one = new.groupBy(key).agg(F.max(F.struct(*others)).alias("_row")).select(key, "_row.*").select(new.columns)
-    return old.join(one.select(key), key, "left_anti").unionByName(one, allowMissingColumns=True)
-
-
-def bounded(k: Column, low: int, high: int) -> Column:
-    return clamp(k, low, high)

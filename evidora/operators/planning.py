@@ -82,15 +82,72 @@ def _repair(texts: pd.Series) -> pd.Series:
     return texts.map(repaired)
 
 
+#: Characters looked at after a list that neither ends nor is followed by another field (fixed value).
+CUT_LIST = 1800
+_STRING = r'"((?:\\.|[^"\\])*)"'
+
+
+def loose_text(answer: Column) -> Column:
+    """An answer with plain quotation marks and without fences, from its first brace on; null if it has none."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(answer, F.lit("")), "[\u201c\u201d]", '"'), "[\u2018\u2019]", "'")
+    plain = F.regexp_replace(plain, "```[a-zA-Z]*", "")
+    return F.when(F.contains(plain, F.lit("{")), F.regexp_extract(plain, r"(?s)(\{.*)", 1))
+
+
+def _decoded(token: Column) -> Column:
+    """What stands between the quotation marks of a JSON string, as text."""
+    read = F.get(F.from_json(F.concat(F.lit('["'), F.regexp_replace(token, r"[\n\r\t]", " "), F.lit('"]')), "array<string>"), F.lit(0))
+    return squeeze(F.coalesce(read, F.regexp_replace(token, r"\\\\(.)", "$1")))
+
+
+def loose_list(text: Column, key: str, most: int, longest: int = 160) -> Column:
+    """The strings of a list field, wherever it stands and whether or not it ends: up to its bracket or the next field, whichever comes first, or CUT_LIST characters (PAR-20)."""
+    rest = F.regexp_extract(F.coalesce(text, F.lit("")), rf'(?is)"{key}"\s*:\s*\[(.*)', 1)
+    whole = F.regexp_extract(rest, r"(?s)^([^\]]*)\]", 1)
+    cut = F.regexp_extract(rest, r'(?is)^(.*?),\s*"[a-z_][a-z0-9_]*"\s*:', 1)
+    ends = F.contains(rest, F.lit("]"))
+    own = F.when(ends & ((cut == "") | (F.length(whole) <= F.length(cut))), whole).when(cut != "", cut).otherwise(F.left(rest, F.lit(CUT_LIST)))
+    found = F.transform(F.regexp_extract_all(own, F.lit(_STRING), 1), _decoded)
+    return F.slice(F.array_distinct(F.filter(found, lambda x: (x != "") & (F.length(x) <= longest))), 1, most)
+
+
+def loose_field(text: Column, key: str) -> Column:
+    """The first string value of a field; null without one."""
+    return F.nullif(_decoded(F.regexp_extract(F.coalesce(text, F.lit("")), rf'(?is)"{key}"\s*:\s*{_STRING}', 1)), F.lit(""))
+
+
+#: Most items of each list of a sketch (fixed values).
+SKETCH_LIMITS = {"actors": 8, "proceeding": 8, "outcome": 10, "hooks": 12, "strict_terms": 8, "broad_terms": 8}
+
+
+def salvaged_sketch(answer: Column) -> Column:
+    """The fields of a sketch from an answer that is no whole object; null if it has none of them (PAR-20, PAR-21).
+
+    Where it has no strict terms, they are put together from the first actor, proceeding, outcome and hook, twelve words at most and two at least.
+    """
+    text = loose_text(answer)
+    lists = {k: loose_list(text, k, n) for k, n in SKETCH_LIMITS.items()}
+    first = lambda k: F.coalesce(F.get(lists[k], F.lit(0)), F.lit(""))
+    made = [F.slice(F.split(squeeze(F.concat_ws(" ", *[first(k) for k in ks])), " "), 1, 12) for ks in (("actors", "proceeding", "outcome", "hooks"), ("proceeding", "outcome", "hooks"), ("actors", "outcome", "hooks"))]
+    made = F.array_distinct(F.transform(F.filter(F.array(*made), lambda ws: F.size(ws) >= 2), lambda ws: F.array_join(ws, " ")))
+    strict = F.when(F.size(lists["strict_terms"]) > 0, lists["strict_terms"]).otherwise(made)
+    sketch = F.struct(*[(strict if k == "strict_terms" else v).alias(k) for k, v in lists.items()], loose_field(text, "polarity").alias("polarity"), loose_field(text, "court_hint").alias("court_hint"))
+    some = F.size(strict) + sum((F.size(lists[k]) for k in ("actors", "proceeding", "outcome", "hooks")), F.lit(0)) > 0
+    return F.when(text.isNotNull() & some, sketch)
+
+
 def parse_plans(df: DataFrame, answer: str, plan: str = "plan") -> DataFrame:
     """Add the plan of a model's loose answer: repaired, typed, cleaned and cut to its limits (PAR-20, PAR-21).
 
-    The scan for the balanced object needs a state for each character, so it is an Arrow function; all else is built in.
+    Of an answer that is no whole object, the lists that can be read are taken one by one.  The scan for the balanced object needs a state for each
+    character, so it is an Arrow function; all else is built in.
     """
     typed = df.withColumn("_json", _repair(F.col(answer))).withColumn("_plan", F.from_json("_json", PLAN_TYPE, {"mode": "PERMISSIVE"}))
     none = F.array().cast("array<string>")
     clean = lambda xs, most: F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(xs, none), lambda x: squeeze(F.lower(x))), lambda x: (x != "") & (F.length(x) <= 120))), 1, most)
-    made = F.struct(*[clean(F.col("_plan")[k], n).alias(k) for k, n in PLAN_LIMITS.items()])
+    loose = loose_text(F.col(answer))
+    field = lambda k, n: F.when(F.col("_json").isNull(), loose_list(loose, k, n, 120)).otherwise(F.col("_plan")[k])
+    made = F.struct(*[clean(field(k, n), n).alias(k) for k, n in PLAN_LIMITS.items()])
     return typed.withColumn(plan, made).drop("_json", "_plan")
 
 

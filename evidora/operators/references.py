@@ -34,8 +34,13 @@ ACT_HINTS = [
 ]
 # Disjunctions that say nothing of two statutes (fixed values).
 IDLE_DISJUNCTIONS = r"\b(?:laws?\s+or\s+proceedings?|interpreted\s+or\s+applied|applied\s+or\s+interpreted|rules?\s+or\s+regulations?|acts?\s+or\s+rules?)\b"
+# Words of choice, short names of notifications, and how sections, notifications, acts and days are written (fixed values).
 CONNECTOR = r"(?:or|versus|vs\.?|instead\s+of|alternatively)"
 NOTICE = r"(?:s\.?\s*o\.?|g\.?\s*s\.?\s*r\.?)"
+CALLED_SECTION = r"(?:section|sec\.?|s\.)\s*"
+NOTICE_NUMBER = rf"(?:^|[^a-z0-9])({NOTICE})\s*([0-9]{{1,6}}\([a-z]\))(?=$|[^a-z0-9])"
+NAMED_ACT = r"\b([a-z][a-z\s]{2,70}?\sact(?:\s*,\s*\d{4})?)\b"
+NAMED_DAY = rf"\b([0-3]?\d)(?:st|nd|rd|th)?\s+({MONTHS})\s+(19\d{{2}}|20\d{{2}})\b"
 AROUND = 80
 
 
@@ -69,10 +74,10 @@ def _pieces(text: Column, start: str, use) -> Column:
 
 def explicit_sections(low: Column) -> Column:
     """Sections that are called so, with the act that stands near them."""
-    lead = r"(?<![a-z0-9_])(?:section|sec\.?|s\.)\s*"
+    lead = rf"(?<![a-z0-9_]){CALLED_SECTION}"
 
     def own(before: Column, after: Column) -> Column:
-        number = F.regexp_extract(after, rf"^(?:section|sec\.?|s\.)\s*({SECTION})", 1)
+        number = F.regexp_extract(after, rf"^{CALLED_SECTION}({SECTION})", 1)
         hint = act_hint(F.concat(F.right(before, F.lit(20)), F.left(after, F.lit(140))))
         return F.when(number != "", F.concat_ws(" ", F.lit("section"), number, hint))
 
@@ -81,7 +86,7 @@ def explicit_sections(low: Column) -> Column:
 
 def bare_sections(low: Column) -> Column:
     """Numbers with sub-sections in a legal context, that aren't called sections; no notification numbers."""
-    called = F.regexp_extract_all(low, F.lit(rf"(?<![a-z0-9_])(?:section|sec\.?|s\.)\s*({SECTION})"), 1)
+    called = F.regexp_extract_all(low, F.lit(rf"(?<![a-z0-9_]){CALLED_SECTION}({SECTION})"), 1)
 
     def own(before: Column, after: Column) -> Column:
         number = F.regexp_extract(after, r"^([0-9]+(?:\([0-9a-z]+\)){1,3})(?:$|[^a-z0-9])", 1)
@@ -100,13 +105,11 @@ def references(text: Column) -> Column:
     def made(low: Column) -> Column:
         sections = ordered_distinct(F.concat(explicit_sections(low), bare_sections(low)), 24)
         named = [F.when(low.rlike(words_of(p)), F.array(*[F.lit(x) for x in names])).otherwise(none) for p, names in STATUTES]
-        acts = F.transform(F.regexp_extract_all(low, F.lit(r"\b([a-z][a-z\s]{2,70}?\sact(?:\s*,\s*\d{4})?)\b"), 1), plain)
+        acts = F.transform(F.regexp_extract_all(low, F.lit(NAMED_ACT), 1), plain)
         statutes = ordered_distinct(F.concat(*named, acts), 20)
-        notice = rf"(?:^|[^a-z0-9])({NOTICE})\s*([0-9]{{1,6}}\([a-z]\))(?=$|[^a-z0-9])"
-        kind = F.transform(F.regexp_extract_all(low, F.lit(notice), 1), lambda k: F.when(k.startswith("g"), "g.s.r.").otherwise("s.o."))
-        ids = ordered_distinct(F.zip_with(kind, F.regexp_extract_all(low, F.lit(notice), 2), lambda k, n: F.concat(k, F.lit(" "), n)), 8)
-        day = rf"\b([0-3]?\d)(?:st|nd|rd|th)?\s+({MONTHS})\s+(19\d{{2}}|20\d{{2}})\b"
-        part = lambda k: F.regexp_extract_all(low, F.lit(day), k)
+        kind = F.transform(F.regexp_extract_all(low, F.lit(NOTICE_NUMBER), 1), lambda k: F.when(k.startswith("g"), "g.s.r.").otherwise("s.o."))
+        ids = ordered_distinct(F.zip_with(kind, F.regexp_extract_all(low, F.lit(NOTICE_NUMBER), 2), lambda k, n: F.concat(k, F.lit(" "), n)), 8)
+        part = lambda k: F.regexp_extract_all(low, F.lit(NAMED_DAY), k)
         dates = F.zip_with(F.zip_with(F.transform(part(1), lambda d: d.cast("int").cast("string")), part(2), lambda d, m: F.concat_ws(" ", d, m)), part(3), lambda d, y: F.concat_ws(" ", d, y))
         return F.struct(sections.alias("sections"), statutes.alias("statutes"), ids.alias("notification_ids"), ordered_distinct(dates, 8).alias("notification_dates"), F.when(low.rlike(words_of(f"{CRPC}|{BNSS}")), F.array(*[F.lit(x) for x in TRANSITION])).otherwise(none).alias("aliases"))
 

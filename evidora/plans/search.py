@@ -14,9 +14,10 @@ from ..operators.candidates import classify, keep_or_all
 from ..operators.checklists import build_checklists, checklist_terms, in_mode, signals_of
 from ..operators.intent import coach, intent_profile
 from ..operators.metrics import insights
+from ..operators.planning import ground_plan, merge_keywords, model, parse_plans, plan_variants
 from ..operators.ranking import diversify, dominance_quota, fuse_ranks, identity_keys, overlap_top, rank_within, repeat_print, rerank_head, vector_top_k
 from ..operators.scoring import score_candidates
-from ..operators.variants import canonical_intent, keyword_pack, planned_variants
+from ..operators.variants import canonical_intent, keyword_pack, phrase, planned_variants
 from ..sources.postings import OverlapIndex
 from ..sources.scratch import Scratch
 from .phases import Phased, search_phases
@@ -47,12 +48,40 @@ def fused(lexical: DataFrame, cfg: Config, *, vectors: DataFrame | None, query_v
 CHAIN_COVERED = 0.75
 
 
+def planned_intents(intents: DataFrame) -> DataFrame:
+    """The intents with their checklists; where there is a model for plans, its answers are parsed, held to what the question bears out, and go into the checklists (SRC-19, PAR-20..22)."""
+    answer = model("plan", F.col("text"))
+    if answer is None:
+        return build_checklists(intents)
+    planned = parse_plans(intents.withColumn("_answer", answer), "_answer").drop("_answer")
+    return build_checklists(planned.withColumn("plan", ground_plan(F.col("plan"), F.col("text"))), plan="plan")
+
+
 def question_variants(asked: DataFrame, *, courts: bool) -> DataFrame:
     """The planned variants of each question with its checklist, for search_phases.
 
     With `courts`, scoped phases look at the court that the question names, or at both in turn; without, a court is never asked for.
     """
-    made = planned_variants(keyword_pack(canonical_intent(asked)))
+    packed = keyword_pack(canonical_intent(asked))
+    suggested = model("keywords", F.col("text"))
+    if suggested is not None:
+        more = F.coalesce(F.from_json(suggested, "array<string>"), F.array().cast("array<string>"))
+        packed = packed.withColumn("keywords", F.col("keywords").withField("search_phrases", merge_keywords(F.col("keywords.search_phrases"), F.transform(more, lambda p: phrase(p)))))
+    made = planned_variants(packed)
+    if "plan" in asked.columns:  # a model's variants go before the planned ones of their strictness
+        strict = F.col("strictness") == "strict"
+        own = plan_variants(asked).select(
+            "query_id",
+            F.lower("phrase").alias("phrase"),
+            "strictness",
+            F.when(strict, "primary").otherwise("fallback").alias("phase"),
+            (F.when(strict, 101).otherwise(71) - F.col("ordinal") % 8).cast("long").alias("priority"),
+            F.lit("model_plan").alias("purpose"),
+            F.lit("precision").alias("mode"),
+            F.col("ordinal").cast("long").alias("ordinal"),
+        )
+        own = own.withColumns({"tokens": F.split("phrase", " "), "canonical_key": F.concat_ws(":", "strictness", "phrase"), "variant_id": F.concat_ws("_", F.lit("model"), "phase", "ordinal"), "run_ix": F.lit(0)})
+        made = own.select(made.columns).union(made)
     hint = asked.select("query_id", "court_hint")
     court = F.when(F.col("court_hint") != "ANY", F.col("court_hint")).when(F.col("ordinal") % 2 == 1, "SC").otherwise("HC") if courts else F.lit("ANY")
     return made.join(hint, "query_id").withColumn("court", court)
@@ -109,7 +138,7 @@ def search(
     """
     scratch = Scratch(docs.sparkSession, "search")
     held = scratch.store
-    asked = build_checklists(coach(intent_profile(valid_requests(queries), **(lexicons or {}))))
+    asked = planned_intents(coach(intent_profile(valid_requests(queries), **(lexicons or {}))))
     asked = held(asked.withColumn("checklist", in_mode(F.col("checklist"), hooks=hooks, graph=graph)), "asked")
     terms = None if checklist is not None else checklist_terms(asked)
     texts = docs.select("doc_id", F.col("text").alias("body"), (court if court is not None else F.lit("UNKNOWN")).alias("court"), (day if day is not None else F.lit(None).cast("date")).alias("day"))

@@ -380,6 +380,21 @@ def test_jaccard_pairs_are_complete(spark):
         assert got == {(a, b) for a in sets for b in sets if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
 
 
+def test_containment_by_rare_prefixes(spark):
+    """All pairs with the share are candidates, and far fewer others than those that share a token."""
+    r = random.Random(4)
+    word = lambda: f"w{int(r.paretovariate(0.5)) % 200:03d}"
+    left = [(i, list({word() for _ in range(r.randint(0, 10))})) for i in range(150)]
+    right = [(i, list({word() for _ in range(r.randint(0, 10))})) for i in range(200)]
+    a, b = spark.createDataFrame(left, "left_id int, tokens array<string>"), spark.createDataFrame(right, "right_id int, tokens array<string>")
+    shared = {(i, j): len(set(x) & set(y)) / len(x) for i, x in left for j, y in right if set(x) & set(y)}
+    for least in (0.35, 0.5, 1.0):
+        got = {tuple(x) for x in L.containment_candidates(a, b, least).collect()}
+        assert {p for p, s in shared.items() if s >= least} <= got <= set(shared)
+        assert len(got) < 0.8 * len(shared) or least == 0.35
+    assert len({tuple(x) for x in L.containment_candidates(a, b, 0.35).collect()}) < len(shared)
+
+
 def test_best_title(spark):
     left = spark.createDataFrame([(1, "7", "no words shared"), (2, None, "State of Kerala versus Roy"), (3, None, "zzz yyy")], "left_id long, number string, title string")
     right = spark.createDataFrame([(10, "7", "other"), (11, None, "Roy versus State Kerala"), (12, None, "Kerala")], "right_id long, number string, title string")

@@ -63,3 +63,56 @@ def test_hydration(spark):
     assert [r.doc_id for r in Y.promoted(df).where("promoted").collect()] == [5]
     hits = spark.createDataFrame([("d", "d#c0001", "x" * 600)], "doc_id string, id string, text string")
     assert len(Y.semantic_candidate(hits).first().snippet) == 500
+
+
+BROKEN = [
+    # cut within a list, after a whole one
+    ('```json\n{"actors": ["State", "state"], "proceeding": ["criminal appeal"], "legal_hooks": ["section 378 crpc", "limit', {"actors": ["state"], "proceeding": ["criminal appeal"], "legal_hooks": ["section 378 crpc"]}),
+    # a list without its bracket, then another field
+    ('Here: {"actors": ["department", "officer", "legal_hooks": ["section 197"], "must_have_terms": [', {"actors": ["department", "officer"], "legal_hooks": ["section 197"]}),
+    # typographic quotation marks and escapes
+    ('{\u201cactors\u201d: [\u201cunion of india\u201d, "a \\"quoted\\" one"], "case_anchors": ["A v. B", ""', {"actors": ["union of india", 'a "quoted" one'], "case_anchors": ["a v. b"]}),
+    # a whole object needs no salvage
+    ('{"actors": ["x"], "proceeding": ["y",],}', {"actors": ["x"], "proceeding": ["y"]}),
+    ("no object here", {}),
+    (None, {}),
+]
+
+
+def test_broken_answers(spark):
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(BROKEN)], "i int, answer string")
+    for r in N.parse_plans(df, "answer").collect():
+        want = dict.fromkeys(N.PLAN_LIMITS, []) | BROKEN[r.i][1]
+        assert r.plan.asDict() == want, r.i
+
+
+def test_salvaged_sketches(spark):
+    answers = [
+        '{"actors": ["State"], "proceeding": ["appeal"], "outcome": ["delay refused"], "hooks": ["section 5"], "polarity": "refused", "court_hint": "S',
+        '{"strict_terms": ["one two", "three', 
+        '{"polarity": "refused"}',
+        'nothing',
+    ]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(answers)), "i int, a string").orderBy("i").select(N.salvaged_sketch(F.col("a")).alias("s")).collect()]
+    assert got[0].strict_terms == ["State appeal delay refused section 5", "appeal delay refused section 5", "State delay refused section 5"] and (got[0].polarity, got[0].court_hint) == ("refused", None)
+    assert got[1].strict_terms == ["one two"] and got[1].actors == [] and got[2] is None and got[3] is None
+
+
+def test_models_answers_reach_checklists_and_variants(spark, monkeypatch):
+    from evidora.operators.intent import coach, intent_profile
+    from evidora.plans import search as plan
+
+    monkeypatch.setattr(N, "_HOOKS", {})
+    questions = spark.createDataFrame([(1, "state criminal appeal delay not condoned under section 378 crpc")], "query_id int, text string")
+    intents = coach(intent_profile(questions))
+    plain = plan.planned_intents(intents)
+    assert "plan" not in plain.columns
+    N.register_model("plan", lambda text: F.lit('{"actors": ["advocate general"], "legal_hooks": ["section 378 crpc", "article 999"], "query_variants_strict": ["State Appeal Limitation Crpc"], "query_variants_broad": ["late appeals by the state"'))
+    N.register_model("keywords", lambda text: F.lit('["belated criminal appeals of states"]'))
+    asked = plan.planned_intents(intents)
+    row = asked.first()
+    assert "advocate general" in [t for a in row.checklist.axes for t in a.terms] and row.plan.legal_hooks == ["section 378 crpc"] and row.plan.dropped_hooks == 1
+    made = plan.question_variants(asked, courts=False).collect()
+    first = [v for v in made if v.purpose == "model_plan"]
+    assert [(v.phrase, v.phase) for v in sorted(first, key=lambda v: -v.priority)] == [("state appeal limitation crpc", "primary"), ("late appeals by the state", "fallback")]
+    assert any("belated criminal appeals" in v.phrase for v in made) and len({v.variant_id for v in made}) == len(made)
