@@ -44,6 +44,49 @@ def test_linear_model_is_at_its_optimum():
     assert np.allclose(x.T @ (y - p), toxicity.PENALTY * m.weights, atol=1e-3) and abs((y - p).sum()) < 1e-3
 
 
+def plain_logistic(x, y, penalty):
+    """The ridge-penalised optimum by plain gradient steps, one weight after another; the bias is not penalised."""
+    w = [0.0] * (len(x[0]) + 1)
+    for _ in range(4000):
+        g = [0.0] * len(w)
+        for row, t in zip(x, y):
+            z = sum(a * b for a, b in zip(row, w)) + w[-1]
+            e = t - 1 / (1 + math.exp(-max(-30, min(30, z))))
+            for k, v in enumerate(row):
+                g[k] += e * v
+            g[-1] += e
+        w = [a + 0.05 * (b - (penalty * a if k < len(w) - 1 else 1e-6 * a)) for k, (a, b) in enumerate(zip(w, g))]
+    return w
+
+
+def test_the_chain_as_a_plain_version():
+    """A later model's last feature in training is the earlier one's log-odds from the other folds; in use, those of the whole fit."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(30, 2))
+    first = (x[:, 0] + 0.7 * r.normal(size=30) > 0).astype(int)
+    second = (first + 0.8 * r.normal(size=30) > 0.5).astype(int)
+    chain = toxicity.fit_chain(x, np.stack([first, second], axis=1), ["a", "b"], np.zeros(0, np.uint64))
+    odds = lambda rows, w: [sum(a * b for a, b in zip(row, w)) + w[-1] for row in rows]
+    w1 = plain_logistic(x.tolist(), first.tolist(), toxicity.PENALTY)
+    folds = [i % toxicity.FOLDS for i in range(len(x))]
+    ahead = [0.0] * len(x)
+    for f in range(toxicity.FOLDS):
+        w = plain_logistic([row for row, k in zip(x.tolist(), folds) if k != f], [t for t, k in zip(first.tolist(), folds) if k != f], toxicity.PENALTY)
+        for i, k in enumerate(folds):
+            if k == f:
+                ahead[i] = odds([x[i].tolist()], w)[0]
+    w2 = plain_logistic([[*row, a] for row, a in zip(x.tolist(), ahead)], second.tolist(), toxicity.PENALTY)
+    assert np.allclose([*chain.models[0].weights, chain.models[0].bias], w1, atol=2e-3) and np.allclose([*chain.models[1].weights, chain.models[1].bias], w2, atol=2e-3)
+    new = r.normal(size=(5, 2))
+    want1 = odds(new.tolist(), w1)
+    want2 = odds([[*row, a] for row, a in zip(new.tolist(), want1)], w2)
+    assert np.allclose(chain.log_odds(new), np.stack([want1, want2], axis=1), atol=2e-2)
+    # the threshold is the one of the highest F1 of the out-of-fold predictions
+    p = 1 / (1 + np.exp(-np.array(ahead)))
+    f1 = lambda t: 2 * ((p >= t) & (first == 1)).sum() / ((p >= t).sum() + first.sum())
+    assert math.isclose(f1(chain.thresholds[0]), max(f1(t) for t in p), abs_tol=1e-9)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, "a bad word", 0.5), (2, None, None), (2, "", 1.0), (None, "x", 2.0), (1, "a bad word", 0.5)], "doc_id long, text string, p_toxic double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -356,6 +399,18 @@ def test_languages(spark):
     assert sum(right) / len(right) > 0.9
 
 
+def test_languages_of_texts_that_were_not_seen(spark):
+    """Fitted on a half of the documents; pages are made of the other half, declare nothing or something false, and stand on hosts of all languages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    half = F.pmod(F.xxhash64("text"), F.lit(2)) == 0  # copies fall into one half
+    other = docs.where(~half & (F.length("text") > 200))
+    declared = F.when(F.col("doc_id") % 3 == 0, F.lit('<html lang="de">')).otherwise(F.lit("<html>"))
+    pages = other.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://h"), F.col("doc_id") % 4, F.lit(".com/"), F.col("doc_id")).alias("url"), F.concat(declared, F.lit("<p>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</p>")).alias("html"))
+    want = {r.doc_id: r.lang for r in other.collect()}
+    got = lang_id.identify(pages, docs.where(half)).collect()
+    assert len(got) == len(want) and sum(r.language == want[r.page_id] for r in got) >= 0.97 * len(got) and len(set(want.values())) == 4
+
+
 def test_language_edges(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(1, None, None), (2, "http://a.de/", ""), (3, "x", "<html lang='de-AT'><p>Der und die</p>"), (3, "x", "<html lang='de-AT'><p>Der und die</p>"), (None, "http://b.fr:80/x", "<html lang=xx>" + "z" * 100_000)]
