@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.text import clamp
@@ -30,12 +36,35 @@ def variant_utility(attempts: DataFrame, key: str = "canonical_key", order: str
 def stepwise_utility(attempts: DataFrame, key: str = "canonical_key", order: str = "ts", rate: str = "utility") -> DataFrame:
     """The running mean rounded to four places at each attempt, in order; halves go up, as doubles have them.
 
-    Each mean depends on the rounded one before it, so a key's attempts are folded together, within one row.
+    Each mean depends on the rounded one before it, so a key's attempts have to be read in order.  They come sorted within a partition and are folded as they
+    pass: a task holds a batch and one mean, however many attempts a key has.
     """
-    rows = attempts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "attempt_id", F.col(rate).alias("x")))).alias("rows"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"))
-    walk = F.aggregate("rows", zero, lambda s, r: F.struct((s["n"] + 1).alias("n"), (F.floor((s["mean"] * s["n"] + r["x"]) / (s["n"] + 1) * 1e4 + 0.5) / 1e4).alias("mean")))
-    return rows.select(key, walk["n"].alias("attempts"), walk["mean"].alias("mean"))
+    rows = attempts.select(F.col(key).alias("key"), F.col(rate).cast("double").alias("x"), F.col(order).alias("o"), "attempt_id").repartition("key").sortWithinPartitions("key", "o", "attempt_id")
+    kind = rows.schema["key"]
+    arrow = to_arrow_type(kind.dataType)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, mean, begun = None, 0, 0.0, False
+
+        def told(keys: list, ns: list[int], means: list[float]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, arrow), pa.array(ns, pa.int32()), pa.array(means, pa.float64())], names=["key", "attempts", "mean"])
+
+        for batch in batches:
+            out: tuple[list, list[int], list[float]] = ([], [], [])
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not begun or k != now:
+                    if begun:
+                        for values, value in zip(out, (now, n, mean)):
+                            values.append(value)
+                    now, n, mean, begun = k, 0, 0.0, True
+                mean = None if mean is None or x is None else math.floor((mean * n + x) / (n + 1) * 1e4 + 0.5) / 1e4
+                n += 1
+            yield told(*out)
+        if begun:
+            yield told([now], [n], [mean])
+
+    made = rows.select("key", "x").mapInArrow(fold, T.StructType([kind, T.StructField("attempts", T.IntegerType()), T.StructField("mean", T.DoubleType())]))
+    return made.select(F.col("key").alias(key), "attempts", "mean")
 
 
 def attempt_metrics(attempts: DataFrame, group: list[str]) -> DataFrame:

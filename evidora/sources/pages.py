@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import random
+import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,46 @@ def retry_delay(status: int, attempt: int, retry_after: str | None = None, *, ne
     return None
 
 
+#: Search parameters by option (the session lower-cases options), and the document types of a court (fixed values).
+TEXT_PARAMETERS = {"doctypes": "doctypes", "title": "title", "cite": "cite", "author": "author", "bench": "bench"}
+DATE_PARAMETERS = {"fromdate": "fromdate", "todate": "todate"}
+COURT_DOCTYPES = {"SC": "supremecourt", "HC": "highcourts"}
+MOST_CITES, MOST_PAGES = 50, 1000
+
+
+def api_date(text: str | None) -> str | None:
+    """A date as D-M-YYYY, from that form (also with slashes) or from YYYY-MM-DD; None of anything else."""
+    text = (text or "").strip()
+    if m := re.fullmatch(r"(\d{4})-(\d{1,2})-(\d{1,2})", text):
+        year, month, day = m.groups()
+    elif m := re.fullmatch(r"(\d{1,2})[-/](\d{1,2})[-/](\d{4})", text):
+        day, month, year = m.groups()
+    else:
+        return None
+    try:
+        found = date(int(year), int(month), int(day))
+    except ValueError:
+        return None
+    return f"{found.day}-{found.month}-{found.year}"
+
+
+def search_parameters(options: Mapping[str, str]) -> dict[str, str]:
+    """The parameters of a search that options ask for (SRC-01): document types, or those of a court; dates; title, citation, author and bench; how many cites; how many pages at once.
+
+    Empty values, dates that are none and numbers that are none are left out; numbers are held to their most.
+    """
+    out = {name: options[k].strip() for k, name in TEXT_PARAMETERS.items() if (options.get(k) or "").strip()}
+    court = COURT_DOCTYPES.get((options.get("court") or "").strip().upper())
+    if court and "doctypes" not in out:
+        out["doctypes"] = court
+    out |= {name: found for k, name in DATE_PARAMETERS.items() if (found := api_date(options.get(k)))}
+    for k, most in (("maxcites", MOST_CITES), ("pagesatonce", MOST_PAGES)):
+        number = (options.get(k) or "").strip()
+        if number.isdigit() and int(number) > 0:
+            out["maxpages" if k == "pagesatonce" else k] = str(min(int(number), most))
+    return out
+
+
 class Slots:
     """Time slots of a request rate that several tasks share without talking to one another.
 
@@ -68,7 +111,9 @@ class PageReader(DataSourceReader):
     the error's name.  Reading stops when a phrase has used up its time.  A filter on the phrase is answered by asking only for those.
     """
 
-    def __init__(self, phrases: list[str], max_pages: int, fetch: Callable[[str, int], tuple], retries: int, budget_ms: int, rate: float, lanes: int = 4):
+    def __init__(self, phrases: list[str], max_pages: int, fetch: Callable[..., tuple], retries: int, budget_ms: int, rate: float, lanes: int = 4, parameters: dict[str, str] | None = None):
+        if parameters:  # only a fetcher that takes them is asked with them
+            fetch = functools.partial(fetch, parameters=parameters)
         self.phrases, self.max_pages, self.fetch, self.retries, self.budget_ms, self.rate = phrases, max(1, min(10, max_pages)), fetch, retries, budget_ms, rate
         self.lanes = max(1, min(lanes, len(phrases))) if rate else max(1, len(phrases))
 
@@ -121,7 +166,7 @@ class PageReader(DataSourceReader):
 def page_source(fetch: Callable[[str, int], tuple], name: str = "search_pages") -> type[DataSource]:
     """A data source class over a fetcher (phrase, page) -> (status, html[, retry-after]); register it with the session.
 
-    Options: phrases (a JSON list, or phrases parted by vertical bars), maxPages, retries, budgetMs (a phrase), requestsPerSecond of all tasks of a read
+    Options: the search parameters (search_parameters), which the fetcher gets as its argument `parameters` if there are any; phrases (a JSON list, or phrases parted by vertical bars), maxPages, retries, budgetMs (a phrase), requestsPerSecond of all tasks of a read
     together, and readers, the number of tasks that share it (4).
     """
 
@@ -137,7 +182,7 @@ def page_source(fetch: Callable[[str, int], tuple], name: str = "search_pages")
             own = self.options
             phrases = own.get("phrases", "")
             listed = json.loads(phrases) if phrases.startswith("[") else phrases.split("|")
-            return PageReader([p for p in listed if p], int(own.get("maxPages", "3")), fetch, int(own.get("retries", "2")), int(own.get("budgetMs", "20000")), float(own.get("requestsPerSecond", "0")), int(own.get("readers", "4")))
+            return PageReader([p for p in listed if p], int(own.get("maxPages", "3")), fetch, int(own.get("retries", "2")), int(own.get("budgetMs", "20000")), float(own.get("requestsPerSecond", "0")), int(own.get("readers", "4")), search_parameters({k.lower(): v for k, v in own.items()}))
 
     return Pages
 

@@ -103,16 +103,17 @@ def test_models_answers_reach_checklists_and_variants(spark, monkeypatch):
     from evidora.plans import search as plan
 
     monkeypatch.setattr(N, "_HOOKS", {})
-    questions = spark.createDataFrame([(1, "state criminal appeal delay not condoned under section 378 crpc")], "query_id int, text string")
+    questions = spark.createDataFrame([(1, "state criminal appeal delay not condoned under section 378 crpc"), (2, "some words")], "query_id int, text string")
     intents = coach(intent_profile(questions))
     plain = plan.planned_intents(intents)
     assert "plan" not in plain.columns
     N.register_model("plan", lambda text: F.lit('{"actors": ["advocate general"], "legal_hooks": ["section 378 crpc", "article 999"], "query_variants_strict": ["State Appeal Limitation Crpc"], "query_variants_broad": ["late appeals by the state"'))
     N.register_model("keywords", lambda text: F.lit('["belated criminal appeals of states"]'))
     asked = plan.planned_intents(intents)
-    row = asked.first()
+    row = asked.where("query_id = 1").first()
     assert "advocate general" in [t for a in row.checklist.axes for t in a.terms] and row.plan.legal_hooks == ["section 378 crpc"] and row.plan.dropped_hooks == 1
     made = plan.question_variants(asked, courts=False).collect()
-    first = [v for v in made if v.purpose == "model_plan"]
+    first = [v for v in made if v.purpose == "model_plan" and v.query_id == 1]
     assert [(v.phrase, v.phase) for v in sorted(first, key=lambda v: -v.priority)] == [("state appeal limitation crpc", "primary"), ("late appeals by the state", "fallback")]
-    assert any("belated criminal appeals" in v.phrase for v in made) and len({v.variant_id for v in made}) == len(made)
+    # suggested keywords come after a question's own, so they show where it has few
+    assert any("belated criminal appeals" in v.phrase for v in made if v.query_id == 2) and len({(v.query_id, v.variant_id) for v in made}) == len(made)

@@ -51,6 +51,23 @@ def test_time_is_over(spark):
     assert len(rows) <= 1  # the next slot comes after the time of the phrase
 
 
+@pytest.mark.parametrize("text, want", [("2020-03-01", "1-3-2020"), ("1/12/1999", "1-12-1999"), ("31-2-2020", None), ("March", None), (None, None), (" 05-06-2001 ", "5-6-2001")])
+def test_dates_of_a_search(text, want):
+    assert pages_source.api_date(text) == want
+
+
+def test_search_parameters_reach_the_fetcher(spark):
+    def fetch(phrase, page, parameters=None):
+        return 200, f"{phrase}: {sorted((parameters or {}).items())}"
+
+    pages_source.register(spark, fetch, "asked_pages")
+    read = spark.read.format("asked_pages").option("phrases", "p").option("maxPages", "1")
+    assert read.load().first().html == "p: []"
+    full = read.options(court="sc", fromDate="2019-01-02", toDate="never", title=" State ", author="", bench="b", cite="AIR 1", maxCites="900", pagesAtOnce="x")
+    assert full.load().first().html == "p: [('bench', 'b'), ('cite', 'AIR 1'), ('doctypes', 'supremecourt'), ('fromdate', '2-1-2019'), ('maxcites', '50'), ('title', 'State')]"
+    assert pages_source.search_parameters({"court": "HC", "doctypes": "judgments"}) == {"doctypes": "judgments"}
+
+
 def keys(*names):
     return F.array(*[request_digest(F.col(n)) for n in names])
 
