@@ -4,11 +4,9 @@ A text's set is its distinct word shingles.  Texts with the same set form one
 class, known by the set's 128-bit digest, and only classes are compared.
 
 The forest.  Each of `TREES` trees has a signature for every class: a row of
-min-hashes.  Sorted by it, classes that agree in many leading values are
-next to one another, and the longest common prefix with a neighbour tells how near
-they are.  A *region* of a tree is a run of classes with a common prefix of at least
-`least` values: two classes at the threshold have no common region in any tree with a
-probability below `MISS`.
+min-hashes.  A *region* of a tree are the classes whose signatures have a common prefix of at least
+`least` values, found by grouping on the prefix: two classes at the threshold have no common region in any tree with a
+probability below `MISS`.  Within a region classes stand in the order of their signatures, which decides what is compared first, not what is compared.
 
 Candidates.  A region of up to `REGION_ROWS` classes is read as it is; in a larger one
 the depth grows, a value at a time, until its parts are small enough or the
