@@ -17,7 +17,7 @@ from .operators import references as N
 from .operators import scoring as S
 from .operators import variants as V
 from .plans import search as plan
-from .queries import GATE_TEXT, MADE, _made, _starts_sql
+from .queries import GATE_TEXT, MADE, OVERLAP, SCORE_PARTS, _made, _scored, _starts_sql
 from .registry import query, table
 
 
@@ -167,12 +167,15 @@ def context_score(spark, sf_dir):
 
 
 @query(f"""
-WITH {SCORED}, s AS (SELECT *, least(0.92, greatest(0.0, least(1.0, 1 / (1 + exp(-(raw - 0.45) * 3.1))))) AS sq FROM r), f2 AS (SELECT CASE WHEN proven THEN least(0.94, sq + 0.03) ELSE sq END AS score FROM s)
+WITH lexical AS (WITH {OVERLAP}, {SCORE_PARTS} SELECT squashed AS score FROM s),
+context AS (WITH {SCORED}, s AS (SELECT *, least(0.92, greatest(0.0, least(1.0, 1 / (1 + exp(-(raw - 0.45) * 3.1))))) AS sq FROM r) SELECT CASE WHEN proven THEN least(0.94, sq + 0.03) ELSE sq END AS score FROM s),
+f2 AS (SELECT score FROM lexical UNION ALL SELECT score FROM context)
 SELECT CASE WHEN score >= 0.86 THEN 'VERY_HIGH' WHEN score >= 0.71 THEN 'HIGH' WHEN score >= 0.51 THEN 'MEDIUM' ELSE 'LOW' END AS band, count(*) AS n, round(avg(round(score, 3)), 3) AS avg_score FROM f2 GROUP BY 1
 """)
 def score_bands(spark, sf_dir):
-    """SCR-06: candidates in context, by band."""
-    return S.score_candidates(candidates_in_context(spark, sf_dir)).groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("score"), 3).alias("avg_score"))
+    """SCR-06: the best candidates of each passage and the candidates in context, by band."""
+    rows = _scored(spark, sf_dir).select("band", "score").union(S.score_candidates(candidates_in_context(spark, sf_dir)).select("band", "score"))
+    return rows.groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("score"), 3).alias("avg_score"))
 
 
 # ---------------------------------------------------------------- reports

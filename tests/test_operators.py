@@ -23,9 +23,11 @@ from evidora.operators import intent as Q
 from evidora.operators import metrics as M
 from evidora.operators import ranking as R
 from evidora.operators import recall as L
+from evidora.operators import references as N
 from evidora.sources import pages as pages_source
 from evidora.operators.terms import counts_against, places_of, term_places
 from evidora.sources.stores import StaleVersion, VectorStore, lookup_documents, backfill_years, index_job, live_entries, pick_provider, read_fixtures
+from evidora.queries import QUERIES
 from evidora.streaming import state as T
 
 
@@ -647,3 +649,12 @@ def test_carried_state_forgets_nothing_and_goes_on_after_a_restart(spark, tmp_pa
     assert run() == {1: (12000, 2.0, 6000, 6000), 2: (3, 2.0, 1, 2), 3: (1, 5.0, 0, 1)}
     assert run()[1] == (12000, 2.0, 6000, 6000)  # nothing new
 
+
+
+# --- word ends, long numbers, whole jobs
+
+
+def test_bands_have_the_candidates_of_the_passages_too(spark):
+    sf = "/root/testdata/sf0.001"
+    n = lambda name: QUERIES[name](spark, sf).count()
+    assert sum(r.n for r in QUERIES["score_bands"](spark, sf).collect()) == n("weighted_score") + n("context_score") > n("context_score")
