@@ -38,7 +38,7 @@ IDLE_DISJUNCTIONS = r"\b(?:laws?\s+or\s+proceedings?|interpreted\s+or\s+applied|
 CONNECTOR = r"(?:or|versus|vs\.?|instead\s+of|alternatively)"
 NOTICE = r"(?:s\.?\s*o\.?|g\.?\s*s\.?\s*r\.?)"
 CALLED_SECTION = r"(?:section|sec\.?|s\.)\s*"
-NOTICE_NUMBER = rf"(?:^|[^a-z0-9])({NOTICE})\s*([0-9]{{1,6}}\([a-z]\))(?=$|[^a-z0-9])"
+NOTICE_NUMBER = rf"(?:^|[^a-z0-9])({NOTICE})\s*([0-9]+\([a-z]\))(?=$|[^a-z0-9])"
 NAMED_ACT = r"\b([a-z][a-z\s]{2,70}?\sact(?:\s*,\s*\d{4})?)\b"
 NAMED_DAY = rf"\b([0-3]?\d)(?:st|nd|rd|th)?\s+({MONTHS})\s+(19\d{{2}}|20\d{{2}})\b"
 AROUND = 80

@@ -658,6 +658,10 @@ def test_a_marker_begins_a_part_after_other_letters(spark):
     assert one(spark, I.segments(F.col("t")), t="uno \u00f1Para dos Held\u00e9 tres Parad") == ["uno \u00f1", "Para dos", "Held\u00e9 tres Parad"]
 
 
+def test_numbers_of_notifications_have_any_length(spark):
+    assert one(spark, N.references(F.col("t"))["notification_ids"], t="after S.O. 1000000(e) and GSR 12(a)") == ["s.o. 1000000(e)", "g.s.r. 12(a)"]
+
+
 def test_bands_have_the_candidates_of_the_passages_too(spark):
     sf = "/root/testdata/sf0.001"
     n = lambda name: QUERIES[name](spark, sf).count()
