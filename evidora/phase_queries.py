@@ -69,15 +69,19 @@ def index_vector_filtered(spark, sf_dir):
 
 @query(VECTORS_SQL.format(where="") + "SELECT count(*) AS wanted, true AS reached FROM r WHERE rank <= 10")
 def index_vector_recall(spark, sf_dir):
-    """SRC-12: whether the index without its exact mode finds nine tenths of the ten nearest vectors, of all queries together."""
+    """SRC-12: whether the index without its exact mode finds nine tenths of the ten nearest vectors, of all queries together.
+
+    How many cells that takes depends on the vectors, so it is measured on other rows than those asked for.
+    """
     index, queries = vector_index(spark, sf_dir)
+    probes = index.probes_for(index.vectors.where("id % 100 = 50").select(F.col("id").alias("query_id"), "vector"), 10, RECALL_AIM)
     wanted = index.search(queries, 10, exact=True).select("query_id", "id")
-    found = index.search(queries, 10, probes=RECALL_PROBES).select("query_id", "id", F.lit(1).alias("found"))
+    found = index.search(queries, 10, probes=probes).select("query_id", "id", F.lit(1).alias("found"))
     return wanted.join(found, ["query_id", "id"], "left").agg(F.count("*").alias("wanted"), (F.count("found") >= 0.9 * F.count("*")).alias("reached"))
 
 
-#: Cells read of 32 for a recall of nine tenths: the vectors of the given tables have hardly any structure.
-RECALL_PROBES = 16
+#: The recall that other rows have to show, for one of nine tenths of the rows asked for.
+RECALL_AIM = 0.94
 
 
 #: Variants of a passage: (phase, ordinal, strictness, priority, first token, tokens, court, key).  Later ones of a key follow what its earlier ones found.

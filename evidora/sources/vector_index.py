@@ -28,6 +28,8 @@ SAMPLE = 20_000
 PART_ROWS = 16_384
 QUERY_ROWS = 256
 ROUNDS = 12
+#: Queries by which `probes_for` measures recall, those of the least hash of their id.
+CALIBRATION = 256
 
 
 def dense(column: pa.Array, width: int) -> np.ndarray:
@@ -210,6 +212,22 @@ class VectorIndex:
             found = self._top(found.select("query_id", "id", "score").union(more), k)
         return found
 
+    def probes_for(self, queries: DataFrame, k: int, recall: float, *, sample: int = CALIBRATION) -> int:
+        """The fewest probes that find this share of the k nearest vectors of at most `sample` of the queries; all cells without queries.
+
+        The exact mode tells the k nearest, and each one's cell has a place among its query's nearest cells.
+        """
+        some = queries.where("vector is not null").orderBy(F.xxhash64("query_id"), "query_id").limit(sample).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+        asked = Scratch(self.spark, "vectors").store(some, "asked")
+        wanted = self.search(asked, k, exact=True).select("query_id", "id")
+        told = self.vectors.select("id", "cell").join(F.broadcast(wanted), "id").join(asked, "query_id").select("cell", "vector").collect()  # k rows a query of the sample
+        if not told:
+            return len(self.centroids)
+        near = _nearest(dense(pa.array([r["vector"] for r in told], pa.list_(pa.float64())), self.centroids.shape[1]), self.centroids, len(self.centroids))
+        place = np.argmax(near == np.array([r["cell"] for r in told])[:, None], axis=1)
+        found = np.cumsum(np.bincount(place, minlength=len(self.centroids)))
+        return int(np.argmax(found >= recall * len(told))) + 1
+
     @staticmethod
     def _top(rows: DataFrame, k: int) -> DataFrame:
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))).where(F.col("rank") <= k)

@@ -82,3 +82,15 @@ def test_products_in_parts(spark, rows, monkeypatch):
     for n in (1, 60, 5000):
         monkeypatch.setattr(ranking, "PRODUCTS", n)
         assert as_tuples(vector_top_k(queries, rows.repartition(3), 7)) == want
+
+
+def test_probes_reach_the_recall_on_vectors_without_structure(spark):
+    flat = np.random.default_rng(5).normal(size=(3000, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(flat)], "id long, vector array<double>").cache()
+    index = VectorIndex.build(rows, index_path(spark), cells=32)
+    ask = lambda rest: rows.where(f"id % 100 = {rest}").select(F.col("id").alias("query_id"), "vector")
+    probes = index.probes_for(ask(50), 10, 0.94)
+    wanted = {(q, i) for q, _, i, _ in as_tuples(index.search(ask(0), 10, exact=True))}
+    got = lambda n: len(wanted & {(q, i) for q, _, i, _ in as_tuples(index.search(ask(0), 10, probes=n))}) / len(wanted)
+    assert got(4) < 0.9 <= got(probes)
+    assert index.probes_for(ask(0).where("false"), 10, 0.94) == 32
