@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import let
+
 KINDS = ("case", "statute", "noise", "unknown")
-_EDGE, _END = r"(^|[^a-z0-9_])", r"([^a-z0-9_]|$)"
+_EDGE, _END = r"(?<![a-z0-9_])", r"(?![a-z0-9_])"
 
 
 def worded(pattern: str) -> str:
@@ -35,19 +37,25 @@ def classify(title: Column, body: Column, court: Column, *, statute_title: list[
     title = F.trim(F.lower(F.coalesce(title, F.lit(""))))
     text = F.lower(F.concat_ws(" ", title, F.coalesce(body, F.lit(""))))
     case_like = lambda x: any_cue(x, case if case is not None else CASE_CUES) | x.rlike(VERSUS)
-    t_case, b_case = case_like(title), case_like(text)
-    t_statute = any_cue(title, statute_title if statute_title is not None else STATUTE_TITLE)
-    b_statute = any_cue(text, statute_body if statute_body is not None else STATUTE_BODY)
+    statute_like = lambda x, cues, default: any_cue(x, cues if cues is not None else default)
     is_ = lambda kind, reason: F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))
-    return (
-        F.when((title == "") | title.rlike(PSEUDO_TITLE), is_("noise", "pseudo-result title"))
-        .when(t_statute & ~t_case, is_("statute", "statutory-title signal"))
-        .when(b_statute & ~b_case, is_("statute", "statutory-body signal"))
-        .when(t_case | (b_case & ~t_statute), is_("case", "case-law signals"))
-        .when(t_statute | b_statute, is_("statute", "statute-like body"))
-        .when((court != "UNKNOWN") & (F.length(title) > 8), is_("unknown", "court-tagged candidate"))
-        .otherwise(is_("noise", "insufficient legal case signals"))
-    )
+
+    def decided(f: Column) -> Column:
+        title = f["title"]
+        t_case, b_case, t_statute, b_statute = (f[c] for c in ("t_case", "b_case", "t_statute", "b_statute"))
+        return (
+            F.when((title == "") | title.rlike(PSEUDO_TITLE), is_("noise", "pseudo-result title"))
+            .when(t_statute & ~t_case, is_("statute", "statutory-title signal"))
+            .when(b_statute & ~b_case, is_("statute", "statutory-body signal"))
+            .when(t_case | (b_case & ~t_statute), is_("case", "case-law signals"))
+            .when(t_statute | b_statute, is_("statute", "statute-like body"))
+            .when((court != "UNKNOWN") & (F.length(title) > 8), is_("unknown", "court-tagged candidate"))
+            .otherwise(is_("noise", "insufficient legal case signals"))
+        )
+
+    # each cue is looked for once in a text, whatever the list asks
+    cues = lambda x: F.struct(x["title"].alias("title"), case_like(x["title"]).alias("t_case"), case_like(x["text"]).alias("b_case"), statute_like(x["title"], statute_title, STATUTE_TITLE).alias("t_statute"), statute_like(x["text"], statute_body, STATUTE_BODY).alias("b_statute"))
+    return let(let(F.struct(title.alias("title"), text.alias("text")), cues), decided)
 
 
 def kind_counts(df: DataFrame, kind: str = "kind", domain: tuple[str, ...] = KINDS) -> DataFrame:
@@ -58,7 +66,9 @@ def kind_counts(df: DataFrame, kind: str = "kind", domain: tuple[str, ...] = KIN
 
 def reason_histogram(df: DataFrame, reasons: str = "reasons") -> DataFrame:
     """(reason, n) over array columns (AGG-02)."""
-    return df.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    # Spark puts a filter before a plain explode, which would work out the reasons twice
+    rows = df.select(F.posexplode_outer(reasons).alias("place", "reason")).where("place is not null")
+    return rows.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def keep_or_all(df: DataFrame, keep: Column, *, group: str = "query_id") -> DataFrame:

@@ -666,3 +666,9 @@ def test_bands_have_the_candidates_of_the_passages_too(spark):
     sf = "/root/testdata/sf0.001"
     n = lambda name: QUERIES[name](spark, sf).count()
     assert sum(r.n for r in QUERIES["score_bands"](spark, sf).collect()) == n("weighted_score") + n("context_score") > n("context_score")
+
+
+@pytest.mark.parametrize("name, wanted", [("classify_rows", 1), ("reason_hist", 1), ("filter_with_fallback", 1)])
+def test_a_text_is_searched_once_for_a_cue(spark, name, wanted):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("(?:thing|license)") == 2 * wanted  # in the title and in the body
