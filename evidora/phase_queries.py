@@ -15,6 +15,7 @@ from .queries import CASE_LIKE, CLASSIFIED, OVERLAP, STATUTE, TOKENS, _benchmark
 from .registry import query, table
 from .sources.postings import OverlapIndex, index_path
 from .sources.request_cache import RequestCache, request_digest
+from .sources.scratch import Scratch
 from .sources.vector_index import VectorIndex
 from .streaming import state as T
 
@@ -138,9 +139,12 @@ def judge_hits(hits: DataFrame) -> DataFrame:
 
 
 def _phased(spark: SparkSession, sf_dir: str) -> Phased:
-    docs = table(spark, sf_dir, "documents")
-    described = lambda hits: hits.join(_kinds(docs), "doc_id")
-    return search_phases(sliced_variants(_benchmark(spark, sf_dir)), overlap_index(spark, sf_dir), described, judge_hits, PHASED)
+    # every phase asks for kinds, so the texts are judged once and what is told of them is stored
+    told = Scratch(spark, "kinds")
+    kinds = told.store(_kinds(table(spark, sf_dir, "documents")), "kinds")
+    found = search_phases(sliced_variants(_benchmark(spark, sf_dir)), overlap_index(spark, sf_dir), lambda hits: hits.join(kinds, "doc_id"), judge_hits, PHASED)
+    found.scratch.also(told)
+    return found
 
 
 def _phase_sql() -> str:

@@ -186,3 +186,13 @@ def test_attempt_phrases(spark):
 def test_tokens_can_be_given(spark, docs, index):
     questions = docs.where("doc_id < 5").select(F.col("doc_id").alias("query_id"), RERANK.distinct(F.col("text")).alias("tokens"))
     assert index.top(questions, 1).where("query_id = doc_id").count() >= 3
+
+
+def test_kinds_are_told_once_for_all_phases(spark, monkeypatch):
+    from evidora import phase_queries
+
+    told = []
+    real = phase_queries._kinds
+    monkeypatch.setattr(phase_queries, "_kinds", lambda docs: told.append(1) or real(docs))
+    phase_queries._phased(spark, "/root/testdata/sf0.001")
+    assert told == [1]
