@@ -672,3 +672,23 @@ def test_bands_have_the_candidates_of_the_passages_too(spark):
 def test_a_text_is_searched_once_for_a_cue(spark, name, wanted):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("(?:thing|license)") == 2 * wanted  # in the title and in the body
+
+
+def test_a_repeated_text_is_worked_out_once(spark):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else f"Whether section {i % 5} ipc applies") for i in range(40)], "n long, text string")
+    given = []
+
+    def make(texts):
+        given.append(texts.count())
+        return texts.select("query_id", "text", F.length("text").alias("size"))
+
+    got = Q.once_a_text(rows, make)
+    assert given == [5] and got.columns == ["n", "text", "size"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((r.n, r.text, None if r.text is None else len(r.text)) for r in rows.collect()), key=str)
+
+
+def test_questions_made_of_parts_share_their_texts(spark, monkeypatch):
+    given = []
+    real = Q.intent_profile
+    monkeypatch.setattr(Q, "intent_profile", lambda texts, **k: given.append((texts.count(), texts.distinct().count())) or real(texts, **k))
+    assert QUERIES["question_intents"](spark, "/root/testdata/sf0.01").count() > given[0][0] == given[0][1]
