@@ -90,9 +90,13 @@ def question_variants(asked: DataFrame, *, courts: bool) -> DataFrame:
 def _phases(asked: DataFrame, docs: DataFrame, texts: DataFrame, index: OverlapIndex, cfg: Config, gated: Callable[[DataFrame], DataFrame], courts: bool) -> Phased:
     """The phased search of all questions: hits are classified, and gated by their question's checklist to tell who has enough."""
 
+    # every phase asks for kinds, so the texts are judged once
+    kind = classify(F.left("body", F.lit(80)), F.col("body"), F.col("court"))["kind"]
+    kinds = Scratch(docs.sparkSession, "kinds")
+    told = kinds.store(texts.select("doc_id", "court", kind.alias("kind")), "kinds")
+
     def describe(hits: DataFrame) -> DataFrame:
-        kind = classify(F.left("body", F.lit(80)), F.col("body"), F.col("court"))["kind"]
-        return hits.join(texts.select("doc_id", "court", kind.alias("kind")), "doc_id")
+        return hits.join(told, "doc_id")
 
     def judge(hits: DataFrame) -> DataFrame:
         rows = hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
@@ -107,7 +111,9 @@ def _phases(asked: DataFrame, docs: DataFrame, texts: DataFrame, index: OverlapI
             n(F.col("tier") != "reject").alias("results"),
         )
 
-    return search_phases(question_variants(asked, courts=courts), index, describe, judge, cfg, court_floor=courts)
+    found = search_phases(question_variants(asked, courts=courts), index, describe, judge, cfg, court_floor=courts)
+    found.scratch.also(kinds)
+    return found
 
 
 def search(
