@@ -692,3 +692,24 @@ def test_questions_made_of_parts_share_their_texts(spark, monkeypatch):
     real = Q.intent_profile
     monkeypatch.setattr(Q, "intent_profile", lambda texts, **k: given.append((texts.count(), texts.distinct().count())) or real(texts, **k))
     assert QUERIES["question_intents"](spark, "/root/testdata/sf0.01").count() > given[0][0] == given[0][1]
+
+
+@pytest.mark.parametrize("percent, entries, cells, block", [(55, 1 << 22, 1 << 20, 1 << 20), (55, 64, 16, 40), (80, 100, 50, 200), (20, 64, 64, 64)])
+def test_stated_sets_meet_all_near_ones(spark, monkeypatch, percent, entries, cells, block):
+    rng = random.Random(percent)
+    words = [f"w{i}" for i in range(40)]
+    sets = [[], None, ["w0"], ["w0"]] + [rng.sample(words, rng.randint(1, 12)) for _ in range(60)]
+    sets += [rng.sample(s, len(s) - 1) + ["new"] for s in sets[10:40]]
+    rows = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    for name, value in (("ENTRIES", entries), ("CELLS", cells), ("STATED_TOKENS", block)):
+        monkeypatch.setattr(L, name, value)
+    got = L.jaccard_of_stated(rows.where("id % 3 = 0").withColumnRenamed("id", "left_id"), rows.withColumnRenamed("id", "right_id"), percent)
+    want = {(i, j, len(a & b), len(a), len(b)) for i, a in enumerate(map(set, (s or [] for s in sets))) if i % 3 == 0 for j, b in enumerate(map(set, (s or [] for s in sets))) if a & b and 100 * len(a & b) >= percent * len(a | b)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_recall_sends_no_side_to_all_tasks(spark):
+    plan = QUERIES["recall_lookup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
