@@ -713,3 +713,12 @@ def test_stated_sets_meet_all_near_ones(spark, monkeypatch, percent, entries, ce
 def test_recall_sends_no_side_to_all_tasks(spark):
     plan = QUERIES["recall_lookup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_titles_are_matched_without_a_join_on_words(spark):
+    rows = lambda kind, rows: spark.createDataFrame(rows, f"{kind}_id long, number string, title string")
+    left = rows("left", [(1, None, "alpha bravo charlie"), (2, "n1", "delta echo"), (3, None, "nothing shared here"), (4, None, None)])
+    right = rows("right", [(9, None, "bravo alpha"), (7, None, "alpha charlie zulu"), (8, "n1", "foxtrot"), (6, None, "delta echo"), (5, None, "alpha golf hotel")])
+    made = L.best_title(left, right)
+    assert sorted(map(tuple, made.collect())) == [(1, 7, 0.666667), (2, 8, 1.0)]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # that of the numbers
