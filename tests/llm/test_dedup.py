@@ -98,6 +98,21 @@ def test_remove_repeats(spark, monkeypatch, length, hot):
     assert sorted([(r.doc_id, sum(s.end - s.first for s in r.long_ones)) for r in got], key=_odd_key) == sorted([(d, w[1]) for (d, _), w in zip(rows, told)], key=_odd_key)
 
 
+def test_entries_beside_a_hot_hash_stay_together(spark, monkeypatch):
+    # of 300 hashes, two entries each agree in the window at their anchor; they come far apart; another hash has 9 entries
+    names = [(g, k) for k in range(2) for g in range(300)] + [(300, k) for k in range(9)]
+    rows = [(g, k, 0, 1, 0, 1, bytearray([k + 1]) + b"%010d" % g) for g, k in names]
+    entries = suffix_dedup.settle(spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), suffix_dedup._ENTRY_TYPE))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows come together anyway
+    try:
+        for hot in (1 << 14, 4):
+            monkeypatch.setattr(suffix_dedup, "HOT_ENTRIES", hot)
+            found = [(r.gram, r.span, r.first, r.last) for r in suffix_dedup.all_matches(entries, 10).collect()]
+            assert sorted(found) == sorted((g, k, 0, 0) for g, k in names)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_one_very_long_text(spark):
     r = random.Random(3)
     passage = rand_text(r, 100)
