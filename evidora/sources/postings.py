@@ -66,9 +66,13 @@ class OverlapIndex:
         return met.groupBy("query_id", "block").agg(F.least(F.count("*") + F.first("omitted"), F.max("longest").cast("long")).alias("bound"))
 
     def _counted(self, blocks: DataFrame, tokens: DataFrame) -> DataFrame:
-        """(query_id, doc_id, shared) of the documents of (query_id, block), on all tokens."""
+        """(query_id, doc_id, shared) of the documents of (query_id, block), on all tokens.
+
+        A block's lists are shuffled as they are and counted where they meet; a question's tokens and BLOCK bound what meets there.
+        """
         met = blocks.join(tokens.select("query_id", "token"), "query_id").join(self.postings.select("token", "block", "docs"), ["token", "block"])
-        return met.select("query_id", "block", F.explode("docs").alias("doc_id")).groupBy("query_id", "block", "doc_id").agg(F.count("*").alias("shared"))
+        lists = met.groupBy("query_id", "block").agg(F.flatten(F.collect_list("docs")).alias("docs"))
+        return lists.select("query_id", "block", F.explode("docs").alias("doc_id")).groupBy("query_id", "block", "doc_id").agg(F.count("*").alias("shared"))
 
     def search(self, queries: DataFrame, k: int, *, scratch: Scratch | None = None, told: bool = True) -> tuple[DataFrame, DataFrame | None]:
         """(the k best, what was read, if that is to be told): rows (query_id, doc_id, shared, score, rank) and (query_id, postings, read, blocks, blocks_read).
