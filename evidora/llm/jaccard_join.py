@@ -18,12 +18,13 @@ At the first n-gram that two prefixes share these bounds hold, so no linked pair
 Order of work.  In a list of up to `SMALL` postings all pairs are candidates; in a longer one first only neighbours (by size, then by a hash of the list's own) are,
 and only in the `LISTS` rarest long lists of a class.  Candidates are verified, and chain classes to components.  Then the rest of the long lists follows: postings
 outside a list's largest component with all others, in blocks; where a list is one component by now, nothing is left.  There a finer suffix filter holds
-too: the whole sets' counts in `FINE` ranges of hashes.  A large group of near copies so takes about as many comparisons as it has members, and pairs of it
-that the filters can't part.  Lists of over `LIST_ROWS` postings are cut into parts that share some of them.
+too: the whole sets' counts in `FINE` ranges of hashes.  Pairs that pass are not told, as their number grows with the square of a group: a list only tells which components
+they chain, an edge a component at most.  Lists of over `LIST_ROWS` postings are cut into parts that share some of them.
 
-Verification.  Every candidate pair is decided once, on full sets, in units of classes that candidates chain.  Pairs whose classes
+Verification.  Every candidate pair is decided on full sets, in units of classes that candidates chain.  Pairs whose classes
 a unit has joined already need no decision.  Units of more than `UNIT_ITEMS` n-grams are cut into blocks, and a pair goes to the unit
-of its two blocks.  The texts aren't shuffled for this: a bit table of bounded size tells the tasks which rows are wanted, and these send their sets; a row that the table lets
+of its two blocks.  Of the rest no pairs come, but groups of chained components: all pairs of classes in different ones are decided there, by an inverted index of the unit's sets.
+The texts aren't shuffled for this: a bit table of bounded size tells the tasks which rows are wanted, and these send their sets; a row that the table lets
 through by chance finds no unit.
 """
 
@@ -34,14 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytetext import NOT_SPACE, blocks, shingles, text_bytes, words
 from .components import connected_components
-from .near_dedup import _by_unit, _digest, _numbered, _rest, _runs, _sorted_units
+from .near_dedup import _by_unit, _digest, _exact_links, _numbered, _rest, _runs, _sorted_units
 from .rowbits import SLICE, merged_slices, row_bits, rows_in
 from .tables import forget, map_batches, row_key, store
 
@@ -53,8 +53,6 @@ LISTS = 6
 LIST_ROWS = 2048
 SHARED = 32
 UNIT_ITEMS = 1 << 18
-#: Long lists before a posting's that it tells, and those that a unit compares.
-EARLIER, MOST_EARLIER = 32, 4096
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -204,55 +202,33 @@ def fine_passing(i: np.ndarray, j: np.ndarray, size: np.ndarray, fine: np.ndarra
     return out
 
 
-def _earlier_bits(lists: pa.Array, runs: np.ndarray) -> np.ndarray:
-    """For each posting a row of bits: which n-grams that several postings of its unit have told as earlier ones it has told."""
-    n, lengths = len(lists), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(n), lengths)
-    unit = np.repeat(np.arange(len(runs)), runs[:, 1] - runs[:, 0])[row]
-    grams, code = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    kinds, kind, times = np.unique(unit * max(1, len(grams)) + code, return_inverse=True, return_counts=True)
-    kept = np.flatnonzero(times > 1)
-    of = kinds[kept] // max(1, len(grams))
-    place = np.full(len(kinds), -1)
-    place[kept] = np.arange(len(kept)) - np.searchsorted(of, of)
-    at = place[kind]
-    some = (at >= 0) & (at < MOST_EARLIER)
-    bits = np.zeros((n, int(at[some].max(initial=-1)) // 8 + 1), np.uint8)
-    np.bitwise_or.at(bits, (row[some], at[some] >> 3), (1 << (at[some] & 7)).astype(np.uint8))
-    return bits
-
-
-def _candidates(units: DataFrame, percent: int, rest: bool) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of each unit's postings that pass the filters; units: (u0, u1, u2, label, size, pos, behind, fine, earlier, node), sorted.
-
-    A pair that shares an earlier list, as far as `earlier` tells, is left to that one.  All pairs of a unit that have different labels, or (not rest) of a unit of up to SMALL postings, and neighbours in longer ones.
+def _postings_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size, pos = (batch.column(k).to_numpy().astype(np.int64) for k in ("size", "pos"))
+    return size, pos, np.frombuffer(b"".join(batch.column("behind").to_pylist()), dtype="<u2").reshape(-1, SLOTS)
+
+
+def _candidates(units: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of each unit's postings that pass the filters; units: (u0, u1, u2, size, pos, behind, node), sorted.
+
+    All pairs of a unit of up to SMALL postings, and neighbours in longer ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
         for batch in _by_unit(batches, 3):
             n, node = batch.num_rows, batch.column("node").to_pylist()
-            size, pos = (batch.column(k).to_numpy().astype(np.int64) for k in ("size", "pos"))
-            behind = np.frombuffer(b"".join(batch.column("behind").to_pylist()), dtype="<u2").reshape(n, SLOTS)
-            fine = np.frombuffer(b"".join(batch.column("fine").to_pylist()), dtype=np.uint8).reshape(n, FINE) if rest else None
-            label = _numbered(batch.column("label").to_pylist())
+            size, pos, behind = _postings_of(batch)
             runs = np.array(_runs(batch, 3))
             long = runs[:, 1] - runs[:, 0]
             ends = np.repeat(runs[:, 1], long)
-            bits = _earlier_bits(batch.column("earlier"), runs) if rest else None
-            reach = ends if rest else np.where(np.repeat(long, long) <= SMALL, ends, np.minimum(ends, np.arange(n) + 2))
+            reach = np.where(np.repeat(long, long) <= SMALL, ends, np.minimum(ends, np.arange(n) + 2))
             open_, step = np.arange(n), 0
             while len(open_):
                 step += 1
                 open_ = open_[open_ + step < reach[open_]]
-                pair = open_[label[open_] != label[open_ + step]]
                 # by size, so once a partner is too large for one, so are those after it
                 fits = 100 * size[open_] >= percent * size[open_ + step]
-                if len(pair):
-                    pair = pair[passing(pair, pair + step, size, pos, behind, percent)]
-                if rest and len(pair):
-                    pair = pair[~(bits[pair] & bits[pair + step]).any(axis=1)]
-                    pair = pair[fine_passing(pair, pair + step, size, fine, percent)]
+                pair = open_[passing(open_, open_ + step, size, pos, behind, percent)]
                 found = {(min(x, y), max(x, y)) for x, y in ((node[k], node[k + step]) for k in pair.tolist()) if x != y}
                 fresh = [p for p in found if p[0] + p[1] not in told]
                 if len(told) > 1 << 16:
@@ -262,7 +238,56 @@ def _candidates(units: DataFrame, percent: int, rest: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.binary()), pa.array([p[1] for p in fresh], pa.binary())], names=["a", "b"])
                 open_ = open_[fits]
 
-    return map_batches(units.select("u0", "u1", "u2", "label", "size", "pos", "behind", *(["fine", "earlier"] if rest else []), "node"), run, "a binary, b binary").distinct()
+    return map_batches(units.select("u0", "u1", "u2", "size", "pos", "behind", "node"), run, "a binary, b binary").distinct()
+
+
+def _chains(units: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that chain the labels of each unit between whose postings a pair passes the filters; units: (u0, u1, u2, label, size, pos, behind, fine), sorted.
+
+    A label has at most one edge a unit: to the label that most of its chain's postings have, so that units with the same groups tell the same edges.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()
+        for batch in _by_unit(batches, 3):
+            label = batch.column("label").to_pylist()
+            size, pos, behind = _postings_of(batch)
+            fine = np.frombuffer(b"".join(batch.column("fine").to_pylist()), dtype=np.uint8).reshape(-1, FINE)
+            for first, last in _runs(batch, 3):
+                own = _numbered(label[first:last])
+                part, chain = slice(first, last), chained_labels(own, size[first:last], pos[first:last], behind[first:last], fine[first:last], percent)
+                names, times, hubs = label[part], np.bincount(own, minlength=last - first), {}
+                for k in np.unique(own).tolist():
+                    hub = hubs.setdefault(chain[k], k)
+                    if (times[k], names[hub]) > (times[hub], names[k]):
+                        hubs[chain[k]] = k
+                edges = [(names[k], names[hubs[chain[k]]]) for k in np.unique(own).tolist() if hubs[chain[k]] != k]
+                fresh = [e for e in edges if e[0] + e[1] not in told]
+                if len(told) > 1 << 16:
+                    told.clear()
+                told.update(a + b for a, b in fresh)
+                if fresh:
+                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in fresh], pa.binary()), pa.array([b for _, b in fresh], pa.binary())], names=["a", "b"])
+
+    return map_batches(units.select("u0", "u1", "u2", "label", "size", "pos", "behind", "fine"), run, "a binary, b binary")
+
+
+def chained_labels(label: np.ndarray, size: np.ndarray, pos: np.ndarray, behind: np.ndarray, fine: np.ndarray, percent: int) -> np.ndarray:
+    """Labels of one n-gram's postings, by size, after those have been joined between which a pair passes all filters."""
+    label = label.copy()
+    open_, step = np.arange(len(label)), 0
+    while len(open_):
+        step += 1
+        open_ = open_[open_ + step < len(label)]
+        open_ = open_[100 * size[open_] >= percent * size[open_ + step]]
+        pair = open_[label[open_] != label[open_ + step]]
+        if len(pair):
+            pair = pair[passing(pair, pair + step, size, pos, behind, percent)]
+            pair = pair[fine_passing(pair, pair + step, size, fine, percent)]
+        for k in pair.tolist():
+            if label[k] != label[k + step]:
+                label[label == label[k + step]] = label[k]
+    return label
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -275,7 +300,7 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _verified(units: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that chain the linked classes of each unit; units: (u0, u1, u2, b, node, items), sorted: sets have no b and come first, then pairs (node, b)."""
+    """Edges (a, b) that chain the linked classes of each unit, as stars; units: (u0, u1, u2, b, node, items), sorted: sets have no b and come first, then pairs (node, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_unit(batches, 3):
@@ -300,15 +325,16 @@ def _verified(units: DataFrame, percent: int) -> DataFrame:
                     both = overlap(one, two)
                     if 100 * both >= percent * (len(one) + len(two) - both):
                         root[max(x, y)] = min(x, y)
-                        a.append(node[k])
-                        b.append(other[k])
+                a += root
+                b += map(find, root)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return map_batches(units.select("u0", "u1", "u2", "b", "node", "items"), run, "a binary, b binary")
 
 
-def verified_links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges (a, b) that chain all classes which the candidate pairs link truly; texts: (row, text), classes: (node, row, size)."""
+def _sets_of(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, items): the sets of the texts (row, text) whose rows are wanted (row), and of those that the bit table lets through."""
+    shared = texts.sparkSession.sparkContext.broadcast(row_bits(wanted))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,6 +342,11 @@ def verified_links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size:
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
 
+    return map_batches(texts.select("row", "text"), to_sets, "node binary, items binary").groupBy("node").agg(F.first("items").alias("items"))
+
+
+def verified_links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (a, b) that chain all classes which the candidate pairs link truly; texts: (row, text), classes: (node, row, size)."""
     chained = store(classes.join(connected_components(pairs), "node").select("node", "row", "size", F.col("root").alias("group")))
     sizes = chained.groupBy("group").agg(F.ceil(F.sum("size") / UNIT_ITEMS).cast("int").alias("parts"))
     placed = chained.join(sizes, "group").select("node", F.xxhash64("group").alias("u0"), F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int").alias("own"))
@@ -324,17 +355,39 @@ def verified_links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size:
     unit = [F.col("u0"), F.least("p", "q").alias("u1"), F.greatest("p", "q").alias("u2")]
     asked = store(pairs.join(one, "a").join(two, "b").select(*unit, F.col("a").alias("node"), "b"))
     wanted = asked.select("u0", "u1", "u2", "node").union(asked.select("u0", "u1", "u2", "b")).distinct()
-    shared = texts.sparkSession.sparkContext.broadcast(row_bits(chained))
-    sets = map_batches(texts.select("row", "text"), to_sets, "node binary, items binary").groupBy("node").agg(F.first("items").alias("items"))
-    sets = wanted.join(sets, "node").select("u0", "u1", "u2", F.lit(None).cast("binary").alias("b"), "node", "items")
+    sets = wanted.join(_sets_of(texts, chained, size), "node").select("u0", "u1", "u2", F.lit(None).cast("binary").alias("b"), "node", "items")
     units = sets.unionByName(asked.withColumn("items", F.lit(None).cast("binary")))
     links = store(_verified(_sorted_units(units, "b", "node"), percent))
     forget(chained, placed, asked)
     return links
 
 
-def linked_classes(df: DataFrame, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows (doc_id, row, n_shingles, node), node being null for an empty set, and edges (a, b) that chain all linked classes."""
+def links_between(chains: DataFrame, joined: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (a, b) that chain all classes of different components (node, root) which are linked truly and whose components the edges of `chains` chain.
+
+    No pair is told: a group's classes outside its largest component meet all others in units of two blocks, which hold sets only.
+    """
+    label = F.coalesce("root", "node").alias("label")
+    groups = connected_components(chains).select(F.col("node").alias("label"), F.xxhash64("root").alias("u0"))
+    members = store(classes.join(joined, "node", "left").select("node", "row", "size", label).join(groups, "label"))
+    sizes = members.groupBy("u0", "label").agg(F.sum("size").alias("n")).groupBy("u0").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("big"))
+    # small blocks spread a group over more tasks; in groups of many blocks larger ones save copies of the sets
+    block = F.greatest(F.lit(max(1, UNIT_ITEMS // 4)), F.least(F.lit(UNIT_ITEMS), F.col("total") / 16))
+    inside = F.ceil(F.col("big.n") / block).cast("int")
+    outside = F.when(F.col("total") > block, F.ceil((F.col("total") - F.col("big.n")) / block)).otherwise(0).cast("int")  # none: the group is one unit
+    placed = members.join(sizes.select("u0", inside.alias("p"), outside.alias("q"), F.col("big.label").alias("largest")), "u0")
+    within, last, h = F.col("label") == F.col("largest"), F.col("p") + F.col("q") - 1, F.xxhash64("node")
+    own = F.when(F.col("q") == 0, 0).when(within, F.pmod(h, F.col("p").cast("long"))).otherwise(F.col("p") + F.pmod(h, F.col("q").cast("long"))).cast("int")
+    others = F.when(F.col("q") == 0, F.array(F.lit(0))).when(within, F.sequence("p", last)).otherwise(F.sequence(F.lit(0), last))
+    placed = placed.withColumn("own", own).withColumn("other", F.explode(others))
+    placed = placed.select("u0", F.least("own", "other").alias("u1"), F.greatest("own", "other").alias("u2"), F.lit(True).alias("cut"), "label", "node")
+    links = store(_exact_links(_sorted_units(placed.join(_sets_of(texts, members, size), "node"), "node"), percent).select("a", "b").distinct())
+    forget(members)
+    return links
+
+
+def linked_classes(df: DataFrame, doc_id: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, links, joined): rows (doc_id, row, n_shingles, node), node being null for an empty set, edges (a, b) that chain all linked classes, and these components (node, root)."""
     told = store(count_sets(df, doc_id, text, size))
     rows = told.where("slice is null").select("doc_id", "row", "n_shingles", "node")
     counts = gram_counts(told.where("slice is not null").select("slice", "counts"))
@@ -351,35 +404,36 @@ def linked_classes(df: DataFrame, doc_id: str, text: str, size: int, percent: in
     own = F.array(F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int"))
     everywhere = (parts > 1) & (F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")) < SHARED)
     first = first.withColumn("part", F.explode(F.when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(own)))
-    first = first.select(F.col("gram").alias("u0"), F.col("part").alias("u1"), F.lit(0).alias("u2"), F.col("node").alias("label"), "size", "pos", "behind", "node", F.xxhash64("node", "gram").alias("mixed"))
-    pairs = store(_candidates(_sorted_units(first, "size", "mixed"), percent, rest=False))
+    first = first.select(F.col("gram").alias("u0"), F.col("part").alias("u1"), F.lit(0).alias("u2"), "size", "pos", "behind", "node", F.xxhash64("node", "gram").alias("mixed"))
+    pairs = store(_candidates(_sorted_units(first, "size", "mixed"), percent))
     texts = df.select(row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("row"), F.col(f"`{text}`").alias("text"))
     links = verified_links(pairs, texts, classes, size, percent)
+    joined = connected_components(links)
     if not long.isEmpty():
-        before = Window.partitionBy("node").orderBy("pos").rowsBetween(-EARLIER, -1)
-        left = long.select(F.col("gram").alias("group"), "node", "size", "pos", "behind", F.collect_list("gram").over(before).alias("earlier"))
-        left = _rest(left, connected_components(links), LIST_ROWS).join(heads.select("node", "fine"), "node")
-        more = store(_candidates(_sorted_units(left, "size", "node"), percent, rest=True).join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = links.union(verified_links(more, texts, classes, size, percent))
+        left = _rest(long.select(F.col("gram").alias("group"), "node", "size", "pos", "behind"), joined, LIST_ROWS).join(heads.select("node", "fine"), "node")
+        chains = store(_chains(_sorted_units(left, "size", "node"), percent))
+        if not chains.isEmpty():
+            more = links_between(chains, joined, texts, classes, size, percent)
+            links = links.union(more)
+            # from stars, so in few steps
+            joined = connected_components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        forget(chains)
     forget(live, pairs, classes, heads)
-    return rows, links
+    return rows, links, joined
 
 
 def jaccard_components(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_links), a row for each row of the table.
 
     Two texts are linked where 100 * intersection >= percent * union of their sets of `size` words; component_id is the smallest doc_id that
-    links reach; `class_links` tells how many edges of the component's spanning forest the row's set has.
+    links reach; `class_links` tells how many edges the row's set has among those that chain the component (stars, within units).
 
     Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a null text, or one without words, has no n-grams and is linked with
     nothing; fewer words than `size` are one n-gram of the whole sequence; repeated rows are copies, each with its own row; ties in the ranking fall to
     the n-gram's hash; a null doc_id never is a component's id unless all of it are null; an empty table gives an empty one.  Other columns are not read.
     """
-    rows, links = linked_classes(df, doc_id, text, size, percent)
-    links = store(links)
+    rows, links, of = linked_classes(df, doc_id, text, size, percent)
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("class_links"))
-    of = connected_components(links)
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     classes = store(classes.join(of, "node", "left").join(degree, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"), F.coalesce("class_links", F.lit(0)).alias("class_links")))
     ids = store(classes.groupBy("root").agg(F.min("least_id").alias("component_id")))

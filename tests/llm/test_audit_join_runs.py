@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidora.llm import filter_audit, jaccard_join, periodic_runs, queries
+from evidora.llm.components import connected_components
 
 from . import brute
 
@@ -123,6 +124,53 @@ def test_join_of_large_groups(spark, monkeypatch, limits):
     assert got == {d: w for (d, _), w in zip(rows, brute.near(rows, 3, 85))}
 
 
+def test_join_of_a_large_group_tells_no_pairs(spark, monkeypatch):
+    """What lists chain grows with a group's size, not with its square, and sets that only resemble the group stay out of it."""
+    told = []
+
+    def counted(edges):
+        told.append(edges.count())
+        return connected_components(edges)
+
+    monkeypatch.setattr(jaccard_join, "connected_components", counted)
+    monkeypatch.setattr(jaccard_join, "LISTS", 1)
+    r, rows = random.Random(7), []
+    for k in range(240):
+        words = [f"b{i}" for i in range(90)]
+        for at in r.sample(range(90), r.choice([1, 1, 2, 3])):
+            words[at] = f"c{k}x{at}"
+        rows.append((k, " ".join(words)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85).collect()}
+    assert got == {d: w for (d, _), w in zip(rows, brute.near(rows, 3, 85))}
+    assert 1 < len({c for _, c in got.values()}) < 200
+    assert max(told) < 4 * len(rows)
+
+
+def test_chains_join_what_passes_the_filters():
+    """Labels are joined if a pair of their postings passes, across sizes too, and others are not."""
+    size = np.array([80, 100, 100, 100, 120])
+    behind, fine = np.zeros((5, jaccard_join.SLOTS), "<u2"), np.zeros((5, jaccard_join.FINE), np.uint8)
+    behind[:, 0], fine[:, 0] = size - 1, size
+    fine[2, 0], fine[2, 1] = 50, 50
+    got = jaccard_join.chained_labels(np.arange(5), size, np.zeros(5, np.int64), behind, fine, 85)
+    assert got[1] == got[3] and len(set(got.tolist())) == 4
+    assert len(set(jaccard_join.chained_labels(np.array([0, 1, 1, 3, 4]), size, np.zeros(5, np.int64), behind, fine, 85).tolist())) == 3
+
+
+@pytest.mark.parametrize(
+    "edges, want",
+    [
+        ([], {}),
+        ([(2, 1), (1, 3), (1, 1), (None, 4)], {1: 1, 2: 1, 3: 1}),
+        ([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (8, 9)], {**{k: 1 for k in range(1, 6)}, 8: 8, 9: 8}),
+        ([(3, 1), (3, 2)], {1: 1, 2: 1, 3: 1}),
+    ],
+)
+def test_components_of_stars_and_of_what_is_none(spark, edges, want):
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(tuple(x) for x in got) == sorted(want.items())
+
+
 def test_join_on_odd_rows(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, None), (3, ""), (None, "A b C d e"), (4, "x y"), (5, "x  y"), (6, "x y z"), (None, "lonely here"), (7, " \t\n")]
     df = spark.createDataFrame([(*r, "own", 1) for r in rows], "doc_id long, text string, node string, size int")
