@@ -722,3 +722,34 @@ def test_titles_are_matched_without_a_join_on_words(spark):
     made = L.best_title(left, right)
     assert sorted(map(tuple, made.collect())) == [(1, 7, 0.666667), (2, 8, 1.0)]
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # that of the numbers
+
+
+def test_titles_follow_few_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    words = [f"w{k:02}" for k in range(40)]
+    text = lambda: " ".join(r.choices(words, weights=[1 / (k + 1) for k in range(40)], k=r.randint(0, 9)))
+    left, right = [(k, text()) for k in range(150)], [(k, text()) for k in range(400)]
+    left += [(k + 1000, t) for k, t in left[:60]]
+    best = []
+    for i, t in left:
+        x = set(t.split())
+        shared = [(-len(x & set(u.split())), k) for k, u in right]
+        if x and round(-min(shared)[0] / len(x), 6) >= 0.35:
+            best.append((i, min(shared)[1], round(-min(shared)[0] / len(x), 6)))
+    frames = [spark.createDataFrame(rows, f"{side}_id long, title string").withColumn("number", F.lit(None).cast("string")) for side, rows in (("left", left), ("right", right))]
+    asked = [df.select(f"{side}_id", F.array_sort(X.TITLE.distinct(F.col("title"))).alias("tokens")) for side, df in zip(("left", "right"), frames)]
+    blocks = list(L._title_blocks(asked[0].where(F.size("tokens") > 0), 0.35))
+    assert sum(len(ids) for b in blocks for ids in b[0]) == sum(bool(t) for _, t in left)
+    n_sets = len({frozenset(t.split()) for _, t in left if t})
+    assert sum(len(b[0]) for b in blocks) == n_sets and all(len(b[7]) < 0.9 * len(b[5]) for b in blocks)  # equal sets are one, and common tokens are not followed
+    assert sorted(map(tuple, L.best_title(*frames).collect())) == sorted(best)
+    monkeypatch.setattr(L, "STATED_TOKENS", 64)
+    monkeypatch.setattr(L, "ENTRIES", 16)
+    monkeypatch.setattr(L, "CELLS", 8)
+    monkeypatch.setattr(X, "HEAD", 12)
+    assert sorted(map(tuple, L.best_title(*frames).collect())) == sorted(best)
+    # a text's beginning tells its first tokens, but not where they repeat or are cut
+    monkeypatch.setattr(X, "HEAD", 60)
+    texts = ["w00 " * 40 + " ".join(words[:12]), " ".join(words[:30]), " ".join(words[:14]) + "x", None, "", " ".join(["K" * 30, *words[:11]])]
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select(X.TITLE.distinct(F.col("t"))).collect()
+    assert [row[0] for row in made] == [[f"{w}" for w in dict.fromkeys((t or "").lower().split())][:10] for t in texts]
